@@ -241,10 +241,10 @@ register(
 )
 register(
     "metric_spine_filled_by_day",
-    ask(["fee_revenue_net", "transaction_count"], grain="day", spine=True, fill=0, where={"home_branch_name": lambda c: c == "FRANCE"}),
+    ask(["fee_revenue_net", "transaction_count"], grain="day", spine=True, fill=0, where={"home_branch_name": lambda c: c == "NATION_3"}),
     f"""SELECT d.date_key AS period, coalesce(f, 0) AS fee_revenue_net, coalesce(n, 0) AS transaction_count
         FROM dim_date d LEFT JOIN (SELECT transaction_date, {FEES_NET} AS f, count(*) AS n FROM fct_transactions
-                                   WHERE home_branch_name = 'FRANCE' GROUP BY 1) t ON t.transaction_date = d.date_key""",
+                                   WHERE home_branch_name = 'NATION_3' GROUP BY 1) t ON t.transaction_date = d.date_key""",
     real="fee_revenue_net",
     whole="transaction_count",
     dates="period",
