@@ -11,6 +11,7 @@ from pyspark.sql.types import ByteType, DateType, DecimalType, FloatType, Intege
 from checks.oracle_tables import with_tables
 from ledgerline import Tables, with_models
 from ledgerline.sources.projection import from_orders
+from ledgerline.sources.tables import Loader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +23,15 @@ def bank(spark: SparkSession, folder: str) -> Tables:
     """The banking tables and models over a data folder. Holds plans only, no data."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _BANKS:
-        _BANKS[key] = with_models(from_orders(spark, folder))
+        others = {name: _file(folder, name) for name in ("conversations", "events")}
+        _BANKS[key] = with_models(from_orders(spark, folder)).extend(others)
     return _BANKS[key]
 
 
+def _file(folder: str, name: str) -> Loader:
+    return lambda tables: tables.spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint, decimals as double, dates as ISO text."""
     columns = []

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ledgerline.functions.calendar import month_start
 from ledgerline.sources.schemas import RAW
@@ -25,10 +25,24 @@ MONTH_OF = {
 }
 PARTITION = "partition_month"
 
-RESULT_LOG = StructType.fromDDL(
-    "config string, question_set string, run int, question_id string, answerable_expected boolean, "
-    "ambiguity_tag string, generated_sql string, refused boolean, execution_error string, "
-    "model_result double, expected_result double, failure_category string"
+RESULT_LOG = StructType(
+    [
+        StructField(name, kind, True)
+        for name, kind in (
+            ("config", StringType()),
+            ("question_set", StringType()),
+            ("run", IntegerType()),
+            ("question_id", StringType()),
+            ("answerable_expected", BooleanType()),
+            ("ambiguity_tag", StringType()),
+            ("generated_sql", StringType()),
+            ("refused", BooleanType()),
+            ("execution_error", StringType()),
+            ("model_result", DoubleType()),
+            ("expected_result", DoubleType()),
+            ("failure_category", StringType()),
+        )
+    ]
 )
 
 
