@@ -21,70 +21,62 @@ def answer_log(t: Tables) -> DataFrame:
         .withColumn("_reversed", F.lit(True))
     )
     rows = t.ref("fact_transaction").join(reversed_once, "transaction_id", "left")
-    netted = ~F.col("is_reversal") & F.col("_reversed").isNull()
-    fee = (F.col("transaction_type") == "fee") & ~F.col("is_reversal")
+    fee = "transaction_type = 'fee' AND NOT is_reversal"
     quarter = Period.quarter(2000, 1)
-    sums = [
-        F.sum(F.abs("amount")).alias("raw_volume"),
-        F.sum(F.when(netted, F.abs("amount")).otherwise(0)).alias("net_volume"),
-        F.sum(F.when(fee, -F.col("amount")).otherwise(0)).alias("gross_fees"),
-        F.sum(F.when(fee & ~F.col("fee_waived"), -F.col("amount")).otherwise(0)).alias("net_fees"),
-        F.count(F.when(quarter.contains(F.col("posting_date")), 1)).alias("posted"),
-        F.count(F.when(quarter.contains(F.col("transaction_date")), 1)).alias("initiated"),
-    ]
+    within = f">= date'{quarter.start}' AND {{0}} < date'{quarter.end}'"
+    sums = {
+        "raw_volume": "sum(abs(amount))",
+        "net_volume": "sum(CASE WHEN NOT is_reversal AND _reversed IS NULL THEN abs(amount) ELSE 0 END)",
+        "gross_fees": f"sum(CASE WHEN {fee} THEN -amount ELSE 0 END)",
+        "net_fees": f"sum(CASE WHEN {fee} AND NOT fee_waived THEN -amount ELSE 0 END)",
+        "posted": f"count_if(posting_date {within.format('posting_date')})",
+        "initiated": f"count_if(transaction_date {within.format('transaction_date')})",
+    }
     owners = t.ref("dim_account").where(F.col("customer_id").isNotNull()).select("account_id", "customer_id")
-    facts = sums_through_key(rows, owners, "account_id", [], sums, ["customer_id"])
+    totals = [F.expr(f"{sql} AS {name}") for name, sql in sums.items()]
+    facts = sums_through_key(rows, owners, "account_id", [], totals, ["customer_id"])
 
-    def question(template: str, tag: str | None, answerable: bool, right: str | None, naive: str):
-        return F.struct(
-            F.lit(template).alias("template"),
-            F.lit(tag).cast("string").alias("ambiguity_tag"),
-            F.lit(answerable).alias("answerable"),
-            (F.col(right) if right else F.lit(None)).cast("double").alias("expected"),
-            F.col(naive).cast("double").alias("naive"),
+    def question(template: str, tag: str, answerable: str, right: str, naive: str) -> str:
+        return (
+            f"named_struct('template', '{template}', 'ambiguity_tag', {tag}, 'answerable', {answerable}, "
+            f"'expected', CAST({right} AS double), 'naive', CAST({naive} AS double))"
         )
 
-    asked = F.array(
-        question("volume", "reversed_transactions", True, "net_volume", "raw_volume"),
-        question("fees", "gross_vs_net_revenue", True, "net_fees", "gross_fees"),
-        question("posted", "posting_vs_transaction_date", True, "posted", "initiated"),
-        question("share", None, True, "net_volume", "gross_fees"),
-        question("churn", None, False, None, "initiated"),
+    asked = ", ".join(
+        [
+            question("volume", "'reversed_transactions'", "true", "net_volume", "raw_volume"),
+            question("fees", "'gross_vs_net_revenue'", "true", "net_fees", "gross_fees"),
+            question("posted", "'posting_vs_transaction_date'", "true", "posted", "initiated"),
+            question("share", "CAST(NULL AS string)", "true", "net_volume", "gross_fees"),
+            question("churn", "CAST(NULL AS string)", "false", "NULL", "initiated"),
+        ]
     )
-    configs = F.array(*[F.struct(F.lit(i).alias("config_no"), F.lit(c).alias("config")) for i, c in enumerate(CONFIGS)])
-    drawn = (
-        facts.select("customer_id", F.inline(asked))
-        .select("*", F.inline(configs))
-        .select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("run"))
-        .withColumn("h", (F.col("customer_id") * 7 + F.col("run") * 3 + F.length("template") + F.col("config_no") * 5) % 20)
-        .withColumn("refused", F.when(F.col("answerable"), F.col("h") == 1).otherwise(F.col("h") != 3))
-        .withColumn("execution_error", F.when(~F.col("refused") & (F.col("h") == 2), "Binder Error").otherwise(""))
-    )
-    silent = F.col("refused") | (F.col("execution_error") != "")
-    right, naive, h = F.coalesce("expected", "naive"), F.col("naive"), F.col("h")
-    value = (
-        F.when(silent | (h == 6), F.lit(None))
-        .when(F.col("config_no") == 0, naive)
-        .when(F.col("config_no") == 1, right)
-        .when(F.col("config_no") == 2, -right)
-        .when(h.between(7, 9), naive)
-        .otherwise(right * 1.005)
-    )
-    scope = F.when(F.col("answerable"), "_in").otherwise("_oos")
-    return drawn.select(
-        "config",
-        F.concat(F.when(F.col("customer_id") % 2 == 0, "dev").otherwise("holdout"), scope).alias("question_set"),
-        "run",
-        F.concat_ws("-", "template", F.col("customer_id").cast("string")).alias("question_id"),
-        F.col("customer_id").alias("question_order"),
-        "answerable",
-        "ambiguity_tag",
-        "refused",
-        "execution_error",
-        F.when(silent, 0).when(h == 4, 3).otherwise(1).alias("n_rows"),
-        F.when(silent, 0).when(h == 5, 2).otherwise(1).alias("n_cols"),
-        value.alias("value"),
-        "expected",
+    configs = ", ".join(f"named_struct('config_no', {i}, 'config', '{c}')" for i, c in enumerate(CONFIGS))
+    silent = "(refused OR execution_error <> '')"
+    return (
+        facts.selectExpr("customer_id", f"inline(array({asked}))")
+        .selectExpr("*", f"inline(array({configs}))")
+        .selectExpr("*", "explode(array(1, 2, 3)) AS run")
+        .selectExpr("*", "(customer_id * 7 + run * 3 + length(template) + config_no * 5) % 20 AS h")
+        .selectExpr("*", "CASE WHEN answerable THEN h = 1 ELSE h <> 3 END AS refused")
+        .selectExpr("*", "CASE WHEN NOT refused AND h = 2 THEN 'Binder Error' ELSE '' END AS execution_error")
+        .selectExpr(
+            "config",
+            "(CASE WHEN customer_id % 2 = 0 THEN 'dev' ELSE 'holdout' END) || (CASE WHEN answerable THEN '_in' ELSE '_oos' END) AS question_set",
+            "run",
+            "template || '-' || customer_id AS question_id",
+            "customer_id AS question_order",
+            "answerable",
+            "ambiguity_tag",
+            "refused",
+            "execution_error",
+            f"CASE WHEN {silent} THEN 0 WHEN h = 4 THEN 3 ELSE 1 END AS n_rows",
+            f"CASE WHEN {silent} THEN 0 WHEN h = 5 THEN 2 ELSE 1 END AS n_cols",
+            f"""CASE WHEN {silent} OR h = 6 THEN NULL WHEN config_no = 0 THEN naive WHEN config_no = 1 THEN coalesce(expected, naive)
+                     WHEN config_no = 2 THEN -coalesce(expected, naive) WHEN h BETWEEN 7 AND 9 THEN naive
+                     ELSE coalesce(expected, naive) * 1.005D END AS value""",
+            "expected",
+        )
     )
 
 

@@ -391,7 +391,7 @@ QUESTIONS = [
     _late("dev-14", "2001-03-31"),
     q.Question("dev-15", W, "accounts", "count(CASE WHEN product_type = 'loan' AND write_off_flag THEN 1 END)"),
     _ledger("dev-16", V, "sum volume", _NETTED, Y[1999]),
-    _ledger("dev-17", V, "sum reversed_ids", _ALL, Y[1999]),
+    _ledger("dev-17", V, "sum reversed_rows", _ALL, Y[1999]),
     _ledger("dev-18", V, "sum volume", _ALL, Y[2000]),
     _ledger("dev-19", I, "sum volume", _GOVERNED, Y[1999]),
     _ledger("dev-20", I, "sum transactions", _CUSTOMER, Y[1999]),
@@ -414,7 +414,7 @@ QUESTIONS = [
     _rate("holdout-13", "2001-06-30"),
     _late("holdout-14", "2001-06-30"),
     _ledger("holdout-15", V, "sum volume", _NETTED, Y[2000]),
-    _ledger("holdout-16", V, "sum reversed_ids", _ALL, Y[2000]),
+    _ledger("holdout-16", V, "sum reversed_rows", _ALL, Y[2000]),
     _ledger("holdout-17", I, "sum volume", _GOVERNED, Y[2000]),
     _ledger("holdout-18", I, "sum transactions", _CUSTOMER, Y[2000]),
     _ledger("holdout-19", L, "sum volume", f"{_GOVERNED} AND home_branch_name = 'NATION_5'", Y[2000]),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DateType, DecimalType, FloatType, IntegerType, ShortType
 
 from checks.oracle_tables import with_tables
@@ -34,17 +33,16 @@ def _file(folder: str, name: str) -> Loader:
 
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint, decimals as double, dates as ISO text."""
-    columns = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (ByteType, ShortType, IntegerType)):
-            c = c.cast("bigint")
-        elif isinstance(f.dataType, (DecimalType, FloatType)):
-            c = c.cast("double")
-        elif isinstance(f.dataType, DateType):
-            c = c.cast("string")
-        columns.append(c.alias(f.name))
-    return df.select(*columns)
+    kinds = {
+        **dict.fromkeys((ByteType, ShortType, IntegerType), "bigint"),
+        **dict.fromkeys((DecimalType, FloatType), "double"),
+        DateType: "string",
+    }
+    if not any(type(f.dataType) in kinds for f in df.schema.fields):
+        return df
+    return df.selectExpr(
+        *[f"CAST(`{f.name}` AS {kinds[type(f.dataType)]}) AS `{f.name}`" if type(f.dataType) in kinds else f"`{f.name}`" for f in df.schema.fields]
+    )
 
 
 def plain_sql(sql: str, whole: str = "", real: str = "", dates: str = "") -> str:

@@ -15,6 +15,12 @@ def month_start(day: Column) -> Column:
     return F.trunc(day, "MM")
 
 
+def period_start_sql(grain: str, day: str) -> str:
+    if grain not in GRAINS:
+        raise ValueError(f"unknown grain {grain!r}")
+    return day if grain == "day" else f"trunc({day}, '{grain}')"
+
+
 def period_start(grain: str, day: Column) -> Column:
     """First day of the period a date falls in, as a date."""
     if grain not in GRAINS:

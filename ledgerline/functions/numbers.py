@@ -6,9 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Safe division as a double; NULL where the denominator is zero or missing."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+# Safe division as a double; NULL where the denominator is zero or missing.
+RATIO = "try_divide(CAST({0} AS double), CAST({1} AS double))"
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -4,40 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-AGGREGATES = ("sum", "avg", "count", "count_distinct")
-
 
 @dataclass(frozen=True)
 class Spec:
-    """One aggregate: its output name, how it combines, and the row value it combines."""
+    """One aggregate: its output name, how it combines, and the SQL value of a row."""
 
     name: str
-    agg: str
-    value: Column
+    agg: str    # sum | avg | count | count_distinct
+    value: str
 
-    def column(self) -> Column:
-        if self.agg == "sum":
-            return F.sum(self.value).alias(self.name)
+    def sql(self) -> str:
         if self.agg == "avg":
-            return F.avg(self.value.cast("double")).alias(self.name)
-        if self.agg == "count":
-            return F.count(self.value).alias(self.name)
-        return F.count_distinct(self.value).alias(self.name)
+            return f"avg(CAST({self.value} AS double))"
+        if self.agg == "count_distinct":
+            return f"count(DISTINCT {self.value})"
+        return f"{self.agg}({self.value})"
+
+
+def _named(expressions: Mapping[str, str]) -> list:
+    return [F.expr(f"{sql} AS `{name}`") for name, sql in expressions.items()]
 
 
-def aggregate(frame: DataFrame, by: Mapping[str, Column], specs: Sequence[Spec]) -> DataFrame:
-    keys = [column.alias(name) for name, column in by.items()]
-    return frame.groupBy(*keys).agg(*[s.column() for s in specs])
+def aggregate(frame: DataFrame, by: Mapping[str, str], specs: Sequence[Spec]) -> DataFrame:
+    return frame.groupBy(*_named(by)).agg(*_named({s.name: s.sql() for s in specs}))
 
 
 def aggregate_through(
     frame: DataFrame,
     key: str,
-    by: Mapping[str, Column],
+    by: Mapping[str, str],
     specs: Sequence[Spec],
     dim: DataFrame,
     dim_by: Sequence[str],
@@ -48,26 +48,22 @@ def aggregate_through(
     The fact is first reduced to one row per key and own grouping column (plus the distinct values
     an exact distinct count needs), then joined, then combined. ``dim`` must be unique on ``key``.
     """
-    keys = {key: F.col(key), **by}
-    partial: list[Column] = []
-    final: list[Column] = []
+    keys = {key: key, **by}
+    partial: dict[str, str] = {}
+    final: dict[str, str] = {}
     for i, s in enumerate(specs):
         if s.agg == "count_distinct":
             keys[f"_d{i}"] = s.value
-            final.append(F.count_distinct(f"_d{i}").alias(s.name))
+            final[s.name] = f"count(DISTINCT _d{i})"
         elif s.agg == "avg":
-            partial += [F.sum(s.value.cast("double")).alias(f"_s{i}"), F.count(s.value).alias(f"_n{i}")]
-            final.append(F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(s.name))
-        elif s.agg == "count":
-            partial.append(F.count(s.value).alias(f"_s{i}"))
-            final.append(F.sum(f"_s{i}").alias(s.name))
+            partial[f"_s{i}"] = f"sum(CAST({s.value} AS double))"
+            partial[f"_n{i}"] = f"count({s.value})"
+            final[s.name] = f"try_divide(sum(_s{i}), sum(_n{i}))"
         else:
-            partial.append(F.sum(s.value).alias(f"_s{i}"))
-            final.append(F.sum(f"_s{i}").alias(s.name))
-    grouped = frame.groupBy(*[c.alias(n) for n, c in keys.items()])
-    reduced = grouped.agg(*partial) if partial else grouped.agg(F.count(F.lit(1)).alias("_rows"))
-    joined = reduced.join(dim, key, how)
-    return joined.groupBy(*by.keys(), *dim_by).agg(*final)
+            partial[f"_s{i}"] = s.sql()
+            final[s.name] = f"sum(_s{i})"
+    reduced = frame.groupBy(*_named(keys)).agg(*_named(partial or {"_rows": "count(1)"}))
+    return reduced.join(dim, key, how).groupBy(*by, *dim_by).agg(*_named(final))
 
 
 def stack_groups(frames: Sequence[DataFrame], by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -77,8 +73,6 @@ def stack_groups(frames: Sequence[DataFrame], by: Sequence[str], values: Sequenc
     null-safe full outer joins in a single small shuffle.
     """
     if len(frames) == 1:
-        return frames[0].select(*by, *values)
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    return merged.groupBy(*by).agg(*[F.max(v).alias(v) for v in values])
+        return frames[0]
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return merged.groupBy(*by).agg(*_named({v: f"max(`{v}`)" for v in values}))

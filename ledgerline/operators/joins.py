@@ -54,6 +54,7 @@ def lookup(
     key: str,
     how: str = "inner",
     salt_on: Sequence[str] | None = None,
+    measured_on: DataFrame | None = None,
 ) -> DataFrame:
     """Many-to-one equi-join of ``fact`` to a ``dim`` that is unique on ``key``.
 
@@ -61,10 +62,13 @@ def lookup(
     cannot matter. Beyond that both sides shuffle: keys found hot are cut into ``SALTS`` pieces by a
     hash of the fact's own columns (repeatable, so a retried task puts rows in the same place) and
     only their few dimension rows are repeated.
+
+    ``measured_on`` names a cheaper frame to find the hot keys in, such as the stored table under a
+    fact that is itself the result of joins.
     """
     if estimated_bytes(dim) <= broadcast_limit(dim):
         return fact.join(dim, key, how)
-    hot = hot_keys(fact, key)
+    hot = hot_keys(measured_on if measured_on is not None else fact, key)
     if not hot:
         return fact.join(dim, key, how)
     is_hot = F.col(key).isin(hot)

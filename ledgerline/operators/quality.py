@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import orphans
@@ -99,22 +100,40 @@ def unaccepted_values(df: DataFrame, column: str, values: Sequence[str]) -> Data
     return df.where(~F.col(column).isin(*values)).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _label(test: ColumnTest) -> list[Column]:
-    return [F.lit(test.table).alias("table_name"), F.lit(test.column).alias("column_name"), F.lit(test.kind).alias("test")]
+def _report(counts: DataFrame, tests: Sequence[ColumnTest]) -> DataFrame:
+    """One row per test from a single row whose columns are the tests' counts."""
+    rows = ", ".join(
+        f"named_struct('table_name', '{t.table}', 'column_name', '{t.column}', 'test', '{t.kind}', 'failures', coalesce(_{i}, 0L))"
+        for i, t in enumerate(tests)
+    )
+    return counts.selectExpr(f"inline(array({rows}))")
+
+
+def _is_bad(test: ColumnTest) -> str:
+    if test.kind == "not_null":
+        return f"{test.column} IS NULL"
+    values = ", ".join(f"'{v}'" for v in test.values)
+    return f"{test.column} NOT IN ({values})"
 
 
 def _row_tests(df: DataFrame, tests: Sequence[ColumnTest]) -> DataFrame:
-    """All null and accepted-value checks of one table in one aggregate."""
-    found = []
-    for i, t in enumerate(tests):
-        bad = F.col(t.column).isNull() if t.kind == "not_null" else ~F.col(t.column).isin(*t.values)
-        found.append(F.count(F.when(bad, 1)).alias(f"_{i}"))
-    rows = F.array(*[F.struct(*_label(t), F.col(f"_{i}").alias("failures")) for i, t in enumerate(tests)])
-    return df.agg(*found).select(F.inline(rows))
+    """All null and accepted-value checks of a table in one aggregate."""
+    return _report(df.selectExpr(*[f"count_if({_is_bad(t)}) AS _{i}" for i, t in enumerate(tests)]), tests)
+
 
+def _keyed_tests(df: DataFrame, key: str, tests: Sequence[ColumnTest]) -> DataFrame:
+    """The uniqueness of a key and the table's row checks in one pass, grouped by that key.
 
-def _one_row(test: ColumnTest, counted: DataFrame, failures: Column) -> DataFrame:
-    return counted.agg(F.coalesce(failures, F.lit(0)).alias("failures")).select(*_label(test), "failures")
+    Rows are counted per key before the shuffle, so a value that repeats a lot travels once per task.
+    """
+    others = {i: t for i, t in enumerate(tests) if t.kind != "unique"}
+    per_key = df.groupBy(key).agg(
+        F.expr("count(1) AS rows"), *[F.expr(f"count_if({_is_bad(t)}) AS _{i}") for i, t in others.items()]
+    )
+    repeated = f"count_if(rows > 1 AND {key} IS NOT NULL)"
+    return _report(
+        per_key.selectExpr(*[(f"sum(_{i})" if i in others else repeated) + f" AS _{i}" for i in range(len(tests))]), tests
+    )
 
 
 def run_tests(tables: Tables, tests: Sequence[ColumnTest]) -> DataFrame:
@@ -122,21 +141,20 @@ def run_tests(tables: Tables, tests: Sequence[ColumnTest]) -> DataFrame:
     repeated values for unique."""
     parts = []
     for table in dict.fromkeys(t.table for t in tests):
-        own = [t for t in tests if t.table == table]
         df = tables.ref(table)
-        simple = [t for t in own if t.kind in ("not_null", "accepted_values")]
-        if simple:
-            parts.append(_row_tests(df, simple))
-        for t in own:
-            if t.kind == "unique":
-                parts.append(_one_row(t, repeated_values(df, t.column), F.count(F.lit(1))))
-            elif t.kind == "relationships":
+        own = [t for t in tests if t.table == table and t.kind != "relationships"]
+        keys = [t.column for t in own if t.kind == "unique"]
+        if keys:
+            first = [t for t in own if t.kind != "unique" or t.column == keys[0]]
+            parts.append(_keyed_tests(df, keys[0], first))
+            parts += [_keyed_tests(df, k, [t for t in own if t.kind == "unique" and t.column == k]) for k in keys[1:]]
+        elif own:
+            parts.append(_row_tests(df, own))
+        for t in tests:
+            if t.table == table and t.kind == "relationships":
                 missing = orphans(df, t.column, tables.ref(t.parent), t.parent_column)
-                parts.append(_one_row(t, missing, F.sum("rows")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+                parts.append(_report(missing.selectExpr("sum(rows) AS _0"), [t]))
+    return reduce(DataFrame.union, parts)
 
 
 def invariants(tables: Tables) -> DataFrame:

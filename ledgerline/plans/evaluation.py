@@ -25,36 +25,29 @@ CATEGORY_OF_TAG = {
 OTHER_CATEGORY = "correct_looking_wrong_number"
 
 
-def within_tolerance(actual: Column, expected: Column) -> Column:
-    return F.abs(actual - expected) <= F.greatest(F.lit(0.01), F.abs(expected) * 0.01)
+# within a cent or one percent, whichever is wider
+CLOSE = "abs(value - expected) <= greatest(0.01D, abs(expected) * 0.01D)"
 
 
-def tag_category(tag: Column) -> Column:
-    pairs = [F.lit(x) for pair in CATEGORY_OF_TAG.items() for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), tag), F.lit(OTHER_CATEGORY))
-
-
-def outcome() -> Column:
-    failed = F.coalesce(F.col("execution_error"), F.lit("")) != ""
-    one_value = F.coalesce((F.col("n_rows") == 1) & (F.col("n_cols") == 1), F.lit(False))
-    return (
-        F.when(~F.col("answerable") & F.col("refused"), "appropriate_refusal")
-        .when(~F.col("answerable"), "answered_unanswerable")
-        .when(F.col("refused"), "inappropriate_refusal")
-        .when(failed, "invalid_sql")
-        .when(~one_value, "wrong_grain")
-        .when(F.col("value").isNull(), "wrong_filter")
-        .when(within_tolerance(F.col("value"), F.col("expected")), "correct")
-        .otherwise(tag_category(F.col("ambiguity_tag")))
-    )
+def outcome_sql() -> str:
+    """The outcome of an answer, by the first rule that applies."""
+    blame = " ".join(f"WHEN '{tag}' THEN '{category}'" for tag, category in CATEGORY_OF_TAG.items())
+    return f"""CASE
+        WHEN NOT answerable AND refused THEN 'appropriate_refusal'
+        WHEN NOT answerable THEN 'answered_unanswerable'
+        WHEN refused THEN 'inappropriate_refusal'
+        WHEN coalesce(execution_error, '') <> '' THEN 'invalid_sql'
+        WHEN NOT coalesce(n_rows = 1 AND n_cols = 1, false) THEN 'wrong_grain'
+        WHEN value IS NULL THEN 'wrong_filter'
+        WHEN {CLOSE} THEN 'correct'
+        ELSE CASE ambiguity_tag {blame} ELSE '{OTHER_CATEGORY}' END END"""
 
 
 def classify(log: DataFrame) -> DataFrame:
     """The log with its outcome, and the value kept only where the outcome rests on one."""
-    category = outcome()
-    no_value = category.isin("appropriate_refusal", "inappropriate_refusal", "invalid_sql", "wrong_grain")
-    return log.select(
-        "*", category.alias("failure_category"), F.when(~no_value, F.col("value")).alias("model_result")
+    no_value = "'appropriate_refusal', 'inappropriate_refusal', 'invalid_sql', 'wrong_grain'"
+    return log.selectExpr("*", f"{outcome_sql()} AS failure_category").selectExpr(
+        "*", f"CASE WHEN failure_category NOT IN ({no_value}) THEN value END AS model_result"
     )
 
 

@@ -7,13 +7,13 @@ Ratios and derived metrics are arithmetic on those aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.calendar import GRAINS, period_start
-from ledgerline.functions.numbers import ratio
+from ledgerline.functions.calendar import GRAINS, period_start, period_start_sql
+from ledgerline.functions.numbers import RATIO
 from ledgerline.operators.aggregate import Spec, aggregate, aggregate_through, stack_groups
 from ledgerline.operators.joins import FanOut
 from ledgerline.sources.tables import Tables
@@ -43,7 +43,7 @@ class Metric:
     measure: str = ""
     where: str | None = None               # SQL condition ANDed with the query's own filters
     parts: tuple[str, ...] = ()            # metrics a ratio or derived metric is made of
-    combine: Callable[..., Column] | None = field(default=None)
+    combine: str = ""                      # SQL over the parts, {0} {1} ...
 
 
 MODELS: dict[str, SemanticModel] = {
@@ -129,7 +129,7 @@ def _simple(label: str, model: str, measure: str, where: str | None = None) -> M
 
 
 def _ratio(label: str, numerator: str, denominator: str) -> Metric:
-    return Metric("ratio", label, parts=(numerator, denominator), combine=ratio)
+    return Metric("ratio", label, parts=(numerator, denominator), combine=RATIO)
 
 
 METRICS: dict[str, Metric] = {
@@ -149,7 +149,7 @@ METRICS: dict[str, Metric] = {
         "derived",
         "Net Interest Income",
         parts=("gross_interest_income", "gross_interest_expense"),
-        combine=lambda income, expense: income - expense,
+        combine="({0} - {1})",
     ),
     "total_outstanding_loan_balance": _simple(
         "Total Outstanding Loan Balance", "interest", "outstanding_loan_balance_measure"
@@ -180,20 +180,19 @@ def simple_parts(name: str) -> list[str]:
     return [leaf for part in metric.parts for leaf in simple_parts(part)]
 
 
-def _value(name: str) -> Column:
+def _value(name: str) -> str:
     metric = METRICS[name]
     if metric.kind == "simple":
-        return F.col(name)
-    return metric.combine(*[_value(part) for part in metric.parts])
+        return f"`{name}`"
+    return metric.combine.format(*[_value(part) for part in metric.parts])
 
 
 def _spec(name: str) -> Spec:
     metric = METRICS[name]
-    agg, expression = MODELS[metric.model].measures[metric.measure]
-    value = F.expr(expression)
+    agg, value = MODELS[metric.model].measures[metric.measure]
     if metric.where:
-        keep = F.expr(metric.where)
-        value = F.when(keep, value).otherwise(F.lit(0)) if agg == "sum" else F.when(keep, value)
+        otherwise = "ELSE 0 " if agg == "sum" else ""
+        value = f"CASE WHEN {metric.where} THEN {value} {otherwise}END"
     return Spec(name, agg, value)
 
 
@@ -222,7 +221,7 @@ class ModelFrame:
             self.frame = self.frame.join(days, self.time, "left")
         for d, condition in where.items():
             if not d.startswith("customer__"):
-                self.frame = self.frame.where(condition(self.dimension(d)))
+                self.frame = self.frame.where(condition(F.expr(self.dimension(d))))
         self.own_by = {d: self.dimension(d) for d in by if not d.startswith("customer__")}
         self.customer_by = [d for d in by if d.startswith("customer__")]
         self.customer_where = {d: c for d, c in where.items() if d.startswith("customer__")}
@@ -236,17 +235,15 @@ class ModelFrame:
                     raise FanOut(f"{other.mart} has several rows per {key}; it cannot describe {self.model.mart}")
         raise ValueError(f"{self.model.mart} has no dimension {dimension!r}")
 
-    def dimension(self, name: str) -> Column:
-        if name.startswith("date__"):
-            return F.col(name)
-        return F.expr(self.model.dimensions[name])
+    def dimension(self, name: str) -> str:
+        return name if name.startswith("date__") else self.model.dimensions[name]
 
     def aggregate(self, specs: Sequence[Spec], grain: str | None = None) -> DataFrame:
         by = dict(self.own_by)
         if grain:
             if GRAINS.index(grain) < GRAINS.index(self.model.base_grain):
                 raise ValueError(f"{self.model.mart} is kept by {self.model.base_grain}, not by {grain}")
-            by[PERIOD] = period_start(grain, F.col(self.time))
+            by[PERIOD] = period_start_sql(grain, self.time)
         if not self.customer:
             return aggregate(self.frame, by, specs)
         key = self.model.entities["customer"]
@@ -289,7 +286,7 @@ def query(
             raise ValueError("a spine needs a grain")
         periods = tables.ref("dim_dates").select(period_start(grain, F.col("date_key")).alias(PERIOD)).distinct()
         result = periods.join(result, PERIOD, "left")
-    result = result.select(*groups, *[_value(m).alias(m) for m in metrics])
+    result = result.selectExpr(*groups, *[f"{_value(m)} AS `{m}`" for m in metrics])
     return result if fill is None else result.fillna(fill, subset=list(metrics))
 
 
@@ -299,16 +296,16 @@ def compare_periods(series: DataFrame, value: str, by: Sequence[str] = (), month
     A period is also emitted under its successor's date and the two meet in a group-by, so no window
     runs over the whole series and missing periods are not skipped over.
     """
-    shifted = F.array(
-        F.struct(F.col(PERIOD).alias(PERIOD), F.col(value).alias("current"), F.lit(None).cast(series.schema[value].dataType).alias("previous")),
-        F.struct(F.add_months(PERIOD, months).alias(PERIOD), F.lit(None).cast(series.schema[value].dataType).alias("current"), F.col(value).alias("previous")),
-    )
+    kind = series.schema[value].dataType.simpleString()
+    shifted = f"""inline(array(
+        named_struct('{PERIOD}', {PERIOD}, 'current', `{value}`, 'previous', CAST(NULL AS {kind})),
+        named_struct('{PERIOD}', add_months({PERIOD}, {months}), 'current', CAST(NULL AS {kind}), 'previous', `{value}`)))"""
     return (
-        series.select(*by, F.inline(shifted))
+        series.selectExpr(*by, shifted)
         .groupBy(*by, PERIOD)
         .agg(F.max("current").alias("current"), F.max("previous").alias("previous"))
-        .where(F.col("current").isNotNull())
-        .withColumn("delta", F.col("current") - F.col("previous"))
+        .where("current IS NOT NULL")
+        .selectExpr("*", "current - previous AS delta")
     )
 
 

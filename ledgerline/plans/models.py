@@ -58,7 +58,11 @@ def governed_with_account(tables: Tables) -> DataFrame:
     mart does not visit the accounts twice.
     """
     return lookup(
-        netted_transactions(tables), customer_accounts(tables), "account_id", salt_on=["transaction_id"]
+        netted_transactions(tables),
+        customer_accounts(tables),
+        "account_id",
+        salt_on=["transaction_id"],
+        measured_on=tables.ref("fact_transaction"),
     )
 
 
@@ -95,7 +99,7 @@ def dim_customers(tables: Tables) -> DataFrame:
     branch = tables.ref("stg_branches").select(
         F.col("branch_id").alias("home_branch_id"), F.col("branch_name").alias("home_branch_name"), "region"
     )
-    return customer.join(branch, "home_branch_id").select(
+    return lookup(customer, branch, "home_branch_id", salt_on=["customer_id"]).select(
         "customer_id", "customer_name", "is_active", "signup_date", "home_branch_id", "home_branch_name", "region"
     )
 
@@ -111,14 +115,13 @@ def branch_role(tables: Tables, role: str, key: str) -> DataFrame:
 
 def fct_transactions(tables: Tables) -> DataFrame:
     rows = governed_with_account(tables).withColumnRenamed("branch_id", "transaction_branch_id")
-    return (
-        rows.join(branch_role(tables, "transaction", "transaction_branch_id"), "transaction_branch_id")
-        .join(branch_role(tables, "home", "home_branch_id"), "home_branch_id")
-        .select(
-            "transaction_id", "account_id", "customer_id", "product_id", "transaction_date", "posting_date",
-            "transaction_type", "amount", "fee_waived", "transaction_branch_id", "transaction_branch_name",
-            "transaction_region", "home_branch_id", "home_branch_name", "home_region",
-        )
+    for role in ("transaction", "home"):
+        key = f"{role}_branch_id"
+        rows = lookup(rows, branch_role(tables, role, key), key, salt_on=["transaction_id"])
+    return rows.select(
+        "transaction_id", "account_id", "customer_id", "product_id", "transaction_date", "posting_date",
+        "transaction_type", "amount", "fee_waived", "transaction_branch_id", "transaction_branch_name",
+        "transaction_region", "home_branch_id", "home_branch_name", "home_region",
     )
 
 

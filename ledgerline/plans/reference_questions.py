@@ -286,7 +286,7 @@ def ledger(tables: Tables) -> DataFrame:
             F.sum("amount").alias("amount"),
             F.sum(F.abs("amount")).alias("volume"),
             F.count(F.lit(1)).alias("transactions"),
-            F.count_distinct(F.when(F.col("is_reversed"), F.col("transaction_id"))).alias("reversed_ids"),
+            F.count(F.when(F.col("is_reversed"), 1)).alias("reversed_rows"),
         )
     )
     account = tables.ref("dim_account").select("account_id", "product_id", "home_branch_id", "is_internal")
@@ -330,10 +330,7 @@ def answers(tables: Tables, questions: Sequence[Question], as_of: Sequence[date]
         asked = [q for q in questions if q.answerable and q.source == source]
         if not asked:
             continue
-        row = load().agg(*[F.expr(q.answer).cast("double").alias(q.id) for q in asked])
-        pairs = F.array(
-            *[F.struct(F.lit(q.id).alias("question_id"), F.col(f"`{q.id}`").alias("value")) for q in asked]
-        )
-        part = row.select(F.inline(pairs)).select("question_id", F.round("value", 2).alias("expected_result"))
-        result = part if result is None else result.unionByName(part)
+        row = load().selectExpr(*[f"round(CAST({q.answer} AS double), 2) AS `{q.id}`" for q in asked])
+        part = row.unpivot([], [f"`{q.id}`" for q in asked], "question_id", "expected_result")
+        result = part if result is None else result.union(part)
     return result

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.numbers import ratio
+from ledgerline.functions.numbers import RATIO
 from ledgerline.operators.aggregate import Spec
 from ledgerline.plans.metrics import MODELS, ModelFrame, Where
 from ledgerline.sources.tables import Tables
@@ -30,7 +30,7 @@ class Term:
 class ReportMeasure:
     model: str
     terms: tuple[Term, ...]
-    how: str = "single"  # single | difference | ratio | margin
+    combine: str = "{0}"  # SQL over the terms
 
 
 ACTIVE_BOOK = {"write_off_flag": "write_off_flag = false"}
@@ -47,44 +47,33 @@ MEASURES: dict[str, ReportMeasure] = {
     "Customer Inactivity Rate": ReportMeasure(
         "customers",
         (Term("count_distinct", "customer_id", {"is_active": "is_active = false"}), Term("count_distinct", "customer_id")),
-        "ratio",
+        RATIO,
     ),
     "Average Daily Balance": ReportMeasure("account_balances", (Term("avg", "avg_daily_balance"),)),
     "Net Interest Income": ReportMeasure(
-        "interest", (Term("sum", "interest_income"), Term("sum", "interest_expense")), "difference"
+        "interest", (Term("sum", "interest_income"), Term("sum", "interest_expense")), "{0} - {1}"
     ),
     "Net Interest Margin": ReportMeasure(
         "interest",
         (Term("sum", "interest_income"), Term("sum", "interest_expense"), Term("sum", "outstanding_loan_balance")),
-        "margin",
+        RATIO.format("({0} - {1})", "{2}"),
     ),
     "Delinquency Rate 30D": ReportMeasure(
         "loans",
         (Term("count", "1", {"days_past_due": "days_past_due >= 30", **ACTIVE_BOOK}), Term("count", "1", ACTIVE_BOOK)),
-        "ratio",
+        RATIO,
     ),
     "Delinquency Rate 90D": ReportMeasure(
         "loans",
         (Term("count", "1", {"days_past_due": "days_past_due >= 90", **ACTIVE_BOOK}), Term("count", "1", ACTIVE_BOOK)),
-        "ratio",
+        RATIO,
     ),
     "Charge-off Rate": ReportMeasure(
-        "loans", (Term("count", "1", {"write_off_flag": "write_off_flag = true"}), Term("count", "1")), "ratio"
+        "loans", (Term("count", "1", {"write_off_flag": "write_off_flag = true"}), Term("count", "1")), RATIO
     ),
 }
 
 
-def _combine(how: str, columns: Sequence[str]):
-    values = [F.col(c) for c in columns]
-    if how == "ratio":
-        return ratio(values[0], values[1])
-    if how == "difference":
-        return values[0] - values[1]
-    if how == "margin":
-        return ratio(values[0] - values[1], values[2])
-    return values[0]
-
-
 def evaluate(
     tables: Tables,
     measures: Sequence[str],
@@ -109,12 +98,12 @@ def evaluate(
         for i, term in enumerate(MEASURES[m].terms):
             alias = f"{m}:{i}"
             names[m].append(alias)
-            value = F.expr(term.expression)
-            for condition in term.replaces.values():
-                value = F.when(F.expr(condition), value)
+            value = term.expression
+            if term.replaces:
+                value = f"CASE WHEN {' AND '.join(term.replaces.values())} THEN {value} END"
             seen = tuple(d for d in by if d not in term.replaces), tuple(d for d in where if d not in term.replaces)
             passes.setdefault(seen, []).append(Spec(alias, term.agg, value))
-    shown = Spec("_shown", "count", F.lit(1))
+    shown = Spec("_shown", "count", "1")
     result = None
     for (groups, filters), specs in passes.items():
         frame = ModelFrame(tables, model, groups, {d: where[d] for d in filters}, date_role)
@@ -122,9 +111,9 @@ def evaluate(
             result = frame.aggregate([shown, *specs])
             continue
         result = _beside(result, frame.aggregate(specs), groups)
-    columns = [_combine(MEASURES[m].how, [f"`{c}`" for c in names[m]]).alias(m) for m in measures]
+    columns = [MEASURES[m].combine.format(*[f"`{c}`" for c in names[m]]) + f" AS `{m}`" for m in measures]
     visible = result.where("_shown > 0") if by else result
-    return visible.select(*by, *columns)
+    return visible.selectExpr(*by, *columns)
 
 
 def _beside(result: DataFrame, other: DataFrame, groups: Sequence[str]) -> DataFrame:
