@@ -146,5 +146,5 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str) -
     keys = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    known = parent.select(F.col(parent_key).alias("_key"))
-    return keys.join(known, "_key", "left_anti")
+    known = parent.select(F.col(parent_key).alias("_key"), F.lit(True).alias("_known"))
+    return keys.join(known, "_key", "left").where("_known IS NULL").drop("_known")

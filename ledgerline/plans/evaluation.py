@@ -23,6 +23,15 @@ CATEGORY_OF_TAG = {
     "customer_vs_branch_location": "wrong_join",
 }
 OTHER_CATEGORY = "correct_looking_wrong_number"
+OUTCOMES = [
+    "appropriate_refusal",
+    "answered_unanswerable",
+    "inappropriate_refusal",
+    "invalid_sql",
+    "wrong_grain",
+    "correct",
+    *sorted({*CATEGORY_OF_TAG.values(), OTHER_CATEGORY}),
+]
 
 
 # within a cent or one percent, whichever is wider
@@ -82,8 +91,11 @@ def accuracy_by_tag(classified: DataFrame, configs: Sequence[str]) -> DataFrame:
 
 
 def run_variance(classified: DataFrame) -> DataFrame:
-    """Percent of questions whose runs do not all end in the same category."""
-    category = F.col("failure_category")
+    """Percent of questions whose runs do not all end in the same category.
+
+    Categories are compared by their place in the list: numbers keep this a hash aggregate.
+    """
+    category = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("failure_category"))
     per_question = classified.groupBy("config", "question_set", "question_id").agg(
         (F.min(category) != F.max(category)).cast("double").alias("differs")
     )

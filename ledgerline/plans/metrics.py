@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.calendar import GRAINS, period_start, period_start_sql
+from ledgerline.functions.calendar import GRAINS, Period, period_start_sql, within
 from ledgerline.functions.numbers import RATIO
 from ledgerline.operators.aggregate import Spec, aggregate, aggregate_through, stack_groups
 from ledgerline.operators.joins import FanOut
@@ -199,10 +199,18 @@ def _spec(name: str) -> Spec:
 class ModelFrame:
     """A mart with the requested dimensions resolved: its own, the customer's and the calendar's."""
 
-    def __init__(self, tables: Tables, model: SemanticModel, by: Sequence[str], where: Where, time: str | None):
+    def __init__(
+        self,
+        tables: Tables,
+        model: SemanticModel,
+        by: Sequence[str],
+        where: Where,
+        time: str | None,
+        span: Period | None = None,
+    ):
         self.tables, self.model = tables, model
-        self.frame = tables.ref(model.mart)
         self.time = time or model.time
+        self.frame = within(tables.ref(model.mart), span, self.time)
         if self.time not in (model.time, *model.other_times):
             raise ValueError(f"{model.mart} has no time {self.time!r}")
         wanted = list(dict.fromkeys([*by, *where]))
@@ -263,6 +271,7 @@ def query(
     grain: str | None = None,
     where: Where | None = None,
     time: str | None = None,
+    span: Period | None = None,
     spine: bool = False,
     fill: int | None = None,
 ) -> DataFrame:
@@ -270,7 +279,7 @@ def query(
 
     ``by`` and ``where`` name the mart's own dimensions, ``customer__*`` attributes reached through
     the customer key, or ``date__*`` attributes of the calendar. ``time`` picks another date role such
-    as ``posting_date``. With ``spine`` every period of the calendar appears, filled with ``fill``.
+    as ``posting_date``; ``span`` keeps one period of it, as a range the files are pruned by. With ``spine`` every period of the calendar appears, filled with ``fill``.
     """
     leaves = list(dict.fromkeys(leaf for m in metrics for leaf in simple_parts(m)))
     groups = [*by, *([PERIOD] if grain else [])]
@@ -278,13 +287,14 @@ def query(
     for name, model in MODELS.items():
         own = [leaf for leaf in leaves if METRICS[leaf].model == name]
         if own:
-            frame = ModelFrame(tables, model, by, where or {}, time)
+            frame = ModelFrame(tables, model, by, where or {}, time, span)
             frames.append(frame.aggregate([_spec(leaf) for leaf in own], grain))
     result = stack_groups(frames, groups, leaves)
     if spine:
         if not grain:
             raise ValueError("a spine needs a grain")
-        periods = tables.ref("dim_dates").select(period_start(grain, F.col("date_key")).alias(PERIOD)).distinct()
+        days = within(tables.ref("dim_dates"), span, "date_key")
+        periods = days.selectExpr(f"{period_start_sql(grain, 'date_key')} AS {PERIOD}").distinct()
         result = periods.join(result, PERIOD, "left")
     result = result.selectExpr(*groups, *[f"{_value(m)} AS `{m}`" for m in metrics])
     return result if fill is None else result.fillna(fill, subset=list(metrics))

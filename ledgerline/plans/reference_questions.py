@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.calendar import Period, month_start, period_start
+from ledgerline.functions.calendar import Period, month_start, period_start_sql, within
 from ledgerline.functions.numbers import percent
 from ledgerline.operators.joins import status_code, status_value, sums_through_key, without
 from ledgerline.plans.models import customer_accounts, netted_transactions, reversed_ids
@@ -24,16 +24,16 @@ PERIOD = "period"
 
 
 def _grouping(grain: str | None, day: str) -> list[Column]:
-    return [period_start(grain, F.col(day)).alias(PERIOD)] if grain else []
+    return [F.expr(period_start_sql(grain, day)).alias(PERIOD)] if grain else []
 
 
-def _within(df: DataFrame, period: Period | None, day: str) -> DataFrame:
-    return df if period is None else df.where(period.contains(F.col(day)))
+def _closed(first: date | None, last: date | None) -> Period | None:
+    return Period(first, last + timedelta(days=1)) if first and last else None
 
 
 def _fees(tables: Tables, net: bool, period: Period | None) -> DataFrame:
     fees = tables.ref("fact_transaction").where((F.col("transaction_type") == "fee") & ~F.col("is_reversal"))
-    return _within(fees.where(~F.col("fee_waived")) if net else fees, period, "transaction_date")
+    return within(fees.where(~F.col("fee_waived")) if net else fees, period, "transaction_date")
 
 
 def fee_revenue(tables: Tables, net: bool = True, grain: str | None = None, period: Period | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def transaction_count(
     internal: bool = False,
 ) -> DataFrame:
     """Every booked row counts, reversals too; ``day`` chooses the customer's or the ledger's date."""
-    rows = _within(tables.ref("fact_transaction"), period, day)
+    rows = within(tables.ref("fact_transaction"), period, day)
     by, n = _grouping(grain, day), F.count(F.lit(1)).alias("transactions")
     if internal:
         return rows.groupBy(*by).agg(n)
@@ -74,20 +74,20 @@ def transaction_count(
 
 
 def naive_volume(tables: Tables, grain: str | None = None, period: Period | None = None) -> DataFrame:
-    rows = _within(tables.ref("fact_transaction"), period, "transaction_date")
+    rows = within(tables.ref("fact_transaction"), period, "transaction_date")
     return rows.groupBy(*_grouping(grain, "transaction_date")).agg(F.sum(F.abs("amount")).alias("volume"))
 
 
 def netted_volume(tables: Tables, grain: str | None = None, period: Period | None = None) -> DataFrame:
     """Net of reversed pairs, internal accounts included."""
-    rows = _within(netted_transactions(tables), period, "transaction_date")
+    rows = within(netted_transactions(tables), period, "transaction_date")
     return rows.groupBy(*_grouping(grain, "transaction_date")).agg(F.sum(F.abs("amount")).alias("volume"))
 
 
 def governed_volume(
     tables: Tables, day: str = "transaction_date", grain: str | None = None, period: Period | None = None
 ) -> DataFrame:
-    rows = _within(netted_transactions(tables), period, day)
+    rows = within(netted_transactions(tables), period, day)
     volume = [F.sum(F.abs("amount")).alias("volume")]
     accounts = customer_accounts(tables).select("account_id")
     return sums_through_key(rows, accounts, "account_id", _grouping(grain, day), volume, [PERIOD] if grain else [])
@@ -96,7 +96,7 @@ def governed_volume(
 def governed_volume_by_home_branch(
     tables: Tables, grain: str | None = None, period: Period | None = None, branch: str | None = None
 ) -> DataFrame:
-    rows = _within(netted_transactions(tables), period, "transaction_date")
+    rows = within(netted_transactions(tables), period, "transaction_date")
     home = tables.ref("dim_branch").select(
         F.col("branch_id").alias("home_branch_id"), F.col("branch_name").alias("home_branch_name")
     )
@@ -114,7 +114,7 @@ def count_at_transaction_branch(
     tables: Tables, grain: str | None = None, period: Period | None = None, branch: str | None = None
 ) -> DataFrame:
     """Transactions by the branch they happened at, whatever the customer's home branch."""
-    rows = _within(tables.ref("fact_transaction"), period, "transaction_date")
+    rows = within(tables.ref("fact_transaction"), period, "transaction_date")
     here = tables.ref("dim_branch").select("branch_id", F.col("branch_name").alias("transaction_branch_name"))
     if branch:
         here = here.where(F.col("transaction_branch_name") == branch)
@@ -139,7 +139,7 @@ def reversed_originals(tables: Tables, grain: str | None = None, period: Period
         .select(F.col("reversal_of_transaction_id").alias("transaction_id"))
         .distinct()
     )
-    originals = _within(tables.ref("fact_transaction"), period, "transaction_date")
+    originals = within(tables.ref("fact_transaction"), period, "transaction_date")
     return (
         originals.select("transaction_id", "transaction_date")
         .join(reversals, "transaction_id", "left_semi")
@@ -166,18 +166,14 @@ def customers_with_open_account(tables: Tables, by: Sequence[str] = ("region",))
 
 def average_daily_balance(tables: Tables, grain: str | None = None, first: date | None = None, last: date | None = None) -> DataFrame:
     """Mean over every daily row of a closed date range."""
-    rows = tables.ref("fact_daily_balance")
-    if first and last:
-        rows = rows.where(F.col("balance_date").between(F.lit(first), F.lit(last)))
+    rows = within(tables.ref("fact_daily_balance"), _closed(first, last), "balance_date")
     return rows.groupBy(*_grouping(grain, "balance_date")).agg(
         F.avg(F.col("balance_amount").cast("double")).alias("average_daily_balance")
     )
 
 
 def total_balance(tables: Tables, on: date | None = None) -> DataFrame:
-    rows = tables.ref("fact_daily_balance")
-    if on:
-        rows = rows.where(F.col("balance_date") == F.lit(on))
+    rows = within(tables.ref("fact_daily_balance"), _closed(on, on), "balance_date")
     return rows.groupBy("balance_date").agg(F.sum("balance_amount").alias("total_balance"))
 
 
@@ -235,8 +231,7 @@ def average_balance_of_active(
     Balances, by far the largest table, are reduced to one row per account before any join.
     """
     per_account = (
-        tables.ref("fact_daily_balance")
-        .where(F.col("balance_date").between(F.lit(first), F.lit(last)))
+        within(tables.ref("fact_daily_balance"), _closed(first, last), "balance_date")
         .groupBy("account_id")
         .agg(F.sum("balance_amount").alias("total"), F.count("balance_amount").alias("days"))
     )

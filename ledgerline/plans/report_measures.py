@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.calendar import Period
 from ledgerline.functions.numbers import RATIO
 from ledgerline.operators.aggregate import Spec
 from ledgerline.plans.metrics import MODELS, ModelFrame, Where
@@ -80,6 +81,7 @@ def evaluate(
     by: Sequence[str] = (),
     where: Where | None = None,
     date_role: str | None = None,
+    span: Period | None = None,
 ) -> DataFrame:
     """Measures of one table for every group the filters leave visible.
 
@@ -106,7 +108,7 @@ def evaluate(
     shown = Spec("_shown", "count", "1")
     result = None
     for (groups, filters), specs in passes.items():
-        frame = ModelFrame(tables, model, groups, {d: where[d] for d in filters}, date_role)
+        frame = ModelFrame(tables, model, groups, {d: where[d] for d in filters}, date_role, span)
         if result is None:
             result = frame.aggregate([shown, *specs])
             continue
@@ -119,9 +121,7 @@ def evaluate(
 def _beside(result: DataFrame, other: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Attach a coarser aggregate to finer groups; groups may hold NULL, so keys compare null-safe."""
     if not groups:
-        return (
-            result.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-        )
+        return result.withColumns({c: other.select(f"`{c}`").scalar() for c in other.columns})
     right = other.select(*[F.col(g).alias(f"_r_{g}") for g in groups], *[c for c in _quoted(other) if c.strip("`") not in groups])
     same = None
     for g in groups:

@@ -14,6 +14,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from ledgerline.functions.calendar import partition_of
+
 MONEY = DecimalType(12, 2)
 
 _LONG, _INT, _TEXT, _FLAG, _DAY = LongType(), IntegerType(), StringType(), BooleanType(), DateType()
@@ -54,6 +56,18 @@ RAW: dict[str, StructType] = {
     ),
 }
 
+# Date column whose month splits a stored table into folders; other tables are stored whole.
+STORED_BY = {
+    "fact_transaction": "transaction_date",
+    "fact_daily_balance": "balance_date",
+    "fact_loan_payment": "payment_date",
+    "fact_interest_monthly": "month_start",
+    "fct_transactions": "transaction_date",
+    "fct_account_balances_monthly": "month_start",
+    "fct_loans_monthly": "month_start",
+    "fct_interest_monthly": "month_start",
+}
+
 PRIMARY_KEYS = {
     "dim_date": "date_key",
     "dim_branch": "branch_id",
@@ -72,3 +86,11 @@ PRODUCTS = [
     (5, "Credit Card", "credit"),
     (6, "Internal GL", "internal"),
 ]
+
+
+def stored_schema(name: str, schema: StructType) -> StructType:
+    """The schema a stored table is read with: its own columns and the month folder, if it has one."""
+    day = STORED_BY.get(name)
+    if day is None or day == "month_start":
+        return schema
+    return StructType([*schema.fields, StructField(partition_of(day), _DAY, True)])

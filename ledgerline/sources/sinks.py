@@ -8,22 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from ledgerline.functions.calendar import month_start
-from ledgerline.sources.schemas import RAW
-from ledgerline.sources.tables import Tables, from_parquet
-
-# Column whose month splits a stored table into partitions; other tables are stored whole.
-MONTH_OF = {
-    "fact_transaction": "transaction_date",
-    "fact_daily_balance": "balance_date",
-    "fact_loan_payment": "payment_date",
-    "fact_interest_monthly": "month_start",
-    "fct_transactions": "transaction_date",
-    "fct_account_balances_monthly": "month_start",
-    "fct_loans_monthly": "month_start",
-    "fct_interest_monthly": "month_start",
-}
-PARTITION = "partition_month"
+from ledgerline.functions.calendar import month_start, partition_of
+from ledgerline.sources.schemas import RAW, STORED_BY
+from ledgerline.sources.tables import Loader, Tables, from_parquet, read_stored
 
 RESULT_LOG = StructType(
     [
@@ -57,11 +44,14 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") ->
     ``rebalance`` lets adaptive execution cut a month that holds most of the rows into several
     files and merge months that hold few, instead of one task per month.
     """
-    if name in MONTH_OF:
-        df = df.withColumn(PARTITION, month_start(F.col(MONTH_OF[name]))).hint("rebalance", PARTITION)
-        df.write.mode(mode).partitionBy(PARTITION).parquet(f"{path}/{name}")
-    else:
-        df.write.mode(mode).parquet(f"{path}/{name}")
+    writer = df.write
+    if name in STORED_BY:
+        day = STORED_BY[name]
+        folder = day if day == "month_start" else partition_of(day)
+        if folder != day:
+            df = df.withColumn(folder, month_start(F.col(day)))
+        writer = df.hint("rebalance", folder).write.partitionBy(folder)
+    writer.mode(mode).parquet(f"{path}/{name}")
 
 
 def create_raw(tables: Tables, path: str, names: Iterable[str] = tuple(RAW)) -> Tables:
@@ -77,20 +67,15 @@ def append_rows(df: DataFrame, path: str, name: str) -> None:
 
 def materialise(tables: Tables, names: Iterable[str], path: str) -> Tables:
     """Write the named models once and let everything downstream read the files."""
-    stored = {}
     for name in names:
         df = tables.ref(name)
         write_table(df, path, name)
-        stored[name] = _reader(tables.spark, f"{path}/{name}", df.schema)
-        tables = tables.extend({name: stored[name]})
+        tables = tables.extend({name: _stored(path, name, df.schema)})
     return tables
 
 
-def _reader(spark: SparkSession, path: str, schema: StructType):
-    def load(tables: Tables) -> DataFrame:
-        return spark.read.schema(schema).parquet(path).select(*schema.names)
-
-    return load
+def _stored(path: str, name: str, schema: StructType) -> Loader:
+    return lambda tables: read_stored(tables.spark, path, name, schema)
 
 
 def save_as_tables(tables: Tables, names: Iterable[str], database: str) -> None:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from ledgerline.sources.schemas import RAW
+from ledgerline.sources.schemas import RAW, stored_schema
 
 Loader = Callable[["Tables"], DataFrame]
 
@@ -54,11 +55,17 @@ def _frame(df: DataFrame) -> Loader:
     return lambda tables: df
 
 
+def read_stored(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
+    """A stored table with its columns in their declared order."""
+    full = stored_schema(name, schema)
+    return spark.read.schema(full).parquet(f"{root}/{name}").select(*full.names)
+
+
 def from_parquet(spark: SparkSession, root: str) -> Tables:
     """Raw tables stored one folder each, read with their declared schemas."""
 
     def loader(name: str) -> Loader:
-        return lambda tables: spark.read.schema(RAW[name]).parquet(f"{root}/{name}")
+        return lambda tables: read_stored(spark, root, name, RAW[name])
 
     return Tables(spark, {name: loader(name) for name in RAW})
 
