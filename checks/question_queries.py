@@ -334,7 +334,8 @@ def _ledger(id_: str, tag: str, aggregate: str, condition: str, period: Period,
     month = f"{day}_month >= date'{period.start}' AND {day}_month < date'{period.end}'"
     function, column = aggregate.split()
     sign = "-" if column == "amount" else ""
-    return q.Question(id_, tag, "ledger", f"{sign}{function}(CASE WHEN {condition} AND {month} THEN {column} END)")
+    text = f"Total {column.replace('_', ' ')} by {day} date from {period.start} until {period.end}?"
+    return q.Question(id_, tag, "ledger", f"{sign}{function}(CASE WHEN {condition} AND {month} THEN {column} END)", text)
 
 
 _FEE = "transaction_type = 'fee' AND NOT is_reversal"
@@ -501,3 +502,24 @@ register(
     lambda t: q.answers(t, QUESTIONS, AS_OF_DATES[:2]),
     " UNION ALL ".join(_golden_sql().values()),
 )
+
+
+def records(t: Tables) -> DataFrame:
+    return q.question_records(t, QUESTIONS, AS_OF_DATES[:2]).select("id", "answerable", "ambiguity_tag", "business_definition", "expected_result")
+
+
+def _record_sql() -> str:
+    golden = _golden_sql()
+    parts = []
+    for question in QUESTIONS:
+        tag = f"'{question.tag}'" if question.tag else "NULL"
+        reading = "'" + q.READING[question.tag].replace("'", "''") + "'" if question.tag else "NULL"
+        source = f"({golden[question.id]})" if question.answerable else "(SELECT CAST(NULL AS DOUBLE) AS expected_result)"
+        parts.append(
+            f"SELECT '{question.id}' AS id, {str(question.answerable).upper()} AS answerable, {tag} AS ambiguity_tag, "
+            f"{reading} AS business_definition, expected_result FROM {source}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+register("question_records_with_answers", records, _record_sql())

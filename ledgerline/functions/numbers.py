@@ -14,9 +14,9 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part.cast("double") * F.lit(100.0), whole.cast("double")), digits)
 
 
-def rounded(value: Column, digits: int = 2) -> Column:
-    """Half away from zero, the SQL rounding. ``F.bround`` gives half-even where that is wanted."""
-    return F.round(value, digits)
+def rounded(value: Column, digits: int = 2, half_even: bool = False) -> Column:
+    """Half away from zero, the SQL rounding, or half to even."""
+    return F.bround(value, digits) if half_even else F.round(value, digits)
 
 
 def clamp(value: Column, low: Column | None = None, high: Column | None = None) -> Column:

@@ -329,3 +329,26 @@ def answers(tables: Tables, questions: Sequence[Question], as_of: Sequence[date]
         part = row.unpivot([], [f"`{q.id}`" for q in asked], "question_id", "expected_result")
         result = part if result is None else result.union(part)
     return result
+
+
+# the reading each ambiguity is settled by unless a question asks for the other one
+READING = {
+    "gross_vs_net_revenue": "Net revenue leaves waived fees out; gross keeps them.",
+    "posting_vs_transaction_date": "Customer activity goes by transaction date, the ledger by posting date.",
+    "open_vs_active_account": "Active means a transaction in the trailing window; open means an open account.",
+    "month_end_vs_avg_daily_balance": "An average is over every day; a month end is one day's snapshot.",
+    "written_off_loans": "Delinquency is measured on the active book; write-offs have their own count.",
+    "reversed_transactions": "Volume leaves both halves of a reversed pair out.",
+    "internal_accounts": "Customer figures leave the bank's own accounts out.",
+    "customer_vs_branch_location": "Branch performance goes by home branch, foot traffic by the transaction's branch.",
+}
+
+
+def question_records(tables: Tables, questions: Sequence[Question], as_of: Sequence[date]) -> DataFrame:
+    """The question set with each answerable question's expected result, computed from the tables."""
+    schema = "id string, question string, answerable boolean, ambiguity_tag string, sql string, business_definition string"
+    rows = [(q.id, q.text or None, q.answerable, q.tag or None, q.answer or None, READING.get(q.tag)) for q in questions]
+    expected = answers(tables, questions, as_of).withColumnRenamed("question_id", "id")
+    return tables.spark.createDataFrame(rows, schema).join(expected, "id", "left").select(
+        "id", "question", "answerable", "ambiguity_tag", "sql", "expected_result", "business_definition"
+    )

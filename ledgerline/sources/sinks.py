@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,22 @@ RESULT_LOG = StructType(
 )
 
 
+QUESTIONS = StructType(
+    [
+        StructField(name, kind, True)
+        for name, kind in (
+            ("id", StringType()),
+            ("question", StringType()),
+            ("answerable", BooleanType()),
+            ("ambiguity_tag", StringType()),
+            ("sql", StringType()),
+            ("expected_result", DoubleType()),
+            ("business_definition", StringType()),
+        )
+    ]
+)
+
+
 def typed(df: DataFrame, schema: StructType) -> DataFrame:
     """The declared columns in the declared order and types; a missing column fails here."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -78,10 +94,29 @@ def _stored(path: str, name: str, schema: StructType) -> Loader:
     return lambda tables: read_stored(tables.spark, path, name, schema)
 
 
-def save_as_tables(tables: Tables, names: Iterable[str], database: str) -> None:
-    """Register models in the session catalog, where ``from_catalog`` finds them by name."""
+def save_as_tables(
+    tables: Tables, names: Iterable[str], database: str, buckets: Mapping[str, tuple[str, int]] | None = None
+) -> None:
+    """Register tables in the session catalog, where ``from_catalog`` finds them by name.
+
+    ``buckets`` stores a table hashed by a key, e.g. the ledger by transaction id: the join that nets
+    reversals, the widest shuffle there is, then leaves the ledger where it lies.
+    """
     for name in names:
-        tables.ref(name).write.mode("overwrite").saveAsTable(f"{database}.{name}")
+        writer = tables.ref(name).write.mode("overwrite")
+        if buckets and name in buckets:
+            key, pieces = buckets[name]
+            writer = tables.ref(name).repartition(pieces, key).write.mode("overwrite").bucketBy(pieces, key).sortBy(key)
+        writer.saveAsTable(f"{database}.{name}")
+
+
+def write_questions(questions: DataFrame, path: str) -> None:
+    """Question records, one JSON object a line."""
+    typed(questions, QUESTIONS).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(QUESTIONS).json(path)
 
 
 def write_result_log(df: DataFrame, path: str) -> None:

@@ -93,7 +93,7 @@ def test_activity_window_is_inclusive_and_counts_any_row(spark):
 def test_rounding_and_clamping(spark):
     one = spark.range(1)
     row = one.select(
-        rounded(F.lit(2.675).cast("decimal(6,3)")), F.bround(F.lit(2.5)), clamp(F.lit(9), F.lit(0), F.lit(3)),
+        rounded(F.lit(2.675).cast("decimal(6,3)")), rounded(F.lit(2.5), 0, half_even=True), clamp(F.lit(9), F.lit(0), F.lit(3)),
         clamp(F.lit(-1), low=F.lit(0)), percent(F.lit(1), F.lit(3)), percent(F.lit(1), F.lit(0)),
         months_between_starts(F.lit(date(2023, 11, 30)), F.lit(date(2024, 2, 1))),
     ).first()

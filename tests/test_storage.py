@@ -94,6 +94,33 @@ def test_catalog_tables(spark, tables):
         found.ref("fct_transactions")
 
 
+def test_bucketed_ledger_is_netted_without_moving_it(spark, tables, no_broadcast):
+    from ledgerline.plans.models import netted_transactions
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS lake")
+    sinks.save_as_tables(tables, ["fact_transaction"], "lake", {"fact_transaction": ("transaction_id", 8)})
+    found = from_catalog(spark, "lake", ["fact_transaction"])
+    netted = netted_transactions(found)
+    plan = netted._jdf.queryExecution().executedPlan().toString()
+    anti = plan[plan.index("LeftAnti"):]
+    assert "Bucketed: true" in anti and anti.index("FileScan") < anti.index("Exchange")
+    assert content(netted.select("transaction_id", "amount")) == content(netted_transactions(tables).select("transaction_id", "amount"))
+
+
+def test_question_records_survive_json(spark, tables):
+    from checks.question_queries import AS_OF_DATES, QUESTIONS
+    from ledgerline.plans.reference_questions import question_records
+
+    records = question_records(tables, QUESTIONS, AS_OF_DATES[:2])
+    path = fresh_path(spark, "test-questions")
+    sinks.write_questions(records, path)
+    back = sinks.read_questions(spark, path)
+    assert content(back) == content(records)
+    assert back.count() == 56 and back.where("answerable").count() == 44
+    assert back.where("answerable AND expected_result IS NULL").count() == 0
+    assert back.where("NOT answerable AND expected_result IS NOT NULL").count() == 0
+
+
 def test_result_log_survives_csv(spark):
     rows = [("c", "dev_in", 1, "q", True, "t", 'SELECT "a",\n 1', False, "", 1.5, None, "correct"), ("c", "dev_in", 2, "r", False, None, None, True, None, None, 2.0, "wrong, grain")]
     path = fresh_path(spark, "test-log")
