@@ -83,7 +83,7 @@ register(
     first_examples,
     """SELECT ambiguity_tag, question_order, question_id, expected FROM (
          SELECT *, row_number() OVER (PARTITION BY ambiguity_tag ORDER BY question_order, question_id) AS rn
-         FROM answer_log WHERE config = '1_raw' AND run = 1 AND ambiguity_tag IS NOT NULL) WHERE rn = 1""",
+         FROM answer_log WHERE config = 'a_raw' AND run = 1 AND ambiguity_tag IS NOT NULL) WHERE rn = 1""",
     extra=ANSWER_LOG,
 )
 
@@ -98,7 +98,7 @@ def question_sets(t: Tables) -> DataFrame:
 register(
     "evaluation_question_sets",
     question_sets,
-    "SELECT question_set, question_id, answerable FROM answer_log WHERE config = '1_raw' AND run = 1",
+    "SELECT question_set, question_id, answerable FROM answer_log WHERE config = 'a_raw' AND run = 1",
     extra=ANSWER_LOG,
 )
 

@@ -214,9 +214,7 @@ register(
 register(
     "netted_ledger",
     lambda t: netted_transactions(t).select("transaction_id", "account_id", "transaction_date", "amount"),
-    """SELECT transaction_id, account_id, transaction_date, amount FROM fact_transaction
-       WHERE is_reversal = FALSE AND transaction_id NOT IN
-             (SELECT reversal_of_transaction_id FROM fact_transaction WHERE reversal_of_transaction_id IS NOT NULL)""",
+    "SELECT transaction_id, account_id, transaction_date, amount FROM netted_ledger",
     real="amount",
     dates="transaction_date",
 )

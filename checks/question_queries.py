@@ -14,11 +14,8 @@ from ledgerline.operators.joins import lookup
 from ledgerline.plans import metrics as m
 from ledgerline.plans import reference_questions as q
 
-NOT_REVERSED = """t.transaction_id NOT IN (SELECT reversal_of_transaction_id FROM fact_transaction
-                                           WHERE reversal_of_transaction_id IS NOT NULL)"""
-JOIN_ACCOUNT = "JOIN dim_account a ON t.account_id = a.account_id"
-GOVERNED = f"a.is_internal = FALSE AND t.is_reversal = FALSE AND {NOT_REVERSED}"
-FEE = "t.transaction_type = 'fee' AND t.is_reversal = FALSE"
+FEE = "t.transaction_type = 'fee' AND NOT t.is_reversal"
+NET_FEE = f"{FEE} AND NOT t.fee_waived"
 
 
 def start_of(grain: str, day: str = "t.transaction_date") -> str:
@@ -29,63 +26,61 @@ def start_of(grain: str, day: str = "t.transaction_date") -> str:
 
 for _net in (True, False):
     _label = "net" if _net else "gross"
-    _waived = "AND t.fee_waived = FALSE" if _net else ""
     for _grain in ("quarter", "year"):
         register(
             f"question_{_label}_fee_revenue_by_{_grain}",
             lambda t, net=_net, grain=_grain: q.fee_revenue(t, net, grain),
-            f"SELECT {start_of(_grain)}, -sum(t.amount) AS fee_revenue FROM fact_transaction t WHERE {FEE} {_waived} GROUP BY 1",
+            f"SELECT {start_of(_grain)}, -sum(t.amount) AS fee_revenue FROM fact_transaction t WHERE {NET_FEE if _net else FEE} GROUP BY 1",
             real="fee_revenue",
             dates="period",
         )
 register(
     "question_net_fee_revenue_in_quarter",
     lambda t: q.fee_revenue(t, True, period=Period.quarter(2001, 1)),
-    f"""SELECT -sum(t.amount) AS fee_revenue FROM fact_transaction t WHERE {FEE} AND t.fee_waived = FALSE
-        AND date_part('year', t.transaction_date) = 2001 AND date_part('quarter', t.transaction_date) = 1""",
+    f"""SELECT -sum(t.amount) AS fee_revenue FROM fact_transaction t WHERE {NET_FEE}
+        AND (year(t.transaction_date), quarter(t.transaction_date)) = (2001, 1)""",
     real="fee_revenue",
 )
 register(
     "question_net_fee_revenue_by_product_and_year",
     lambda t: q.net_fee_revenue_by_product(t, grain="year"),
-    f"""SELECT p.product_name, {start_of('year')}, -sum(t.amount) AS fee_revenue FROM fact_transaction t {JOIN_ACCOUNT}
-        JOIN dim_product p ON a.product_id = p.product_id WHERE {FEE} AND t.fee_waived = FALSE GROUP BY 1, 2""",
+    f"""SELECT p.product_name, {start_of('year')}, -sum(t.amount) AS fee_revenue FROM fact_transaction t JOIN owner USING (account_id)
+        JOIN dim_product p USING (product_id) WHERE {NET_FEE} GROUP BY 1, 2""",
     real="fee_revenue",
     dates="period",
 )
 register(
     "question_net_fee_revenue_of_products",
     lambda t: q.net_fee_revenue_by_product(t, ["Chequing", "Savings"], period=Period.year(1999)),
-    f"""SELECT p.product_name, -sum(t.amount) AS fee_revenue FROM fact_transaction t {JOIN_ACCOUNT}
-        JOIN dim_product p ON a.product_id = p.product_id WHERE {FEE} AND t.fee_waived = FALSE
-        AND p.product_name IN ('Chequing', 'Savings') AND date_part('year', t.transaction_date) = 1999 GROUP BY 1""",
+    f"""SELECT p.product_name, -sum(t.amount) AS fee_revenue FROM fact_transaction t JOIN owner USING (account_id)
+        JOIN dim_product p USING (product_id) WHERE {NET_FEE} AND p.product_id IN (1, 2) AND year(t.transaction_date) = 1999 GROUP BY 1""",
     real="fee_revenue",
 )
 for _day in ("posting_date", "transaction_date"):
     register(
         f"question_transaction_count_by_{_day}_quarter",
         lambda t, day=_day: q.transaction_count(t, day, "quarter"),
-        f"SELECT {start_of('quarter', 't.' + _day)}, count(*) AS transactions FROM fact_transaction t {JOIN_ACCOUNT} WHERE a.is_internal = FALSE GROUP BY 1",
+        f"SELECT {start_of('quarter', 't.' + _day)}, count(*) AS transactions FROM customer_ledger t GROUP BY 1",
         dates="period",
     )
     register(
         f"question_governed_volume_by_{_day}_quarter",
         lambda t, day=_day: q.governed_volume(t, day, "quarter"),
-        f"SELECT {start_of('quarter', 't.' + _day)}, sum(abs(t.amount)) AS volume FROM fact_transaction t {JOIN_ACCOUNT} WHERE {GOVERNED} GROUP BY 1",
+        f"SELECT {start_of('quarter', 't.' + _day)}, sum(abs(t.amount)) AS volume FROM governed_ledger t GROUP BY 1",
         real="volume",
         dates="period",
     )
 register(
     "question_customer_volume_by_year",
     lambda t: q.governed_volume(t, grain="year"),
-    f"SELECT {start_of('year')}, sum(abs(t.amount)) AS volume FROM fact_transaction t {JOIN_ACCOUNT} WHERE {GOVERNED} GROUP BY 1",
+    f"SELECT {start_of('year')}, sum(abs(t.amount)) AS volume FROM governed_ledger t GROUP BY 1",
     real="volume",
     dates="period",
 )
 register(
     "question_netted_volume_by_year",
     lambda t: q.netted_volume(t, "year"),
-    f"SELECT {start_of('year')}, sum(abs(t.amount)) AS volume FROM fact_transaction t WHERE t.is_reversal = FALSE AND {NOT_REVERSED} GROUP BY 1",
+    f"SELECT {start_of('year')}, sum(abs(t.amount)) AS volume FROM netted_ledger t GROUP BY 1",
     real="volume",
     dates="period",
 )
@@ -99,14 +94,13 @@ register(
 register(
     "question_reversed_originals_by_year",
     lambda t: q.reversed_originals(t, "year"),
-    """SELECT CAST(date_trunc('year', o.transaction_date) AS DATE) AS period, count(DISTINCT r.reversal_of_transaction_id) AS reversed_transactions
-       FROM fact_transaction r JOIN fact_transaction o ON r.reversal_of_transaction_id = o.transaction_id GROUP BY 1""",
+    f"SELECT {start_of('year')}, count(*) AS reversed_transactions FROM fact_transaction t SEMI JOIN undone USING (transaction_id) GROUP BY 1",
     dates="period",
 )
 register(
     "question_customer_count_by_year",
     lambda t: q.transaction_count(t, grain="year"),
-    f"SELECT {start_of('year')}, count(*) AS transactions FROM fact_transaction t {JOIN_ACCOUNT} WHERE a.is_internal = FALSE GROUP BY 1",
+    f"SELECT {start_of('year')}, count(*) AS transactions FROM customer_ledger t GROUP BY 1",
     dates="period",
 )
 register(
@@ -118,36 +112,35 @@ register(
 register(
     "question_volume_by_home_branch_and_year",
     lambda t: q.governed_volume_by_home_branch(t, "year"),
-    f"""SELECT b.branch_name AS home_branch_name, {start_of('year')}, sum(abs(t.amount)) AS volume FROM fact_transaction t {JOIN_ACCOUNT}
-        JOIN dim_branch b ON a.home_branch_id = b.branch_id WHERE {GOVERNED} GROUP BY 1, 2""",
+    f"""SELECT b.branch_name AS home_branch_name, {start_of('year')}, sum(abs(t.amount)) AS volume FROM governed_ledger t JOIN owner USING (account_id)
+        JOIN dim_branch b ON b.branch_id = home_branch_id GROUP BY 1, 2""",
     real="volume",
     dates="period",
 )
 register(
     "question_volume_of_home_branch",
     lambda t: q.governed_volume_by_home_branch(t, period=Period.year(2000), branch="NATION_7"),
-    f"""SELECT b.branch_name AS home_branch_name, sum(abs(t.amount)) AS volume FROM fact_transaction t {JOIN_ACCOUNT}
-        JOIN dim_branch b ON a.home_branch_id = b.branch_id WHERE {GOVERNED} AND b.branch_name = 'NATION_7'
-        AND date_part('year', t.transaction_date) = 2000 GROUP BY 1""",
+    f"""SELECT b.branch_name AS home_branch_name, sum(abs(t.amount)) AS volume FROM governed_ledger t JOIN owner USING (account_id)
+        JOIN dim_branch b ON b.branch_id = home_branch_id WHERE b.branch_name = 'NATION_7' AND year(t.transaction_date) = 2000 GROUP BY 1""",
     real="volume",
 )
 register(
     "question_count_at_transaction_branch_and_year",
     lambda t: q.count_at_transaction_branch(t, "year"),
-    f"""SELECT b.branch_name AS transaction_branch_name, {start_of('year')}, count(*) AS transactions FROM fact_transaction t {JOIN_ACCOUNT}
-        JOIN dim_branch b ON t.branch_id = b.branch_id WHERE a.is_internal = FALSE GROUP BY 1, 2""",
+    f"""SELECT b.branch_name AS transaction_branch_name, {start_of('year')}, count(*) AS transactions FROM customer_ledger t
+        JOIN dim_branch b USING (branch_id) GROUP BY 1, 2""",
     dates="period",
 )
 register(
     "question_active_customers_by_region",
     lambda t: q.active_customers(t),
-    "SELECT region, count(*) AS active_customers FROM dim_customer WHERE is_active = TRUE GROUP BY 1",
+    "SELECT region, count(*) AS active_customers FROM dim_customer WHERE is_active GROUP BY 1",
 )
 register(
     "question_open_account_customers_by_region",
     lambda t: q.customers_with_open_account(t),
-    """SELECT c.region, count(DISTINCT c.customer_id) AS customers FROM dim_customer c
-       JOIN dim_account a ON a.customer_id = c.customer_id WHERE a.status = 'open' GROUP BY 1""",
+    """SELECT region, count(*) AS customers FROM dim_customer
+       WHERE customer_id IN (SELECT customer_id FROM dim_account WHERE status = 'open') GROUP BY 1""",
 )
 
 
@@ -182,18 +175,20 @@ register(
 AS_OF_DATES = [date(2001, 6, 30), date(2001, 3, 31), date(2000, 12, 31)]
 
 
-def _latest(day: date) -> str:
-    return f"""(SELECT loan_account_id, days_past_due, row_number() OVER (PARTITION BY loan_account_id
-                   ORDER BY payment_date DESC, days_past_due DESC) AS rn FROM fact_loan_payment WHERE payment_date <= DATE '{day}')"""
+def _standing(day: date | str) -> str:
+    """Active loans with their last known status on a day."""
+    return f"""(SELECT product_id, dpd FROM owner JOIN
+                 (SELECT loan_account_id AS account_id, arg_max(days_past_due, (payment_date, days_past_due)) AS dpd
+                  FROM fact_loan_payment WHERE payment_date <= DATE '{day}' GROUP BY ALL) USING (account_id)
+                WHERE NOT write_off_flag)"""
 
 
 def _delinquency_sql(days: int, product: bool) -> str:
-    key, join = (", p.product_name", "JOIN dim_product p ON a.product_id = p.product_id") if product else ("", "")
+    key, join = ("product_name, ", "JOIN dim_product USING (product_id)") if product else ("", "")
     parts = [
-        f"""SELECT '{d}' AS as_of{key}, count(*) AS active_loans, sum(CASE WHEN l.days_past_due >= {days} THEN 1 ELSE 0 END) AS delinquent_loans,
-                   round(100.0 * sum(CASE WHEN l.days_past_due >= {days} THEN 1 ELSE 0 END) / count(*), 2) AS delinquency_rate
-            FROM {_latest(d)} l JOIN dim_account a ON l.loan_account_id = a.account_id {join}
-            WHERE l.rn = 1 AND a.write_off_flag = FALSE {'GROUP BY p.product_name' if product else ''}"""
+        f"""SELECT {key}'{d}' AS as_of, count(*) AS active_loans, count(*) FILTER (dpd >= {days}) AS delinquent_loans,
+                   round(100.0 * count(*) FILTER (dpd >= {days}) / count(*), 2) AS delinquency_rate
+            FROM {_standing(d)} {join} GROUP BY ALL"""
         for d in AS_OF_DATES
     ]
     return " UNION ALL ".join(parts)
@@ -225,8 +220,8 @@ register(
 register(
     "question_written_off_loans_by_product",
     lambda t: q.written_off_loans(t),
-    """SELECT p.product_name, count(*) AS written_off_loans FROM dim_account a JOIN dim_product p ON a.product_id = p.product_id
-       WHERE p.product_type = 'loan' AND a.write_off_flag = TRUE GROUP BY 1""",
+    """SELECT product_name, count(*) AS written_off_loans FROM owner JOIN dim_product USING (product_id)
+       WHERE product_type = 'loan' AND write_off_flag GROUP BY 1""",
 )
 register(
     "question_balance_of_active_by_region_and_product",
@@ -246,7 +241,7 @@ def next_quarter(t: Tables) -> DataFrame:
     return m.compare_periods(series, "fee_revenue").select("period", "previous", "current", "delta")
 
 
-QUARTERLY_FEES = f"SELECT {start_of('quarter')}, -sum(t.amount) AS v FROM fact_transaction t WHERE {FEE} AND t.fee_waived = FALSE GROUP BY 1"
+QUARTERLY_FEES = f"SELECT {start_of('quarter')}, -sum(t.amount) AS v FROM fact_transaction t WHERE {NET_FEE} GROUP BY 1"
 register(
     "question_follow_up_next_quarter",
     next_quarter,
@@ -275,10 +270,9 @@ register(
     "question_quarter_against_year_before",
     year_on_year,
     f"""SELECT c AS current, p AS previous, c - p AS delta FROM (
-          SELECT -sum(CASE WHEN date_part('year', t.transaction_date) = 2001 THEN t.amount END) AS c,
-                 -sum(CASE WHEN date_part('year', t.transaction_date) = 2000 THEN t.amount END) AS p
-          FROM fact_transaction t WHERE {FEE} AND t.fee_waived = FALSE AND date_part('quarter', t.transaction_date) = 1
-            AND date_part('year', t.transaction_date) IN (2000, 2001))""",
+          SELECT -sum(CASE WHEN year(t.transaction_date) = 2001 THEN t.amount END) AS c,
+                 -sum(CASE WHEN year(t.transaction_date) = 2000 THEN t.amount END) AS p
+          FROM fact_transaction t WHERE {NET_FEE} AND quarter(t.transaction_date) = 1)""",
     real="current, previous, delta",
 )
 
@@ -425,76 +419,78 @@ QUESTIONS = [
 ]
 
 
-def _in(day: str, year: int, quarter: int | None = None) -> str:
-    part = f" AND date_part('quarter', t.{day}) = {quarter}" if quarter else ""
-    return f"date_part('year', t.{day}) = {year}{part}"
-
-
 def _golden_sql() -> dict[str, str]:
-    txn, post = "transaction_date", "posting_date"
-    fee, net = "-sum(t.amount)", f"{FEE} AND t.fee_waived = FALSE"
-    vol, plain, joined = "sum(abs(t.amount))", "fact_transaction t", f"fact_transaction t {JOIN_ACCOUNT}"
-    product = f"{joined} JOIN dim_product p ON a.product_id = p.product_id"
-    home = f"{joined} JOIN dim_branch b ON a.home_branch_id = b.branch_id"
-    here = f"{joined} JOIN dim_branch b ON t.branch_id = b.branch_id"
-    external, netted = "a.is_internal = FALSE", f"t.is_reversal = FALSE AND {NOT_REVERSED}"
-    owner = "dim_customer c JOIN dim_account a ON a.customer_id = c.customer_id"
-    pair = "fact_transaction r JOIN fact_transaction t ON r.reversal_of_transaction_id = t.transaction_id"
-    mean = "avg(CAST(balance_amount AS DOUBLE))"
-
-    def loans(day: str) -> str:
-        return f"{_latest(day)} l JOIN dim_account a ON l.loan_account_id = a.account_id"
-
-    book = "l.rn = 1 AND a.write_off_flag = FALSE"
-    rate = "100.0 * sum(CASE WHEN l.days_past_due >= 30 THEN 1 ELSE 0 END) / count(*)"
-    q1, h1 = "2001-03-31", "2001-06-30"
+    """Each answer on its own, over the reading its question asks for."""
+    fees, volume, rows = "-sum(amount)", "sum(abs(amount))", "count(*)"
+    mean, total = "avg(CAST(balance_amount AS DOUBLE))", "sum(balance_amount)"
+    by_product = "fact_transaction t JOIN owner USING (account_id) JOIN dim_product USING (product_id)"
+    by_home = "governed_ledger JOIN owner USING (account_id) JOIN dim_branch ON dim_branch.branch_id = home_branch_id"
+    by_place = "customer_ledger JOIN dim_branch USING (branch_id)"
+    reversed_rows = "fact_transaction SEMI JOIN undone USING (transaction_id)"
+    holders = "dim_customer SEMI JOIN (SELECT customer_id FROM dim_account WHERE status = 'open') USING (customer_id)"
+    gross, net = "transaction_type = 'fee' AND NOT is_reversal", "transaction_type = 'fee' AND NOT is_reversal AND NOT fee_waived"
+    late = "100.0 * count(*) FILTER (dpd >= 30) / count(*)"
+
+    def year(y: int, day: str = "transaction_date") -> str:
+        return f"year({day}) = {y}"
+
+    def quarter(y: int, n: int, day: str = "transaction_date") -> str:
+        return f"year({day}) = {y} AND quarter({day}) = {n}"
+
+    def month(y: int, n: int) -> str:
+        return f"year(balance_date) = {y} AND month(balance_date) = {n}"
+
+    spring, summer = "2001-03-31", "2001-06-30"
     asked = {
-        "dev-01": (fee, plain, f"{net} AND {_in(txn, 2001, 1)}"),
-        "dev-02": (fee, plain, f"{FEE} AND {_in(txn, 2000)}"),
-        "dev-03": (fee, product, f"{net} AND p.product_name IN ('Chequing', 'Savings') AND {_in(txn, 1999)}"),
-        "dev-04": ("count(*)", joined, f"{external} AND {_in(post, 2000, 1)}"),
-        "dev-05": ("count(*)", joined, f"{external} AND {_in(txn, 2000, 1)}"),
-        "dev-06": (vol, joined, f"{GOVERNED} AND {_in(txn, 2000, 3)}"),
-        "dev-07": ("count(*)", "dim_customer", "is_active = TRUE AND region = 'ASIA'"),
-        "dev-08": ("count(DISTINCT c.customer_id)", owner, "a.status = 'open' AND c.region = 'EUROPE'"),
-        "dev-09": ("count(*)", "dim_customer", "is_active = TRUE AND region = 'EUROPE'"),
-        "dev-10": (mean, "fact_daily_balance", "balance_date BETWEEN '2001-04-01' AND '2001-06-30'"),
-        "dev-11": ("sum(balance_amount)", "fact_daily_balance", "balance_date = '2001-03-31'"),
-        "dev-12": (mean, "fact_daily_balance", "balance_date BETWEEN '2001-04-01' AND '2001-04-30'"),
-        "dev-13": (rate, loans(q1), book),
-        "dev-14": ("count(*)", loans(q1), f"{book} AND l.days_past_due >= 60"),
-        "dev-15": ("count(*)", "dim_account a JOIN dim_product p ON a.product_id = p.product_id", "p.product_type = 'loan' AND a.write_off_flag = TRUE"),
-        "dev-16": (vol, plain, f"{netted} AND {_in(txn, 1999)}"),
-        "dev-17": ("count(DISTINCT r.reversal_of_transaction_id)", pair, _in(txn, 1999)),
-        "dev-18": (vol, plain, _in(txn, 2000)),
-        "dev-19": (vol, joined, f"{GOVERNED} AND {_in(txn, 1999)}"),
-        "dev-20": ("count(*)", joined, f"{external} AND {_in(txn, 1999)}"),
-        "dev-21": ("count(*)", plain, _in(txn, 2000)),
-        "dev-22": (vol, home, f"{GOVERNED} AND b.branch_name = 'NATION_3' AND {_in(txn, 2000)}"),
-        "dev-23": ("count(*)", here, f"{external} AND b.branch_name = 'NATION_6' AND {_in(txn, 2000)}"),
-        "dev-24": (vol, home, f"{GOVERNED} AND b.branch_name = 'NATION_4' AND {_in(txn, 2000)}"),
-        "holdout-01": (fee, plain, f"{net} AND {_in(txn, 1999)}"),
-        "holdout-02": (fee, plain, f"{net} AND {_in(txn, 2000)}"),
-        "holdout-03": (fee, product, f"{net} AND p.product_name = 'Credit Card' AND {_in(txn, 2000)}"),
-        "holdout-04": ("count(*)", joined, f"{external} AND {_in(post, 2000, 4)}"),
-        "holdout-05": ("count(*)", joined, f"{external} AND {_in(txn, 2000, 4)}"),
-        "holdout-06": (vol, joined, f"{GOVERNED} AND {_in(post, 2001, 2)}"),
-        "holdout-07": ("count(*)", "dim_customer", "is_active = TRUE"),
-        "holdout-08": ("count(DISTINCT c.customer_id)", owner, "a.status = 'open'"),
-        "holdout-09": ("count(*)", "dim_customer", "is_active = TRUE AND region = 'AMERICA'"),
-        "holdout-10": (mean, "fact_daily_balance", "balance_date BETWEEN '2001-06-01' AND '2001-06-30'"),
-        "holdout-11": ("sum(balance_amount)", "fact_daily_balance", "balance_date = '2001-06-30'"),
-        "holdout-12": (mean, "fact_daily_balance", "balance_date BETWEEN '2001-05-01' AND '2001-05-31'"),
-        "holdout-13": (rate, loans(h1), book),
-        "holdout-14": ("count(*)", loans(h1), f"{book} AND l.days_past_due >= 60"),
-        "holdout-15": (vol, plain, f"{netted} AND {_in(txn, 2000)}"),
-        "holdout-16": ("count(DISTINCT r.reversal_of_transaction_id)", pair, _in(txn, 2000)),
-        "holdout-17": (vol, joined, f"{GOVERNED} AND {_in(txn, 2000)}"),
-        "holdout-18": ("count(*)", joined, f"{external} AND {_in(txn, 2000)}"),
-        "holdout-19": (vol, home, f"{GOVERNED} AND b.branch_name = 'NATION_5' AND {_in(txn, 2000)}"),
-        "holdout-20": ("count(*)", here, f"{external} AND b.branch_name = 'NATION_2' AND {_in(txn, 2000)}"),
+        "dev-01": (fees, "fact_transaction", f"{net} AND {quarter(2001, 1)}"),
+        "dev-02": (fees, "fact_transaction", f"{gross} AND {year(2000)}"),
+        "dev-03": (fees, by_product, f"{net} AND product_id IN (1, 2) AND {year(1999)}"),
+        "dev-04": (rows, "customer_ledger", quarter(2000, 1, "posting_date")),
+        "dev-05": (rows, "customer_ledger", quarter(2000, 1)),
+        "dev-06": (volume, "governed_ledger", quarter(2000, 3)),
+        "dev-07": (rows, "dim_customer", "is_active AND region = 'ASIA'"),
+        "dev-08": (rows, holders, "region = 'EUROPE'"),
+        "dev-09": (rows, "dim_customer", "is_active AND region = 'EUROPE'"),
+        "dev-10": (mean, "fact_daily_balance", "year(balance_date) = 2001 AND quarter(balance_date) = 2"),
+        "dev-11": (total, "fact_daily_balance", f"balance_date = '{spring}'"),
+        "dev-12": (mean, "fact_daily_balance", month(2001, 4)),
+        "dev-13": (late, _standing(spring), "true"),
+        "dev-14": (rows, _standing(spring), "dpd >= 60"),
+        "dev-15": (rows, "owner", "product_id IN (3, 4) AND write_off_flag"),
+        "dev-16": (volume, "netted_ledger", year(1999)),
+        "dev-17": (rows, reversed_rows, year(1999)),
+        "dev-18": (volume, "fact_transaction", year(2000)),
+        "dev-19": (volume, "governed_ledger", year(1999)),
+        "dev-20": (rows, "customer_ledger", year(1999)),
+        "dev-21": (rows, "fact_transaction", year(2000)),
+        "dev-22": (volume, by_home, f"branch_name = 'NATION_3' AND {year(2000)}"),
+        "dev-23": (rows, by_place, f"branch_name = 'NATION_6' AND {year(2000)}"),
+        "dev-24": (volume, by_home, f"branch_name = 'NATION_4' AND {year(2000)}"),
+        "holdout-01": (fees, "fact_transaction", f"{net} AND {year(1999)}"),
+        "holdout-02": (fees, "fact_transaction", f"{net} AND {year(2000)}"),
+        "holdout-03": (fees, by_product, f"{net} AND product_id = 5 AND {year(2000)}"),
+        "holdout-04": (rows, "customer_ledger", quarter(2000, 4, "posting_date")),
+        "holdout-05": (rows, "customer_ledger", quarter(2000, 4)),
+        "holdout-06": (volume, "governed_ledger", quarter(2001, 2, "posting_date")),
+        "holdout-07": (rows, "dim_customer", "is_active"),
+        "holdout-08": (rows, holders, "true"),
+        "holdout-09": (rows, "dim_customer", "is_active AND region = 'AMERICA'"),
+        "holdout-10": (mean, "fact_daily_balance", month(2001, 6)),
+        "holdout-11": (total, "fact_daily_balance", f"balance_date = '{summer}'"),
+        "holdout-12": (mean, "fact_daily_balance", month(2001, 5)),
+        "holdout-13": (late, _standing(summer), "true"),
+        "holdout-14": (rows, _standing(summer), "dpd >= 60"),
+        "holdout-15": (volume, "netted_ledger", year(2000)),
+        "holdout-16": (rows, reversed_rows, year(2000)),
+        "holdout-17": (volume, "governed_ledger", year(2000)),
+        "holdout-18": (rows, "customer_ledger", year(2000)),
+        "holdout-19": (volume, by_home, f"branch_name = 'NATION_5' AND {year(2000)}"),
+        "holdout-20": (rows, by_place, f"branch_name = 'NATION_2' AND {year(2000)}"),
+    }
+    return {
+        k: f"SELECT '{k}' AS question_id, round(CAST({value} AS DOUBLE), 2) AS expected_result FROM {source} WHERE {condition}"
+        for k, (value, source, condition) in asked.items()
     }
-    return {k: f"SELECT '{k}' AS question_id, round(CAST({a} AS DOUBLE), 2) AS expected_result FROM {f} WHERE {w}" for k, (a, f, w) in asked.items()}
 
 
 register(

@@ -64,7 +64,7 @@ MODELS: dict[str, SemanticModel] = {
         },
         measures={
             "transaction_amount_abs": ("sum", "abs(amount)"),
-            "fee_amount": ("sum", "case when transaction_type = 'fee' then -amount else 0 end"),
+            "fee_amount": ("sum", "if(transaction_type = 'fee', -amount, 0)"),
             "transaction_rows": ("count", "1"),
         },
     ),
@@ -115,9 +115,9 @@ MODELS: dict[str, SemanticModel] = {
         },
         measures={
             "loan_count": ("count_distinct", "loan_account_id"),
-            "delinquent_30d_indicator": ("sum", "case when days_past_due >= 30 then 1 else 0 end"),
-            "delinquent_90d_indicator": ("sum", "case when days_past_due >= 90 then 1 else 0 end"),
-            "write_off_indicator": ("sum", "case when write_off_flag then 1 else 0 end"),
+            "delinquent_30d_indicator": ("sum", "if(days_past_due >= 30, 1, 0)"),
+            "delinquent_90d_indicator": ("sum", "if(days_past_due >= 90, 1, 0)"),
+            "write_off_indicator": ("sum", "if(write_off_flag, 1, 0)"),
             "loan_months": ("count", "1"),
         },
     ),
@@ -191,8 +191,7 @@ def _spec(name: str) -> Spec:
     metric = METRICS[name]
     agg, value = MODELS[metric.model].measures[metric.measure]
     if metric.where:
-        otherwise = "ELSE 0 " if agg == "sum" else ""
-        value = f"CASE WHEN {metric.where} THEN {value} {otherwise}END"
+        value = f"if({metric.where}, {value}, {'0' if agg == 'sum' else 'NULL'})"
     return Spec(name, agg, value)
 
 
