@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,11 @@ SALTS = 64                 # pieces a hot key is cut into
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Spark's own size estimate of a plan; no job runs. Unknown sizes count as large."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except AttributeError:  # a remote session does not show its plans
+        return sys.maxsize
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -69,9 +73,12 @@ def lookup(
     if estimated_bytes(dim) <= broadcast_limit(dim):
         return fact.join(dim, key, how)
     hot = hot_keys(measured_on if measured_on is not None else fact, key)
-    if not hot:
+    keeps_unmatched = how not in ("inner", "left_semi")
+    if not hot and not keeps_unmatched:
         return fact.join(dim, key, how)
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    if keeps_unmatched:  # rows without a key match nothing wherever they go, so they spread out too
+        is_hot = is_hot | F.col(key).isNull()
     spread = [F.col(c) for c in (salt_on or fact.columns)]
     salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -28,6 +28,7 @@ class Role:
     hidden_tables: Sequence[str] = ()
 
 
+# The default branch and region of the roles, and what each role may not see.
 def standard_roles(branch: str = "Mississauga West", region: str = "Eastern-ON") -> dict[str, Role]:
     """The four roles: neither mechanism, rows only, columns and tables only, both."""
     no_names = {CUSTOMERS: ("customer_name",)}

@@ -38,6 +38,22 @@ def test_salted_lookup_equals_plain_join(spark, skewed, no_broadcast, how):
     assert salted.columns == skewed.join(dim, "k", how).columns
 
 
+@pytest.mark.parametrize("how", ["left", "left_anti", "inner"])
+def test_rows_without_a_key_spread_out(spark, no_broadcast, how):
+    fact = spark.range(4000).select("id", F.when(F.col("id") % 2 == 1, F.col("id")).cast("long").alias("k"))
+    dim = spark.range(0, 3000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    salted = joins.lookup(fact, dim, "k", how)
+    assert rows(salted) == rows(fact.join(dim, "k", how))
+    if how != "inner":
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            tasks = joins.lookup(fact, dim, "k", how).where("k IS NULL").groupBy(F.spark_partition_id()).count().count()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        assert tasks > 1
+
+
 def test_salting_spreads_a_hot_key_over_tasks(spark, skewed, no_broadcast):
     dim = spark.range(0, 2000).select(F.col("id").alias("k"), F.col("id").alias("v"))
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
