@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, lines, mixing, neighbours, topk
+from ledgerline.llm import bpe, chosenpath, lines, mixing, neighbours, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         topk.op1_exact_top_k,
         mixing.op2_mix_sources,
+        warc.op3_warc_round_trip,
         neighbours.op6_nearest_neighbours,
+        chosenpath.op7_near_duplicates,
         lines.op8_line_dedup,
         bpe.op9_bpe_round_trip,
     )
@@ -21,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": topk.SQL,
     "op2_mix_sources": mixing.SQL,
+    "op3_warc_round_trip": warc.SQL,
     "op6_nearest_neighbours": neighbours.SQL,
     "op8_line_dedup": lines.SQL,
 }
