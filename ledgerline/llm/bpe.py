@@ -224,17 +224,17 @@ def encode_decode(
                     out["ids_sha256"].append(hashlib.sha256(codes.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if full:
-                        out["ids"].append(codes.astype(np.int64))
+                        out["ids"].append(codes.astype(np.int32))
                         out["decoded"].append(decoded)
                 part = batch.slice(start, len(texts))
                 start += len(texts)
-                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int64())}
+                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays(
                     part.columns[1:] + [pa.array(out[m], kinds.get(m, pa.string())) for m in made],
                     names=batch.schema.names[1:] + made,
                 )
 
-    types = {"n_tokens": "long", "ids": "array<long>"}
+    types = {"n_tokens": "long", "ids": "array<int>"}
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields[1:]]
         + [f"{m} {types.get(m, 'string')}" for m in made]

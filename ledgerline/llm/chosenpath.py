@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Scratch, read, text_key
@@ -170,12 +170,11 @@ class NearDuplicates:
 
         return reps.select("v", "tokens").mapInArrow(run, "node long, v long")
 
-    @staticmethod
-    def shared(nodes: DataFrame) -> DataFrame:
+    def shared(self, nodes: DataFrame) -> DataFrame:
         """``node, v, size, pivot`` of the nodes with two or more sets. Counting combines in the tasks; the join has
-        one row per node on one side, so a node with a third of all sets is split."""
+        one saved row per node on one side, so a node with a third of all sets is split."""
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("pivot")).where("size > 1")
-        return nodes.join(sizes, "node")
+        return nodes.join(self.scratch.save(sizes, "sizes"), "node")
 
     def texts(self, reps: DataFrame, nodes: DataFrame) -> DataFrame:
         """``v, text`` of the sets that share a node with another."""
@@ -243,14 +242,13 @@ class NearDuplicates:
             pairs = pairs.unionByName(more)
         return pairs.distinct()
 
-    @staticmethod
-    def open(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    def open(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """``node, v, label, size`` of the nodes that hold more than one component."""
         named = nodes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
         sizes = named.groupBy("node").agg(
             F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")
         ).where("least < most")
-        return named.join(sizes.select("node", "size"), "node").select("node", "v", "label", "size")
+        return named.join(self.scratch.save(sizes.select("node", "size"), "sizes"), "node").select("node", "v", "label", "size")
 
     @staticmethod
     def branched(large: DataFrame) -> DataFrame:
@@ -284,14 +282,19 @@ class NearDuplicates:
 
         return dealt.groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
 
-    @staticmethod
-    def classes(sets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-        """``doc_id, text_key, n_shingles, component_id`` of each document."""
-        labelled = reps.select("v", "key", "doc_id").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        least = labelled.groupBy("label").agg(F.min("doc_id").alias("component"))
-        named = labelled.join(least, "label").select("key", "component")
+    def classes(self, sets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+        """``doc_id, text_key, n_shingles, component_id, kept`` of each document."""
+        labelled = reps.select("v", "key", "doc_id", "text_key").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+        least = self.scratch.save(labelled.groupBy("label").agg(first.alias("r")).select("label", "r.doc_id", "r.text_key"), "least")
+        named = self.scratch.save(
+            labelled.select("label", "key").join(least, "label").select("key", F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")), "named"
+        )
+        some = F.col("n_shingles") > 0
         return sets.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left").select(
-            "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+            "doc_id", "text_key", "n_shingles",
+            F.when(some, F.col("_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            (~some | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))).alias("kept"),
         )
 
 
@@ -318,20 +321,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     """``doc_id, text_key, n_shingles, component_id, kept`` of each document.
 
     Documents are linked when the shingles of ``width`` words that they share are at least ``percent`` in a hundred of all
-    that either has; a component is what links reach, named by its smallest id, and the document of that id is kept.
+    that either has; a component is what links reach, named by its smallest id, and its document of that id is kept (of
+    several with that id, the one of least ``text_key``).
 
     - Shingles are compared by 64-bit hashes. Equal sets are one vertex, so copies are never paired with each other.
-    - A text without words has no shingles and is linked with nothing; null counts as empty.
+    - A text without words has no shingles, is linked with nothing and kept; null counts as empty.
     - Rows of one id with different texts are different documents; repeated rows get the same answer. Ids that are null
       count as larger than any other, and only a component of nothing else has a null name.
     - An empty table gives no rows. Other columns are never read.
 
     ``text_key`` is a digest of the text, so that a caller can find the rows again.
     """
-    found = NearDuplicates(docs, width, percent, id_column, text_column).run()
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return NearDuplicates(docs, width, percent, id_column, text_column).run()
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, one of each group; of repeated rows with words one stays."""
+    no_id = F.lit(-(1 << 63))
+    kept = near_duplicates(docs, width, percent, id_column, text_column).where("kept")
+    kept = kept.groupBy(F.coalesce("doc_id", no_id).alias("_id"), F.col("text_key").alias("_text")).agg(F.max("n_shingles").alias("_n"))
+    kept = Scratch(docs.sparkSession).save(kept, "kept")
+    same = (F.coalesce(F.col(id_column).cast("long"), no_id) == F.col("_id")) & (text_key(F.col(text_column)) == F.col("_text"))
+    one = Window.partitionBy("_id", "_text").orderBy(F.lit(0))
+    return docs.join(kept, same).withColumn("_nth", F.row_number().over(one)).where("_n = 0 OR _nth = 1").select(*docs.columns)
 
 
 def op7_near_duplicates(spark, folder) -> DataFrame:
     found = near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", "kept")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

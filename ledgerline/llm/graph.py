@@ -14,20 +14,24 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Each round hangs the larger neighbours of a vertex, then the smaller ones, on the least of them; the rounds grow
     with the logarithm of a component's width. Every step is an aggregation with map-side combine and a join to
     one row per vertex, so a vertex with millions of links is no group that a task must hold. A vertex that is itself the
-    smallest of its component has no row.
+    smallest of its component has no row. The aggregates are saved before they are joined, since adaptive execution splits a
+    hot key only between exchanges.
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = scratch.save(ordered, "stars"), None
     state = _state(now)
     while state != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        large = scratch.save(
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
+        )
+        lowest = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u")
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = scratch.save(hung.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        scratch.drop(now)
+        for done in (now, least, large, lowest):
+            scratch.drop(done)
         now, before, state = following, state, _state(following)
     return now.select(F.col("u").alias("v"), F.col("v").alias("label"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chosenpath, lines, mixing, neighbours, topk, warc
+from ledgerline.llm import bpe, chosenpath, language, lines, mixing, neighbours, quality, suffixes, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,10 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         topk.op1_exact_top_k,
         mixing.op2_mix_sources,
         warc.op3_warc_round_trip,
+        suffixes.op4_substring_dedup,
+        quality.op5_quality_classifier,
         neighbours.op6_nearest_neighbours,
         chosenpath.op7_near_duplicates,
         lines.op8_line_dedup,
         bpe.op9_bpe_round_trip,
+        language.op10_language_id,
     )
 }
 ORACLES: dict[str, str] = {

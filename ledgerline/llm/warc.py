@@ -62,15 +62,16 @@ def merged_batches(run, most: int = 1 << 23):
     return together
 
 
-def originals(named: DataFrame, min_bytes: int) -> DataFrame:
+def originals(named: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
     """``page_id, _same, refers_to`` of the pages that revisit another: equal payload, and not the largest id.
 
     Payloads are equal when their SHA-256 is. Ids meet their payload's largest id in a join whose one side has
-    a row per payload that occurs twice or more; adaptive execution splits a payload that fills a third of the table.
+    a row per payload that occurs twice or more, saved first: then adaptive execution can split a payload that fills a
+    third of the table.
     """
     names = named.where(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes)).select("page_id", "_same")
     largest = names.groupBy("_same").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n"))
-    repeated = largest.where("_n > 1").drop("_n")
+    repeated = scratch.save(largest.where("_n > 1").drop("_n"), "repeated")
     return names.join(repeated, "_same").where("page_id < refers_to").distinct()
 
 
@@ -81,7 +82,7 @@ def segments(pages: DataFrame, min_bytes: int, most: int, id_column: str, payloa
         F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"),
         payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("_same"),
     )
-    dealt = named.join(originals(named, min_bytes), ["page_id", "_same"], "left")
+    dealt = named.join(originals(named, min_bytes, Scratch(pages.sparkSession)), ["page_id", "_same"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
