@@ -11,7 +11,8 @@ from ledgerline.functions.calendar import Period
 from ledgerline.operators.joins import sums_through_key
 from ledgerline.plans.models import reversed_ids
 
-CONFIGS = ["a_raw", "b_glossary", "c_marts", "d_marts_described"]
+# The published names of the four configurations.
+CONFIGS = ["1_raw", "2_raw_glossary", "3_governed", "4_governed_ai_prep"]
 
 
 def answer_log(t: Tables) -> DataFrame:
@@ -84,7 +85,7 @@ ANSWER_LOG = {
     "answer_facts": """
         SELECT a.customer_id,
                CAST(sum(abs(t.amount)) AS DOUBLE) AS raw_volume,
-               CAST(sum(CASE WHEN t.transaction_id IN (SELECT transaction_id FROM netted_ledger) THEN abs(t.amount) ELSE 0 END) AS DOUBLE) AS net_volume,
+               CAST(sum(CASE WHEN NOT t.is_reversal AND t.transaction_id NOT IN (SELECT transaction_id FROM undone) THEN abs(t.amount) ELSE 0 END) AS DOUBLE) AS net_volume,
                CAST(sum(CASE WHEN t.transaction_type = 'fee' AND NOT t.is_reversal THEN -t.amount ELSE 0 END) AS DOUBLE) AS gross_fees,
                CAST(sum(CASE WHEN t.transaction_type = 'fee' AND NOT t.is_reversal AND NOT t.fee_waived THEN -t.amount ELSE 0 END) AS DOUBLE) AS net_fees,
                CAST(count(CASE WHEN t.posting_date BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' THEN 1 END) AS DOUBLE) AS posted,
@@ -101,7 +102,7 @@ ANSWER_LOG = {
         SELECT *, CASE WHEN answerable THEN h = 1 ELSE h <> 3 END AS refused FROM (
             SELECT a.*, c.config_no, c.config, r.run, (a.customer_id * 7 + r.run * 3 + length(a.template) + c.config_no * 5) % 20 AS h
             FROM answer_questions a
-                 CROSS JOIN (VALUES (0, 'a_raw'), (1, 'b_glossary'), (2, 'c_marts'), (3, 'd_marts_described')) c(config_no, config)
+                 CROSS JOIN (VALUES (0, '1_raw'), (1, '2_raw_glossary'), (2, '3_governed'), (3, '4_governed_ai_prep')) c(config_no, config)
                  CROSS JOIN (VALUES (1), (2), (3)) r(run))""",
     "answer_log": """
         SELECT config, CASE WHEN customer_id % 2 = 0 THEN 'dev' ELSE 'holdout' END || CASE WHEN answerable THEN '_in' ELSE '_oos' END AS question_set,

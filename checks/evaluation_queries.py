@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.answer_log import ANSWER_LOG, CONFIGS, answer_log
-from checks.registry import register
+from checks.registry import register, scratch
 from ledgerline import Tables
 from ledgerline.functions import answer_text
 from ledgerline.plans import evaluation as e
-from ledgerline.plans.models import marts
-from ledgerline.session import fresh_path
+from ledgerline.plans.models import GRAINS, marts
+from ledgerline.plans.reference_questions import governed_volume
 from ledgerline.sources import sinks
+from ledgerline.sources.tables import from_catalog
 
 
 def classified(t: Tables) -> DataFrame:
@@ -74,8 +77,8 @@ register(
 
 
 def first_examples(t: Tables) -> DataFrame:
-    log = answer_log(t).where((F.col("config") == CONFIGS[0]) & (F.col("run") == 1))
-    return e.first_per_tag(log.select("ambiguity_tag", "question_order", "question_id", "expected"))
+    questions = answer_log(t).select("ambiguity_tag", "question_order", "question_id", "expected").distinct()
+    return e.first_per_tag(questions)
 
 
 register(
@@ -83,22 +86,20 @@ register(
     first_examples,
     """SELECT ambiguity_tag, question_order, question_id, expected FROM (
          SELECT *, row_number() OVER (PARTITION BY ambiguity_tag ORDER BY question_order, question_id) AS rn
-         FROM answer_log WHERE config = 'a_raw' AND run = 1 AND ambiguity_tag IS NOT NULL) WHERE rn = 1""",
+         FROM answer_log WHERE ambiguity_tag IS NOT NULL) WHERE rn = 1""",
     extra=ANSWER_LOG,
 )
 
 
 def question_sets(t: Tables) -> DataFrame:
-    questions = answer_log(t).where((F.col("config") == CONFIGS[0]) & (F.col("run") == 1)).select(
-        "question_set", "question_id", "answerable"
-    )
+    questions = answer_log(t).select("question_set", "question_id", "answerable").distinct()
     return e.question_table(questions.where("answerable"), questions.where("NOT answerable"))
 
 
 register(
     "evaluation_question_sets",
     question_sets,
-    "SELECT question_set, question_id, answerable FROM answer_log WHERE config = 'a_raw' AND run = 1",
+    "SELECT DISTINCT question_set, question_id, answerable FROM answer_log",
     extra=ANSWER_LOG,
 )
 
@@ -227,7 +228,7 @@ register(
 
 def stored_log(t: Tables) -> DataFrame:
     """The classified log written as CSV with a header and read back with its declared schema."""
-    path = fresh_path(t.spark, "result-log")
+    path = scratch(t.spark, "result-log")
     rows = classified(t).select(
         "config", "question_set", "run", "question_id", F.col("answerable").alias("answerable_expected"), "ambiguity_tag",
         F.lit('SELECT "a", b\nFROM t').alias("generated_sql"), "refused", "execution_error", "model_result",
@@ -242,7 +243,7 @@ def stored_log(t: Tables) -> DataFrame:
 register(
     "result_log_written_and_read",
     stored_log,
-    """SELECT config, failure_category, 'SELECT "a", b' || chr(10) || 'FROM t' AS generated_sql, count(*) AS answers,
+    """SELECT config, failure_category, 'SELECT "a", b FROM t' AS generated_sql, count(*) AS answers,
               count(CASE WHEN failure_category NOT IN ('appropriate_refusal', 'inappropriate_refusal', 'invalid_sql', 'wrong_grain') THEN value END) AS values
        FROM classified GROUP BY 1, 2""",
     extra=ANSWER_LOG,
@@ -251,7 +252,7 @@ register(
 
 def stored_marts(t: Tables) -> DataFrame:
     """Marts written once, split by month, and queried from their files."""
-    stored = sinks.materialise(t, ["dim_customers", "fct_loans_monthly"], fresh_path(t.spark, "marts"))
+    stored = sinks.materialise(t, ["dim_customers", "fct_loans_monthly"], scratch(t.spark, "marts"), GRAINS)
     loans, customers = stored.ref("fct_loans_monthly"), stored.ref("dim_customers")
     return (
         loans.where(F.col("month_start") >= F.lit("2001-01-01").cast("date"))
@@ -272,7 +273,7 @@ register(
 
 def appended(t: Tables) -> DataFrame:
     """Loan payments created typed, then appended to, and read back with the declared schema."""
-    path = fresh_path(t.spark, "raw")
+    path = scratch(t.spark, "raw")
     payments = t.ref("fact_loan_payment")
     late = F.col("days_past_due") > 0
     first = t.extend({"fact_loan_payment": lambda _: payments.where(~late)})
@@ -296,3 +297,23 @@ register(
     "SELECT write_off_flag, days_past_due, count(*) AS n FROM fct_loans_monthly GROUP BY 1, 2",
     whole="days_past_due",
 )
+
+
+def catalog_ledger(t: Tables) -> DataFrame:
+    """The ledger stored in the session catalog in buckets by transaction id, and netted from there."""
+    database = f"ledger_{uuid.uuid4().hex[:12]}"
+    where = scratch(t.spark, database)
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{where}'")
+    sinks.save_as_tables(t, ["fact_transaction", "dim_account"], database, {"fact_transaction": ("transaction_id", 8)})
+    stored = from_catalog(t.spark, database, ["fact_transaction", "dim_account"])
+    return governed_volume(stored, grain="year")
+
+
+register(
+    "catalog_tables_bucketed_and_queried",
+    catalog_ledger,
+    """SELECT CAST(date_trunc('year', transaction_date) AS DATE) AS period, sum(abs(amount)) AS volume
+       FROM governed_ledger GROUP BY 1""",
+    real="volume",
+    dates="period",
+)

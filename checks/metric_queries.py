@@ -259,19 +259,68 @@ def change(t: Tables) -> DataFrame:
 register(
     "metric_fee_revenue_quarter_on_quarter",
     change,
-    f"""SELECT a.home_branch_name, a.period, a.v AS current, b.v AS previous, a.v - b.v AS delta
-        FROM (SELECT home_branch_name, CAST(date_trunc('quarter', transaction_date) AS DATE) AS period, {FEES_NET} AS v FROM fct_transactions GROUP BY 1, 2) a
-        LEFT JOIN (SELECT home_branch_name, CAST(date_trunc('quarter', transaction_date) AS DATE) AS period, {FEES_NET} AS v FROM fct_transactions GROUP BY 1, 2) b
-          ON a.home_branch_name = b.home_branch_name AND b.period = a.period - INTERVAL 3 MONTH""",
+    f"""WITH series AS (SELECT home_branch_name, CAST(date_trunc('quarter', transaction_date) AS DATE) AS period, {FEES_NET} AS v FROM fct_transactions GROUP BY 1, 2)
+        SELECT home_branch_name, period, a.v AS current, b.v AS previous, coalesce(a.v, 0) - b.v AS delta
+        FROM series a FULL JOIN (SELECT home_branch_name, CAST(period + INTERVAL 3 MONTH AS DATE) AS period, v FROM series) b USING (home_branch_name, period)
+        WHERE a.v IS NOT NULL OR period <= (SELECT max(period) FROM series)""",
     real="current, previous, delta",
     dates="period",
 )
 register(
     "implicit_interest_totals_by_product",
     lambda t: m.implicit_totals(marts(t), "fct_interest_monthly", ["product_id"]),
-    """SELECT product_id, sum(interest_income) AS interest_income, sum(interest_expense) AS interest_expense,
+    """SELECT product_id, sum(interest_income) AS interest_income, sum(interest_expense) AS interest_expense
+       FROM fct_interest_monthly GROUP BY 1""",
+    real="interest_income, interest_expense",
+)
+register(
+    "implicit_interest_totals_by_month",
+    lambda t: m.implicit_totals(marts(t), "fct_interest_monthly", ["month_start"]),
+    """SELECT month_start, sum(interest_income) AS interest_income, sum(interest_expense) AS interest_expense,
               sum(outstanding_loan_balance) AS outstanding_loan_balance FROM fct_interest_monthly GROUP BY 1""",
     real="interest_income, interest_expense, outstanding_loan_balance",
+    dates="month_start",
+)
+register(
+    "implicit_balance_totals_by_product_and_month",
+    lambda t: m.implicit_totals(marts(t), "fct_account_balances_monthly", ["product_id", "month_start"]),
+    """SELECT product_id, month_start, sum(month_end_balance) AS month_end_balance
+       FROM fct_account_balances_monthly GROUP BY 1, 2""",
+    real="month_end_balance",
+    dates="month_start",
+)
+register(
+    "implicit_transaction_totals_by_type",
+    lambda t: m.implicit_totals(marts(t), "fct_transactions", ["transaction_type"]),
+    "SELECT transaction_type, sum(amount) AS amount FROM fct_transactions GROUP BY 1",
+    real="amount",
+)
+register(
+    "metric_transactions_of_no_customer",
+    ask(["transaction_count", "transaction_volume"], where={"customer__region": lambda c: c == "NOWHERE"}),
+    """SELECT count(*) AS transaction_count, sum(abs(f.amount)) AS transaction_volume
+       FROM fct_transactions f JOIN dim_customers c ON f.customer_id = c.customer_id WHERE c.region = 'NOWHERE'""",
+    real="transaction_volume",
+)
+
+
+def thinned(t: Tables) -> DataFrame:
+    """Fee revenue by branch with one quarter's fees gone, against the quarter before."""
+    rows = marts(t).ref("fct_transactions").where("NOT (year(transaction_date) = 2000 AND quarter(transaction_date) = 2)")
+    series = m.query(marts(t).extend({"fct_transactions": lambda _: rows}), ["fee_revenue_net"], by=["home_branch_name"], grain="quarter")
+    return m.compare_periods(series, "fee_revenue_net", by=["home_branch_name"])
+
+
+register(
+    "metric_fee_revenue_that_fell_to_nothing",
+    thinned,
+    f"""WITH series AS (SELECT home_branch_name, CAST(date_trunc('quarter', transaction_date) AS DATE) AS period, {FEES_NET} AS v
+                        FROM fct_transactions WHERE NOT (year(transaction_date) = 2000 AND quarter(transaction_date) = 2) GROUP BY 1, 2)
+        SELECT home_branch_name, period, a.v AS current, b.v AS previous, coalesce(a.v, 0) - b.v AS delta
+        FROM series a FULL JOIN (SELECT home_branch_name, CAST(period + INTERVAL 3 MONTH AS DATE) AS period, v FROM series) b USING (home_branch_name, period)
+        WHERE a.v IS NOT NULL OR period <= (SELECT max(period) FROM series)""",
+    real="current, previous, delta",
+    dates="period",
 )
 register(
     "home_branch_values",

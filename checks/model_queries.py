@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from checks.oracle_tables import AS_OF
 from checks.registry import register
 from ledgerline import Tables
 from ledgerline.operators import rules
 from ledgerline.plans.models import netted_transactions
-from ledgerline.sources.projection import AS_OF, loan_months
+from ledgerline.functions.numbers import rounded
+from ledgerline.plans.models import balance_by_product_month
+from ledgerline.sources.projection import loan_months
 
 MODEL_CASTS = {
     "stg_branches": {},
@@ -141,9 +144,14 @@ register(
 )
 
 
+def as_of(t: Tables) -> Column:
+    """The day the tables are as of: the last of the calendar."""
+    return t.ref("dim_date").agg(F.max("date_key")).scalar()
+
+
 def loan_schedule(t: Tables) -> DataFrame:
     """Month series of every loan with the delinquency ramp before a write-off."""
-    months = loan_months(t.ref("dim_account"), t.ref("dim_product"))
+    months = loan_months(t.ref("dim_account"), t.ref("dim_product"), as_of(t))
     ramp = rules.days_past_due_before_write_off(F.col("month_start"), F.col("write_off_date"))
     return months.select("account_id", "product_name", "month_index", "month_start", F.when(F.col("write_off_flag"), ramp).alias("ramp_days"))
 
@@ -162,16 +170,16 @@ register(
 
 
 def account_life(t: Tables) -> DataFrame:
-    a = t.ref("dim_account")
-    end = F.when(F.col("write_off_flag"), F.col("write_off_date")).otherwise(rules.effective_close(F.col("close_date"), AS_OF))
-    return a.select("account_id", rules.effective_close(F.col("close_date"), AS_OF).alias("effective_close"), F.datediff(end, "open_date").alias("days_open"))
+    a = t.ref("dim_account").withColumn("effective_close", rules.effective_close(F.col("close_date"), as_of(t)))
+    end = F.when(F.col("write_off_flag"), F.col("write_off_date")).otherwise(F.col("effective_close"))
+    return a.select("account_id", "effective_close", F.datediff(end, "open_date").alias("days_open"))
 
 
 register(
     "account_effective_close",
     account_life,
-    """SELECT account_id, coalesce(close_date, DATE '2001-07-31') AS effective_close,
-              date_diff('day', open_date, CASE WHEN write_off_flag THEN write_off_date ELSE coalesce(close_date, DATE '2001-07-31') END) AS days_open
+    f"""SELECT account_id, coalesce(close_date, {AS_OF}) AS effective_close,
+              date_diff('day', open_date, CASE WHEN write_off_flag THEN write_off_date ELSE coalesce(close_date, {AS_OF}) END) AS days_open
        FROM dim_account""",
     whole="days_open",
     dates="effective_close",
@@ -189,20 +197,13 @@ register(
 )
 
 
-def balance_by_product_month(t: Tables) -> DataFrame:
-    """Mean balance by account, month and product name."""
-    product_of = t.ref("dim_account").select("account_id", "product_id").join(
-        t.ref("dim_product").select("product_id", "product_name"), "product_id"
-    )
-    monthly = t.ref("int_account_balances_monthly").select("account_id", "month_start", "avg_daily_balance")
-    return monthly.join(product_of, "account_id").select(
-        "account_id", "month_start", "product_name", F.round("avg_daily_balance", 4).alias("avg_balance")
-    )
+def rounded_monthly_balance(t: Tables) -> DataFrame:
+    return balance_by_product_month(t).withColumn("avg_balance", F.round("avg_balance", 4))
 
 
 register(
     "monthly_balance_by_product",
-    balance_by_product_month,
+    rounded_monthly_balance,
     """SELECT b.account_id, CAST(date_trunc('month', b.balance_date) AS DATE) AS month_start, p.product_name,
               round(avg(CAST(b.balance_amount AS DOUBLE)), 4) AS avg_balance
        FROM fact_daily_balance b JOIN dim_account a ON b.account_id = a.account_id
@@ -218,3 +219,23 @@ register(
     real="amount",
     dates="transaction_date",
 )
+
+
+def eighths(t: Tables) -> DataFrame:
+    """Amounts in eighths, many of them half a cent, rounded both ways."""
+    eighth = F.col("payment_amount").cast("double") / 8
+    return t.ref("fact_loan_payment").select(
+        "loan_account_id", "payment_date",
+        rounded(eighth.cast("decimal(18,3)"), 2).cast("double").alias("away_from_zero"),
+        rounded(eighth.cast("decimal(18,3)"), 2, half_even=True).cast("double").alias("to_even"),
+    )
+
+
+register(
+    "amounts_rounded_both_ways",
+    eighths,
+    """SELECT loan_account_id, payment_date, CAST(round(eighth, 2) AS DOUBLE) AS away_from_zero,
+              CAST(round_even(eighth, 2) AS DOUBLE) AS to_even
+       FROM (SELECT *, CAST(CAST(payment_amount AS DOUBLE) / 8 AS DECIMAL(18, 3)) AS eighth FROM fact_loan_payment)""",
+    dates="payment_date",
+)

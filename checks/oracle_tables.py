@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import re
 
-AS_OF = "DATE '2001-07-31'"
+# the as-of date is the day of the last order
+AS_OF = "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"
+FIRST_DAY = "(SELECT least(DATE '1995-01-01', min(CAST(o_orderdate AS DATE))) FROM orders)"
+BALANCES = f"CAST(date_trunc('month', {AS_OF}) - INTERVAL 5 MONTH AS DATE)"
 
 TABLES: dict[str, str] = {
     "dim_date": f"""
@@ -16,7 +19,7 @@ TABLES: dict[str, str] = {
                CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day,
                d = last_day(d) AND month(d) IN (3, 6, 9, 12) AS is_quarter_end,
                d = last_day(d) AS is_month_end
-        FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS d)""",
+        FROM (SELECT CAST(unnest(generate_series({FIRST_DAY}, {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS d)""",
     "dim_branch": """
         SELECT CAST(n_nationkey AS BIGINT) AS branch_id, n_name AS branch_name, n_name AS city, r_name AS region
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
@@ -44,7 +47,7 @@ TABLES: dict[str, str] = {
         UNION ALL
         SELECT 2000000000000000 + s_suppkey, NULL, 6, 0, DATE '1995-01-01', NULL, 'open', TRUE, FALSE, NULL
         FROM supplier""",
-    "originals": f"""
+    "originals": """
         SELECT o_orderkey AS transaction_id,
                CASE WHEN o_orderkey % 20 = 0 THEN 2000000000000000 + o_custkey % 10 ELSE o_custkey + 1 END AS account_id,
                CAST(o_orderdate AS DATE) AS transaction_date,
@@ -55,8 +58,7 @@ TABLES: dict[str, str] = {
                     WHEN '3-MEDIUM' THEN 'withdrawal' ELSE 'purchase' END AS transaction_type,
                CAST(CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice ELSE -o_totalprice END AS DECIMAL(12, 2)) AS amount,
                o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 1 AS fee_waived
-        FROM orders JOIN customer ON o_custkey = c_custkey
-        WHERE CAST(o_orderdate AS DATE) <= {AS_OF}""",
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
     "fact_transaction": f"""
         SELECT *, FALSE AS is_reversal, CAST(NULL AS BIGINT) AS reversal_of_transaction_id FROM originals
         UNION ALL
@@ -72,13 +74,13 @@ TABLES: dict[str, str] = {
         WHERE transaction_date >= {AS_OF} - 90 AND customer_id IS NOT NULL""",
     "dim_customer": """
         SELECT c_custkey AS customer_id, c_name AS customer_name, branch_id AS home_branch_id, region,
-               c_custkey IN (FROM recently_seen) AS is_active,
+               c_custkey IN (SELECT customer_id FROM recently_seen) AS is_active,
                DATE '1995-01-01' + CAST(c_custkey % 365 AS INTEGER) AS signup_date
         FROM customer JOIN dim_branch ON branch_id = c_nationkey""",
     "fact_daily_balance": f"""
         SELECT account_id, d AS balance_date,
                CAST(4850 + (account_id * 31 + day(d) * 17 + month(d) * 101) % 9001 AS DECIMAL(12, 2)) AS balance_amount
-        FROM (SELECT account_id, CAST(unnest(generate_series(DATE '2001-02-01', {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS d
+        FROM (SELECT account_id, CAST(unnest(generate_series({BALANCES}, {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS d
               FROM dim_account WHERE product_id IN (1, 2) AND status = 'open')""",
     "loan_months": f"""
         SELECT account_id, product_name, write_off_flag, write_off_date, open_date, m AS month_start,
@@ -118,16 +120,22 @@ TABLES: dict[str, str] = {
         SELECT account_id, month_start, CAST(round(outstanding * rate, 2) AS DECIMAL(12, 2)), 0, outstanding
         FROM loan_balances""",
     # the readings most queries are built on
-    "bank_owned": "SELECT account_id FROM dim_account WHERE is_internal",
-    "customer_ledger": "SELECT * FROM fact_transaction l WHERE EXISTS (FROM dim_account x WHERE x.account_id = l.account_id AND NOT x.is_internal)",
-    "undone": "SELECT DISTINCT reversal_of_transaction_id AS transaction_id FROM fact_transaction WHERE is_reversal",
-    "netted_ledger": "SELECT * FROM fact_transaction ANTI JOIN undone USING (transaction_id) WHERE NOT is_reversal",
-    "governed_ledger": "SELECT * FROM netted_ledger ANTI JOIN bank_owned USING (account_id)",
-    "stg_transactions": "SELECT * EXCLUDE (is_reversal, reversal_of_transaction_id) FROM governed_ledger",
+    "customer_ledger": """
+        SELECT t.* FROM fact_transaction t JOIN dim_account a ON t.account_id = a.account_id WHERE NOT a.is_internal""",
+    "undone": """
+        SELECT DISTINCT reversal_of_transaction_id AS transaction_id FROM fact_transaction
+        WHERE reversal_of_transaction_id IS NOT NULL""",
+    "netted_ledger": """
+        SELECT * FROM fact_transaction WHERE NOT is_reversal AND transaction_id NOT IN (SELECT transaction_id FROM undone)""",
+    "governed_ledger": """
+        SELECT t.* FROM netted_ledger t JOIN dim_account a ON t.account_id = a.account_id WHERE NOT a.is_internal""",
+    "stg_transactions": """
+        SELECT transaction_id, account_id, transaction_date, posting_date, branch_id, transaction_type, amount, fee_waived
+        FROM governed_ledger""",
     "int_account_balances_monthly": """
         SELECT account_id, CAST(date_trunc('month', balance_date) AS DATE) AS month_start,
                avg(CAST(balance_amount AS DOUBLE)) AS avg_daily_balance,
-               any_value(balance_amount) FILTER (day(balance_date + 1) = 1) AS month_end_balance
+               max(balance_amount) FILTER (balance_date = last_day(balance_date)) AS month_end_balance
         FROM fact_daily_balance GROUP BY ALL""",
     "int_loan_delinquency_monthly": """
         SELECT loan_account_id, CAST(date_trunc('month', payment_date) AS DATE) AS month_start,
@@ -135,21 +143,26 @@ TABLES: dict[str, str] = {
         FROM fact_loan_payment GROUP BY ALL""",
     "owner": "SELECT account_id, customer_id, product_id, home_branch_id, write_off_flag FROM dim_account",
     "dim_customers": """
-        SELECT c.* EXCLUDE (region), branch_name AS home_branch_name, b.region
-        FROM dim_customer c, dim_branch b WHERE b.branch_id = c.home_branch_id""",
+        SELECT c.customer_id, c.customer_name, c.is_active, c.signup_date, c.home_branch_id,
+               b.branch_name AS home_branch_name, b.region
+        FROM dim_customer c JOIN dim_branch b ON b.branch_id = c.home_branch_id""",
     "fct_transactions": """
-        SELECT g.* EXCLUDE (branch_id), o.customer_id, o.product_id,
+        SELECT g.transaction_id, g.account_id, g.transaction_date, g.posting_date, g.transaction_type, g.amount, g.fee_waived,
+               o.customer_id, o.product_id,
                here.branch_id AS transaction_branch_id, here.branch_name AS transaction_branch_name, here.region AS transaction_region,
                home.branch_id AS home_branch_id, home.branch_name AS home_branch_name, home.region AS home_region
-        FROM stg_transactions g, owner o, dim_branch here, dim_branch home
-        WHERE o.account_id = g.account_id AND here.branch_id = g.branch_id AND home.branch_id = o.home_branch_id""",
+        FROM stg_transactions g JOIN owner o ON o.account_id = g.account_id
+             JOIN dim_branch here ON here.branch_id = g.branch_id
+             JOIN dim_branch home ON home.branch_id = o.home_branch_id""",
     "fct_account_balances_monthly": """
-        SELECT * EXCLUDE (home_branch_id, write_off_flag) FROM int_account_balances_monthly JOIN owner USING (account_id)""",
+        SELECT account_id, customer_id, product_id, month_start, avg_daily_balance, month_end_balance
+        FROM int_account_balances_monthly JOIN owner USING (account_id)""",
     "fct_loans_monthly": """
-        SELECT d.*, customer_id, product_id, write_off_flag
+        SELECT loan_account_id, month_start, days_past_due, customer_id, product_id, write_off_flag
         FROM int_loan_delinquency_monthly d JOIN owner ON account_id = loan_account_id""",
     "fct_interest_monthly": """
-        SELECT * EXCLUDE (home_branch_id, write_off_flag) FROM fact_interest_monthly JOIN owner USING (account_id)""",
+        SELECT account_id, month_start, interest_income, interest_expense, outstanding_loan_balance, customer_id, product_id
+        FROM fact_interest_monthly JOIN owner USING (account_id)""",
 }
 
 

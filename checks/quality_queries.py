@@ -185,11 +185,11 @@ for _role, _allowed in ALLOWED.items():
 
 
 def role_through_sql(t: Tables) -> DataFrame:
-    """Plain SQL over the views of a restricted role: there is nothing unrestricted to reach."""
-    role_tables(t, "Restricted User").create_views("restricted_")
-    return t.spark.sql(
+    """Plain SQL in a restricted role's own session, after someone unrestricted made views in this one."""
+    marts(t).create_views()
+    return role_tables(t, "Restricted User").own_session().sql(
         """SELECT c.home_branch_name, count(*) AS transactions, CAST(sum(abs(f.amount)) AS double) AS volume
-           FROM restricted_fct_transactions f JOIN restricted_dim_customers c ON f.customer_id = c.customer_id
+           FROM fct_transactions f JOIN dim_customers c ON f.customer_id = c.customer_id
            GROUP BY c.home_branch_name"""
     )
 

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from checks.oracle_tables import TABLES
 from checks.registry import register
 from ledgerline import Tables
 from ledgerline.functions.calendar import Period
@@ -38,7 +39,7 @@ register(
     "question_net_fee_revenue_in_quarter",
     lambda t: q.fee_revenue(t, True, period=Period.quarter(2001, 1)),
     f"""SELECT -sum(t.amount) AS fee_revenue FROM fact_transaction t WHERE {NET_FEE}
-        AND (year(t.transaction_date), quarter(t.transaction_date)) = (2001, 1)""",
+        AND year(t.transaction_date) = 2001 AND quarter(t.transaction_date) = 1""",
     real="fee_revenue",
 )
 register(
@@ -53,7 +54,7 @@ register(
     "question_net_fee_revenue_of_products",
     lambda t: q.net_fee_revenue_by_product(t, ["Chequing", "Savings"], period=Period.year(1999)),
     f"""SELECT p.product_name, -sum(t.amount) AS fee_revenue FROM fact_transaction t JOIN owner USING (account_id)
-        JOIN dim_product p USING (product_id) WHERE {NET_FEE} AND p.product_id IN (1, 2) AND year(t.transaction_date) = 1999 GROUP BY 1""",
+        JOIN dim_product p USING (product_id) WHERE {NET_FEE} AND p.product_name IN ('Chequing', 'Savings') AND year(t.transaction_date) = 1999 GROUP BY 1""",
     real="fee_revenue",
 )
 for _day in ("posting_date", "transaction_date"):
@@ -94,7 +95,7 @@ register(
 register(
     "question_reversed_originals_by_year",
     lambda t: q.reversed_originals(t, "year"),
-    f"SELECT {start_of('year')}, count(*) AS reversed_transactions FROM fact_transaction t SEMI JOIN undone USING (transaction_id) GROUP BY 1",
+    f"SELECT {start_of('year')}, count(DISTINCT t.transaction_id) AS reversed_transactions FROM fact_transaction t JOIN undone u ON t.transaction_id = u.transaction_id GROUP BY 1",
     dates="period",
 )
 register(
@@ -301,7 +302,7 @@ def reversal_pairs(t: Tables) -> DataFrame:
         F.col("amount").alias("reversed_amount"),
     )
     original = rows.select("transaction_id", "transaction_date", "amount")
-    return lookup(reversal, original, "transaction_id", salt_on=["reversal_id"]).select(
+    return lookup(reversal, original, "transaction_id").select(
         "reversal_id",
         "transaction_id",
         F.datediff("reversed_on", "transaction_date").alias("days_later"),
@@ -319,6 +320,99 @@ register(
     real="net",
 )
 
+NOTHING = Period.year(1980)
+_IN_1980 = "year({}) = 1980"
+register(
+    "question_counts_over_nothing",
+    lambda t: q.transaction_count(t, "posting_date", period=NOTHING).select(F.lit("posted").alias("question"), "transactions")
+    .unionByName(q.transaction_count(t, period=NOTHING).select(F.lit("initiated").alias("question"), "transactions"))
+    .unionByName(q.transaction_count(t, period=NOTHING, internal=True).select(F.lit("with internal").alias("question"), "transactions"))
+    .unionByName(q.count_at_branch(t, "NATION_6", NOTHING).select(F.lit("at a branch").alias("question"), "transactions"))
+    .unionByName(q.reversed_originals(t, period=NOTHING).select(F.lit("reversed").alias("question"), F.col("reversed_transactions").alias("transactions"))),
+    f"""SELECT 'posted' AS question, count(*) AS transactions FROM customer_ledger WHERE {_IN_1980.format("posting_date")}
+        UNION ALL SELECT 'initiated', count(*) FROM customer_ledger WHERE {_IN_1980.format("transaction_date")}
+        UNION ALL SELECT 'with internal', count(*) FROM fact_transaction WHERE {_IN_1980.format("transaction_date")}
+        UNION ALL SELECT 'at a branch', count(*) FROM customer_ledger JOIN dim_branch USING (branch_id)
+                         WHERE branch_name = 'NATION_6' AND {_IN_1980.format("transaction_date")}
+        UNION ALL SELECT 'reversed', count(*) FROM fact_transaction JOIN undone USING (transaction_id) WHERE {_IN_1980.format("transaction_date")}""",
+)
+register(
+    "question_count_at_branch",
+    lambda t: q.count_at_branch(t, "NATION_6", Period.year(2000)),
+    """SELECT count(*) AS transactions FROM customer_ledger JOIN dim_branch USING (branch_id)
+       WHERE branch_name = 'NATION_6' AND year(transaction_date) = 2000""",
+)
+
+# ------------------------------------------------------------------ a ledger with odd rows
+
+ODD_IDS = 3 * 10**15
+
+
+def odd(t: Tables) -> Tables:
+    """The ledger and copies of some of its rows: of an unknown account, of no account, and reversed twice."""
+    rows = t.ref("fact_transaction")
+    k = F.col("transaction_id")
+    first = rows.where(~F.col("is_reversal"))
+    more = (
+        first.where(k % 50 == 1).withColumns({"transaction_id": k + ODD_IDS, "account_id": F.lit(-1).cast("long")})
+        .unionByName(first.where(k % 50 == 2).withColumns({"transaction_id": k + ODD_IDS, "account_id": F.lit(None).cast("long")}))
+        .unionByName(rows.where("is_reversal").withColumn("transaction_id", k + ODD_IDS))
+    )
+    return t.extend({"fact_transaction": lambda _: rows.unionByName(more)})
+
+
+def _odd_row(account: str, condition: str) -> str:
+    return f"""SELECT transaction_id + {ODD_IDS}, {account}, transaction_date, posting_date, branch_id, transaction_type, amount, fee_waived,
+                      is_reversal, reversal_of_transaction_id FROM sound WHERE {condition}"""
+
+
+ODD_LEDGER = {
+    "fact_transaction": f"""
+        WITH sound AS ({TABLES["fact_transaction"]})
+        SELECT * FROM sound
+        UNION ALL {_odd_row("-1", "NOT is_reversal AND transaction_id % 50 = 1")}
+        UNION ALL {_odd_row("NULL", "NOT is_reversal AND transaction_id % 50 = 2")}
+        UNION ALL {_odd_row("account_id", "is_reversal")}"""
+}
+register(
+    "odd_ledger_governed_volume_by_year",
+    lambda t: q.governed_volume(odd(t), grain="year"),
+    f"SELECT {start_of('year')}, sum(abs(t.amount)) AS volume FROM governed_ledger t GROUP BY 1",
+    real="volume",
+    dates="period",
+    extra=ODD_LEDGER,
+)
+register(
+    "odd_ledger_netted_volume_by_year",
+    lambda t: q.netted_volume(odd(t), "year"),
+    f"SELECT {start_of('year')}, sum(abs(t.amount)) AS volume FROM netted_ledger t GROUP BY 1",
+    real="volume",
+    dates="period",
+    extra=ODD_LEDGER,
+)
+register(
+    "odd_ledger_customer_count_by_year",
+    lambda t: q.transaction_count(odd(t), grain="year"),
+    f"SELECT {start_of('year')}, count(*) AS transactions FROM customer_ledger t GROUP BY 1",
+    dates="period",
+    extra=ODD_LEDGER,
+)
+register(
+    "odd_ledger_reversed_originals_by_year",
+    lambda t: q.reversed_originals(odd(t), "year"),
+    f"SELECT {start_of('year')}, count(DISTINCT t.transaction_id) AS reversed_transactions FROM fact_transaction t JOIN undone u ON t.transaction_id = u.transaction_id GROUP BY 1",
+    dates="period",
+    extra=ODD_LEDGER,
+)
+register(
+    "odd_ledger_fct_transactions",
+    lambda t: odd(t).ref("fct_transactions"),
+    "SELECT * FROM fct_transactions",
+    real="amount",
+    dates="transaction_date, posting_date",
+    extra=ODD_LEDGER,
+)
+
 # ------------------------------------------------------------------ golden answers
 
 Y = {y: Period.year(y) for y in (1999, 2000)}
@@ -329,7 +423,10 @@ def _ledger(id_: str, tag: str, aggregate: str, condition: str, period: Period,
     function, column = aggregate.split()
     sign = "-" if column == "amount" else ""
     text = f"Total {column.replace('_', ' ')} by {day} date from {period.start} until {period.end}?"
-    return q.Question(id_, tag, "ledger", f"{sign}{function}(CASE WHEN {condition} AND {month} THEN {column} END)", text)
+    answer = f"{sign}{function}(CASE WHEN {condition} AND {month} THEN {column} END)"
+    if column in ("transactions", "reversed_rows"):  # counts, summed from the months' counts
+        answer = f"coalesce({answer}, 0)"
+    return q.Question(id_, tag, "ledger", answer, text)
 
 
 _FEE = "transaction_type = 'fee' AND NOT is_reversal"
@@ -426,8 +523,8 @@ def _golden_sql() -> dict[str, str]:
     by_product = "fact_transaction t JOIN owner USING (account_id) JOIN dim_product USING (product_id)"
     by_home = "governed_ledger JOIN owner USING (account_id) JOIN dim_branch ON dim_branch.branch_id = home_branch_id"
     by_place = "customer_ledger JOIN dim_branch USING (branch_id)"
-    reversed_rows = "fact_transaction SEMI JOIN undone USING (transaction_id)"
-    holders = "dim_customer SEMI JOIN (SELECT customer_id FROM dim_account WHERE status = 'open') USING (customer_id)"
+    reversed_rows = "fact_transaction JOIN undone USING (transaction_id)"
+    holders = "dim_customer JOIN (SELECT DISTINCT customer_id FROM dim_account WHERE status = 'open') USING (customer_id)"
     gross, net = "transaction_type = 'fee' AND NOT is_reversal", "transaction_type = 'fee' AND NOT is_reversal AND NOT fee_waived"
     late = "100.0 * count(*) FILTER (dpd >= 30) / count(*)"
 
@@ -444,7 +541,7 @@ def _golden_sql() -> dict[str, str]:
     asked = {
         "dev-01": (fees, "fact_transaction", f"{net} AND {quarter(2001, 1)}"),
         "dev-02": (fees, "fact_transaction", f"{gross} AND {year(2000)}"),
-        "dev-03": (fees, by_product, f"{net} AND product_id IN (1, 2) AND {year(1999)}"),
+        "dev-03": (fees, by_product, f"{net} AND product_name IN ('Chequing', 'Savings') AND {year(1999)}"),
         "dev-04": (rows, "customer_ledger", quarter(2000, 1, "posting_date")),
         "dev-05": (rows, "customer_ledger", quarter(2000, 1)),
         "dev-06": (volume, "governed_ledger", quarter(2000, 3)),
@@ -456,9 +553,9 @@ def _golden_sql() -> dict[str, str]:
         "dev-12": (mean, "fact_daily_balance", month(2001, 4)),
         "dev-13": (late, _standing(spring), "true"),
         "dev-14": (rows, _standing(spring), "dpd >= 60"),
-        "dev-15": (rows, "owner", "product_id IN (3, 4) AND write_off_flag"),
+        "dev-15": (rows, "owner JOIN dim_product USING (product_id)", "product_type = 'loan' AND write_off_flag"),
         "dev-16": (volume, "netted_ledger", year(1999)),
-        "dev-17": (rows, reversed_rows, year(1999)),
+        "dev-17": ("count(DISTINCT transaction_id)", reversed_rows, year(1999)),
         "dev-18": (volume, "fact_transaction", year(2000)),
         "dev-19": (volume, "governed_ledger", year(1999)),
         "dev-20": (rows, "customer_ledger", year(1999)),
@@ -468,7 +565,7 @@ def _golden_sql() -> dict[str, str]:
         "dev-24": (volume, by_home, f"branch_name = 'NATION_4' AND {year(2000)}"),
         "holdout-01": (fees, "fact_transaction", f"{net} AND {year(1999)}"),
         "holdout-02": (fees, "fact_transaction", f"{net} AND {year(2000)}"),
-        "holdout-03": (fees, by_product, f"{net} AND product_id = 5 AND {year(2000)}"),
+        "holdout-03": (fees, by_product, f"{net} AND product_name = 'Credit Card' AND {year(2000)}"),
         "holdout-04": (rows, "customer_ledger", quarter(2000, 4, "posting_date")),
         "holdout-05": (rows, "customer_ledger", quarter(2000, 4)),
         "holdout-06": (volume, "governed_ledger", quarter(2001, 2, "posting_date")),
@@ -481,7 +578,7 @@ def _golden_sql() -> dict[str, str]:
         "holdout-13": (late, _standing(summer), "true"),
         "holdout-14": (rows, _standing(summer), "dpd >= 60"),
         "holdout-15": (volume, "netted_ledger", year(2000)),
-        "holdout-16": (rows, reversed_rows, year(2000)),
+        "holdout-16": ("count(DISTINCT transaction_id)", reversed_rows, year(2000)),
         "holdout-17": (volume, "governed_ledger", year(2000)),
         "holdout-18": (rows, "customer_ledger", year(2000)),
         "holdout-19": (volume, by_home, f"branch_name = 'NATION_5' AND {year(2000)}"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +12,7 @@ from pyspark.sql.types import ByteType, DateType, DecimalType, FloatType, Intege
 
 from checks.oracle_tables import with_tables
 from ledgerline import Tables, with_models
+from ledgerline.session import fresh_path, remove
 from ledgerline.sources.projection import from_orders
 from ledgerline.sources.tables import Loader
 
@@ -27,6 +31,29 @@ def bank(spark: SparkSession, folder: str) -> Tables:
     return _BANKS[key]
 
 
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path for a table that a query writes, removed when the program ends. Local sessions without a shared folder get one."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        path = fresh_path(spark, label)
+    elif spark.conf.get("spark.master", "").startswith("local["):
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = tempfile.mkdtemp(prefix="ledgerline-")
+        path = f"{_OWN[application]}/{label}-{uuid.uuid4().hex}"
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session may have ended first
+        remove(spark, path)
+
+
 def _file(folder: str, name: str) -> Loader:
     return lambda tables: tables.spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -1,92 +1,22 @@
-"""Join forms shared by the models: skew-proof lookups, anti joins, latest-as-of, fan-out guard."""
+"""Join forms shared by the models: lookups, anti joins, latest-as-of, fan-out guard."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS_TRACKED = 64      # most keys that can ever be treated as hot
-HOT_KEY_SHARE = 0.002      # a key is hot above this share of the rows
-SALTS = 64                 # pieces a hot key is cut into
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan; no job runs. Unknown sizes count as large."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except AttributeError:  # a remote session does not show its plans
-        return sys.maxsize
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    value = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        return int(value)
-    except ValueError:  # written with a unit, e.g. 10485760b or 10MB
-        digits = value.lower().rstrip("b")
-        units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-        if digits and digits[-1] in units:
-            return int(float(digits[:-1]) * units[digits[-1]])
-        return int(digits)
-
-
-def hot_keys(df: DataFrame, key: str) -> list[int]:
-    """Keys that hold more than ``HOT_KEY_SHARE`` of the rows.
-
-    One pass over the key column with a mergeable heavy-hitter sketch: each task sends back a
-    bounded summary, the result has at most ``HOT_KEYS_TRACKED`` entries. Which keys come back only
-    steers the physical route of a join, never its result.
-    """
-    row = (
-        df.where(F.col(key).isNotNull())
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.expr(f"approx_top_k({key}, {HOT_KEYS_TRACKED}, 10000)").alias("top"),
-        )
-        .first()
-    )
-    floor = max(2, row["n"] * HOT_KEY_SHARE)
-    return [item["item"] for item in row["top"] if item["count"] >= floor]
-
-
-def lookup(
-    fact: DataFrame,
-    dim: DataFrame,
-    key: str,
-    how: str = "inner",
-    salt_on: Sequence[str] | None = None,
-    measured_on: DataFrame | None = None,
-) -> DataFrame:
+def lookup(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Many-to-one equi-join of ``fact`` to a ``dim`` that is unique on ``key``.
 
-    While Spark's size estimate lets it broadcast the dimension, nothing of the fact moves and skew
-    cannot matter. Beyond that both sides shuffle: keys found hot are cut into ``SALTS`` pieces by a
-    hash of the fact's own columns (repeatable, so a retried task puts rows in the same place) and
-    only their few dimension rows are repeated.
-
-    ``measured_on`` names a cheaper frame to find the hot keys in, such as the stored table under a
-    fact that is itself the result of joins.
+    The plan is left to Spark, and no job runs while it is built: a dimension under the broadcast threshold leaves the fact
+    where it lies, a larger one meets it in a shuffle whose hot partitions, whether one key fills them or rows
+    without a key, adaptive execution splits by their measured size at run time.
     """
-    if estimated_bytes(dim) <= broadcast_limit(dim):
-        return fact.join(dim, key, how)
-    hot = hot_keys(measured_on if measured_on is not None else fact, key)
-    keeps_unmatched = how not in ("inner", "left_semi")
-    if not hot and not keeps_unmatched:
-        return fact.join(dim, key, how)
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    if keeps_unmatched:  # rows without a key match nothing wherever they go, so they spread out too
-        is_hot = is_hot | F.col(key).isNull()
-    spread = [F.col(c) for c in (salt_on or fact.columns)]
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        fact.withColumn("_salt", salt)
-        .join(dim.withColumn("_salt", F.explode(copies)), [key, "_salt"], how)
-        .drop("_salt")
-    )
+    return fact.join(dim, key, how)
 
 
 def sums_through_key(
@@ -95,18 +25,15 @@ def sums_through_key(
     key: str,
     by: Sequence[Column],
     sums: Sequence[Column],
-    then_by: Sequence[str],
+    dim_by: Sequence[str] = (),
     how: str = "inner",
 ) -> DataFrame:
-    """Additive aggregates of ``fact`` grouped by columns of ``dim``.
+    """Aggregates of ``fact`` grouped by ``by`` and by columns of ``dim``, which is unique on ``key``.
 
-    Sums and counts are first taken per key (with map-side combine, so a hot key leaves each task as
-    one row per group), only those group rows meet the dimension, and the sums are summed again.
+    The fact meets the dimension first, so it moves at most once and not at all while the dimension can be
+    broadcast; the aggregates then combine in the tasks. A count over nothing is 0.
     """
-    partial = fact.groupBy(F.col(key), *by).agg(*sums)
-    names = [c for c in partial.columns if c != key][len(by):]
-    joined = partial.join(dim, key, how)
-    return joined.groupBy(*then_by).agg(*[F.sum(n).alias(n) for n in names])
+    return lookup(fact, dim, key, how).groupBy(*by, *dim_by).agg(*sums)
 
 
 def without(df: DataFrame, ids: DataFrame, key: str, id_column: str) -> DataFrame:
@@ -137,11 +64,11 @@ class FanOut(ValueError):
     """The join key is not unique on the one-side."""
 
 
-def require_unique(df: DataFrame, key: str) -> DataFrame:
-    """Refuses a many-to-one join whose right side repeats its key."""
-    repeats = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    if not repeats.isEmpty():
-        raise FanOut(f"{key} is not unique; aggregate to it before joining")
+def require_unique(df: DataFrame, *key: str) -> DataFrame:
+    """Refuses a table that repeats its key. Runs a job, so it belongs where a table has just been written."""
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    if not df.where(known).groupBy(*key).count().where("count > 1").isEmpty():
+        raise FanOut(f"{', '.join(key)} is not unique; aggregate to it before joining")
     return df
 
 

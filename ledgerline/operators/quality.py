@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import orphans
@@ -102,23 +102,28 @@ def unaccepted_values(df: DataFrame, column: str, values: Sequence[str]) -> Data
 
 def _report(counts: DataFrame, tests: Sequence[ColumnTest]) -> DataFrame:
     """One row per test from a single row whose columns are the tests' counts."""
-    rows = ", ".join(
-        f"named_struct('table_name', '{t.table}', 'column_name', '{t.column}', 'test', '{t.kind}', 'failures', coalesce(_{i}, 0L))"
+    rows = [
+        F.struct(
+            F.lit(t.table).alias("table_name"), F.lit(t.column).alias("column_name"), F.lit(t.kind).alias("test"),
+            F.coalesce(F.col(f"_{i}"), F.lit(0).cast("long")).alias("failures"),
+        )
         for i, t in enumerate(tests)
-    )
-    return counts.selectExpr(f"inline(array({rows}))")
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def _column(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
-def _is_bad(test: ColumnTest) -> str:
-    if test.kind == "not_null":
-        return f"{test.column} IS NULL"
-    values = ", ".join(f"'{v}'" for v in test.values)
-    return f"{test.column} NOT IN ({values})"
+def _is_bad(test: ColumnTest) -> Column:
+    column = _column(test.column)
+    return column.isNull() if test.kind == "not_null" else ~column.isin(*test.values)
 
 
 def _row_tests(df: DataFrame, tests: Sequence[ColumnTest]) -> DataFrame:
     """All null and accepted-value checks of a table in one aggregate."""
-    return _report(df.selectExpr(*[f"count_if({_is_bad(t)}) AS _{i}" for i, t in enumerate(tests)]), tests)
+    return _report(df.agg(*[F.count_if(_is_bad(t)).alias(f"_{i}") for i, t in enumerate(tests)]), tests)
 
 
 def _keyed_tests(df: DataFrame, key: str, tests: Sequence[ColumnTest]) -> DataFrame:
@@ -127,12 +132,12 @@ def _keyed_tests(df: DataFrame, key: str, tests: Sequence[ColumnTest]) -> DataFr
     Rows are counted per key before the shuffle, so a value that repeats a lot travels once per task.
     """
     others = {i: t for i, t in enumerate(tests) if t.kind != "unique"}
-    per_key = df.groupBy(key).agg(
-        F.expr("count(1) AS rows"), *[F.expr(f"count_if({_is_bad(t)}) AS _{i}") for i, t in others.items()]
+    per_key = df.groupBy(_column(key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(_is_bad(t)).alias(f"_{i}") for i, t in others.items()]
     )
-    repeated = f"count_if(rows > 1 AND {key} IS NOT NULL)"
+    repeated = F.count_if((F.col("_rows") > 1) & F.col("_key").isNotNull())
     return _report(
-        per_key.selectExpr(*[(f"sum(_{i})" if i in others else repeated) + f" AS _{i}" for i in range(len(tests))]), tests
+        per_key.agg(*[(F.sum(f"_{i}") if i in others else repeated).alias(f"_{i}") for i in range(len(tests))]), tests
     )
 
 

@@ -44,19 +44,19 @@ def calendar_between(bounds: DataFrame, start: str, end: str) -> DataFrame:
     return days.select(*calendar_columns(F.col("d")))
 
 
-def effective_close(close_date: Column, as_of: date) -> Column:
+def effective_close(close_date: Column, as_of: date | Column) -> Column:
     return F.coalesce(close_date, F.lit(as_of))
 
 
-def loan_end(write_off_flag: Column, write_off_date: Column, as_of: date) -> Column:
+def loan_end(write_off_flag: Column, write_off_date: Column, as_of: date | Column) -> Column:
     return F.when(write_off_flag, write_off_date).otherwise(F.lit(as_of))
 
 
 def monthly_series(df: DataFrame, opened: Column, ended: Column) -> DataFrame:
     """One row per calendar month from the opening month to the end, with its index from zero."""
-    first = month_start(opened)
-    months = F.sequence(first, ended, F.expr("interval 1 month"))
-    return df.where(ended >= first).select("*", F.posexplode(months).alias("month_index", "month_start"))
+    spans = df.withColumns({"_first": month_start(opened), "_ended": ended}).where("_ended >= _first")
+    months = F.sequence("_first", "_ended", F.expr("interval 1 month"))
+    return spans.select(*df.columns, F.posexplode(months).alias("month_index", "month_start"))
 
 
 def signed_amount(transaction_type: Column, amount: Column) -> Column:
@@ -113,7 +113,7 @@ def loan_interest(loan_months: DataFrame) -> DataFrame:
 
 
 def active_customer_ids(
-    transactions: DataFrame, accounts: DataFrame, as_of: date, window_days: int = ACTIVE_WINDOW_DAYS
+    transactions: DataFrame, accounts: DataFrame, as_of: date | Column, window_days: int = ACTIVE_WINDOW_DAYS
 ) -> DataFrame:
     """Customers with a transaction on any account in the trailing window.
 

@@ -1,7 +1,8 @@
 """Access roles enforced on the tables: row filters, hidden columns and hidden tables.
 
-A role gets its own catalog. Metrics, models and SQL views built from it read restricted inputs only,
-so there is no path around the policy.
+A role gets its own catalog. Metrics and models built from it read restricted inputs only, and its SQL runs in a session of
+its own (``Tables.own_session``), where no view of another holder exists. Who can name the files themselves is the
+store's matter, not this module's.
 """
 
 from __future__ import annotations
@@ -43,38 +44,36 @@ def standard_roles(branch: str = "Mississauga West", region: str = "Eastern-ON")
     }
 
 
-def _facts_of(tables: Tables, customers: DataFrame, hidden: Sequence[str]) -> dict[str, Loader]:
-    allowed = customers.select("customer_id")
+def _restricted(name: str, customers: Loader) -> Loader:
+    return lambda tables: lookup(tables.base.ref(name), customers(tables).select("customer_id"), "customer_id", "left_semi")
 
-    def restricted(name: str) -> Loader:
-        return lambda _: lookup(tables.ref(name), allowed, "customer_id", "left_semi")
 
-    return {name: restricted(name) for name in CUSTOMER_FACTS if name in tables.names() and name not in hidden}
+def _facts_of(marts: Tables, customers: Loader, hidden: Sequence[str] = ()) -> dict[str, Loader]:
+    return {n: _restricted(n, customers) for n in CUSTOMER_FACTS if n in marts.names() and n not in hidden}
 
 
 def for_role(marts: Tables, role: Role) -> Tables:
     """The catalog a role may read. Hidden tables are absent, hidden columns are gone from the schema."""
-    loaders: dict[str, Loader] = {
-        name: _same(marts, name) for name in marts.names() if name not in role.hidden_tables
-    }
+    mine = marts.only({name: name for name in marts.names() if name not in role.hidden_tables})
     if role.customer_filter is not None:
-        customers = marts.ref(CUSTOMERS).where(role.customer_filter())
-        loaders[CUSTOMERS] = lambda _: customers
-        loaders.update(_facts_of(marts, customers, role.hidden_tables))
+        def customers(tables: Tables) -> DataFrame:
+            return tables.base.ref(CUSTOMERS).where(role.customer_filter())
+
+        mine = mine.extend({CUSTOMERS: customers, **_facts_of(marts, customers, role.hidden_tables)})
     for table, columns in role.hidden_columns.items():
-        loaders[table] = _dropping(loaders[table], columns)
-    return Tables(marts.spark, loaders)
+        mine = mine.extend({table: _dropping(mine._loaders[table], columns)})
+    return mine
 
 
 def for_identity(marts: Tables, entitlements: DataFrame, identity: str) -> Tables:
     """Rows of the branches a person is entitled to, from a bridge table (identity, home_branch_name)."""
     mine = entitlements.where(F.col("identity") == identity).select("home_branch_name").distinct()
-    customers = marts.ref(CUSTOMERS).join(mine, "home_branch_name", "left_semi")
-    return marts.extend({CUSTOMERS: lambda _: customers, **_facts_of(marts, customers, ())})
 
+    def customers(tables: Tables) -> DataFrame:
+        return tables.base.ref(CUSTOMERS).join(mine, "home_branch_name", "left_semi")
 
-def _same(tables: Tables, name: str) -> Loader:
-    return lambda _: tables.ref(name)
+    allowed = marts.only({name: name for name in marts.names()})
+    return allowed.extend({CUSTOMERS: customers, **_facts_of(marts, customers)})
 
 
 def _dropping(load: Loader, columns: Sequence[str]) -> Loader:
@@ -91,6 +90,7 @@ def with_report_names(marts: Tables) -> Tables:
     """Columns renamed the way reports show them; names a role hides stay hidden."""
 
     def renamed(name: str) -> Loader:
-        return lambda _: marts.ref(name).withColumnsRenamed(REPORT_NAMES[name])
+        return lambda tables: tables.base.ref(name).withColumnsRenamed(REPORT_NAMES[name])
 
-    return marts.extend({name: renamed(name) for name in REPORT_NAMES if name in marts.names()})
+    same = marts.only({name: name for name in marts.names()})
+    return same.extend({name: renamed(name) for name in REPORT_NAMES if name in marts.names()})

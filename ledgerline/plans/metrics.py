@@ -38,7 +38,7 @@ class SemanticModel:
 @dataclass(frozen=True)
 class Metric:
     kind: str                              # simple | ratio | derived
-    label: str
+    label: str                             # what a reader sees, see ``labels``
     model: str = ""
     measure: str = ""
     where: str | None = None               # SQL condition ANDed with the query's own filters
@@ -46,6 +46,7 @@ class Metric:
     combine: str = ""                      # SQL over the parts, {0} {1} ...
 
 
+# Entities, dimensions and measure expressions as the semantic models declare them.
 MODELS: dict[str, SemanticModel] = {
     "transactions": SemanticModel(
         mart="fct_transactions",
@@ -64,7 +65,7 @@ MODELS: dict[str, SemanticModel] = {
         },
         measures={
             "transaction_amount_abs": ("sum", "abs(amount)"),
-            "fee_amount": ("sum", "if(transaction_type = 'fee', -amount, 0)"),
+            "fee_amount": ("sum", "case when transaction_type = 'fee' then -amount else 0 end"),
             "transaction_rows": ("count", "1"),
         },
     ),
@@ -115,9 +116,9 @@ MODELS: dict[str, SemanticModel] = {
         },
         measures={
             "loan_count": ("count_distinct", "loan_account_id"),
-            "delinquent_30d_indicator": ("sum", "if(days_past_due >= 30, 1, 0)"),
-            "delinquent_90d_indicator": ("sum", "if(days_past_due >= 90, 1, 0)"),
-            "write_off_indicator": ("sum", "if(write_off_flag, 1, 0)"),
+            "delinquent_30d_indicator": ("sum", "case when days_past_due >= 30 then 1 else 0 end"),
+            "delinquent_90d_indicator": ("sum", "case when days_past_due >= 90 then 1 else 0 end"),
+            "write_off_indicator": ("sum", "case when write_off_flag then 1 else 0 end"),
             "loan_months": ("count", "1"),
         },
     ),
@@ -172,6 +173,11 @@ METRICS: dict[str, Metric] = {
 }
 
 
+def labels(names: Sequence[str] | None = None) -> dict[str, str]:
+    """The names readers see, by metric."""
+    return {name: METRICS[name].label for name in names or METRICS}
+
+
 def simple_parts(name: str) -> list[str]:
     """The simple metrics a metric rests on, through any depth of ratios and derivations."""
     metric = METRICS[name]
@@ -190,9 +196,7 @@ def _value(name: str) -> str:
 def _spec(name: str) -> Spec:
     metric = METRICS[name]
     agg, value = MODELS[metric.model].measures[metric.measure]
-    if metric.where:
-        value = f"if({metric.where}, {value}, {'0' if agg == 'sum' else 'NULL'})"
-    return Spec(name, agg, value)
+    return Spec(name, agg, value, metric.where, "0" if agg == "sum" else "")
 
 
 class ModelFrame:
@@ -209,9 +213,9 @@ class ModelFrame:
     ):
         self.tables, self.model = tables, model
         self.time = time or model.time
-        self.frame = within(tables.ref(model.mart), span, self.time)
         if self.time not in (model.time, *model.other_times):
             raise ValueError(f"{model.mart} has no time {self.time!r}")
+        self.frame = within(tables.ref(model.mart), span, self.time)
         wanted = list(dict.fromkeys([*by, *where]))
         self.customer = [d.removeprefix("customer__") for d in wanted if d.startswith("customer__")]
         self.calendar = [d.removeprefix("date__") for d in wanted if d.startswith("date__")]
@@ -225,6 +229,14 @@ class ModelFrame:
             days = tables.ref("dim_dates").select(
                 F.col("date_key").alias(self.time), *[F.col(c).alias(f"date__{c}") for c in self.calendar]
             )
+            chosen = days
+            for d in self.calendar:
+                if f"date__{d}" in where:
+                    chosen = chosen.where(where[f"date__{d}"](F.col(f"date__{d}")))
+            if any(f"date__{d}" in where for d in self.calendar):
+                # the days that can match span a range, and a range reaches the files
+                first, last = (chosen.agg(f(self.time).alias("day")).scalar() for f in (F.min, F.max))
+                self.frame = self.frame.where((F.col(self.time) >= first) & (F.col(self.time) <= last))
             self.frame = self.frame.join(days, self.time, "left")
         for d, condition in where.items():
             if not d.startswith("customer__"):
@@ -252,7 +264,7 @@ class ModelFrame:
                 raise ValueError(f"{self.model.mart} is kept by {self.model.base_grain}, not by {grain}")
             by[PERIOD] = period_start_sql(grain, self.time)
         if not self.customer:
-            return aggregate(self.frame, by, specs)
+            return aggregate(self.frame, by, specs, self.model.grain)
         key = self.model.entities["customer"]
         customers = self.tables.ref("dim_customers").select(
             F.col("customer_id").alias(key), *[F.col(c).alias(f"customer__{c}") for c in self.customer]
@@ -260,7 +272,7 @@ class ModelFrame:
         for d, condition in self.customer_where.items():
             customers = customers.where(condition(F.col(d)))
         how = "inner" if self.customer_where else "left"
-        return aggregate_through(self.frame, key, by, specs, customers, self.customer_by, how)
+        return aggregate_through(self.frame, key, by, specs, customers, self.customer_by, how, self.model.grain)
 
 
 def query(
@@ -303,7 +315,8 @@ def compare_periods(series: DataFrame, value: str, by: Sequence[str] = (), month
     """Each period next to the one ``months`` earlier, with the change.
 
     A period is also emitted under its successor's date and the two meet in a group-by, so no window
-    runs over the whole series and missing periods are not skipped over.
+    runs over the whole series and missing periods are not skipped over. A period with nothing of its own stays, up to
+    the last of the series: it fell by all that was before.
     """
     kind = series.schema[value].dataType.simpleString()
     shifted = f"""inline(array(
@@ -313,21 +326,37 @@ def compare_periods(series: DataFrame, value: str, by: Sequence[str] = (), month
         series.selectExpr(*by, shifted)
         .groupBy(*by, PERIOD)
         .agg(F.max("current").alias("current"), F.max("previous").alias("previous"))
-        .where("current IS NOT NULL")
-        .selectExpr("*", "current - previous AS delta")
+        .where(F.col("current").isNotNull() | (F.col(PERIOD) <= series.agg(F.max(PERIOD)).scalar()))
+        .selectExpr("*", "if(previous IS NULL, NULL, coalesce(current, 0) - previous) AS delta")
     )
 
 
 # columns that may be totalled without naming a metric; averages, keys and calendar parts may not
 ADDITIVE = {
     "fct_transactions": ("amount",),
-    "fct_interest_monthly": ("interest_income", "interest_expense", "outstanding_loan_balance"),
+    "fct_interest_monthly": ("interest_income", "interest_expense"),
+    "fct_account_balances_monthly": (),
+}
+# balances at a point in time: they add up across accounts, never across months
+SNAPSHOTS = {
+    "fct_interest_monthly": ("outstanding_loan_balance",),
     "fct_account_balances_monthly": ("month_end_balance",),
 }
 
 
-def implicit_totals(tables: Tables, mart: str, by: Sequence[str] = ()) -> DataFrame:
-    return tables.ref(mart).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ADDITIVE[mart]])
+def implicit_totals(tables: Tables, mart: str, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Totals of a mart's columns; by default all that may be totalled in these groups."""
+    snapshots = SNAPSHOTS.get(mart, ())
+    by_month = "month_start" in by
+    wanted = columns if columns is not None else [*ADDITIVE[mart], *(snapshots if by_month else ())]
+    for c in wanted:
+        if c in snapshots and not by_month:
+            raise ValueError(f"{c} is a balance at the end of a month; total it by month_start")
+        if c not in (*ADDITIVE[mart], *snapshots):
+            raise ValueError(f"{c} of {mart} cannot be totalled")
+    if not wanted:
+        raise ValueError(f"{mart} has nothing to total but balances; total them by month_start")
+    return tables.ref(mart).groupBy(*by).agg(*[F.sum(c).alias(c) for c in wanted])
 
 
 def dimension_values(tables: Tables, mart: str, column: str) -> DataFrame:

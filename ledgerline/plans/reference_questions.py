@@ -1,8 +1,7 @@
 """The reference questions: parameterised templates, each usable for one period or grouped.
 
 Raw readings work on the ledger as booked, governed readings net reversed pairs and leave internal
-accounts out. Where an account attribute is needed, sums are taken per account first and only those
-meet the account table.
+accounts out.
 """
 
 from __future__ import annotations
@@ -51,10 +50,8 @@ def net_fee_revenue_by_product(
         product = product.where(F.col("product_name").isin(*products))
     account = tables.ref("dim_account").select("account_id", "product_id").join(product, "product_id")
     by = _grouping(grain, "transaction_date")
-    names = ["product_name", *([PERIOD] if grain else [])]
-    return sums_through_key(
-        _fees(tables, True, period), account, "account_id", by, [(-F.sum("amount")).alias("fee_revenue")], names
-    )
+    revenue = [(-F.sum("amount")).alias("fee_revenue")]
+    return sums_through_key(_fees(tables, True, period), account, "account_id", by, revenue, ["product_name"])
 
 
 def transaction_count(
@@ -70,7 +67,7 @@ def transaction_count(
     if internal:
         return rows.groupBy(*by).agg(n)
     accounts = customer_accounts(tables).select("account_id")
-    return sums_through_key(rows, accounts, "account_id", by, [n], [PERIOD] if grain else [])
+    return sums_through_key(rows, accounts, "account_id", by, [n])
 
 
 def naive_volume(tables: Tables, grain: str | None = None, period: Period | None = None) -> DataFrame:
@@ -90,7 +87,7 @@ def governed_volume(
     rows = within(netted_transactions(tables), period, day)
     volume = [F.sum(F.abs("amount")).alias("volume")]
     accounts = customer_accounts(tables).select("account_id")
-    return sums_through_key(rows, accounts, "account_id", _grouping(grain, day), volume, [PERIOD] if grain else [])
+    return sums_through_key(rows, accounts, "account_id", _grouping(grain, day), volume)
 
 
 def governed_volume_by_home_branch(
@@ -104,9 +101,8 @@ def governed_volume_by_home_branch(
         home = home.where(F.col("home_branch_name") == branch)
     accounts = customer_accounts(tables).select("account_id", "home_branch_id").join(home, "home_branch_id")
     volume = [F.sum(F.abs("amount")).alias("volume")]
-    names = ["home_branch_name", *([PERIOD] if grain else [])]
     return sums_through_key(
-        rows, accounts, "account_id", _grouping(grain, "transaction_date"), volume, names
+        rows, accounts, "account_id", _grouping(grain, "transaction_date"), volume, ["home_branch_name"]
     )
 
 
@@ -119,20 +115,25 @@ def count_at_transaction_branch(
     if branch:
         here = here.where(F.col("transaction_branch_name") == branch)
     accounts = customer_accounts(tables).select("account_id")
-    names = ["branch_id", *([PERIOD] if grain else [])]
     per_branch = sums_through_key(
         rows,
         accounts,
         "account_id",
         [F.col("branch_id"), *_grouping(grain, "transaction_date")],
         [F.count(F.lit(1)).alias("transactions")],
-        names,
     )
     return per_branch.join(here, "branch_id").drop("branch_id")
 
 
+def count_at_branch(tables: Tables, branch: str, period: Period | None = None) -> DataFrame:
+    """One number: customers' transactions at a branch, 0 if there were none."""
+    return count_at_transaction_branch(tables, None, period, branch).agg(
+        F.coalesce(F.sum("transactions"), F.lit(0).cast("long")).alias("transactions")
+    )
+
+
 def reversed_originals(tables: Tables, grain: str | None = None, period: Period | None = None) -> DataFrame:
-    """Distinct transactions later reversed, by the original's own date."""
+    """Transactions later reversed, by the original's own date; their id tells them apart."""
     reversals = (
         reversed_ids(tables)
         .where(F.col("reversal_of_transaction_id").isNotNull())
@@ -144,7 +145,7 @@ def reversed_originals(tables: Tables, grain: str | None = None, period: Period
         originals.select("transaction_id", "transaction_date")
         .join(reversals, "transaction_id", "left_semi")
         .groupBy(*_grouping(grain, "transaction_date"))
-        .agg(F.count_distinct("transaction_id").alias("reversed_transactions"))
+        .agg(F.count(F.lit(1)).alias("reversed_transactions"))  # the semi join keeps a transaction once
     )
 
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import Period
 from ledgerline.functions.numbers import RATIO
 from ledgerline.operators.aggregate import Spec
-from ledgerline.plans.metrics import MODELS, ModelFrame, Where
+from ledgerline.plans.metrics import MODELS, ModelFrame, SemanticModel, Where
 from ledgerline.sources.tables import Tables
 
 
@@ -85,50 +87,55 @@ def evaluate(
 ) -> DataFrame:
     """Measures of one table for every group the filters leave visible.
 
-    Terms whose replaced columns the query does not mention share one pass over the table. The others
-    are aggregated without the replaced groups and filters and put back next to the visible groups.
+    The table is read once, down to the groups' finest keys: the reader's groups and whatever filtered column a
+    measure replaces. Each term then adds up the fine rows that its own filters leave, over the groups it
+    does not replace, so only these few rows are seen more than once.
     """
     where = where or {}
     models = {MEASURES[m].model for m in measures}
     if len(models) != 1:
         raise ValueError("measures of one table at a time")
     model = MODELS[models.pop()]
-    passes: dict[tuple, list[Spec]] = {(tuple(by), tuple(where)): []}
-    names: dict[str, list[str]] = {}
-    for m in measures:
-        names[m] = []
-        for i, term in enumerate(MEASURES[m].terms):
-            alias = f"{m}:{i}"
-            names[m].append(alias)
-            value = term.expression
-            if term.replaces:
-                value = f"CASE WHEN {' AND '.join(term.replaces.values())} THEN {value} END"
-            seen = tuple(d for d in by if d not in term.replaces), tuple(d for d in where if d not in term.replaces)
-            passes.setdefault(seen, []).append(Spec(alias, term.agg, value))
-    shown = Spec("_shown", "count", "1")
-    result = None
-    for (groups, filters), specs in passes.items():
-        frame = ModelFrame(tables, model, groups, {d: where[d] for d in filters}, date_role, span)
-        if result is None:
-            result = frame.aggregate([shown, *specs])
-            continue
-        result = _beside(result, frame.aggregate(specs), groups)
-    columns = [MEASURES[m].combine.format(*[f"`{c}`" for c in names[m]]) + f" AS `{m}`" for m in measures]
-    visible = result.where("_shown > 0") if by else result
-    return visible.selectExpr(*by, *columns)
-
-
-def _beside(result: DataFrame, other: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Attach a coarser aggregate to finer groups; groups may hold NULL, so keys compare null-safe."""
-    if not groups:
-        return result.withColumns({c: other.select(f"`{c}`").scalar() for c in other.columns})
-    right = other.select(*[F.col(g).alias(f"_r_{g}") for g in groups], *[c for c in _quoted(other) if c.strip("`") not in groups])
-    same = None
-    for g in groups:
-        equal = F.col(g).eqNullSafe(F.col(f"_r_{g}"))
-        same = equal if same is None else same & equal
-    return result.join(right, same, "left").drop(*[f"_r_{g}" for g in groups])
-
-
-def _quoted(df: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in df.columns]
+    terms = {f"{m}:{i}": t for m in measures for i, t in enumerate(MEASURES[m].terms)}
+    replaced = {d for t in terms.values() for d in t.replaces}
+    late = [d for d in where if d in replaced]  # filters that some term does without
+    keys = list(dict.fromkeys([*by, *late]))
+    frame = ModelFrame(tables, model, keys, {d: c for d, c in where.items() if d not in late}, date_role, span)
+    specs = [Spec("_shown", "count", "1")]
+    for name, term in terms.items():
+        condition = " AND ".join(term.replaces.values()) or None
+        if term.agg == "avg":
+            specs.append(Spec(f"{name}:sum", "sum", f"CAST({term.expression} AS double)", condition))
+            specs.append(Spec(f"{name}:n", "count", term.expression, condition))
+        else:  # distinct counts are of the column that tells rows apart, so they add up too
+            specs.append(Spec(name, "count" if _counts_rows(term, model) else term.agg, term.expression, condition))
+    fine = frame.aggregate(specs)
+
+    def kept(dimensions: Sequence[str]) -> Column:
+        return reduce(and_, [where[d](F.col(d)) for d in late if d in dimensions], F.lit(True))
+
+    def total(name: str, replaces: Sequence[str], count: bool) -> Column:
+        over = [F.col(d) for d in by if d not in replaces]
+        value = F.sum(F.when(kept([d for d in late if d not in replaces]), F.col(f"`{name}`")))
+        value = value.over(Window.partitionBy(*over)) if by else value
+        return F.coalesce(value, F.lit(0).cast("long")) if count else value
+
+    values = [total("_shown", (), True).alias("_shown")]
+    for name, term in terms.items():
+        if term.agg == "avg":
+            values.append((total(f"{name}:sum", term.replaces, False) / F.nullif(total(f"{name}:n", term.replaces, True), F.lit(0))).alias(name))
+        else:
+            values.append(total(name, term.replaces, term.agg.startswith("count")).alias(name))
+    result = fine.select(*by, *values).distinct().where("_shown > 0") if by else fine.agg(*values)
+    columns = [
+        MEASURES[m].combine.format(*[f"`{m}:{i}`" for i in range(len(MEASURES[m].terms))]) + f" AS `{m}`" for m in measures
+    ]
+    return result.selectExpr(*by, *columns)
+
+
+def _counts_rows(term: Term, model: SemanticModel) -> bool:
+    if term.agg != "count_distinct":
+        return False
+    if model.grain != (term.expression,):
+        raise ValueError(f"a distinct count of {term.expression} does not add up over groups")
+    return True

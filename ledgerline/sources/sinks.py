@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from ledgerline.functions.answer_text import single_line
 from ledgerline.functions.calendar import month_start, partition_of
+from ledgerline.operators.joins import require_unique
 from ledgerline.sources.schemas import RAW, STORED_BY
 from ledgerline.sources.tables import Loader, Tables, from_parquet, read_stored
 
@@ -81,12 +83,19 @@ def append_rows(df: DataFrame, path: str, name: str) -> None:
     write_table(typed(df, RAW[name]), path, name, mode="append")
 
 
-def materialise(tables: Tables, names: Iterable[str], path: str) -> Tables:
-    """Write the named models once and let everything downstream read the files."""
+def materialise(tables: Tables, names: Iterable[str], path: str, grains: Mapping[str, Sequence[str]] = {}) -> Tables:
+    """Write the named models once and let everything downstream read the files.
+
+    ``grains`` names the columns that tell a table's rows apart. A written table that repeats them is refused: joins
+    to it and metrics over it would count rows twice.
+    """
     for name in names:
         df = tables.ref(name)
         write_table(df, path, name)
-        tables = tables.extend({name: _stored(path, name, df.schema)})
+        stored = tables.extend({name: _stored(path, name, df.schema)})
+        if name in grains:
+            require_unique(stored.ref(name), *grains[name])
+        tables = stored
     return tables
 
 
@@ -120,10 +129,11 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_result_log(df: DataFrame, path: str) -> None:
-    typed(df, RESULT_LOG).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The log as CSV, an answer a line: line ends in a text become spaces, so the files can be split when read."""
+    texts = [f.name for f in RESULT_LOG.fields if isinstance(f.dataType, StringType)]
+    flat = typed(df, RESULT_LOG).withColumns({c: single_line(F.col(c)) for c in texts})
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_result_log(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema(RESULT_LOG).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    )
+    return spark.read.schema(RESULT_LOG).option("header", True).option("escape", '"').csv(path)

@@ -21,8 +21,11 @@ class UnknownTable(KeyError):
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader]):
+    """``base`` is the catalog that loaders take restricted or renamed tables from; holders of this one cannot reach it."""
+
+    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader], base: "Tables | None" = None):
         self.spark = spark
+        self.base = base
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
 
@@ -38,21 +41,47 @@ class Tables:
 
     def extend(self, loaders: Mapping[str, Loader]) -> "Tables":
         """The same tables with some added or replaced; downstream models follow the replacement."""
-        return Tables(self.spark, {**self._loaders, **loaders})
+        return Tables(self.spark, {**self._loaders, **loaders}, self.base)
+
+    def only(self, named: Mapping[str, str]) -> "Tables":
+        """A catalog of some of these tables, new name to old."""
+        return Tables(self.spark, {new: _of_base(old) for new, old in named.items()}, self)
+
+    def in_session(self, spark: SparkSession) -> "Tables":
+        """The same tables, planned by another session."""
+        return Tables(spark, self._loaders, self.base and self.base.in_session(spark))
 
     def create_views(self, prefix: str = "") -> list[str]:
-        """Expose every table to ``spark.sql`` as a temporary view."""
+        """Expose every table to ``spark.sql`` as a temporary view of this session.
+
+        Whoever may run SQL in a session sees every view made in it, so a restricted holder gets ``own_session``.
+        """
         for name in self.names():
             self.ref(name).createOrReplaceTempView(prefix + name)
         return [prefix + name for name in self.names()]
 
+    def own_session(self) -> SparkSession:
+        """A new session whose temporary views are these tables and nothing else."""
+        session = self.spark.newSession()
+        self.in_session(session).create_views()
+        return session
+
     def imported(self, *names: str) -> "Tables":
-        """Import mode: keep the named tables in memory; the rest are read live on each query."""
-        return self.extend({name: _frame(self.ref(name).persist()) for name in names})
+        """Import mode: keep the named tables in memory until ``release``; the rest are read live on each query."""
+        return self.extend({name: _persisted(self._loaders[name]) for name in names})
+
+    def release(self, *names: str) -> None:
+        """Gives back the memory of imported tables."""
+        for name in names:
+            self.ref(name).unpersist()
+
+
+def _of_base(name: str) -> Loader:
+    return lambda tables: tables.base.ref(name)
 
 
-def _frame(df: DataFrame) -> Loader:
-    return lambda tables: df
+def _persisted(load: Loader) -> Loader:
+    return lambda tables: load(tables).persist()
 
 
 def read_stored(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.calendar import Period
 from ledgerline.operators.joins import FanOut
 from ledgerline.plans import metrics as m
 from ledgerline.plans.models import marts
@@ -101,3 +102,34 @@ def test_replaced_filter_ignores_the_readers_filter(sold):
 def test_measures_of_two_tables_are_refused(sold):
     with pytest.raises(ValueError):
         evaluate(sold, ["Net Fee Revenue", "Charge-off Rate"])
+
+
+def test_snapshots_are_not_added_over_months(tables):
+    mine = marts(tables)
+    with pytest.raises(ValueError, match="month_start"):
+        m.implicit_totals(mine, "fct_account_balances_monthly", ["product_id"])
+    with pytest.raises(ValueError, match="end of a month"):
+        m.implicit_totals(mine, "fct_interest_monthly", ["product_id"], ["outstanding_loan_balance"])
+    with pytest.raises(ValueError, match="cannot be totalled"):
+        m.implicit_totals(mine, "fct_transactions", [], ["product_id"])
+
+
+def test_a_time_that_is_not_the_models_is_refused_first(tables):
+    with pytest.raises(ValueError, match="has no time"):
+        m.query(marts(tables), ["transaction_count"], time="signup_date", span=Period.year(2000))
+
+
+def test_distinct_counts_do_not_multiply_rows(tables):
+    for names in (["customer_count", "active_customer_count", "customer_inactivity_rate"], ["total_loan_count", "active_loan_count", "charge_off_rate"]):
+        plan = m.query(marts(tables), names)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan
+
+
+def test_calendar_conditions_reach_the_files(tables):
+    df = m.query(marts(tables), ["transaction_count"], where={"date__year": lambda c: c == 2000})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "transaction_date" in plan and ">= Subquery" in plan.replace("scalar-subquery", "Subquery")
+
+
+def test_labels_name_every_metric():
+    assert m.labels(["transaction_count"]) == {"transaction_count": "Transaction Count"} and set(m.labels()) == set(m.METRICS)

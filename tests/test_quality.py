@@ -42,3 +42,9 @@ def test_empty_table_passes(spark, tables):
 
 def test_invariants_hold(tables):
     assert all(r.holds for r in quality.invariants(tables).collect())
+
+
+def test_values_may_hold_quotes(spark, tables):
+    odd = spark.createDataFrame([("L'Orignal",), ("x",), (None,)], "`it's` string")
+    report = quality.run_tests(tables.extend({"o'dd": lambda _: odd}), [ColumnTest("o'dd", "it's", "accepted_values", ("L'Orignal",)), ColumnTest("o'dd", "it's", "not_null"), ColumnTest("o'dd", "it's", "unique")])
+    assert {r.test: r.failures for r in report.collect()} == {"accepted_values": 1, "not_null": 1, "unique": 0}

@@ -71,12 +71,22 @@ def test_measures_cannot_replace_a_role_filter(role):
     assert regions == {"ASIA"}
 
 
-def test_sql_views_hold_restricted_rows_only(spark, role):
-    names = role("Restricted User").create_views("asia_")
-    assert "asia_fct_loans_monthly" not in names
-    assert spark.sql("SELECT count(*) FROM asia_dim_customers WHERE region <> 'ASIA'").first()[0] == 0
-    with pytest.raises(AnalysisException):
-        spark.sql("SELECT customer_name FROM asia_dim_customers")
+def test_a_roles_session_reaches_nothing_of_others(spark, tables, role):
+    """Views of an unrestricted holder stand in the first session; the role's has its own tables only."""
+    marts(tables).create_views()
+    tables.create_views("raw_")
+    assert spark.sql("SELECT count(*) FROM fct_loans_monthly").first()[0] > 0
+    session = role("Restricted User").own_session()
+    assert {t.name for t in session.catalog.listTables() if t.isTemporary} == set(role("Restricted User").names())
+    assert session.sql("SELECT count(*) FROM dim_customers").first()[0] > 0
+    assert session.sql("SELECT count(*) FROM dim_customers WHERE region <> 'ASIA'").first()[0] == 0
+    strangers = "SELECT count(*) FROM fct_transactions WHERE customer_id NOT IN (SELECT customer_id FROM dim_customers)"
+    assert session.sql(strangers).first()[0] == 0
+    for hidden in ("SELECT * FROM fct_loans_monthly", "SELECT * FROM raw_fact_transaction", "SELECT customer_name FROM dim_customers", "SELECT * FROM global_temp.fct_loans_monthly"):
+        with pytest.raises(AnalysisException):
+            session.sql(hidden)
+    for view in [t.name for t in spark.catalog.listTables() if t.isTemporary]:
+        spark.catalog.dropTempView(view)
 
 
 def test_identity_bridge(spark, tables):

@@ -126,7 +126,7 @@ def test_result_log_survives_csv(spark):
     path = fresh_path(spark, "test-log")
     sinks.write_result_log(spark.createDataFrame(rows, sinks.RESULT_LOG), path)
     got = {r.question_id: r for r in sinks.read_result_log(spark, path).collect()}
-    assert got["q"].generated_sql == 'SELECT "a",\n 1' and got["q"].model_result == 1.5 and got["q"].expected_result is None
+    assert got["q"].generated_sql == 'SELECT "a", 1' and got["q"].model_result == 1.5 and got["q"].expected_result is None
     assert got["r"].failure_category == "wrong, grain" and got["r"].refused is True
 
 
@@ -134,11 +134,43 @@ def test_import_keeps_a_table_in_memory(tables):
     kept = tables.imported("dim_customers")
     assert kept.ref("dim_customers").storageLevel.useMemory
     assert content(kept.ref("dim_customers")) == content(tables.ref("dim_customers"))
-    kept.ref("dim_customers").unpersist()
+    kept.release("dim_customers")
+    assert not kept.ref("dim_customers").storageLevel.useMemory
 
 
 def test_shared_folder_is_the_sessions(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == folder
+
+
+def test_a_session_without_a_shared_folder_is_refused():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+def test_a_mart_that_repeats_its_key_is_refused(spark, tables):
+    from ledgerline.operators.joins import FanOut
+    from ledgerline.plans.models import GRAINS
+
+    twice = tables.ref("dim_customers").union(tables.ref("dim_customers"))
+    with pytest.raises(FanOut, match="customer_id"):
+        sinks.materialise(tables.extend({"dim_customers": lambda _: twice}), ["dim_customers"], fresh_path(spark, "test-repeated"), GRAINS)
+
+
+def test_every_order_is_a_transaction(spark):
+    from ledgerline.sources.projection import from_orders
+
+    for scale in ("0.001", "0.01", "0.1"):
+        folder = f"/root/testdata/sf{scale}"
+        ledger = from_orders(spark, folder).ref("fact_transaction")
+        assert ledger.where("NOT is_reversal").count() == spark.read.parquet(f"{folder}/orders.parquet").count()
+    given = from_orders(spark, folder, as_of=date(1998, 12, 31), calendar_start=date(1998, 1, 1))
+    bounds = given.ref("dim_date").agg(F.min("date_key"), F.max("date_key")).first()
+    assert tuple(bounds) == (date(1998, 1, 1), date(1998, 12, 31))
 
 
 def test_month_end_is_null_without_a_last_day(spark, tables):
