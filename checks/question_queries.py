@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -418,15 +419,66 @@ register(
 Y = {y: Period.year(y) for y in (1999, 2000)}
 
 
+# what a condition on the prepared ledger is called on the raw tables, and the join that brings it
+_RAW_COLUMNS = {
+    "is_internal": ("a.is_internal", "account"),
+    "product_name": ("p.product_name", "product"),
+    "home_branch_name": ("h.branch_name", "home"),
+    "transaction_branch_name": ("b.branch_name", "place"),
+    "is_reversed": ("r.transaction_id IS NOT NULL", "reversed"),
+}
+_JOINS = {
+    "account": "JOIN dim_account a ON a.account_id = t.account_id",
+    "product": "JOIN dim_product p ON p.product_id = a.product_id",
+    "home": "JOIN dim_branch h ON h.branch_id = a.home_branch_id",
+    "place": "JOIN dim_branch b ON b.branch_id = t.branch_id",
+    "reversed": "LEFT JOIN (SELECT DISTINCT reversal_of_transaction_id AS transaction_id FROM fact_transaction "
+    "WHERE reversal_of_transaction_id IS NOT NULL) r ON r.transaction_id = t.transaction_id",
+}
+_RAW_TOTALS = {"amount": "-sum(t.amount)", "volume": "sum(abs(t.amount))", "transactions": "count(*)", "reversed_rows": "count(*)"}
+
+
+def _ledger_sql(column: str, condition: str, period: Period, day: str) -> str:
+    needed, raw = set(), condition + (" AND is_reversed" if column == "reversed_rows" else "")
+    for name, (expression, join) in _RAW_COLUMNS.items():
+        if re.search(rf"\b{name}\b", raw):
+            needed |= {join} | ({"account"} if join in ("product", "home") else set())
+            raw = re.sub(rf"\b{name}\b", f"({expression})" if " " in expression else expression, raw)
+    raw = re.sub(r"\b(transaction_type|fee_waived|is_reversal)\b", r"t.\1", raw)
+    joins = " ".join(text for name, text in _JOINS.items() if name in needed)
+    return (
+        f"SELECT {_RAW_TOTALS[column]} AS answer FROM fact_transaction t {joins} WHERE {raw} "
+        f"AND t.{day}_date >= DATE '{period.start}' AND t.{day}_date < DATE '{period.end}'"
+    )
+
+
+def _ledger_text(column: str, condition: str, period: Period, day: str) -> str:
+    what = {
+        "amount": "net fee revenue" if "fee_waived" in condition else "gross fee revenue",
+        "volume": "transaction volume",
+        "transactions": "number of transactions",
+        "reversed_rows": "number of transactions later reversed",
+    }[column]
+    names = re.findall(r"'([^']+)'", condition.replace("'fee'", ""))
+    where = "at transaction branch " if "transaction_branch" in condition else "of home branch " if "home_branch" in condition else "of "
+    parts = [f"What was the {what}"]
+    if names:
+        parts.append(where + " and ".join(names))
+    if "NOT is_reversed" in condition:
+        parts.append("net of reversed pairs")
+    if "NOT is_internal" in condition:
+        parts.append("without the bank's own accounts")
+    return " ".join(parts) + f", by {day} date from {period.start} until {period.end}?"
+
+
 def _ledger(id_: str, tag: str, aggregate: str, condition: str, period: Period, day: str = "transaction") -> q.Question:
     month = f"{day}_month >= date'{period.start}' AND {day}_month < date'{period.end}'"
     function, column = aggregate.split()
     sign = "-" if column == "amount" else ""
-    text = f"Total {column.replace('_', ' ')} by {day} date from {period.start} until {period.end}?"
     answer = f"{sign}{function}(CASE WHEN {condition} AND {month} THEN {column} END)"
     if column in ("transactions", "reversed_rows"):  # counts, summed from the months' counts
         answer = f"coalesce({answer}, 0)"
-    return q.Question(id_, tag, "ledger", answer, text)
+    return q.Question(id_, tag, "ledger", answer, _ledger_text(column, condition, period, day), _ledger_sql(column, condition, period, day))
 
 
 _FEE = "transaction_type = 'fee' AND NOT is_reversal"
@@ -443,27 +495,58 @@ R, D, O, B, W, V, I, L = (
 
 
 def _mean(id_: str, first: str, last: str) -> q.Question:
-    return q.Question(id_, B, "balances", f"avg(CASE WHEN balance_date BETWEEN date'{first}' AND date'{last}' THEN CAST(balance_amount AS double) END)")
+    return q.Question(
+        id_, B, "balances", f"avg(CASE WHEN balance_date BETWEEN date'{first}' AND date'{last}' THEN CAST(balance_amount AS double) END)",
+        f"What was the average daily balance from {first} to {last}?",
+        f"SELECT avg(CAST(balance_amount AS double)) AS answer FROM fact_daily_balance WHERE balance_date BETWEEN DATE '{first}' AND DATE '{last}'",
+    )
 
 
 def _sum_on(id_: str, day: str) -> q.Question:
-    return q.Question(id_, B, "balances", f"sum(CASE WHEN balance_date = date'{day}' THEN balance_amount END)")
+    return q.Question(
+        id_, B, "balances", f"sum(CASE WHEN balance_date = date'{day}' THEN balance_amount END)",
+        f"What did all balances add up to at the end of {day}?",
+        f"SELECT sum(balance_amount) AS answer FROM fact_daily_balance WHERE balance_date = DATE '{day}'",
+    )
+
+
+def _active_book(measure: str, day: str) -> str:
+    return (
+        f"SELECT {measure} AS answer FROM (SELECT loan_account_id, max_by(days_past_due, struct(payment_date, days_past_due)) AS days_past_due "
+        f"FROM fact_loan_payment WHERE payment_date <= DATE '{day}' GROUP BY loan_account_id) l "
+        "JOIN dim_account a ON a.account_id = l.loan_account_id WHERE NOT a.write_off_flag"
+    )
 
 
 def _rate(id_: str, day: str) -> q.Question:
-    return q.Question(id_, W, "loans", f"try_divide(100.0D * count(CASE WHEN as_of = date'{day}' AND days_past_due >= 30 THEN 1 END), count(CASE WHEN as_of = date'{day}' THEN 1 END))")
+    return q.Question(
+        id_, W, "loans", f"try_divide(100.0D * count(CASE WHEN as_of = date'{day}' AND days_past_due >= 30 THEN 1 END), count(CASE WHEN as_of = date'{day}' THEN 1 END))",
+        f"What percentage of active loans was 30 or more days past due on {day}?",
+        _active_book("try_divide(100.0D * count_if(l.days_past_due >= 30), count(*))", day),
+    )
 
 
 def _late(id_: str, day: str) -> q.Question:
-    return q.Question(id_, W, "loans", f"count(CASE WHEN as_of = date'{day}' AND days_past_due >= 60 THEN 1 END)")
+    return q.Question(
+        id_, W, "loans", f"count(CASE WHEN as_of = date'{day}' AND days_past_due >= 60 THEN 1 END)",
+        f"How many active loans were 60 or more days past due on {day}?",
+        _active_book("count_if(l.days_past_due >= 60)", day),
+    )
 
 
 def _customers(id_: str, condition: str) -> q.Question:
-    return q.Question(id_, O, "customers", f"count(CASE WHEN {condition} THEN 1 END)")
+    kind = "are active" if "is_active" in condition else "have an open account"
+    region = re.search(r"region = '(\w+)'", condition)
+    open_account = "c.customer_id IN (SELECT customer_id FROM dim_account WHERE status = 'open')"
+    return q.Question(
+        id_, O, "customers", f"count(CASE WHEN {condition} THEN 1 END)",
+        f"How many customers{f' in {region[1]}' if region else ''} {kind}?",
+        f"SELECT count(*) AS answer FROM dim_customer c WHERE {condition.replace('has_open_account', open_account)}",
+    )
 
 
-def _unanswerable(id_: str) -> q.Question:
-    return q.Question(id_, "", "", "", answerable=False)
+def _unanswerable(id_: str, text: str) -> q.Question:
+    return q.Question(id_, "", "", "", text, answerable=False)
 
 
 QUESTIONS = [
@@ -481,7 +564,10 @@ QUESTIONS = [
     _mean("dev-12", "2001-04-01", "2001-04-30"),
     _rate("dev-13", "2001-03-31"),
     _late("dev-14", "2001-03-31"),
-    q.Question("dev-15", W, "accounts", "count(CASE WHEN product_type = 'loan' AND write_off_flag THEN 1 END)"),
+    q.Question(
+        "dev-15", W, "accounts", "count(CASE WHEN product_type = 'loan' AND write_off_flag THEN 1 END)", "How many loans have been written off?",
+        "SELECT count(*) AS answer FROM dim_account a JOIN dim_product p ON p.product_id = a.product_id WHERE p.product_type = 'loan' AND a.write_off_flag",
+    ),
     _ledger("dev-16", V, "sum volume", _NETTED, Y[1999]),
     _ledger("dev-17", V, "sum reversed_rows", _ALL, Y[1999]),
     _ledger("dev-18", V, "sum volume", _ALL, Y[2000]),
@@ -511,8 +597,18 @@ QUESTIONS = [
     _ledger("holdout-18", I, "sum transactions", _CUSTOMER, Y[2000]),
     _ledger("holdout-19", L, "sum volume", f"{_GOVERNED} AND home_branch_name = 'NATION_5'", Y[2000]),
     _ledger("holdout-20", L, "sum transactions", f"{_CUSTOMER} AND transaction_branch_name = 'NATION_2'", Y[2000]),
-    *[_unanswerable(f"oos-dev-{i:02d}") for i in range(1, 5)],
-    *[_unanswerable(f"oos-{i:02d}") for i in range(1, 9)],
+    _unanswerable("oos-dev-01", "Which customers will leave us in the coming quarter?"),
+    _unanswerable("oos-dev-02", "What revenue did each salesperson bring in?"),
+    _unanswerable("oos-dev-03", "What is the central bank's policy rate today?"),
+    _unanswerable("oos-dev-04", "How often was the mobile app opened last month?"),
+    _unanswerable("oos-01", "What is the bank's capital ratio?"),
+    _unanswerable("oos-02", "Which loans will default within half a year?"),
+    _unanswerable("oos-03", "How many transactions did each teller handle?"),
+    _unanswerable("oos-04", "How does our margin compare with a competitor's?"),
+    _unanswerable("oos-05", "What is the credit score of each borrower?"),
+    _unanswerable("oos-06", "How satisfied are customers with their branch?"),
+    _unanswerable("oos-07", "What did each marketing campaign return?"),
+    _unanswerable("oos-08", "What are the bank's bonds worth at market prices?"),
 ]
 
 
@@ -598,19 +694,36 @@ register(
 
 
 def records(t: Tables) -> DataFrame:
-    return q.question_records(t, QUESTIONS, AS_OF_DATES[:2]).select("id", "answerable", "ambiguity_tag", "business_definition", "expected_result")
+    return q.question_records(t, QUESTIONS, AS_OF_DATES[:2])
+
+
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if not value else "'" + value.replace("'", "''") + "'"
+
+
+# How each ambiguity is settled.
+READINGS = {
+    "gross_vs_net_revenue": "Net revenue leaves waived fees out; gross keeps them.",
+    "posting_vs_transaction_date": "Customer activity goes by transaction date, the ledger by posting date.",
+    "open_vs_active_account": "Active means a transaction in the trailing window; open means an open account.",
+    "month_end_vs_avg_daily_balance": "An average is over every day; a month end is one day's snapshot.",
+    "written_off_loans": "Delinquency is measured on the active book; write-offs have their own count.",
+    "reversed_transactions": "Volume leaves both halves of a reversed pair out.",
+    "internal_accounts": "Customer figures leave the bank's own accounts out.",
+    "customer_vs_branch_location": "Branch performance goes by home branch, foot traffic by the transaction's branch.",
+}
 
 
 def _record_sql() -> str:
+    """The answers come from SQL of their own; a record's text and statement are given, and its statement is run in the tests."""
     golden = _golden_sql()
     parts = []
     for question in QUESTIONS:
-        tag = f"'{question.tag}'" if question.tag else "NULL"
-        reading = "'" + q.READING[question.tag].replace("'", "''") + "'" if question.tag else "NULL"
         source = f"({golden[question.id]})" if question.answerable else "(SELECT CAST(NULL AS DOUBLE) AS expected_result)"
         parts.append(
-            f"SELECT '{question.id}' AS id, {str(question.answerable).upper()} AS answerable, {tag} AS ambiguity_tag, "
-            f"{reading} AS business_definition, expected_result FROM {source}"
+            f"SELECT '{question.id}' AS id, {_text(question.text)} AS question, {str(question.answerable).upper()} AS answerable, "
+            f"{_text(question.tag)} AS ambiguity_tag, {_text(question.sql)} AS sql, "
+            f"{_text(READINGS.get(question.tag))} AS business_definition, expected_result FROM {source}"
         )
     return " UNION ALL ".join(parts)
 

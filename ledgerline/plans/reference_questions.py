@@ -256,7 +256,8 @@ class Question:
     tag: str
     source: str        # the prepared frame the answer is an aggregate of
     answer: str        # SQL aggregate over that frame
-    text: str = ""
+    text: str = ""     # the question as it is asked
+    sql: str = ""      # one statement over the raw tables that answers it on its own
     answerable: bool = True
 
 
@@ -348,7 +349,7 @@ READING = {
 def question_records(tables: Tables, questions: Sequence[Question], as_of: Sequence[date]) -> DataFrame:
     """The question set with each answerable question's expected result, computed from the tables."""
     schema = "id string, question string, answerable boolean, ambiguity_tag string, sql string, business_definition string"
-    rows = [(q.id, q.text or None, q.answerable, q.tag or None, q.answer or None, READING.get(q.tag)) for q in questions]
+    rows = [(q.id, q.text, q.answerable, q.tag or None, q.sql or None, READING.get(q.tag)) for q in questions]
     expected = answers(tables, questions, as_of).withColumnRenamed("question_id", "id")
     return tables.spark.createDataFrame(rows, schema).join(expected, "id", "left").select(
         "id", "question", "answerable", "ambiguity_tag", "sql", "expected_result", "business_definition"

@@ -121,6 +121,18 @@ def test_question_records_survive_json(spark, tables):
     assert back.where("NOT answerable AND expected_result IS NOT NULL").count() == 0
 
 
+def test_statements_of_the_records_give_their_answers(spark, tables):
+    from checks.question_queries import AS_OF_DATES, QUESTIONS
+    from ledgerline.plans.reference_questions import answers
+
+    expected = {r.question_id: r.expected_result for r in answers(tables, QUESTIONS, AS_OF_DATES[:2]).collect()}
+    session = tables.own_session()
+    parts = [f"SELECT '{q.id}' AS id, round(CAST(answer AS double), 2) AS answer FROM ({q.sql})" for q in QUESTIONS if q.answerable]
+    found = {r.id: r.answer for r in session.sql(" UNION ALL ".join(parts)).collect()}
+    assert len(found) == 44 and found == pytest.approx(expected)
+    assert all(q.text.endswith("?") for q in QUESTIONS) and len({q.text for q in QUESTIONS}) == len(QUESTIONS)
+
+
 def test_result_log_survives_csv(spark):
     rows = [("c", "dev_in", 1, "q", True, "t", 'SELECT "a",\n 1', False, "", 1.5, None, "correct"), ("c", "dev_in", 2, "r", False, None, None, True, None, None, 2.0, "wrong, grain")]
     path = fresh_path(spark, "test-log")
