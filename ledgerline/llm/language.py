@@ -9,7 +9,6 @@ one with the largest share of its words.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,31 +23,38 @@ from ledgerline.llm.sampling import fold, labelled_sample
 PER_LANGUAGE, LANGUAGES = 300, 64  # documents of a language, and languages, that the model is fitted on at most
 FIT_SENTENCES = 24                 # evenly spaced sentences of a document in the fit
 LEXICON = 2000                     # most frequent words of each language in the sample
-BUCKETS = 1 << 17                  # hashed affix and n-gram features
+GRAMS = (2, 3, 4)                  # lengths of the n-grams; a word has a mark before it and two behind
+BUCKET_BITS = 17                   # hashed affix and n-gram features
+BUCKETS = 1 << BUCKET_BITS
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 CHAIN = 256                        # words of a chain; a longer sentence is several chains
 UNKNOWN = "und"
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 
 
 class Features:
-    """Distinct words and the rows of their features."""
+    """Letter n-grams of distinct words, those at a word's ends being its affixes, and the words' lexicon rows."""
 
     def __init__(self, lexicon: dict[str, np.ndarray], languages: int):
-        self.lexicon, self.none = lexicon, np.zeros(languages + 1, np.float32)
-
-    def hashed(self, word: str) -> list[int]:
-        marked = f"<{word}>"
-        parts = {f"p{word[:i]}" for i in (1, 2, 3)} | {f"s{word[-i:]}" for i in (1, 2, 3)}
-        parts.update(marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1))
-        return [zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in sorted(parts)]
-
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature numbers in one run, where each word's start, and the lexicon rows."""
-        flat, starts = [], []
-        for word in words:
-            starts.append(len(flat))
-            flat.extend(self.hashed(word))
-        return np.array(flat, np.int64), np.array(starts, np.int64), np.array([self.lexicon.get(w, self.none) for w in words], np.float32)
+        self.place = {w: i + 1 for i, w in enumerate(lexicon)}
+        self.rates = np.array([np.zeros(languages + 1), *lexicon.values()], np.float32)
+
+    def rows(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """For each gram length the hashed features in one run and where each word's start; features of each word; lexicon rows."""
+        marked = "".join([f"<{w}>>" for w in words])
+        letters = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
+        first = np.cumsum(sizes) - sizes
+        left = np.repeat(first + sizes, sizes) - np.arange(len(letters))  # letters from here to the word's end
+        grams, rolled = [], letters * _MIX
+        for n in GRAMS:
+            while len(letters) - len(rolled) < n - 1:
+                rolled = (rolled[:-1] ^ (rolled[:-1] >> np.uint64(29))) * _MIX + letters[len(letters) - len(rolled) + 1 :]
+            whole = rolled[left[: len(rolled)] >= n] * _MIX
+            starts = np.cumsum(sizes - n + 1) - (sizes - n + 1)
+            grams.append(((whole >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), starts))
+        counts = sum(sizes - n + 1 for n in GRAMS)
+        return grams, counts, self.rates[np.fromiter((self.place.get(w, 0) for w in words), np.int64, len(words))]
 
 
 def sentences(text: str | None) -> tuple[list[str], np.ndarray]:
@@ -117,7 +123,7 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], lexicon: dict[str, np.ndarray]):
         k = len(languages)
-        self.languages, self.features = languages, Features(lexicon, k)
+        self.languages, self.lexicon, self.features = languages, lexicon, Features(lexicon, k)
         self.weights = {
             "hashed": np.zeros((BUCKETS, k), np.float32),
             "lexicon": np.zeros((k + 1, k), np.float32),
@@ -125,12 +131,12 @@ class LanguageModel:
             "moves": (np.eye(k) * 2).astype(np.float32),
         }
 
-    def emission(self, flat, starts, lexicon) -> np.ndarray:
+    def emission(self, grams, counts, lexicon) -> np.ndarray:
         """Scores of distinct words; the features of a word weigh one over the root of their number."""
-        if not len(starts):
+        if not len(counts):
             return np.zeros((0, len(self.languages)))
-        counts = np.diff(np.append(starts, len(flat)))[:, None]
-        return np.add.reduceat(self.weights["hashed"][flat], starts) / np.sqrt(counts) + lexicon @ self.weights["lexicon"]
+        hashed = sum(np.add.reduceat(self.weights["hashed"][flat], starts) for flat, starts in grams)
+        return hashed / np.sqrt(counts)[:, None] + lexicon @ self.weights["lexicon"]
 
     def fit(self, chains: list[tuple[list[str], list[int]]], rounds: int = 40) -> None:
         """Raises the likelihood of labelled chains by Adam over the whole sample, with a small penalty on weights."""
@@ -138,9 +144,9 @@ class LanguageModel:
         word = np.array([names[w] for words, _ in chains for w in words])
         gold = np.array([y for _, ys in chains for y in ys])
         lengths = np.array([len(words) for words, _ in chains], np.int64)
-        flat, starts, lexicon = self.features.rows(list(names))
-        counts = np.diff(np.append(starts, len(flat)))
-        owner = np.repeat(np.arange(len(names)), counts)
+        grams, counts, lexicon = self.features.rows(list(names))
+        flat = np.concatenate([f for f, _ in grams])
+        owner = np.concatenate([np.repeat(np.arange(len(names)), np.diff(np.append(at, len(f)))) for f, at in grams])
         root = np.sqrt(counts)[:, None]
         k, n = len(self.languages), len(word)
         inner = np.ones(n, bool)
@@ -151,7 +157,7 @@ class LanguageModel:
         seen_starts = np.bincount(gold[first], minlength=k)
         steps = {key: [np.zeros_like(w), np.zeros_like(w)] for key, w in self.weights.items()}
         for turn in range(1, rounds + 1):
-            scores = self.emission(flat, starts, lexicon)[word].astype(float)
+            scores = self.emission(grams, counts, lexicon)[word].astype(float)
             p, expected, begun, _ = forward_backward(scores, lengths, self.weights["start"].astype(float), self.weights["moves"].astype(float))
             p[np.arange(n), gold] -= 1
             miss = np.stack([np.bincount(word, p[:, j], len(names)) for j in range(k)], axis=1) / n
@@ -244,7 +250,8 @@ def fitted(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
 def fit_languages(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model fitted to documents with a language outside the held-out fold, at most ``per_language`` of each language."""
     learned = docs.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return fitted(labelled_sample(learned.select("doc_id", "text", "lang"), "lang", per_language, LANGUAGES))
+    known = learned.select("doc_id", "lang")
+    return fitted(labelled_sample(learned.select("doc_id", "text"), known, "lang", per_language, LANGUAGES))
 
 
 def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -258,7 +265,7 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     inside = docs.select(F.col(text_column).alias("_text"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)])
     # of a fixed size: buckets, lexicon and languages are bounded
-    parts = docs.sparkSession.sparkContext.broadcast((model.languages, model.features.lexicon, model.weights))
+    parts = docs.sparkSession.sparkContext.broadcast((model.languages, model.lexicon, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, lexicon, weights = parts.value

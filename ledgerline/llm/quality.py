@@ -168,10 +168,9 @@ def gradients(net: dict, picked: list[np.ndarray], labels: np.ndarray) -> dict[s
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_label: int = PER_LABEL) -> dict[str, np.ndarray]:
     """A network fitted to the labelled documents outside the held-out fold, at most ``per_label`` of each label."""
-    learned = docs.where(fold(F.col("doc_id"), folds) != held).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
-        labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id"
-    )
-    return fitted(labelled_sample(learned, "quality", per_label, 2))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(fold(F.col("doc_id"), folds) != held)
+    known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1)).join(texts.select("doc_id"), "doc_id", "left_semi")
+    return fitted(labelled_sample(texts, known, "quality", per_label, 2))
 
 
 def scored(docs: DataFrame, net: dict[str, np.ndarray], text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
