@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import read, text_key
+from ledgerline.llm.common import Scratch, read, text_key
 
 
-def spread_lines(lines: DataFrame, min_sites: int, precision: int) -> DataFrame:
+def spread_lines(lines: DataFrame, min_sites: int, precision: int, scratch: Scratch) -> DataFrame:
     """``_hash, _keeper`` of the lines that at least ``min_sites`` sites carry.
 
     ``lines`` has ``_hash, _site, _holder``; the keeper is the smallest holder. The sketch of ``precision``
     bits is off by 1.04 / sqrt(2^precision) on average; the band that is counted exactly is five times
-    that wide on each side, and one site more. A site that is null counts for nothing.
+    that wide on each side, and one site more. A site that is null counts for nothing. Aggregates are saved before they meet
+    the lines again, since adaptive execution splits a hot line only between exchanges.
     """
     band = 5 * 1.04 / (1 << precision) ** 0.5
     low, high = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
@@ -26,7 +27,7 @@ def spread_lines(lines: DataFrame, min_sites: int, precision: int) -> DataFrame:
         F.hll_sketch_estimate(F.hll_sketch_agg("_site", precision)).alias("_sites"),
         F.min("_holder").alias("_keeper"),
     )
-    spread = merged.where(F.col("_sites") >= F.lit(low))
+    spread = scratch.save(merged.where(F.col("_sites") >= F.lit(low)), "spread")
     sure = spread.where(F.col("_sites") > F.lit(high)).select("_hash", "_keeper")
     near = spread.where(F.col("_sites") <= F.lit(high)).select("_hash", "_keeper")
     exact = (
@@ -34,7 +35,7 @@ def spread_lines(lines: DataFrame, min_sites: int, precision: int) -> DataFrame:
         .join(near.select("_hash"), "_hash", "left_semi")
         .distinct().groupBy("_hash").count().where(F.col("count") >= min_sites)
     )
-    return sure.unionByName(near.join(exact.select("_hash"), "_hash"))
+    return scratch.save(sure.unionByName(near.join(exact.select("_hash"), "_hash")), "boilerplate")
 
 
 def dedup_lines(
@@ -73,7 +74,7 @@ def dedup_lines(
         .select("_holder", "_site", "_pos", F.unhex(F.md5(F.col("_line").cast("binary"))).alias("_hash"))
     )
     gone = (
-        lines.join(spread_lines(lines, min_sites, precision), "_hash")
+        lines.join(spread_lines(lines, min_sites, precision, Scratch(docs.sparkSession)), "_hash")
         .where(F.col("_holder") != F.col("_keeper"))
         .groupBy("_holder").agg(F.collect_set("_pos").alias("_gone"))
         .select(F.col("_holder.id").alias("_gid"), F.col("_holder.key").alias("_gkey"), "_gone")
