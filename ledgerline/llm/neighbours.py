@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import best, read
-from ledgerline.llm.tiles import heap_merged, tile_pairs, tiles, usable, widened
+from ledgerline.llm.tiles import tile_pairs, tiles, usable, widened
 
 HEIGHT = 4096
 FOUND = "query_id long, vec_id long, score double"
@@ -77,9 +77,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_i
         tiles(clean(queries), id_column, vector_column, 512),
         tiles(clean(rows), id_column, vector_column, HEIGHT),
         lambda *tile: tile_nearest(*tile, k=k),
+        k,
         FOUND,
     )
-    return best(heap_merged(found, FOUND, k), "query_id", [F.desc("score"), F.asc("vec_id")], k).select(
+    return best(found, "query_id", [F.desc("score"), F.asc("vec_id")], k).select(
         "query_id", "rank", "vec_id", "score"
     )
 

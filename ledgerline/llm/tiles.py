@@ -6,6 +6,7 @@ ids, so a join of tiles moves large blocks and a task holds one pair of them at
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,10 +72,36 @@ def widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
 
 
-def tile_pairs(
-    queries: DataFrame, candidates: DataFrame, score: Callable, schema: str
-) -> DataFrame:
-    """``score(query ids, query matrix, candidate ids, candidate matrix)`` over every pair of tiles.
+class Heaps:
+    """The ``k`` best candidates of each query, ties to the smaller id. Holds ``MOST`` queries; past that the
+    oldest half is let go as rows, which a later merge puts together again."""
+
+    MOST = 8192
+
+    def __init__(self, k: int):
+        self.k, self.kept = k, {}
+
+    def add(self, queries, ids, scores) -> None:
+        for q, v, s in zip(queries.tolist(), ids.tolist(), scores.tolist()):
+            heap = self.kept.setdefault(q, [])
+            if len(heap) < self.k:
+                heapq.heappush(heap, (s, -v))
+            elif (s, -v) > heap[0]:
+                heapq.heapreplace(heap, (s, -v))
+
+    def rows(self, all_of_them: bool) -> Iterator[pa.RecordBatch]:
+        if not all_of_them and len(self.kept) <= self.MOST:
+            return
+        queries = list(self.kept) if all_of_them else list(self.kept)[: len(self.kept) // 2]
+        flat = [(q, -v, s) for q in queries for s, v in self.kept.pop(q)]
+        if flat:
+            q, v, s = zip(*flat)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+
+def tile_pairs(queries: DataFrame, candidates: DataFrame, score: Callable, k: int, schema: str) -> DataFrame:
+    """The ``k`` best of ``score(query ids, query matrix, candidate ids, candidate matrix)`` over every pair of tiles, for
+    each query and task.
 
     Candidate tiles are dealt to as many groups as there are shuffle partitions and move once; the
     queries, a stated small part of the rows, go to every group. Candidate tiles all have one size, so no
@@ -87,44 +114,12 @@ def tile_pairs(
     pairs = side(dealt, "c").join(side(spread, "q"), "group").drop("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps = Heaps(k)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                found = score(*unpacked(row, "q"), *unpacked(row, "c"))
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+                heaps.add(*score(*unpacked(row, "q"), *unpacked(row, "c")))
+                yield from heaps.rows(False)
+        yield from heaps.rows(True)
 
     return pairs.mapInArrow(run, schema)
-
-
-def heap_merged(scored: DataFrame, schema: str, k: int) -> DataFrame:
-    """At most ``k`` rows of each query per task, kept by heaps, before anything is shuffled.
-
-    A task holds the heaps of at most 4096 queries; past that the oldest are let go as rows.
-    """
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import heapq
-
-        kept: dict[int, list] = {}
-
-        def rows(queries):
-            flat = [(q, -v, s) for q in queries for s, v in kept.pop(q)]
-            if flat:
-                q, v, s = zip(*flat)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"]
-                )
-
-        for batch in batches:
-            for q, v, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score"))):
-                heap = kept.setdefault(q, [])
-                if len(heap) < k:
-                    heapq.heappush(heap, (s, -v))
-                else:
-                    heapq.heappushpop(heap, (s, -v))
-            if len(kept) > 4096:
-                yield from rows(list(kept)[: len(kept) - 2048])
-        yield from rows(list(kept))
-
-    return scored.mapInArrow(merge, schema)
