@@ -27,9 +27,9 @@ from ledgerline.llm.graph import components
 
 TOKENS = 128   # coordinates of a signature, two bytes each
 DEPTH = 5      # levels of a tree before its nodes are looked at
-DEEPER = 4     # levels that a large node branches at a time
-SMALL = 200    # documents that a node may have to be compared exhaustively
-ROUNDS = 10    # times a large node branches on before its blocks are compared with each other
+DEEPER = 8     # levels that a large node branches at a time
+SMALL = 1000   # documents that a node may have to be compared exhaustively
+ROUNDS = 6     # times a large node branches on before its blocks are compared with each other
 MISS = 1e-5    # chance that no tree holds a pair at the threshold together
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -123,8 +123,9 @@ class NearDuplicates:
         )
         links = scratch.save(self.confirmed(tried, texts), "links")
         labels = components(links, scratch)
+        part = nodes.where("size > 2").select("node", "v")  # a node of two was settled by its pivot
         for every in (False, True):  # first the best partner in each other component, then all that is left
-            pairs = self.compared(nodes, labels, reps, every)
+            pairs, part = self.compared(part, labels, reps, every)
             pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
                 continue
@@ -219,17 +220,19 @@ class NearDuplicates:
 
         return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
-    def compared(self, nodes: DataFrame, labels: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
-        """``a, b``: pairs of different components in one node whose signatures agree well enough.
+    def compared(self, nodes: DataFrame, labels: DataFrame, reps: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+        """``a, b``: pairs of different components in one node whose signatures agree well enough; and the nodes
+        looked at, ``node, v``: components only grow together, so no other node will ever hold several of them.
 
         Nodes above ``SMALL`` branch on; what is still large after ``ROUNDS`` rounds is cut into blocks,
         and each block is compared with each.
         """
         scratch = self.scratch
-        part = self.open(nodes.where("size > 2").select("node", "v"), labels)
-        found = []
+        part = self.open(nodes, labels)
+        found, looked_at = [], None
         for _ in range(ROUNDS):
             held = scratch.save(part.join(reps.select("v", "tokens"), "v"), "open")
+            looked_at = looked_at or held.select("node", "v")
             found.append(self.exhaustive(held.where(F.col("size") <= SMALL), every))
             large = held.where(F.col("size") > SMALL)
             if large.isEmpty():
@@ -240,7 +243,7 @@ class NearDuplicates:
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.unionByName(more)
-        return pairs.distinct()
+        return pairs.distinct(), looked_at
 
     def open(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """``node, v, label, size`` of the nodes that hold more than one component."""
@@ -276,9 +279,9 @@ class NearDuplicates:
         spread = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = spread.select("node", "v", "label", "tokens", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
-        def run(key, table: pa.Table) -> pa.Table:
-            own = table.column("own").to_numpy()
-            return pairs_of(table.filter(pa.array(own == key[1].as_py())), table.filter(pa.array(own == key[2].as_py())), floor, every)
+        def run(table: pa.Table) -> pa.Table:
+            own, x, y = (table.column(c).to_numpy() for c in ("own", "x", "y"))
+            return pairs_of(table.filter(pa.array(own == x)), table.filter(pa.array(own == y)), floor, every)
 
         return dealt.groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
 

@@ -223,8 +223,7 @@ def test_near_duplicate_edges(docs, none):
 def test_chains_of_near_copies(spark, monkeypatch, small):
     """Copies that drift apart, a large group around one text, and exact copies: all are found, whatever a node may hold."""
     monkeypatch.setattr(chosenpath, "SMALL", small)
-    if small == 5:
-        monkeypatch.setattr(chosenpath, "ROUNDS", 2)
+    monkeypatch.setattr(chosenpath, "ROUNDS", 1 if small == 5 else 6)
     rng = random.Random(small)
     rows, word = [], lambda: f"w{rng.randrange(5000)}"
     base = [word() for _ in range(80)]
@@ -247,6 +246,21 @@ def test_chains_of_near_copies(spark, monkeypatch, small):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {n: (len(s), named[n]) for n, s in sets.items()}
 
 
+def test_blocks_of_a_large_node_give_what_the_whole_gives(spark, docs, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 9, chosenpath.TOKENS).astype(np.uint16)
+    rows = []
+    for v in range(60):
+        tokens = np.where(rng.random(chosenpath.TOKENS) < 0.12, rng.integers(0, 9, chosenpath.TOKENS), base).astype(np.uint16)
+        rows.append((7 if v < 50 else 8, v, v % 4, 50 if v < 50 else 10, tokens.tobytes()))
+    large = spark.createDataFrame(rows, "node long, v long, label long, size long, tokens binary")
+    run = chosenpath.NearDuplicates(docs, 3, 85, "doc_id", "text")
+    whole = {tuple(r) for r in run.exhaustive(large, True).collect()}
+    monkeypatch.setattr(chosenpath, "SMALL", 7)
+    assert {tuple(r) for r in run.in_blocks(large, True).collect()} == whole and len(whole) > 300
+    assert {tuple(r) for r in run.exhaustive(large, False).collect()} < whole
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(200, n) for n in range(201, 230)] + [(7, 7)]
