@@ -32,6 +32,7 @@ SMALL = 1000   # documents that a node may have to be compared exhaustively
 ROUNDS = 6     # times a large node branches on before its blocks are compared with each other
 MISS = 1e-5    # chance that no tree holds a pair at the threshold together
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -67,14 +68,10 @@ class Shingler:
 
 
 def signature(codes: np.ndarray) -> np.ndarray:
-    """The minwise tokens of a set under ``TOKENS`` multiplications, their upper 16 bits folded."""
-    rng = np.random.default_rng(7)
-    factors = rng.integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
+    """The minwise tokens of a set under ``TOKENS`` multiplications, folded to 16 bits each."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(codes), 4096):
-        part = codes[start : start + 4096]
-        for j in range(TOKENS):
-            least[j] = min(least[j], (part * factors[j]).min())
+    for start in range(0, len(codes), 512):
+        np.minimum(least, np.multiply.outer(_FACTORS, codes[start : start + 512]).min(axis=1), out=least)
     return (mixed_bits(least) >> np.uint64(48)).astype(np.uint16)
 
 
