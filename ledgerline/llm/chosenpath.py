@@ -7,7 +7,8 @@ repeated until a pair at the threshold meets in one of them with the wanted reca
 
 In each node every document is held against one of them, the pivot. Whatever is then in one component needs no
 further look, which is what keeps a group of many near copies linear. Nodes that still hold several components
-are compared exhaustively if they are small and branch on if they are not. Every link is confirmed on full sets.
+are compared exhaustively, large ones block by block, and the largest branch on along as many independent paths as
+keep a pair at the threshold together in one of them with the wanted recall. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from ledgerline.llm.graph import components
 
 TOKENS = 128   # coordinates of a signature, two bytes each
 DEPTH = 5      # levels of a tree before its nodes are looked at
-DEEPER = 8     # levels that a large node branches at a time
-SMALL = 1000   # documents that a node may have to be compared exhaustively
-ROUNDS = 6     # times a large node branches on before its blocks are compared with each other
+DEEPER = 8     # levels that a very large node branches at a time
+SMALL = 1000   # documents that a node, or a block of one, may have to be compared exhaustively
+BLOCKS = 32    # blocks up to which a large node is compared; each of its paths deeper would hold all its documents again
+ROUNDS = 6     # times a node of more blocks branches on before they are compared with each other all the same
 MISS = 1e-5    # chance that no tree holds a pair at the threshold together
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,6 +103,7 @@ class NearDuplicates:
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
         level = percent / 100
         self.trees = max(1, math.ceil(math.log(MISS) / math.log(1 - min(level**DEPTH, 1 - 1e-9))))
+        self.paths = max(1, math.ceil(math.log(MISS) / math.log(1 - min(level**DEEPER, 1 - 1e-9))))
         # a signature's estimate is below this for a pair at the threshold once in 30,000 pairs
         self.floor = max(0.0, level - 4 * math.sqrt(level * (1 - level) / TOKENS))
 
@@ -221,22 +224,22 @@ class NearDuplicates:
         """``a, b``: pairs of different components in one node whose signatures agree well enough; and the nodes
         looked at, ``node, v``: components only grow together, so no other node will ever hold several of them.
 
-        Nodes above ``SMALL`` branch on; what is still large after ``ROUNDS`` rounds is cut into blocks,
-        and each block is compared with each.
+        Nodes above ``SMALL`` are cut into blocks, and each block is compared with each. Those of more than ``BLOCKS``
+        blocks branch on first, each along all of its paths, for up to ``ROUNDS`` rounds.
         """
         scratch = self.scratch
         part = self.open(nodes, labels)
         found, looked_at = [], None
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS + 1):
             held = scratch.save(part.join(reps.select("v", "tokens"), "v"), "open")
             looked_at = looked_at or held.select("node", "v")
+            most = BLOCKS * SMALL if turn < ROUNDS else (1 << 63) - 1
             found.append(self.exhaustive(held.where(F.col("size") <= SMALL), every))
-            large = held.where(F.col("size") > SMALL)
+            found.append(self.in_blocks(held.where((F.col("size") > SMALL) & (F.col("size") <= most)), every))
+            large = held.where(F.col("size") > most)
             if large.isEmpty():
                 break
-            part = self.open(self.branched(large), labels)
-        else:
-            found.append(self.in_blocks(large, every))
+            part = self.open(self.scratch.save(self.branched(large), "deeper"), labels)
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.unionByName(more)
@@ -250,13 +253,18 @@ class NearDuplicates:
         ).where("least < most")
         return named.join(self.scratch.save(sizes.select("node", "size"), "sizes"), "node").select("node", "v", "label", "size")
 
-    @staticmethod
-    def branched(large: DataFrame) -> DataFrame:
+    def branched(self, large: DataFrame) -> DataFrame:
+        """``node, v`` of each set ``DEEPER`` levels down, on ``paths`` ways that choose their coordinates by themselves."""
+        paths = self.paths
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = mixed_bits(np.arange(1, paths + 1, dtype=np.uint64) * _M2)
             for batch in batches:
-                if batch.num_rows:
-                    nodes = branch(batch.column("node").to_numpy().view(np.uint64), signatures(batch.column("tokens")), DEEPER)
-                    yield pa.RecordBatch.from_arrays([as_long(nodes), batch.column("v")], names=["node", "v"])
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    roots = mixed_bits(part.column("node").to_numpy().view(np.uint64)[:, None] ^ seeds).ravel()
+                    nodes = branch(roots, np.repeat(signatures(part.column("tokens")), paths, axis=0), DEEPER)
+                    yield pa.RecordBatch.from_arrays([as_long(nodes), pa.array(np.repeat(part.column("v").to_numpy(), paths))], names=["node", "v"])
 
         return large.select("node", "v", "tokens").mapInArrow(run, "node long, v long")
 
@@ -298,6 +306,12 @@ class NearDuplicates:
         )
 
 
+def agreeing(tokens: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The share of its coordinates in which each signature agrees with ``one``; the bytes of a word are added side by side."""
+    sums = (tokens == one).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return sums.view(np.uint8).reshape(-1, 8).sum(axis=1) / TOKENS
+
+
 def pairs_of(left: pa.Table, right: pa.Table, floor: float, every: bool) -> pa.Table:
     """Pairs of different labels whose signatures agree in at least ``floor`` of the coordinates: all of them, or of
     each set the best with each other label."""
@@ -307,7 +321,7 @@ def pairs_of(left: pa.Table, right: pa.Table, floor: float, every: bool) -> pa.T
     if len(lv) and len(rv):
         lt, rt = signatures(left.column("tokens")), signatures(right.column("tokens"))
         for i in range(len(lv)):
-            agree = (rt == lt[i]).mean(axis=1)
+            agree = agreeing(rt, lt[i])
             good = np.nonzero((agree >= floor) & (rl != ll[i]))[0]
             if not every and len(good):
                 good = good[np.lexsort((rv[good], -agree[good], rl[good]))]

@@ -261,6 +261,27 @@ def test_blocks_of_a_large_node_give_what_the_whole_gives(spark, docs, monkeypat
     assert {tuple(r) for r in run.exhaustive(large, False).collect()} < whole
 
 
+def test_a_large_node_loses_no_pair_above_the_threshold(spark, docs, monkeypatch):
+    """A crowd of signatures that agree in somewhat less than the threshold, with pairs above it: branching on finds all pairs."""
+    for name, value in (("SMALL", 10), ("BLOCKS", 1), ("DEEPER", 2), ("ROUNDS", 2)):
+        monkeypatch.setattr(chosenpath, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    base, tokens = rng.integers(0, 1 << 16, chosenpath.TOKENS), []
+    for _ in range(20):
+        one = np.where(rng.random(chosenpath.TOKENS) < 0.12, rng.integers(0, 1 << 16, chosenpath.TOKENS), base)
+        other = one.copy()
+        other[rng.permutation(chosenpath.TOKENS)[:17]] = rng.integers(0, 1 << 16, 17)
+        tokens += [one.astype(np.uint16), other.astype(np.uint16)]
+    reps = spark.createDataFrame([(v, t.tobytes()) for v, t in enumerate(tokens)], "v long, tokens binary")
+    nodes, labels = reps.selectExpr("7L AS node", "v"), spark.createDataFrame([], "v long, label long")
+    run = chosenpath.NearDuplicates(docs, 3, 85, "doc_id", "text")
+    agree = np.array([[(x == y).mean() for y in tokens] for x in tokens])
+    expected = {(a, b) for a in range(40) for b in range(a) if agree[a, b] >= 0.85}
+    pairs, looked_at = run.compared(nodes, labels, reps, True)
+    assert 20 <= len(expected) < 60 and looked_at.count() == 40
+    assert expected <= {tuple(r) for r in pairs.collect()}
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(200, n) for n in range(201, 230)] + [(7, 7)]
