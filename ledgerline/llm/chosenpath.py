@@ -32,7 +32,7 @@ DEEPER = 8     # levels that a very large node branches at a time
 SMALL = 1000   # documents that a node, or a block of one, may have to be compared exhaustively
 BLOCKS = 32    # blocks up to which a large node is compared; each of its paths deeper would hold all its documents again
 ROUNDS = 6     # times a node of more blocks branches on before they are compared with each other all the same
-MISS = 1e-5    # chance that no tree holds a pair at the threshold together
+MISS = 1e-5    # chance that a pair at the threshold is lost: half of it in no tree together, half below the floor
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,10 +102,25 @@ class NearDuplicates:
         self.width, self.percent = width, percent
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
         level = percent / 100
-        self.trees = max(1, math.ceil(math.log(MISS) / math.log(1 - min(level**DEPTH, 1 - 1e-9))))
-        self.paths = max(1, math.ceil(math.log(MISS) / math.log(1 - min(level**DEEPER, 1 - 1e-9))))
-        # a signature's estimate is below this for a pair at the threshold once in 30,000 pairs
-        self.floor = max(0.0, level - 4 * math.sqrt(level * (1 - level) / TOKENS))
+        # all trees read one signature, so the chances are averaged over the coordinates that agree in it
+        share = np.arange(TOKENS + 1) / TOKENS
+        chance = np.array([math.comb(TOKENS, k) * level**k * (1 - level) ** (TOKENS - k) for k in range(TOKENS + 1)])
+        least = int(np.searchsorted(np.cumsum(chance), MISS / 2, side="right"))
+        share, chance, self.floor = share[least:], chance[least:], least / TOKENS
+        if not least:
+            raise ValueError(f"signatures of {TOKENS} tokens cannot tell a likeness of {percent} %")
+        self.trees = self.paths = 1
+        while (chance * (1 - share**DEPTH) ** self.trees).sum() > MISS / 4:
+            self.trees += 1 + self.trees // 100
+        while (chance * (1 - share**DEPTH * self.deeper(share)) ** self.trees).sum() > MISS / 2:
+            self.paths += 1 + self.paths // 20
+
+    def deeper(self, share: np.ndarray) -> np.ndarray | float:
+        """The chance that a pair whose signatures agree in ``share`` is together in some node after all rounds of branching on."""
+        kept = 1.0
+        for _ in range(ROUNDS):
+            kept = 1 - (1 - share**DEEPER * kept) ** self.paths
+        return kept
 
     def run(self) -> DataFrame:
         scratch = self.scratch

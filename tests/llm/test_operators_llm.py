@@ -282,6 +282,13 @@ def test_a_large_node_loses_no_pair_above_the_threshold(spark, docs, monkeypatch
     assert expected <= {tuple(r) for r in pairs.collect()}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_a_pair_at_the_threshold_is_lost_as_seldom_as_stated(docs, percent):
+    run = chosenpath.NearDuplicates(docs, 3, percent, "doc_id", "text")
+    agree = np.random.default_rng(4).binomial(chosenpath.TOKENS, percent / 100, 3_000_000) / chosenpath.TOKENS
+    assert np.mean(np.where(agree < run.floor, 1.0, (1 - agree**chosenpath.DEPTH) ** run.trees)) <= 1.5 * chosenpath.MISS
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(200, n) for n in range(201, 230)] + [(7, 7)]
