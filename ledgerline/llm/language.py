@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import read
 from ledgerline.llm.sampling import fold, labelled_sample
 
-PER_LANGUAGE, LANGUAGES = 300, 64  # documents of a language, and languages, that the model is fitted on at most
+PER_LANGUAGE, SAMPLE = 300, 19_200  # documents that the model is fitted on: of a language at most, and of all together
 FIT_SENTENCES = 24                 # evenly spaced sentences of a document in the fit
 LEXICON = 2000                     # most frequent words of each language in the sample
 GRAMS = (2, 3, 4)                  # lengths of the n-grams; a word has a mark before it and two behind
@@ -248,10 +248,12 @@ def fitted(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
 
 
 def fit_languages(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """A model fitted to documents with a language outside the held-out fold, at most ``per_language`` of each language."""
+    """A model fitted to documents with a language outside the held-out fold, at most ``per_language`` of each language.
+
+    Every language that has a labelled document there is learned; ``SAMPLE`` documents are shared among very many languages."""
     learned = docs.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = learned.select("doc_id", "lang")
-    return fitted(labelled_sample(learned.select("doc_id", "text"), known, "lang", per_language, LANGUAGES))
+    return fitted(labelled_sample(learned.select("doc_id", "text"), known, "lang", per_language, SAMPLE))
 
 
 def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -13,19 +13,22 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int, most_labels: int) -> list[tuple[str, object]]:
-    """``(text, label)`` of at most ``per_label`` documents of each of the ``most_labels`` most frequent labels.
+def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int, most: int) -> list[tuple[str, object]]:
+    """``(text, label)`` of at most ``per_label`` documents of each label; ``most`` documents are shared among
+    labels that are too many for that, and each label has one at least.
 
     ``labelled`` has ``doc_id`` and the label, ``docs`` has ``doc_id, text``. The documents are those of least hash of their id; only
     ids are ranked, tasks drop what cannot be among the first, and the chosen ids go to where the texts are. Of rows with one
-    id the least label and text are taken. At most ``per_label * most_labels`` texts come back.
+    id the least label and text are taken. At most ``most`` texts come back, or one a label.
     """
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    if not counts:
+    labelled = labelled.where(F.col(label).isNotNull())
+    labels = labelled.select(label).distinct().count()
+    if not labels:
         return []
-    one = labelled.where(F.col(label).isin([r[label] for r in counts])).groupBy("doc_id").agg(F.min(label).alias("label"))
+    per_label = min(per_label, max(1, most // labels))
+    one = labelled.groupBy("doc_id").agg(F.min(label).alias("label"))
     chosen = best(one.withColumn("_order", F.xxhash64("doc_id")), "label", [F.col("_order"), F.col("doc_id")], per_label)
-    # a proven bound: per_label * most_labels ids
+    # a proven bound: most ids, or one for each label
     found = docs.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
     rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]

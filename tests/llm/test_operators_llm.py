@@ -407,6 +407,19 @@ def test_quality_gradients():
         assert (up - down) / (2 * h) == pytest.approx(grads[name][at], rel=0.05, abs=1e-4)
 
 
+def test_every_language_with_a_label_is_learned(spark, monkeypatch):
+    rows = [(1000 * n + i, f"text {i} of number {n}", f"l{n:02}", "a", 0) for n in range(70) for i in range(3 if n else 40)]
+    rows += [(99_999, "no language", None, "a", 0)]
+    seen = []
+    monkeypatch.setattr(language, "fitted", lambda sample: seen.append(sample))
+    language.fit_languages(spark.createDataFrame(rows, DOCS), folds=10**6)
+    monkeypatch.setattr(language, "SAMPLE", 140, raising=False)
+    language.fit_languages(spark.createDataFrame(rows, DOCS), folds=10**6)
+    for sample, most in zip(seen, (40, 2)):
+        counts = {lang: sum(x == lang for _, x in sample) for _, lang in sample}
+        assert counts == {f"l{n:02}": min(most, 3 if n else 40) for n in range(70)}
+
+
 def test_language_edges(spark, docs, none):
     model = language.fit_languages(docs)
     assert set(model.languages) <= {"en", "fr", "xx"}
