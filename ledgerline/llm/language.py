@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import read
-from ledgerline.llm.sampling import fold, labelled_sample
+from ledgerline.llm.sampling import drawn, fold, labelled_sample
 
 PER_LANGUAGE, SAMPLE = 300, 19_200  # documents that the model is fitted on: of a language at most, and of all together
-FIT_SENTENCES = 24                 # evenly spaced sentences of a document in the fit
+FIT_SENTENCES = 24                 # sentences of a document in one pass of the fit, others in each
 LEXICON = 2000                     # most frequent words of each language in the sample
 GRAMS = (2, 3, 4)                  # lengths of the n-grams; a word has a mark before it and two behind
 BUCKET_BITS = 17                   # hashed affix and n-gram features
@@ -138,25 +138,36 @@ class LanguageModel:
         hashed = sum(np.add.reduceat(self.weights["hashed"][flat], starts) for flat, starts in grams)
         return hashed / np.sqrt(counts)[:, None] + lexicon @ self.weights["lexicon"]
 
-    def fit(self, chains: list[tuple[list[str], list[int]]], rounds: int = 40) -> None:
-        """Raises the likelihood of labelled chains by Adam over the whole sample, with a small penalty on weights."""
-        names = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in chains for w in words))}
-        word = np.array([names[w] for words, _ in chains for w in words])
-        gold = np.array([y for _, ys in chains for y in ys])
-        lengths = np.array([len(words) for words, _ in chains], np.int64)
+    def fit(self, documents: list[tuple[list[str], np.ndarray, int]], rng: np.random.Generator, rounds: int = 40) -> None:
+        """Raises the likelihood of the chains of ``(words, lengths, label)`` by Adam, with a small penalty on weights. Each
+        round has other sentences of the long documents, and other chains that run from one document into another."""
+        names = {w: i for i, w in enumerate(dict.fromkeys(w for words, _, _ in documents for w in words))}
+        codes = np.array([names[w] for words, _, _ in documents for w in words], np.int64)
+        sizes = np.concatenate([n for _, n, _ in documents])
+        begins = np.cumsum(sizes) - sizes
+        label = np.repeat([y for _, _, y in documents], [len(n) for _, n, _ in documents])
+        first_chain = np.cumsum([0] + [len(n) for _, n, _ in documents])
         grams, counts, lexicon = self.features.rows(list(names))
         flat = np.concatenate([f for f, _ in grams])
         owner = np.concatenate([np.repeat(np.arange(len(names)), np.diff(np.append(at, len(f)))) for f, at in grams])
         root = np.sqrt(counts)[:, None]
-        k, n = len(self.languages), len(word)
-        inner = np.ones(n, bool)
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        inner[first] = False
-        seen_moves = np.zeros((k, k))
-        np.add.at(seen_moves, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
-        seen_starts = np.bincount(gold[first], minlength=k)
+        k = len(self.languages)
         steps = {key: [np.zeros_like(w), np.zeros_like(w)] for key, w in self.weights.items()}
         for turn in range(1, rounds + 1):
+            chosen = np.concatenate([at + drawn(n, FIT_SENTENCES, rng) for at, n in zip(first_chain, np.diff(first_chain))])
+            chosen = rng.permutation(chosen)
+            third = len(chosen) // 3
+            chosen = np.concatenate([chosen[: 2 * third].reshape(2, third).T.ravel(), chosen[2 * third :]])  # a third runs into another
+            size = sizes[chosen]
+            lengths = np.concatenate([size[: 2 * third].reshape(third, 2).sum(axis=1), size[2 * third :]])
+            n = int(size.sum())
+            word = codes[np.arange(n) + np.repeat(begins[chosen] - (np.cumsum(size) - size), size)]
+            gold = np.repeat(label[chosen], size)
+            first = np.cumsum(lengths) - lengths
+            inner = np.ones(n, bool)
+            inner[first] = False
+            seen_moves = np.bincount((gold[:-1] * k + gold[1:])[inner[1:]], minlength=k * k).reshape(k, k)
+            seen_starts = np.bincount(gold[first], minlength=k)
             scores = self.emission(grams, counts, lexicon)[word].astype(float)
             p, expected, begun, _ = forward_backward(scores, lengths, self.weights["start"].astype(float), self.weights["moves"].astype(float))
             p[np.arange(n), gold] -= 1
@@ -220,30 +231,24 @@ class Labeller:
 
 
 def fitted(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
-    """A model fitted to ``(text, language)``. Half of the chains run from a sentence of one document into one of
-    another, so that switches are seen; the others are sentences as they are."""
+    """A model fitted to ``(text, language)``. In each round half of the chains run from a sentence of one document into
+    one of another, so that switches are seen; the others are sentences as they are."""
     languages = sorted({lang for _, lang in sample})
     number = {lang: i for i, lang in enumerate(languages)}
     counts = [Counter() for _ in languages]
-    chains = []
+    documents = []
     for text, lang in sample:
         words, lengths = sentences(text)
         counts[number[lang]].update(words)
-        ends = np.cumsum(lengths)
-        for i in np.unique(np.linspace(0, len(lengths) - 1, FIT_SENTENCES).round().astype(int)) if len(lengths) else ():
-            part = words[ends[i] - lengths[i] : ends[i]]
-            chains.append((part, [number[lang]] * len(part)))
+        documents.append((words, lengths, number[lang]))
     sums = [sum(c.values()) + 1 for c in counts]
     lexicon = {}
     for word in {w for c in counts for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]}:
         rate = np.log([(c[word] + 0.5) / s for c, s in zip(counts, sums)])
         lexicon[word] = np.append(rate - rate.mean(), 1.0).astype(np.float32) / 4
     model = LanguageModel(languages, lexicon)
-    if len(languages) > 1:
-        order = np.random.default_rng(seed).permutation(len(chains))
-        half = len(order) // 3
-        joined = [(chains[a][0] + chains[b][0], chains[a][1] + chains[b][1]) for a, b in zip(order[:half], order[half : 2 * half])]
-        model.fit(joined + [chains[i] for i in order[2 * half :]])
+    if len(languages) > 1 and any(words for words, _, _ in documents):
+        model.fit(documents, np.random.default_rng(seed))
     return model
 
 

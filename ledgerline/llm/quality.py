@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import read
-from ledgerline.llm.sampling import fold, labelled_sample
+from ledgerline.llm.sampling import drawn, fold, labelled_sample
 
 CHUNK, STEP = 512, 448           # bytes of a chunk, and from one chunk's start to the next
 EMBED, WIDTH, STRIDE = 8, 8, 4   # size of an embedding, bytes under a filter, bytes between its places
 FILTERS, HIDDEN = 64, 16
 PER_LABEL = 1500                 # documents of each label that the network is fitted on, at most
-FIT_CHUNKS = 8                   # evenly spaced chunks of a document in one pass of the fit
+FIT_CHUNKS = 8                   # chunks of a document in one pass of the fit, others in each
 UPDATES, BATCH = 900, 16          # steps of the fit, and documents in each
 PAD = 256
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
@@ -117,7 +117,7 @@ def fitted(sample: list[tuple[str, int]], updates: int = UPDATES, seed: int = 11
         if len(queue) < BATCH:
             queue.extend(rng.permutation(len(sample)).tolist())
         part, queue = queue[:BATCH], queue[BATCH:]
-        picked = [chunks[i][np.unique(np.linspace(0, len(chunks[i]) - 1, FIT_CHUNKS).round().astype(int))] for i in part]
+        picked = [chunks[i][drawn(len(chunks[i]), FIT_CHUNKS, rng)] for i in part]
         rate = 3e-3 * (1 - 0.9 * turn / updates)
         for k, g in gradients(net, picked, labels[part]).items():
             first, second = steps[k]

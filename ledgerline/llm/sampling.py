@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def drawn(n: int, most: int, rng: np.random.Generator) -> np.ndarray:
+    """``most`` of the places 0 to ``n``, one from each of as many equal stretches, or all places if they are no more."""
+    if n <= most:
+        return np.arange(n)
+    edges = np.arange(most + 1) * n // most
+    return rng.integers(edges[:-1], edges[1:])
+
+
 def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int, most: int) -> list[tuple[str, object]]:
     """``(text, label)`` of at most ``per_label`` documents of each label; ``most`` documents are shared among
     labels that are too many for that, and each label has one at least.

@@ -383,6 +383,30 @@ def test_quality_covers_the_whole_text():
         assert np.array_equal(seen[:n], raw % 128) and len(chunks) == max(1, -(-(n - 64) // 448))
 
 
+def test_fits_see_all_of_a_long_text(monkeypatch):
+    """Every chunk and every sentence is in some pass, though a pass has only a few."""
+    text = "".join(f"{i:07}" for i in range(2560))
+    chunks, gradients = {c.tobytes() for c in quality.chunks_of(text)}, quality.gradients
+    seen, most = set(), []
+
+    def watched(net, picked, labels):
+        seen.update(c.tobytes() for part in picked for c in part)
+        most.append(max(map(len, picked)))
+        return gradients(net, picked, labels)
+
+    monkeypatch.setattr(quality, "gradients", watched)
+    quality.fitted([(text, 0), ("short", 1)], updates=60)
+    assert len(chunks) == 40 and chunks <= seen and max(most) == quality.FIT_CHUNKS
+    words = {f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)}
+    model = language.fitted([(". ".join(sorted(words)), "a"), ("other text. in b", "b")])
+    known = sorted(words)
+    before, weights = language.LanguageModel(model.languages, {}), model.weights["hashed"]
+    grams, _, _ = before.features.rows(known)
+    flat, starts = grams[-1]  # of each word the longest n-grams carry weight once it was learned from
+    met = {w for w, part in zip(known, np.split(flat, starts[1:])) if np.abs(weights[part]).max() > 1e-3}
+    assert met == words
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(3)
     net = quality.new_network(rng)
