@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.bpe import default_vocabulary, encode_decode
 from ledgerline.llm.chosenpath import without_near_duplicates
 from ledgerline.llm.common import Scratch, read
-from ledgerline.llm.language import UNKNOWN, fit_languages, identified
+from ledgerline.llm.language import fit_languages, identified
 from ledgerline.llm.lines import dedup_lines
 from ledgerline.llm.mixing import mix
 
-LEAST_SHARE = 0.4  # share of its words that a document's language must have
+LEAST_SHARE = 0.4  # how surely a document's words must be in learned languages
 
 
 def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -26,12 +26,13 @@ def shown(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts, texts without a letter, and texts whose language has less than
-    ``LEAST_SHARE`` of the words go. Clean documents of any language that was learned stay."""
+    """Documents in learned languages: null texts, texts without a letter, and texts whose words are, on average, less than
+    ``LEAST_SHARE`` sure to be in the learned language that suits each best go. Clean documents of any languages that were
+    learned stay, also of several at once; if none could be learned, every text with a letter stays."""
     model = fit_languages(docs)
     inside, names = hidden(docs)
-    found = identified(inside, model, text_column=names["text"])
-    return shown(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)), names)
+    found = identified(inside, model, text_column=names["text"], sure=True)
+    return shown(found.where(F.coalesce("sure", F.lit(1.0)) >= LEAST_SHARE), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,21 +212,22 @@ class Labeller:
         p = forward_backward(self.scores[codes], lengths, w["start"].astype(float), w["moves"].astype(float))[0]
         return [words for words, _ in parts], np.array([len(words) for words, _ in parts]), p
 
-    def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its share of the words of each text."""
+    def documents(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """Language, its share of the words of each text, and the mean over its words of the likeliest language's probability."""
         if not self.model.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, None if sentences(t)[0] else 0.0) for t in texts]
         _, counts, p = self.words(texts)
         sums = np.concatenate([[np.zeros(p.shape[1])], np.cumsum(p, axis=0)])
+        best = np.append(0.0, np.cumsum(p.max(axis=1)))
         ends = np.cumsum(counts)
         out = []
         for n, end in zip(counts, ends):
             if not n:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0))
                 continue
             share = (sums[end] - sums[end - n]) / n
             top = int(share.argmax())
-            out.append((self.model.languages[top], float(min(1.0, max(0.0, share[top])))))
+            out.append((self.model.languages[top], float(min(1.0, max(0.0, share[top]))), float(min(1.0, max(share[top], (best[end] - best[end - n]) / n)))))
         return out
 
 
@@ -261,14 +262,16 @@ def fit_languages(docs: DataFrame, folds: int = 5, held: int = 0, per_language:
     return fitted(labelled_sample(learned.select("doc_id", "text"), known, "lang", per_language, SAMPLE))
 
 
-def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None, sure: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the share of its words that the language has.
 
     Every word of every text is labelled. A text that is null or has no letter is ``und`` with score 0, and so is every text
     if the model was fitted to nothing; ties go to the first language by name. ``keep`` names the columns to return, all by
-    default; those named like a computed one are replaced. Repeated rows get one answer; an empty table gives no rows.
+    default; those named like a computed one are replaced. Repeated rows get one answer; an empty table gives no rows. ``sure`` adds
+    a column of that name: how probable the likeliest language of each word is, on average; null where no language was learned
+    and the text has a letter.
     """
-    made = ["lang_pred", "score"]
+    made = ["lang_pred", "score"] + ["sure"] * sure
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     inside = docs.select(F.col(text_column).alias("_text"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)])
     # of a fixed size: buckets, lexicon and languages are bounded
@@ -284,11 +287,11 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
                 part = batch.slice(start, 400)
                 found = labeller.documents(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    part.columns[1:] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                    part.columns[1:] + [pa.array([x[i] for x in found], pa.float64() if i else pa.string()) for i in range(len(made))],
                     names=batch.schema.names[1:] + made,
                 )
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields[1:]] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields[1:]] + ["lang_pred string", "score double", "sure double"][: len(made)])
     return inside.mapInArrow(run, schema).select([F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)] + made)
 
 

@@ -504,3 +504,16 @@ def test_pipeline_stages_on_edges(spark, docs, none):
         assert now.count() <= 2 * rows
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, extra, "").collect()}
     assert not kept & {2, 3, 7, 10} and {1, 5, 9} <= kept
+
+
+def test_the_language_stage_keeps_clean_documents(spark, docs, monkeypatch):
+    """In several languages at once, and where no language could be learned."""
+    ends = {"en": "th{}ing wh{}er the{}.", "de": "sch{}ung ver{}lich und{}.", "fr": "qu{}eux d{}ment eau{}.", "fi": "yks{}nen kak{}lla j{}."}
+    said = {lang: " ".join(form.format(a, a, a) for a in "aeiou") for lang, form in ends.items()}
+    model = language.fitted([(text * 3, lang) for lang, text in said.items()])
+    mixed = " ".join(said[x] for x in ("en", "de", "fr", "fi"))
+    assert 0.4 > language.Labeller(model).documents([mixed])[0][1]
+    table = spark.createDataFrame([(1, mixed, None, "a", 1), (2, said["fr"], None, "a", 1), (3, "123 !", None, "a", 1), (4, None, None, "a", 1)], DOCS)
+    for learned in (model, language.LanguageModel([], {})):
+        monkeypatch.setattr(corpus_pipeline, "fit_languages", lambda _: learned)
+        assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, table, "").collect()} == {1, 2}
