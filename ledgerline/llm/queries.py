@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chosenpath, language, lines, mixing, neighbours, quality, suffixes, topk, warc
+from ledgerline.llm import bpe, chosenpath, language, lines, mixing, neighbours, quality, repair, suffixes, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lines.op8_line_dedup,
         bpe.op9_bpe_round_trip,
         language.op10_language_id,
+        repair.op13_conversation_repair,
     )
 }
 ORACLES: dict[str, str] = {
