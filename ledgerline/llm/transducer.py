@@ -159,7 +159,7 @@ class Counter:
         for rank, merge in enumerate(file["model"]["merges"]):
             left, right = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
             a, b, whole = self.id_of[left], self.id_of[right], self.id_of[left + right]
-            if whole in self.made or max(self.made.get(x, (-1,))[0] for x in (a, b)) >= rank:
+            if whole in self.made or any(len(part) > 1 and self.id_of[part] not in self.made for part in (left, right)):
                 raise ValueError("each token must have one merge, after those of its parts")
             self.pairs[a, b], self.made[whole] = rank, (rank, a, b)
         # tokens that BPE gives for their own bytes; a merge comes after those of its parts, so they are known by then
