@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chosenpath, language, lines, mixing, neighbours, quality, repair, suffixes, topk, transducer, warc
+from ledgerline.llm import bpe, chosenpath, hardneg, language, lines, mixing, neighbours, quality, repair, suffixes, topk, transducer, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lines.op8_line_dedup,
         bpe.op9_bpe_round_trip,
         language.op10_language_id,
+        hardneg.op11_hard_negatives,
         transducer.op12_token_counts,
         repair.op13_conversation_repair,
     )
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op3_warc_round_trip": warc.SQL,
     "op6_nearest_neighbours": neighbours.SQL,
     "op8_line_dedup": lines.SQL,
+    "op11_hard_negatives": hardneg.SQL,
 }
