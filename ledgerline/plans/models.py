@@ -22,6 +22,8 @@ PASS_THROUGH = {
     "stg_interest": "fact_interest_monthly",
 }
 
+REVERSALS = "ledger_reversals"
+
 GOVERNED_COLUMNS = [
     "transaction_id", "account_id", "transaction_date", "posting_date", "branch_id",
     "transaction_type", "amount", "fee_waived",
@@ -42,7 +44,8 @@ def customer_accounts(tables: Tables) -> DataFrame:
 
 
 def reversed_ids(tables: Tables) -> DataFrame:
-    return tables.ref("fact_transaction").select("reversal_of_transaction_id")
+    """Ids that a reversal undoes. A catalog whose ledger holds some months only has the whole ledger's under ``REVERSALS``."""
+    return tables.ref(REVERSALS if REVERSALS in tables.names() else "fact_transaction").select("reversal_of_transaction_id")
 
 
 def netted_transactions(tables: Tables) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType,
 from ledgerline.functions.answer_text import single_line
 from ledgerline.functions.calendar import month_start, partition_of
 from ledgerline.operators.joins import require_unique
+from ledgerline.sources.folders import Folder
 from ledgerline.sources.schemas import RAW, STORED_BY
 from ledgerline.sources.tables import Loader, Tables, from_parquet, read_stored
 
@@ -56,6 +57,12 @@ def typed(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def month_folder(name: str) -> str:
+    """The column whose months are the folders of a stored table."""
+    day = STORED_BY[name]
+    return day if day == "month_start" else partition_of(day)
+
+
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     """One folder per table, split by month where the table has a date.
 
@@ -64,8 +71,7 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") ->
     """
     writer = df.write
     if name in STORED_BY:
-        day = STORED_BY[name]
-        folder = day if day == "month_start" else partition_of(day)
+        day, folder = STORED_BY[name], month_folder(name)
         if folder != day:
             df = df.withColumn(folder, month_start(F.col(day)))
         writer = df.hint("rebalance", folder).write.partitionBy(folder)
@@ -86,16 +92,20 @@ def append_rows(df: DataFrame, path: str, name: str) -> None:
 def materialise(tables: Tables, names: Iterable[str], path: str, grains: Mapping[str, Sequence[str]] = {}) -> Tables:
     """Write the named models once and let everything downstream read the files.
 
-    ``grains`` names the columns that tell a table's rows apart. A written table that repeats them is refused: joins
-    to it and metrics over it would count rows twice.
+    ``grains`` names the columns that tell a table's rows apart. A table that repeats them is refused: joins
+    to it and metrics over it would count rows twice. It is written aside and checked before it takes the place of
+    the one that stands there, so a refused table changes nothing.
     """
+    folder = Folder(tables.spark, path)
     for name in names:
         df = tables.ref(name)
-        write_table(df, path, name)
-        stored = tables.extend({name: _stored(path, name, df.schema)})
+        folder.remove(f"_staged/{name}")
+        write_table(df, folder.path("_staged"), name)
         if name in grains:
-            require_unique(stored.ref(name), *grains[name])
-        tables = stored
+            require_unique(read_stored(tables.spark, folder.path("_staged"), name, df.schema), *grains[name])
+        folder.remove(name)
+        folder.move(f"_staged/{name}", name)
+        tables = tables.extend({name: _stored(path, name, df.schema)})
     return tables
 
 
