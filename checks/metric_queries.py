@@ -241,7 +241,7 @@ register(
 )
 register(
     "metric_spine_filled_by_day",
-    ask(["fee_revenue_net", "transaction_count"], grain="day", spine=True, fill=0, where={"home_branch_name": lambda c: c == "NATION_3"}),
+    ask(["fee_revenue_net", "transaction_count"], grain="day", spine=True, fill=True, where={"home_branch_name": lambda c: c == "NATION_3"}),
     f"""SELECT d.date_key AS period, coalesce(f, 0) AS fee_revenue_net, coalesce(n, 0) AS transaction_count
         FROM dim_date d LEFT JOIN (SELECT transaction_date, {FEES_NET} AS f, count(*) AS n FROM fct_transactions
                                    WHERE home_branch_name = 'NATION_3' GROUP BY 1) t ON t.transaction_date = d.date_key""",
@@ -251,6 +251,55 @@ register(
 )
 
 
+def spine_sql(grain: str, group: str, groups: str, body: str, values: str) -> str:
+    """Each group beside each period of the calendar, with the values of ``body`` where it has them."""
+    return f"""SELECT g.{group}, d.period, {values}
+        FROM ({groups}) g CROSS JOIN (SELECT DISTINCT CAST(date_trunc('{grain}', date_key) AS DATE) AS period FROM dim_date) d
+             LEFT JOIN ({body}) t ON t.{group} IS NOT DISTINCT FROM g.{group} AND t.period = d.period"""
+
+
+register(
+    "metric_spine_fees_by_branch_and_month",
+    ask(["fee_revenue_net", "transaction_count"], by=["home_branch_name"], grain="month", spine=True, fill=True),
+    spine_sql(
+        "month", "home_branch_name", "SELECT DISTINCT home_branch_name FROM fct_transactions",
+        f"""SELECT home_branch_name, CAST(date_trunc('month', transaction_date) AS DATE) AS period, {FEES_NET} AS f, count(*) AS n
+            FROM fct_transactions GROUP BY 1, 2""",
+        "coalesce(f, 0) AS fee_revenue_net, coalesce(n, 0) AS transaction_count",
+    ),
+    real="fee_revenue_net",
+    whole="transaction_count",
+    dates="period",
+)
+register(
+    "metric_spine_rates_by_region_and_month",
+    ask(["delinquency_rate_30d", "delinquent_30d_count", "total_loan_count"], by=["customer__region"], grain="month", spine=True, fill=True),
+    spine_sql(
+        "month", "customer__region", "SELECT DISTINCT region AS customer__region FROM fct_loans_monthly l LEFT JOIN dim_customers c ON c.customer_id = l.customer_id",
+        f"""SELECT c.region AS customer__region, month_start AS period, {share(LATE30, ACTIVE_LOANS)} AS rate, {LATE30} AS late, {LOANS} AS loans
+            FROM fct_loans_monthly l LEFT JOIN dim_customers c ON c.customer_id = l.customer_id GROUP BY 1, 2""",
+        "rate AS delinquency_rate_30d, coalesce(late, 0) AS delinquent_30d_count, coalesce(loans, 0) AS total_loan_count",
+    ),
+    whole="delinquent_30d_count, total_loan_count",
+    dates="period",
+)
+register(
+    "metric_spine_balances_by_product_and_quarter",
+    ask(["average_daily_balance", "net_interest_income"], by=["product_id"], grain="quarter", spine=True, fill=True, digits=4),
+    spine_sql(
+        "quarter", "product_id", "SELECT product_id FROM fct_account_balances_monthly UNION SELECT product_id FROM fct_interest_monthly",
+        f"""SELECT product_id, period, max(b) AS b, max(i) AS i FROM (
+              SELECT product_id, CAST(date_trunc('quarter', month_start) AS DATE) AS period, avg(avg_daily_balance) AS b, NULL AS i
+              FROM fct_account_balances_monthly GROUP BY 1, 2
+              UNION ALL SELECT product_id, CAST(date_trunc('quarter', month_start) AS DATE), NULL, {NII} FROM fct_interest_monthly GROUP BY 1, 2)
+            GROUP BY 1, 2""",
+        "round(b, 4) AS average_daily_balance, coalesce(i, 0) AS net_interest_income",
+    ),
+    real="net_interest_income",
+    dates="period",
+)
+
+
 def change(t: Tables) -> DataFrame:
     series = m.query(marts(t), ["fee_revenue_net"], by=["home_branch_name"], grain="quarter")
     return m.compare_periods(series, "fee_revenue_net", by=["home_branch_name"])

@@ -284,16 +284,20 @@ def query(
     time: str | None = None,
     span: Period | None = None,
     spine: bool = False,
-    fill: int | None = None,
+    fill: bool = False,
 ) -> DataFrame:
     """Metrics by dimensions and, with a grain, by period of the model's time column.
 
     ``by`` and ``where`` name the mart's own dimensions, ``customer__*`` attributes reached through
     the customer key, or ``date__*`` attributes of the calendar. ``time`` picks another date role such
-    as ``posting_date``; ``span`` keeps one period of it, as a range the files are pruned by. With ``spine`` every period of the calendar appears, filled with ``fill``.
+    as ``posting_date``; ``span`` keeps one period of it, as a range the files are pruned by. With ``spine`` every group has every period of
+    the calendar (of the span), and periods outside of it go; with ``fill`` a period in which a group has no rows holds what each metric's
+    rule says, see ``fill_rule``, and NULL otherwise.
     """
     leaves = list(dict.fromkeys(leaf for m in metrics for leaf in simple_parts(m)))
     groups = [*by, *([PERIOD] if grain else [])]
+    if fill and not spine:
+        raise ValueError("only a spine has periods to fill")
     frames = []
     for name, model in MODELS.items():
         own = [leaf for leaf in leaves if METRICS[leaf].model == name]
@@ -304,11 +308,38 @@ def query(
     if spine:
         if not grain:
             raise ValueError("a spine needs a grain")
-        days = within(tables.ref("dim_dates"), span, "date_key")
-        periods = days.selectExpr(f"{period_start_sql(grain, 'date_key')} AS {PERIOD}").distinct()
-        result = periods.join(result, PERIOD, "left")
-    result = result.selectExpr(*groups, *[f"{_value(m)} AS `{m}`" for m in metrics])
-    return result if fill is None else result.fillna(fill, subset=list(metrics))
+        result = on_spine(result, by, leaves, grain, within(tables.ref("dim_dates"), span, "date_key"))
+    if fill:
+        zeros = {leaf: F.lit(0).cast(result.schema[leaf].dataType) for leaf in leaves if fill_rule(leaf) == 0}
+        result = result.withColumns({leaf: F.coalesce(F.col(leaf), zero) for leaf, zero in zeros.items()})
+    return result.selectExpr(*groups, *[f"{_value(m)} AS `{m}`" for m in metrics])
+
+
+def fill_rule(name: str) -> int | None:
+    """What a simple metric is over no rows: sums and counts are 0, an average is not known. A ratio or derived metric follows from
+    its parts, so a ratio over nothing is NULL and a difference of sums 0."""
+    metric = METRICS[name]
+    return None if MODELS[metric.model].measures[metric.measure][0] == "avg" else 0
+
+
+SPINE_STEPS = {"day": "1 day", "month": "1 month", "quarter": "3 month", "year": "12 month"}
+
+
+def on_spine(result: DataFrame, by: Sequence[str], values: Sequence[str], grain: str, days: DataFrame) -> DataFrame:
+    """Every group of a result with every period from the first to the last of ``days``.
+
+    A group's periods are one ``sequence`` taken apart, and a group-by brings result and periods together: no cross join, and groups of NULL
+    stay one group. Both sides read the result from the same shuffle.
+    """
+    calendar = [d for d in by if d.startswith("date__")]
+    if calendar:
+        raise ValueError(f"{calendar[0]} follows from the period; a spine cannot hold it against other periods")
+    first, last = (days.agg(f("date_key").alias("day")).selectExpr(f"{period_start_sql(grain, 'day')} AS day").scalar() for f in (F.min, F.max))
+    inside = result.where(F.col(PERIOD).between(first, last))
+    groups = inside.select(*by).distinct() if by else result.sparkSession.range(0, 1, 1, 1).select()
+    step = F.expr(f"interval {SPINE_STEPS[grain]}")
+    every = groups.select(*by, F.explode(F.sequence(first, last, step)).alias(PERIOD))
+    return stack_groups([inside, every], [*by, PERIOD], values)
 
 
 def compare_periods(series: DataFrame, value: str, by: Sequence[str] = (), months: int = 3) -> DataFrame:

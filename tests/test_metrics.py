@@ -64,6 +64,44 @@ def test_spine_keeps_empty_periods(sold):
     assert df.where("transaction_count IS NOT NULL").count() == 0
 
 
+def test_spine_has_every_period_of_every_group(sold, tables):
+    months = sold.ref("dim_dates").selectExpr("trunc(date_key, 'MM') AS m").distinct().count()
+    fees = m.query(sold, ["fee_revenue_net", "transaction_count"], by=["home_branch_name"], grain="month", spine=True, fill=True)
+    rows = fees.collect()
+    assert len(rows) == 25 * months and all(r[2] is not None and r[3] is not None for r in rows)
+    assert sum(r["transaction_count"] for r in rows) == tables.ref("fct_transactions").count()
+    rates = m.query(sold, ["delinquency_rate_30d", "total_loan_count", "average_daily_balance"], grain="month", spine=True, fill=True).collect()
+    assert len(rates) == months and {r["total_loan_count"] > 0 for r in rates} == {True, False}
+    for r in rates:
+        assert (r["delinquency_rate_30d"] is None) == (r["total_loan_count"] == 0)
+    assert sum(r["average_daily_balance"] is None for r in rates) == months - 6
+
+
+def test_spine_keeps_a_group_of_null_and_drops_periods_outside(sold, spark):
+    one = sold.ref("fct_transactions").limit(1)
+    late = [one.withColumns({"home_branch_name": F.lit(None).cast("string"), "posting_date": F.lit(d).cast("date")}) for d in ("1998-03-02", "2030-01-01", None)]
+    more = sold.extend({"fct_transactions": lambda t: late[0].unionByName(late[1]).unionByName(late[2])})
+    rows = m.query(more, ["transaction_count"], by=["home_branch_name"], grain="year", time="posting_date", spine=True, fill=True).collect()
+    assert sum(r["transaction_count"] for r in rows) == 1 and {r["home_branch_name"] for r in rows} == {None}
+    assert len(rows) == len({r["period"] for r in rows}) == sold.ref("dim_dates").selectExpr("year(date_key) AS y").distinct().count()
+    span = m.query(more, ["transaction_count"], by=["home_branch_name"], grain="month", time="posting_date", span=Period.quarter(1998, 1), spine=True)
+    assert sorted((r["period"].month, r["transaction_count"]) for r in span.collect()) == [(1, None), (2, None), (3, 1)]
+
+
+def test_spine_refuses_what_it_cannot_hold(sold):
+    with pytest.raises(ValueError, match="follows from the period"):
+        m.query(sold, ["transaction_count"], by=["date__year"], grain="month", spine=True)
+    with pytest.raises(ValueError, match="periods to fill"):
+        m.query(sold, ["transaction_count"], grain="month", fill=True)
+
+
+def test_spine_reads_its_result_once(sold, spark):
+    df = m.query(sold, ["transaction_count"], by=["home_branch_name"], grain="month", spine=True, fill=True)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_ratio_over_nothing_is_null(sold):
     row = m.query(sold, ["delinquency_rate_30d"], where={"write_off_flag": lambda c: c}).first()
     assert row[0] is None
