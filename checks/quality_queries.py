@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import register
+from checks.registry import register, scratch
 from ledgerline import Tables
 from ledgerline.operators import quality, security
 from ledgerline.operators.quality import ColumnTest
 from ledgerline.plans import metrics as m
 from ledgerline.plans.models import marts
+from ledgerline.sources.sinks import save_as_tables
 
 BRANCH, REGION = "NATION_7", "ASIA"
 MODEL_TABLE = {
@@ -204,6 +207,58 @@ register(
 )
 
 
+def saved_marts(t: Tables) -> str:
+    """The marts as tables of a new database that every session sees, with the reader's entitlements beside them."""
+    database = f"marts_{uuid.uuid4().hex[:12]}"
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch(t.spark, database)}'")
+    reader = t.ref("dim_branch").select(
+        F.when(F.col("branch_id") % 5 == 0, F.expr("session_user()")).otherwise("someone else").alias("identity"),
+        F.col("branch_name").alias("home_branch_name"),
+    )
+    save_as_tables(marts(t).extend({"entitlements": lambda _: reader}), [*marts(t).names(), "entitlements"], database)
+    return database
+
+
+def through_stored_views(role: security.Role | None, query: str):
+    """A query in the session of a role whose tables are stored views; without a role, of whoever reads."""
+
+    def run(t: Tables) -> DataFrame:
+        saved = saved_marts(t)
+        views = f"views_{saved}"
+        mine = role or security.Role("By person", security.entitled_by(f"{saved}.entitlements"))
+        security.save_role_views(t.spark, saved, views, mine, marts(t).names())
+        return security.role_session(t.spark, views).sql(query)
+
+    return run
+
+
+register(
+    "role_views_restricted_user",
+    through_stored_views(
+        security.standard_roles(BRANCH, REGION)["Restricted User"],
+        """SELECT c.*, coalesce(f.transactions, 0) AS transactions
+           FROM dim_customers c LEFT JOIN (SELECT customer_id, count(*) AS transactions FROM fct_transactions GROUP BY 1) f ON f.customer_id = c.customer_id""",
+    ),
+    f"""SELECT c.* EXCLUDE (customer_name), coalesce(n, 0) AS transactions
+        FROM dim_customers c LEFT JOIN (SELECT customer_id, count(*) AS n FROM fct_transactions GROUP BY 1) f ON f.customer_id = c.customer_id
+        WHERE region = '{REGION}'""",
+    dates="signup_date",
+    whole="transactions",
+)
+register(
+    "role_views_by_the_readers_entitlements",
+    through_stored_views(
+        None,
+        """SELECT c.home_branch_name, count(DISTINCT l.loan_account_id) AS loans, max(l.days_past_due) AS days_past_due
+           FROM fct_loans_monthly l JOIN dim_customers c ON c.customer_id = l.customer_id GROUP BY 1""",
+    ),
+    """SELECT c.home_branch_name, count(DISTINCT l.loan_account_id) AS loans, max(l.days_past_due) AS days_past_due
+       FROM fct_loans_monthly l JOIN dim_customers c ON c.customer_id = l.customer_id
+       WHERE c.home_branch_id % 5 = 0 GROUP BY 1""",
+    whole="loans, days_past_due",
+)
+
+
 def by_identity(t: Tables) -> DataFrame:
     """Entitlements derived from the branches: each region's analyst may see the region's branches."""
     bridge = t.ref("dim_branch").select(F.concat(F.lower("region"), F.lit("@bank")).alias("identity"), F.col("branch_name").alias("home_branch_name"))

@@ -11,23 +11,20 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ledgerline.sources.guard import GuardedSession, UnknownTable
 from ledgerline.sources.schemas import RAW, stored_schema
 
 Loader = Callable[["Tables"], DataFrame]
 
 
-class UnknownTable(KeyError):
-    """The table is not in this catalog, or the holder's role may not see it."""
-
-
 class Tables:
-    """``base`` is the catalog that loaders take restricted or renamed tables from; holders of this one cannot reach it."""
+    """Named loaders, each given the catalog it is asked through. What a loader takes from another catalog it holds itself."""
 
-    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader], base: "Tables | None" = None):
+    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader]):
         self.spark = spark
-        self.base = base
         self._loaders = dict(loaders)
         self._frames: dict[str, DataFrame] = {}
+        self._elsewhere: dict[SparkSession, Tables] = {}
 
     def ref(self, name: str) -> DataFrame:
         if name not in self._loaders:
@@ -41,15 +38,23 @@ class Tables:
 
     def extend(self, loaders: Mapping[str, Loader]) -> "Tables":
         """The same tables with some added or replaced; downstream models follow the replacement."""
-        return Tables(self.spark, {**self._loaders, **loaders}, self.base)
+        return Tables(self.spark, {**self._loaders, **loaders})
+
+    def loader(self, name: str) -> Loader:
+        """One of these tables for another catalog, which gets this table and no way to the rest."""
+        return lambda tables: self.in_session(tables.spark).ref(name)
 
     def only(self, named: Mapping[str, str]) -> "Tables":
-        """A catalog of some of these tables, new name to old."""
-        return Tables(self.spark, {new: _of_base(old) for new, old in named.items()}, self)
+        """A catalog of some of these tables, new name to old. The others cannot be reached through it."""
+        return Tables(self.spark, {new: self.loader(old) for new, old in named.items()})
 
     def in_session(self, spark: SparkSession) -> "Tables":
         """The same tables, planned by another session."""
-        return Tables(spark, self._loaders, self.base and self.base.in_session(spark))
+        if spark is self.spark:
+            return self
+        if spark not in self._elsewhere:
+            self._elsewhere[spark] = Tables(spark, self._loaders)
+        return self._elsewhere[spark]
 
     def create_views(self, prefix: str = "") -> list[str]:
         """Expose every table to ``spark.sql`` as a temporary view of this session.
@@ -60,11 +65,10 @@ class Tables:
             self.ref(name).createOrReplaceTempView(prefix + name)
         return [prefix + name for name in self.names()]
 
-    def own_session(self) -> SparkSession:
-        """A new session whose temporary views are these tables and nothing else."""
+    def own_session(self) -> "GuardedSession":
+        """A new session that answers queries over these tables and refuses every other name."""
         session = self.spark.newSession()
-        self.in_session(session).create_views()
-        return session
+        return GuardedSession(session, self.in_session(session).create_views())
 
     def imported(self, *names: str) -> "Tables":
         """Import mode: keep the named tables in memory until ``release``; the rest are read live on each query."""
@@ -76,10 +80,6 @@ class Tables:
             self.ref(name).unpersist()
 
 
-def _of_base(name: str) -> Loader:
-    return lambda tables: tables.base.ref(name)
-
-
 def _persisted(load: Loader) -> Loader:
     return lambda tables: load(tables).persist()
 
@@ -103,6 +103,6 @@ def from_catalog(spark: SparkSession, schema: str, names: list[str] | None = Non
     """Tables of a database schema, by item name."""
 
     def loader(name: str) -> Loader:
-        return lambda tables: spark.table(f"{schema}.{name}")
+        return lambda tables: tables.spark.table(f"{schema}.{name}")
 
     return Tables(spark, {name: loader(name) for name in names or list(RAW)})
