@@ -250,6 +250,42 @@ register(
     dates="period",
 )
 
+ACCOUNT_PRODUCT = "(SELECT account_id, max(product_id) AS told FROM fct_interest_monthly GROUP BY 1)"
+LOAN_STATUS = """(SELECT customer_id, CASE WHEN last >= 90 THEN '90+' WHEN last >= 30 THEN '30-89' WHEN last >= 0 THEN 'current' END AS told, lost
+    FROM (SELECT customer_id, arg_max(days_past_due, (month_start, days_past_due)) AS last, bool_or(write_off_flag) AS lost FROM fct_loans_monthly GROUP BY 1))"""
+register(
+    "metric_transactions_by_account_product",
+    ask(TRANSACTION_METRICS, by=["account__interest__product_id"]),
+    f"""SELECT p.told AS account__interest__product_id, {TRANSACTION_SQL}
+        FROM fct_transactions t LEFT JOIN {ACCOUNT_PRODUCT} p ON p.account_id = t.account_id GROUP BY 1""",
+    real=TRANSACTION_REAL,
+    whole="transaction_count, account__interest__product_id",
+)
+register(
+    "metric_transactions_by_loan_status_and_region",
+    ask(TRANSACTION_METRICS, by=["customer__loan_status", "customer__region"], grain="year"),
+    f"""SELECT l.told AS customer__loan_status, c.region AS customer__region, CAST(date_trunc('year', transaction_date) AS DATE) AS period, {TRANSACTION_SQL}
+        FROM fct_transactions t LEFT JOIN {LOAN_STATUS} l ON l.customer_id = t.customer_id
+             LEFT JOIN dim_customers c ON c.customer_id = t.customer_id GROUP BY 1, 2, 3""",
+    real=TRANSACTION_REAL,
+    whole="transaction_count",
+    dates="period",
+)
+register(
+    "metric_balances_of_customers_with_lost_loans",
+    ask(["average_daily_balance", "month_end_balance"], by=["product_id"], where={"customer__has_written_off_loan": lambda c: c}, digits=4),
+    f"""SELECT b.product_id, round(avg(avg_daily_balance), 4) AS average_daily_balance, round(avg(CAST(month_end_balance AS DOUBLE)), 4) AS month_end_balance
+        FROM fct_account_balances_monthly b JOIN {LOAN_STATUS} l ON l.customer_id = b.customer_id WHERE l.lost GROUP BY 1""",
+    whole="product_id",
+)
+register(
+    "metric_customers_by_loan_status",
+    ask(["customer_count", "customer_inactivity_rate"], by=["customer__loan_status"]),
+    f"""SELECT l.told AS customer__loan_status, {CUSTOMERS.replace("customer_id", "c.customer_id")} AS customer_count,
+               {share(INACTIVE, CUSTOMERS).replace("customer_id", "c.customer_id")} AS customer_inactivity_rate
+        FROM dim_customers c LEFT JOIN {LOAN_STATUS} l ON l.customer_id = c.customer_id GROUP BY 1""",
+)
+
 
 def spine_sql(grain: str, group: str, groups: str, body: str, values: str) -> str:
     """Each group beside each period of the calendar, with the values of ``body`` where it has them."""

@@ -64,20 +64,6 @@ def aggregate(frame: DataFrame, by: Mapping[str, str], specs: Sequence[Spec], un
     return reduced.groupBy(*_named(dict(zip(by, keys)))).agg(*_named(then))
 
 
-def aggregate_through(
-    frame: DataFrame,
-    key: str,
-    by: Mapping[str, str],
-    specs: Sequence[Spec],
-    dim: DataFrame,
-    dim_by: Sequence[str],
-    how: str,
-    unique: Sequence[str] = (),
-) -> DataFrame:
-    """Group also by columns of a dimension, which must be unique on ``key``."""
-    return aggregate(frame.join(dim, key, how), {**by, **{d: d for d in dim_by}}, specs, unique)
-
-
 def stack_groups(frames: Sequence[DataFrame], by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Combine per-model results on their shared groups.
 

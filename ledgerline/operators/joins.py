@@ -60,6 +60,12 @@ def status_value(code: Column) -> Column:
     return F.when(slot > 0, (slot - F.lit(2**31 + 1)).cast("int"))
 
 
+def latest_sql(when: str, value: str) -> str:
+    """The value of the last date as a SQL aggregate, by the same packing; of equal dates the largest value, NULL if it is NULL."""
+    code = f"max(unix_date({when}) * {2**33}L + coalesce({value} + {2**31 + 1}L, 0L))"
+    return f"(nullif(pmod({code}, {2**33}L), 0L) - {2**31 + 1}L)"
+
+
 class FanOut(ValueError):
     """The join key is not unique on the one-side."""
 

@@ -7,15 +7,16 @@ Ratios and derived metrics are arithmetic on those aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import GRAINS, Period, period_start_sql, within
 from ledgerline.functions.numbers import RATIO
-from ledgerline.operators.aggregate import Spec, aggregate, aggregate_through, stack_groups
-from ledgerline.operators.joins import FanOut
+from ledgerline.operators.aggregate import Spec, aggregate, stack_groups
+from ledgerline.operators.joins import latest_sql, lookup
+from ledgerline.plans.entities import Route, attributes, route
 from ledgerline.sources.tables import Tables
 
 Where = Mapping[str, Callable[[Column], Column]]
@@ -33,6 +34,8 @@ class SemanticModel:
     dimensions: Mapping[str, str]          # dimension -> SQL expression
     measures: Mapping[str, tuple[str, str]]  # measure -> (aggregate, SQL expression)
     other_times: tuple[str, ...] = ()      # times used only on request
+    # entity -> attribute -> SQL aggregate that makes one of an entity's several rows; without it other models cannot use them
+    per_key: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,11 @@ class Metric:
     combine: str = ""                      # SQL over the parts, {0} {1} ...
 
 
+# the days past due of the last month, in the stages of delinquency
+_LAST = latest_sql("month_start", "days_past_due")
+LOAN_STATUS = f"CASE WHEN {_LAST} >= 90 THEN '90+' WHEN {_LAST} >= 30 THEN '30-89' WHEN {_LAST} >= 0 THEN 'current' END"
+
+
 # Entities, dimensions and measure expressions as the semantic models declare them.
 MODELS: dict[str, SemanticModel] = {
     "transactions": SemanticModel(
@@ -89,6 +97,13 @@ MODELS: dict[str, SemanticModel] = {
             "avg_daily_balance_measure": ("avg", "avg_daily_balance"),
             "month_end_balance_measure": ("avg", "month_end_balance"),
         },
+        per_key={
+            "account": {
+                "product_id": "max(product_id)",
+                "customer_id": "max(customer_id)",
+                "largest_month_end_balance": "max(month_end_balance)",
+            },
+        },
     ),
     "interest": SemanticModel(
         mart="fct_interest_monthly",
@@ -102,6 +117,7 @@ MODELS: dict[str, SemanticModel] = {
             "interest_expense_measure": ("sum", "interest_expense"),
             "outstanding_loan_balance_measure": ("sum", "outstanding_loan_balance"),
         },
+        per_key={"account": {"product_id": "max(product_id)", "customer_id": "max(customer_id)"}},
     ),
     "loans": SemanticModel(
         mart="fct_loans_monthly",
@@ -121,6 +137,11 @@ MODELS: dict[str, SemanticModel] = {
             "write_off_indicator": ("sum", "case when write_off_flag then 1 else 0 end"),
             "loan_months": ("count", "1"),
         },
+        per_key={
+            # a customer's loans in their last month: the worst of them
+            "customer": {"loan_status": LOAN_STATUS, "has_written_off_loan": "bool_or(write_off_flag)", "loans": "count(DISTINCT loan_account_id)"},
+            "loan": {"product_id": "max(product_id)", "customer_id": "max(customer_id)", "loan_status": LOAN_STATUS},
+        },
     ),
 }
 
@@ -217,14 +238,14 @@ class ModelFrame:
             raise ValueError(f"{model.mart} has no time {self.time!r}")
         self.frame = within(tables.ref(model.mart), span, self.time)
         wanted = list(dict.fromkeys([*by, *where]))
-        self.customer = [d.removeprefix("customer__") for d in wanted if d.startswith("customer__")]
         self.calendar = [d.removeprefix("date__") for d in wanted if d.startswith("date__")]
-        unknown = [
-            d for d in wanted
-            if "__" not in d and d not in model.dimensions or "__" in d and d.split("__")[0] not in ("customer", "date")
-        ]
-        for d in unknown:
-            self._refuse(d)
+        own = [d for d in wanted if d in model.dimensions or d.startswith("date__")]
+        # dimensions of other models, together where they come the same way
+        self.foreign: dict[tuple, dict[str, Route]] = {}
+        for d in wanted:
+            if d not in own:
+                way = route(MODELS, model, d)
+                self.foreign.setdefault(way.steps, {})[d] = way
         if self.calendar:
             days = tables.ref("dim_dates").select(
                 F.col("date_key").alias(self.time), *[F.col(c).alias(f"date__{c}") for c in self.calendar]
@@ -239,20 +260,11 @@ class ModelFrame:
                 self.frame = self.frame.where((F.col(self.time) >= first) & (F.col(self.time) <= last))
             self.frame = self.frame.join(days, self.time, "left")
         for d, condition in where.items():
-            if not d.startswith("customer__"):
+            if d in own:
                 self.frame = self.frame.where(condition(F.expr(self.dimension(d))))
-        self.own_by = {d: self.dimension(d) for d in by if not d.startswith("customer__")}
-        self.customer_by = [d for d in by if d.startswith("customer__")]
-        self.customer_where = {d: c for d, c in where.items() if d.startswith("customer__")}
-
-    def _refuse(self, dimension: str) -> None:
-        entity = dimension.split("__")[0]
-        if "__" in dimension and entity in self.model.entities:
-            key = self.model.entities[entity]
-            for other in MODELS.values():
-                if other is not self.model and other.entities.get(entity) == key and other.grain != (key,):
-                    raise FanOut(f"{other.mart} has several rows per {key}; it cannot describe {self.model.mart}")
-        raise ValueError(f"{self.model.mart} has no dimension {dimension!r}")
+        self.own_by = {d: self.dimension(d) for d in by if d in own}
+        self.foreign_by = [d for d in by if d not in own]
+        self.where = where
 
     def dimension(self, name: str) -> str:
         return name if name.startswith("date__") else self.model.dimensions[name]
@@ -263,16 +275,14 @@ class ModelFrame:
             if GRAINS.index(grain) < GRAINS.index(self.model.base_grain):
                 raise ValueError(f"{self.model.mart} is kept by {self.model.base_grain}, not by {grain}")
             by[PERIOD] = period_start_sql(grain, self.time)
-        if not self.customer:
-            return aggregate(self.frame, by, specs, self.model.grain)
-        key = self.model.entities["customer"]
-        customers = self.tables.ref("dim_customers").select(
-            F.col("customer_id").alias(key), *[F.col(c).alias(f"customer__{c}") for c in self.customer]
-        )
-        for d, condition in self.customer_where.items():
-            customers = customers.where(condition(F.col(d)))
-        how = "inner" if self.customer_where else "left"
-        return aggregate_through(self.frame, key, by, specs, customers, self.customer_by, how, self.model.grain)
+        frame = self.frame
+        for steps, dimensions in self.foreign.items():
+            told = attributes(self.tables, MODELS, self.model, dimensions)
+            conditions = [self.where[d](F.col(d)) for d in dimensions if d in self.where]
+            for condition in conditions:
+                told = told.where(condition)
+            frame = lookup(frame, told, self.model.entities[steps[0][0]], "inner" if conditions else "left")
+        return aggregate(frame, {**by, **{d: f"`{d}`" for d in self.foreign_by}}, specs, self.model.grain)
 
 
 def query(
@@ -288,8 +298,8 @@ def query(
 ) -> DataFrame:
     """Metrics by dimensions and, with a grain, by period of the model's time column.
 
-    ``by`` and ``where`` name the mart's own dimensions, ``customer__*`` attributes reached through
-    the customer key, or ``date__*`` attributes of the calendar. ``time`` picks another date role such
+    ``by`` and ``where`` name the mart's own dimensions, attributes of an entity such as ``customer__region`` or
+    ``account__interest__product_id``, which the shortest route over entities leads to (see ``entities``), or ``date__*`` attributes of the calendar. ``time`` picks another date role such
     as ``posting_date``; ``span`` keeps one period of it, as a range the files are pruned by. With ``spine`` every group has every period of
     the calendar (of the span), and periods outside of it go; with ``fill`` a period in which a group has no rows holds what each metric's
     rule says, see ``fill_rule``, and NULL otherwise.

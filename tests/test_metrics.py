@@ -1,9 +1,13 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import Period
 from ledgerline.operators.joins import FanOut
+from ledgerline.plans import entities
 from ledgerline.plans import metrics as m
+from ledgerline.plans.entities import AmbiguousPath
 from ledgerline.plans.models import marts
 from ledgerline.plans.report_measures import MEASURES, evaluate
 
@@ -53,6 +57,67 @@ def test_entity_that_is_not_unique_elsewhere_is_refused(sold):
         m.query(sold, ["transaction_volume"], by=["account__month_start"])
 
 
+def test_an_attribute_that_two_models_tell_has_to_name_one(sold):
+    with pytest.raises(AmbiguousPath, match="account__interest__product_id"):
+        m.query(sold, ["transaction_volume"], by=["account__product_id"])
+    with pytest.raises(AmbiguousPath):
+        m.query(sold, ["transaction_volume"], where={"account__product_id": lambda c: c == 1})
+    for name in ("account__interest__product_id", "account__account_balances__product_id"):
+        total = m.query(sold, ["transaction_count"], by=[name]).agg(F.sum("transaction_count")).first()[0]
+        assert total == sold.ref("fct_transactions").count()
+
+
+def test_routes_are_the_shortest():
+    loans, sold_in = m.MODELS["loans"], m.MODELS["transactions"]
+    assert entities.route(m.MODELS, sold_in, "customer__region").steps == (("customer", "customers"),)
+    assert entities.route(m.MODELS, sold_in, "customer__loan_status").steps == (("customer", "loans"),)
+    with pytest.raises(ValueError):
+        entities.route(m.MODELS, loans, "account__product_id")  # a loan leads to its customer, who has many accounts
+    with pytest.raises(FanOut):
+        entities.route(m.MODELS, sold_in, "customer__days_past_due")
+
+
+@pytest.fixture
+def two_steps(sold, spark, monkeypatch):
+    """Visits know only the account; it leads to the customer, and the customer to the region."""
+    rows = [(i, 1 + i % 40) for i in range(200)] + [(200, None), (201, -5)]
+    visits = spark.createDataFrame(rows, "visit_id long, account_id long").withColumn("visit_date", F.lit("2000-05-05").cast("date"))
+    model = m.SemanticModel("visits", ("visit_id",), "visit_date", "day", {"visit": "visit_id", "account": "account_id"}, {}, {"visits": ("count", "1")})
+    models = {k: v for k, v in m.MODELS.items() if k != "interest"}  # so that one way is the shortest
+    monkeypatch.setattr(m, "MODELS", {**models, "visits": model})
+    monkeypatch.setitem(m.METRICS, "visit_count", m._simple("Visits", "visits", "visits"))
+    return sold.extend({"visits": lambda _: visits}), rows
+
+
+def test_a_route_of_two_steps(two_steps):
+    tables, rows = two_steps
+    assert str(entities.route(m.MODELS, m.MODELS["visits"], "customer__region")) == "account_balances by account > customers by customer"
+    owner = {r.account_id: r.customer_id for r in tables.ref("fct_account_balances_monthly").select("account_id", "customer_id").distinct().collect()}
+    region = {r.customer_id: r.region for r in tables.ref("dim_customers").collect()}
+    expected = Counter(region.get(owner.get(a)) for _, a in rows)
+    found = m.query(tables, ["visit_count"], by=["customer__region"]).collect()
+    assert {r[0]: r[1] for r in found} == expected and len(found) == len(expected) > 2
+    one = m.query(tables, ["visit_count"], by=["account__product_id", "customer__is_active"], where={"customer__region": lambda c: c == "ASIA"})
+    assert one.agg(F.sum("visit_count")).first()[0] == expected["ASIA"]
+    status = m.query(tables, ["visit_count"], by=["customer__loan_status"]).collect()
+    assert sum(r["visit_count"] for r in status) == len(rows)
+
+
+def test_two_equal_routes_of_two_steps_are_refused(two_steps, monkeypatch):
+    import copy
+
+    again = copy.copy(m.MODELS["account_balances"])
+    monkeypatch.setattr(m, "MODELS", {**m.MODELS, "balances_again": again})
+    with pytest.raises(AmbiguousPath, match="balances_again by account > customers by customer"):
+        m.query(two_steps[0], ["visit_count"], by=["customer__region"])
+
+
+def test_several_rows_per_key_never_multiply(sold):
+    plain = m.query(sold, ["transaction_volume", "transaction_count"]).first()
+    split = m.query(sold, ["transaction_volume", "transaction_count"], by=["customer__loan_status", "customer__region", "account__interest__product_id"])
+    assert tuple(split.agg(F.sum("transaction_volume"), F.sum("transaction_count")).first()) == tuple(plain)
+
+
 def test_dimension_must_exist_in_every_model(sold):
     with pytest.raises(ValueError):
         m.query(sold, ["transaction_volume", "total_loan_count"], by=["transaction_type"])
