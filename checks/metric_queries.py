@@ -374,6 +374,30 @@ register(
     real="month_end_balance",
     dates="month_start",
 )
+LAST_OF_PERIOD = """SELECT {group}, CAST(date_trunc('{grain}', month_start) AS DATE) AS period, account_id, {sums}
+    arg_max({balance}, month_start) FILTER ({balance} IS NOT NULL) AS {balance} FROM {mart} GROUP BY 1, 2, 3"""
+register(
+    "implicit_interest_totals_by_product_and_quarter",
+    lambda t: m.implicit_totals(marts(t), "fct_interest_monthly", ["product_id"], grain="quarter"),
+    "SELECT product_id, period, sum(interest_income) AS interest_income, sum(interest_expense) AS interest_expense, "
+    "sum(outstanding_loan_balance) AS outstanding_loan_balance FROM ("
+    + LAST_OF_PERIOD.format(
+        group="product_id", grain="quarter", mart="fct_interest_monthly", balance="outstanding_loan_balance",
+        sums="sum(interest_income) AS interest_income, sum(interest_expense) AS interest_expense,",
+    )
+    + ") GROUP BY 1, 2",
+    real="interest_income, interest_expense, outstanding_loan_balance",
+    dates="period",
+)
+register(
+    "implicit_balance_totals_by_product_and_year",
+    lambda t: m.implicit_totals(marts(t), "fct_account_balances_monthly", ["product_id"], grain="year"),
+    "SELECT product_id, period, sum(month_end_balance) AS month_end_balance FROM ("
+    + LAST_OF_PERIOD.format(group="product_id", grain="year", mart="fct_account_balances_monthly", balance="month_end_balance", sums="")
+    + ") GROUP BY 1, 2",
+    real="month_end_balance",
+    dates="period",
+)
 register(
     "implicit_transaction_totals_by_type",
     lambda t: m.implicit_totals(marts(t), "fct_transactions", ["transaction_type"]),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.registry import register, scratch
 from ledgerline import Tables
 from ledgerline.operators import quality, security
+from ledgerline.operators.joins import orphans
 from ledgerline.operators.quality import ColumnTest
 from ledgerline.plans import metrics as m
 from ledgerline.plans.models import marts
@@ -86,7 +87,7 @@ register(
 )
 register(
     "quality_failing_rows_of_broken_ledger",
-    lambda t: quality.orphans(broken(t).ref("fact_transaction"), "account_id", t.ref("dim_account"), "account_id")
+    lambda t: orphans(broken(t).ref("fact_transaction"), "account_id", t.ref("dim_account"), "account_id")
     .select(F.lit("account_id").alias("problem"), F.col("_key").cast("string").alias("found"), "rows")
     .unionByName(
         quality.repeated_values(broken(t).ref("fact_transaction"), "transaction_id").select(
@@ -113,7 +114,7 @@ register(
 )
 register(
     "quality_given_orders",
-    lambda t: quality.orphans(t.ref("fact_transaction"), "branch_id", t.ref("dim_branch"), "branch_id").agg(
+    lambda t: orphans(t.ref("fact_transaction"), "branch_id", t.ref("dim_branch"), "branch_id").agg(
         F.count(F.lit(1)).alias("unknown_branches")
     ),
     "SELECT count(DISTINCT branch_id) AS unknown_branches FROM fact_transaction WHERE branch_id NOT IN (SELECT branch_id FROM dim_branch)",

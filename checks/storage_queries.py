@@ -1,4 +1,4 @@
-"""Batches appended by key, and marts brought up to date by month."""
+"""Batches appended by key, marts brought up to date by month, and sketches stored beside them."""
 
 from __future__ import annotations
 
@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from checks.registry import register, scratch
 from ledgerline import Tables
+from ledgerline.functions.calendar import period_start_sql
 from ledgerline.plans.increments import FED_BY, Warehouse
+from ledgerline.plans.models import marts
+from ledgerline.plans.sketches import SKETCHES, approximate_distinct, standard_error, with_sketches
 from ledgerline.sources.batches import append_batch
 from ledgerline.sources.schemas import RAW, STORED_BY
+from ledgerline.sources.sinks import materialise
 from ledgerline.sources.tables import from_parquet
 
 LATE = "is_reversal AND transaction_id % 2 = 0 OR transaction_id % 50 = 7"
@@ -91,4 +95,33 @@ register(
     ),
     dates="month",
 )
+
+
+def estimated(name: str, by: str, grain: str, exact: str):
+    """Stored sketches merged by group and period, beside the exact count: is the estimate within five standard errors of it, and one?"""
+
+    def run(t: Tables) -> DataFrame:
+        stored = materialise(with_sketches(marts(t)), [name], scratch(t.spark, "sketches"))
+        guess = approximate_distinct(stored, name, [by], grain)
+        s = SKETCHES[name]
+        period = F.expr(f"{period_start_sql(grain, s.time)} AS period")
+        counted = t.ref(s.mart).groupBy(F.col(by).alias("_by"), period).agg(F.count_distinct(s.counted).alias(exact))
+        near = F.abs(F.col("estimate") - F.col(exact)) <= 1 + 5 * standard_error() * F.col(exact)
+        same = (F.col("_by") == F.col(by)) & (F.col("_period") == F.col("period"))
+        return counted.withColumnRenamed("period", "_period").join(guess, same, "left").select(F.col("_by").alias(by), F.col("_period").alias("period"), exact, F.coalesce(near, F.lit(False)).alias("estimate_is_near"))
+
+    return run
+
+
+for _name, _by, _grain, _exact, _sql in (
+    ("sketch_transacting_customers", "home_region", "year", "customers", "count(DISTINCT customer_id) AS customers, TRUE AS estimate_is_near FROM fct_transactions"),
+    ("sketch_transacting_accounts", "transaction_type", "quarter", "accounts", "count(DISTINCT account_id) AS accounts, TRUE AS estimate_is_near FROM fct_transactions"),
+    ("sketch_loans", "product_id", "month", "loans", "count(DISTINCT loan_account_id) AS loans, TRUE AS estimate_is_near FROM fct_loans_monthly"),
+):
+    register(
+        f"{_name}_by_{_grain}",
+        estimated(_name, _by, _grain, _exact),
+        f"SELECT {_by}, CAST(date_trunc('{_grain}', {SKETCHES[_name].time}) AS DATE) AS period, {_sql} GROUP BY 1, 2",
+        dates="period",
+    )
 assert set(TOTALS) == set(FED_BY)

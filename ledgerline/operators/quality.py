@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.joins import orphans
 from ledgerline.sources.tables import Tables
 
 
@@ -141,24 +140,59 @@ def _keyed_tests(df: DataFrame, key: str, tests: Sequence[ColumnTest]) -> DataFr
     )
 
 
+def _all_keys(tables: Tables, df: DataFrame, tests: Sequence[ColumnTest]) -> DataFrame:
+    """All tests of a table in one scan of it.
+
+    A row gives one small row for each key that is unique or refers to a parent, tagged with its test; these are counted per key in the tasks and
+    once more after one shuffle, where the keys of all parents, tagged alike, meet them in one join. Checks of single rows ride on the first key.
+    """
+    keys = [i for i, t in enumerate(tests) if t.kind in ("unique", "relationships")]
+    singles = [i for i, t in enumerate(tests) if t.kind not in ("unique", "relationships")]
+    kinds = {df.schema[tests[i].column].dataType.simpleString() for i in keys}
+    kind = "bigint" if kinds <= {"bigint", "int", "smallint", "tinyint"} else kinds.pop() if len(kinds) == 1 else "string"
+    tagged = F.array(*[
+        F.struct(
+            F.lit(i).alias("_test"), _column(tests[i].column).cast(kind).alias("_key"),
+            *[(_is_bad(tests[j]) if i == keys[0] else F.lit(None).cast("boolean")).alias(f"_bad{j}") for j in singles],
+        )
+        for i in keys
+    ])
+    per_key = df.select(F.inline(tagged)).groupBy("_test", "_key").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(f"_bad{j}").alias(f"_{j}") for j in singles]
+    )
+    parents = [
+        tables.ref(tests[i].parent).select(F.lit(i).alias("_test"), _column(tests[i].parent_column).cast(kind).alias("_key"))
+        for i in keys if tests[i].kind == "relationships"
+    ]
+    if parents:
+        known = reduce(DataFrame.union, parents).where("_key IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+        per_key = per_key.join(known, ["_test", "_key"], "left")
+    mine = lambda i: (F.col("_test") == i) & F.col("_key").isNotNull()
+    counts = []
+    for i, t in enumerate(tests):
+        if t.kind == "unique":
+            counts.append(F.count_if(mine(i) & (F.col("_rows") > 1)))
+        elif t.kind == "relationships":
+            counts.append(F.sum(F.when(mine(i) & F.col("_known").isNull(), F.col("_rows"))))
+        else:
+            counts.append(F.sum(f"_{i}"))
+    return _report(per_key.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)]), tests)
+
+
 def run_tests(tables: Tables, tests: Sequence[ColumnTest]) -> DataFrame:
     """One row per test with its failures: rows for not_null, accepted_values and relationships,
-    repeated values for unique."""
+    repeated values for unique. Every tested table is scanned once, and a parent once more for each table that refers to it."""
     parts = []
     for table in dict.fromkeys(t.table for t in tests):
         df = tables.ref(table)
-        own = [t for t in tests if t.table == table and t.kind != "relationships"]
-        keys = [t.column for t in own if t.kind == "unique"]
-        if keys:
-            first = [t for t in own if t.kind != "unique" or t.column == keys[0]]
-            parts.append(_keyed_tests(df, keys[0], first))
-            parts += [_keyed_tests(df, k, [t for t in own if t.kind == "unique" and t.column == k]) for k in keys[1:]]
-        elif own:
+        own = [t for t in tests if t.table == table]
+        unique = [t for t in own if t.kind == "unique"]
+        if any(t.kind == "relationships" for t in own) or len(unique) > 1:
+            parts.append(_all_keys(tables, df, own))
+        elif unique:
+            parts.append(_keyed_tests(df, unique[0].column, own))
+        else:
             parts.append(_row_tests(df, own))
-        for t in tests:
-            if t.table == table and t.kind == "relationships":
-                missing = orphans(df, t.column, tables.ref(t.parent), t.parent_column)
-                parts.append(_report(missing.selectExpr("sum(rows) AS _0"), [t]))
     return reduce(DataFrame.union, parts)
 
 

@@ -115,20 +115,19 @@ def loan_interest(loan_months: DataFrame) -> DataFrame:
 def active_customer_ids(
     transactions: DataFrame, accounts: DataFrame, as_of: date | Column, window_days: int = ACTIVE_WINDOW_DAYS
 ) -> DataFrame:
-    """Customers with a transaction on any account in the trailing window.
+    """Customers with a transaction on any account in the trailing window, once for each such account.
 
     Reversal rows count, the account's status does not matter and later dates are not cut off.
     Account ids are made distinct before they meet the accounts, so a busy account is one row.
     """
     recent = transactions.where(F.col("transaction_date") >= F.date_sub(F.lit(as_of), window_days))
     owners = accounts.where(F.col("customer_id").isNotNull()).select("account_id", "customer_id")
-    return recent.select("account_id").distinct().join(owners, "account_id").select("customer_id").distinct()
+    return recent.select("account_id").distinct().join(owners, "account_id").select("customer_id")
 
 
 def with_activity(customers: DataFrame, active_ids: DataFrame) -> DataFrame:
-    flagged = active_ids.select("customer_id", F.lit(True).alias("_seen"))
-    return (
-        customers.join(flagged, "customer_id", "left")
-        .withColumn("is_active", F.coalesce(F.col("_seen"), F.lit(False)))
-        .drop("_seen")
-    )
+    """Whether EXISTS an active id that is the customer's: an existence join, which repeated ids cannot multiply."""
+    ids = active_ids.select(F.col("customer_id").alias("_active_id"))
+    # by its alias: a bare name would be looked up below ``ids`` first
+    seen = ids.where(F.col("_active_id") == F.col("_customers.customer_id").outer()).exists()
+    return customers.alias("_customers").withColumn("is_active", seen)

@@ -385,19 +385,45 @@ SNAPSHOTS = {
 }
 
 
-def implicit_totals(tables: Tables, mart: str, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """Totals of a mart's columns; by default all that may be totalled in these groups."""
+# a date and a balance in one long: days above, hundredths with room for the sign below
+_SLOT = 2**42
+
+
+def last_balance_sql(day: str, balance: str) -> str:
+    """The balance of the last day that has one, as a SQL aggregate: a plain ``max`` over a long, combined in the tasks."""
+    code = f"max(unix_date({day}) * {_SLOT}L + CAST({balance} * 100 AS bigint) + {_SLOT // 2}L)"
+    return f"CAST((pmod({code}, {_SLOT}L) - {_SLOT // 2}L) / CAST(100 AS decimal(3,0)) AS decimal(14,2))"
+
+
+def implicit_totals(
+    tables: Tables, mart: str, by: Sequence[str] = (), columns: Sequence[str] | None = None, grain: str | None = None
+) -> DataFrame:
+    """Totals of a mart's columns; by default all that may be totalled in these groups.
+
+    With ``grain`` also by period of the mart's months. A balance is then that of the last month of the period in which an account has
+    one, added up over accounts; what accrues is added up over months too.
+    """
     snapshots = SNAPSHOTS.get(mart, ())
     by_month = "month_start" in by
-    wanted = columns if columns is not None else [*ADDITIVE[mart], *(snapshots if by_month else ())]
+    wanted = columns if columns is not None else [*ADDITIVE[mart], *(snapshots if by_month or grain else ())]
     for c in wanted:
-        if c in snapshots and not by_month:
-            raise ValueError(f"{c} is a balance at the end of a month; total it by month_start")
+        if c in snapshots and not by_month and not grain:
+            raise ValueError(f"{c} is a balance at the end of a month; total it by month_start or by a grain")
         if c not in (*ADDITIVE[mart], *snapshots):
             raise ValueError(f"{c} of {mart} cannot be totalled")
     if not wanted:
-        raise ValueError(f"{mart} has nothing to total but balances; total them by month_start")
-    return tables.ref(mart).groupBy(*by).agg(*[F.sum(c).alias(c) for c in wanted])
+        raise ValueError(f"{mart} has nothing to total but balances; total them by month_start or by a grain")
+    if grain is None:
+        return tables.ref(mart).groupBy(*by).agg(*[F.sum(c).alias(c) for c in wanted])
+    model = next(m for m in MODELS.values() if m.mart == mart)
+    if GRAINS.index(grain) < GRAINS.index(model.base_grain):
+        raise ValueError(f"{mart} is kept by {model.base_grain}, not by {grain}")
+    period = F.expr(f"{period_start_sql(grain, model.time)} AS {PERIOD}")
+    if not any(c in snapshots for c in wanted):
+        return tables.ref(mart).groupBy(*by, period).agg(*[F.sum(c).alias(c) for c in wanted])
+    parts = {c: last_balance_sql(model.time, c) if c in snapshots else f"sum({c})" for c in wanted}
+    per_account = tables.ref(mart).groupBy(*by, model.entities["account"], period).agg(*[F.expr(f"{sql} AS {c}") for c, sql in parts.items()])
+    return per_account.groupBy(*by, PERIOD).agg(*[F.sum(c).alias(c) for c in wanted])
 
 
 def dimension_values(tables: Tables, mart: str, column: str) -> DataFrame:

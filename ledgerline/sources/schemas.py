@@ -66,6 +66,9 @@ STORED_BY = {
     "fct_account_balances_monthly": "month_start",
     "fct_loans_monthly": "month_start",
     "fct_interest_monthly": "month_start",
+    "sketch_transacting_customers": "month_start",
+    "sketch_transacting_accounts": "month_start",
+    "sketch_loans": "month_start",
 }
 
 PRIMARY_KEYS = {

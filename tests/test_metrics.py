@@ -209,7 +209,7 @@ def test_measures_of_two_tables_are_refused(sold):
 
 def test_snapshots_are_not_added_over_months(tables):
     mine = marts(tables)
-    with pytest.raises(ValueError, match="month_start"):
+    with pytest.raises(ValueError, match="grain"):
         m.implicit_totals(mine, "fct_account_balances_monthly", ["product_id"])
     with pytest.raises(ValueError, match="end of a month"):
         m.implicit_totals(mine, "fct_interest_monthly", ["product_id"], ["outstanding_loan_balance"])
@@ -217,6 +217,47 @@ def test_snapshots_are_not_added_over_months(tables):
         m.implicit_totals(mine, "fct_transactions", [], ["product_id"])
 
 
+def test_a_balance_over_a_period_is_its_last(spark, tables):
+    rows = [
+        (1, "2024-01-01", 5.0, 1, -10.25), (1, "2024-02-01", 5.0, 1, 7.5), (1, "2024-03-01", 5.0, 1, None),  # the last with a balance counts
+        (2, "2024-01-01", 5.0, 1, 100.0), (2, "2024-04-01", 5.0, 1, 200.0), (3, "2024-02-01", 5.0, 2, None), (4, "1969-12-01", 5.0, 2, -9999999999.99),
+    ]
+    df = spark.createDataFrame(rows, "account_id long, m string, avg_daily_balance double, product_id long, b double")
+    df = df.selectExpr("account_id", "0L AS customer_id", "product_id", "CAST(m AS date) AS month_start", "avg_daily_balance", "CAST(b AS decimal(12,2)) AS month_end_balance")
+    mine = marts(tables).extend({"fct_account_balances_monthly": lambda _: df})
+    found = {(r[0], r[1].isoformat()): r[2] and float(r[2]) for r in m.implicit_totals(mine, "fct_account_balances_monthly", ["product_id"], grain="quarter").collect()}
+    assert found == {(1, "2024-01-01"): 107.5, (1, "2024-04-01"): 200.0, (2, "2024-01-01"): None, (2, "1969-10-01"): -9999999999.99}
+    whole = m.implicit_totals(mine, "fct_account_balances_monthly", grain="year")
+    assert {r[0].year: float(r[1]) for r in whole.collect()} == {2024: 207.5, 1969: -9999999999.99}
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Window" not in plan
+    with pytest.raises(ValueError, match="kept by month"):
+        m.implicit_totals(mine, "fct_account_balances_monthly", grain="day")
+
+
+def test_sketches_merge_over_any_grain(spark, tables):
+    from ledgerline.plans import sketches
+
+    rows = spark.range(0, 60_000).selectExpr(
+        "id % 40000 AS customer_id", "id AS account_id", "if(id % 3 = 0, 'A', 'B') AS home_region", "'fee' AS transaction_type",
+        "date_add(DATE '2023-01-01', CAST(id % 700 AS int)) AS transaction_date",
+    ).unionByName(spark.sql("SELECT CAST(NULL AS long) AS customer_id, 1L AS account_id, 'C' AS home_region, 'fee' AS transaction_type, DATE '2023-01-01' AS transaction_date"))
+    mine = sketches.with_sketches(marts(tables).extend({"fct_transactions": lambda _: rows}))
+    name, bound = "sketch_transacting_customers", 5 * sketches.standard_error()
+    for by, grain in (([], None), (["home_region"], None), (["home_region"], "quarter"), ([], "month"), (["transaction_type"], "year")):
+        groups = [*by, *([F.expr(f"trunc(transaction_date, '{grain}') AS period")] if grain else [])]
+        exact = {tuple(r)[:-1]: r[-1] for r in rows.where("customer_id IS NOT NULL").groupBy(*groups).agg(F.count_distinct("customer_id")).collect()}
+        guess = {tuple(r)[:-1]: r[-1] for r in sketches.approximate_distinct(mine, name, by, grain).collect()}
+        assert guess.keys() == exact.keys() and all(abs(guess[k] - n) <= 1 + bound * n for k, n in exact.items())
+    # sums of monthly counts are no distinct count; merged sketches are
+    monthly = sketches.approximate_distinct(mine, name, grain="month").agg(F.sum("estimate")).first()[0]
+    assert monthly > 1.3 * 40_000 and sketches.approximate_distinct(mine, name, span=Period.year(2031)).first()[0] == 0
+    with pytest.raises(ValueError):
+        sketches.approximate_distinct(mine, name, ["customer_id"])
+    with pytest.raises(ValueError):
+        sketches.approximate_distinct(mine, name, grain="day")
+
+
 def test_a_time_that_is_not_the_models_is_refused_first(tables):
     with pytest.raises(ValueError, match="has no time"):
         m.query(marts(tables), ["transaction_count"], time="signup_date", span=Period.year(2000))

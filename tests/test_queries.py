@@ -7,7 +7,7 @@ from checks.compare import difference
 from checks.registry import ORACLES, QUERIES
 from conftest import FOLDER
 
-WRITES = {"role_views_restricted_user", "role_views_by_the_readers_entitlements", "batches_appended_once_by_key", "late_postings_and_reversals_in_the_mart", "marts_after_batches_by_month", "catalog_tables_bucketed_and_queried", "result_log_written_and_read", "marts_written_and_queried", "raw_rows_created_and_appended"}
+WRITES = {"sketch_transacting_customers_by_year", "sketch_transacting_accounts_by_quarter", "sketch_loans_by_month", "role_views_restricted_user", "role_views_by_the_readers_entitlements", "batches_appended_once_by_key", "late_postings_and_reversals_in_the_mart", "marts_after_batches_by_month", "catalog_tables_bucketed_and_queried", "result_log_written_and_read", "marts_written_and_queried", "raw_rows_created_and_appended"}
 
 
 @pytest.mark.parametrize("name", QUERIES)

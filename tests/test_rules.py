@@ -98,3 +98,12 @@ def test_rounding_and_clamping(spark):
         months_between_starts(F.lit(date(2023, 11, 30)), F.lit(date(2024, 2, 1))),
     ).first()
     assert [float(x) if x is not None else None for x in row] == [2.68, 2.0, 3.0, 0.0, 33.33, None, 3.0]
+
+
+def test_activity_is_an_existence_join(spark, tables):
+    ids = spark.createDataFrame([(1,), (1,), (None,), (3,)], "customer_id long")
+    customers = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "d")], "customer_id long, n string")
+    flagged = rules.with_activity(customers, ids)
+    assert sorted((r.n, r.is_active) for r in flagged.collect()) == [("a", True), ("b", False), ("c", False), ("d", True), ("d", True)]
+    plan = tables.ref("dim_customer")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistenceJoin" in plan and "LeftOuter" not in plan and "NestedLoop" not in plan
