@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "static",
+    # a Bloom filter of the customers that a role or a region leaves drops fact rows before they shuffle; Spark builds one where the
+    # fact is large (10 GB by default) and the filtered dimension below this size
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
     # compiled stages kept for the next run of a query; the default of 100 is fewer than a session uses
     "spark.sql.codegen.cache.maxEntries": "1000",
     "spark.ui.enabled": "false",

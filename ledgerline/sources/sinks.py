@@ -12,7 +12,7 @@ from ledgerline.functions.answer_text import single_line
 from ledgerline.functions.calendar import month_start, partition_of
 from ledgerline.operators.joins import require_unique
 from ledgerline.sources.folders import Folder
-from ledgerline.sources.schemas import RAW, STORED_BY
+from ledgerline.sources.schemas import CLUSTERED_BY, RAW, STORED_BY
 from ledgerline.sources.tables import Loader, Tables, from_parquet, read_stored
 
 RESULT_LOG = StructType(
@@ -67,14 +67,17 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") ->
     """One folder per table, split by month where the table has a date.
 
     ``rebalance`` lets adaptive execution cut a month that holds most of the rows into several
-    files and merge months that hold few, instead of one task per month.
+    files and merge months that hold few, instead of one task per month. The marts' rows lie by customer in each file.
     """
     writer = df.write
     if name in STORED_BY:
         day, folder = STORED_BY[name], month_folder(name)
         if folder != day:
             df = df.withColumn(folder, month_start(F.col(day)))
-        writer = df.hint("rebalance", folder).write.partitionBy(folder)
+        df = df.hint("rebalance", folder)
+        if name in CLUSTERED_BY:
+            df = df.sortWithinPartitions(folder, CLUSTERED_BY[name])
+        writer = df.write.partitionBy(folder)
     writer.mode(mode).parquet(f"{path}/{name}")
 
 
