@@ -9,8 +9,7 @@ one with the largest share of its words.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,21 +134,25 @@ class LanguageModel:
         """Scores of distinct words; the features of a word weigh one over the root of their number."""
         if not len(counts):
             return np.zeros((0, len(self.languages)))
-        hashed = sum(np.add.reduceat(self.weights["hashed"][flat], starts) for flat, starts in grams)
+        hashed = 0
+        for flat, starts in grams:  # a stretch of words at a time
+            edges = np.append(starts, len(flat))
+            hashed = hashed + np.concatenate([
+                np.add.reduceat(self.weights["hashed"][flat[edges[i] : edges[min(i + 20_000, len(starts))]]], starts[i : i + 20_000] - starts[i])
+                for i in range(0, len(starts), 20_000)
+            ])
         return hashed / np.sqrt(counts)[:, None] + lexicon @ self.weights["lexicon"]
 
-    def fit(self, documents: list[tuple[list[str], np.ndarray, int]], rng: np.random.Generator, rounds: int = 40) -> None:
-        """Raises the likelihood of the chains of ``(words, lengths, label)`` by Adam, with a small penalty on weights. Each
-        round has other sentences of the long documents, and other chains that run from one document into another."""
-        names = {w: i for i, w in enumerate(dict.fromkeys(w for words, _, _ in documents for w in words))}
-        codes = np.array([names[w] for words, _, _ in documents for w in words], np.int64)
+    def fit(self, names: list[str], documents: list[tuple[np.ndarray, np.ndarray, int]], rng: np.random.Generator, rounds: int = 40) -> None:
+        """Raises the likelihood of the chains of ``(words by their places in names, lengths, label)`` by Adam, with a small penalty on weights.
+        Each round has other sentences of the long documents, and other chains that run from one document into another."""
+        codes = np.concatenate([words for words, _, _ in documents])
         sizes = np.concatenate([n for _, n, _ in documents])
         begins = np.cumsum(sizes) - sizes
         label = np.repeat([y for _, _, y in documents], [len(n) for _, n, _ in documents])
         first_chain = np.cumsum([0] + [len(n) for _, n, _ in documents])
-        grams, counts, lexicon = self.features.rows(list(names))
-        flat = np.concatenate([f for f, _ in grams])
-        owner = np.concatenate([np.repeat(np.arange(len(names)), np.diff(np.append(at, len(f)))) for f, at in grams])
+        grams, counts, lexicon = self.features.rows(names)
+        owners = [np.repeat(np.arange(len(names), dtype=np.int32), np.diff(np.append(at, len(f)))) for f, at in grams]
         root = np.sqrt(counts)[:, None]
         k = len(self.languages)
         steps = {key: [np.zeros_like(w), np.zeros_like(w)] for key, w in self.weights.items()}
@@ -172,9 +175,9 @@ class LanguageModel:
             p, expected, begun, _ = forward_backward(scores, lengths, self.weights["start"].astype(float), self.weights["moves"].astype(float))
             p[np.arange(n), gold] -= 1
             miss = np.stack([np.bincount(word, p[:, j], len(names)) for j in range(k)], axis=1) / n
-            spread = (miss / root)[owner]
+            share = miss / root  # spread over the n-grams a language and a length at a time: they are many
             grads = {
-                "hashed": np.stack([np.bincount(flat, spread[:, j], BUCKETS) for j in range(k)], axis=1),
+                "hashed": np.stack([sum(np.bincount(f, share[own, j], BUCKETS) for (f, _), own in zip(grams, owners)) for j in range(k)], axis=1),
                 "lexicon": lexicon.T @ miss,
                 "start": (begun - seen_starts) / n,
                 "moves": (expected - seen_moves) / n,
@@ -231,25 +234,39 @@ class Labeller:
         return out
 
 
-def fitted(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
+def fitted(sample: Iterable[tuple[str, str]], seed: int = 5) -> LanguageModel:
     """A model fitted to ``(text, language)``. In each round half of the chains run from a sentence of one document into
-    one of another, so that switches are seen; the others are sentences as they are."""
-    languages = sorted({lang for _, lang in sample})
-    number = {lang: i for i, lang in enumerate(languages)}
-    counts = [Counter() for _ in languages]
-    documents = []
+    one of another, so that switches are seen; the others are sentences as they are.
+
+    Texts may come one by one: what stays of each is its words' places in one list of words, four bytes each.
+    """
+    place: dict[str, int] = {}
+    coded: list[tuple[np.ndarray, np.ndarray, str]] = []
     for text, lang in sample:
         words, lengths = sentences(text)
-        counts[number[lang]].update(words)
-        documents.append((words, lengths, number[lang]))
-    sums = [sum(c.values()) + 1 for c in counts]
+        coded.append((np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)), lengths, lang))
+    languages, names = sorted({lang for _, _, lang in coded}), list(place)
+    del place
+    number = {lang: i for i, lang in enumerate(languages)}
+    documents = [(words, lengths, number[lang]) for words, lengths, lang in coded]
+    counts = np.zeros((len(languages), len(names)), np.int64)
+    for words, _, y in documents:
+        np.add.at(counts[y], words, 1)
+    sums = counts.sum(axis=1) + 1
+    common: set[int] = set()
+    for own in counts:
+        seen = np.nonzero(own)[0]
+        if len(seen) > LEXICON:  # the words of the last count that has room are taken by name
+            least = np.partition(own[seen], len(seen) - LEXICON)[len(seen) - LEXICON]
+            seen = np.array(sorted(seen[own[seen] >= least], key=lambda i: (-own[i], names[i]))[:LEXICON], np.int64)
+        common.update(seen.tolist())
     lexicon = {}
-    for word in {w for c in counts for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]}:
-        rate = np.log([(c[word] + 0.5) / s for c, s in zip(counts, sums)])
-        lexicon[word] = np.append(rate - rate.mean(), 1.0).astype(np.float32) / 4
+    for i in sorted(common, key=names.__getitem__):
+        rate = np.log((counts[:, i] + 0.5) / sums)
+        lexicon[names[i]] = np.append(rate - rate.mean(), 1.0).astype(np.float32) / 4
     model = LanguageModel(languages, lexicon)
-    if len(languages) > 1 and any(words for words, _, _ in documents):
-        model.fit(documents, np.random.default_rng(seed))
+    if len(languages) > 1 and names:
+        model.fit(names, documents, np.random.default_rng(seed))
     return model
 
 

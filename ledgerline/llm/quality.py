@@ -170,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int =
     """A network fitted to the labelled documents outside the held-out fold, at most ``per_label`` of each label."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(fold(F.col("doc_id"), folds) != held)
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1)).join(texts.select("doc_id"), "doc_id", "left_semi")
-    return fitted(labelled_sample(texts, known, "quality", per_label, 2 * per_label))
+    return fitted(list(labelled_sample(texts, known, "quality", per_label, 2 * per_label)))
 
 
 def scored(docs: DataFrame, net: dict[str, np.ndarray], text_column: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +24,23 @@ def drawn(n: int, most: int, rng: np.random.Generator) -> np.ndarray:
     return rng.integers(edges[:-1], edges[1:])
 
 
-def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int, most: int) -> list[tuple[str, object]]:
+def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label: int, most: int) -> Iterator[tuple[str, object]]:
     """``(text, label)`` of at most ``per_label`` documents of each label; ``most`` documents are shared among
     labels that are too many for that, and each label has one at least.
 
     ``labelled`` has ``doc_id`` and the label, ``docs`` has ``doc_id, text``. The documents are those of least hash of their id; only
     ids are ranked, tasks drop what cannot be among the first, and the chosen ids go to where the texts are. Of rows with one
-    id the least label and text are taken. At most ``most`` texts come back, or one a label.
+    id the least label and text are taken. At most ``most`` texts come back, or one a label, in the order of their ids, a partition at a time.
     """
     labelled = labelled.where(F.col(label).isNotNull())
     labels = labelled.select(label).distinct().count()
     if not labels:
-        return []
+        return
     per_label = min(per_label, max(1, most // labels))
     one = labelled.groupBy("doc_id").agg(F.min(label).alias("label"))
     chosen = best(one.withColumn("_order", F.xxhash64("doc_id")), "label", [F.col("_order"), F.col("doc_id")], per_label)
     # a proven bound: most ids, or one for each label
     found = docs.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("doc_id")
+    for r in rows.toLocalIterator():
+        yield r["text"], r["label"]
