@@ -8,7 +8,10 @@ repeated until a pair at the threshold meets in one of them with the wanted reca
 In each node every document is held against one of them, the pivot. Whatever is then in one component needs no
 further look, which is what keeps a group of many near copies linear. Nodes that still hold several components
 are compared exhaustively, large ones block by block, and the largest branch on along as many independent paths as
-keep a pair at the threshold together in one of them with the wanted recall. Every link is confirmed on full sets.
+keep a pair at the threshold together in one of them with the wanted recall. A pair is looked at in the first tree it shares.
+Every link is confirmed on full sets, inside its node: the sets of the documents that have a candidate there are brought to it,
+and only links that join two components leave it. So a crowd of texts just below the threshold costs the comparisons of its pairs, but no row for
+a pair.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +90,12 @@ def branch(nodes: np.ndarray, tokens: np.ndarray, levels: int) -> np.ndarray:
     return nodes
 
 
+def in_trees(tokens: np.ndarray, trees: int) -> np.ndarray:
+    """The node of each signature in each of the first trees, ``DEPTH`` levels down: a row for each signature."""
+    roots = mixed_bits(np.arange(1, trees + 1, dtype=np.uint64) * _M1)
+    return branch(np.tile(roots, len(tokens)), np.repeat(tokens, trees, axis=0), DEPTH).reshape(len(tokens), trees)
+
+
 def signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
 
@@ -127,8 +137,11 @@ class NearDuplicates:
         sets = scratch.save(self.signed(), "sets")
         reps = scratch.save(
             sets.where("n_shingles > 0").groupBy("key")
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("r"), F.first("tokens").alias("tokens"))
-            .select(F.monotonically_increasing_id().alias("v"), "key", "r.doc_id", "r.text_key", "tokens"),
+            .agg(
+                F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("r"),
+                F.first("tokens").alias("tokens"), F.first("n_shingles").alias("shingles"),
+            )
+            .select(F.monotonically_increasing_id().alias("v"), "key", "r.doc_id", "r.text_key", "tokens", "shingles"),
             "reps",
         )
         nodes = scratch.save(self.shared(self.rooted(reps)), "nodes")
@@ -138,16 +151,9 @@ class NearDuplicates:
         )
         links = scratch.save(self.confirmed(tried, texts), "links")
         labels = components(links, scratch)
-        part = nodes.where("size > 2").select("node", "v")  # a node of two was settled by its pivot
-        for every in (False, True):  # first the best partner in each other component, then all that is left
-            pairs, part = self.compared(part, labels, reps, every)
-            pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                continue
-            tried = tried.unionByName(pairs)
-            links = links.unionByName(scratch.save(self.confirmed(pairs, texts), "links"))
-            labels = components(links, scratch)
-        return self.classes(sets, reps, labels)
+        part = nodes.where("size > 2").select("node", "tree", "v")  # a node of two was settled by its pivot
+        links = links.unionByName(scratch.save(self.compared(part, labels, reps, texts), "links"))
+        return self.classes(sets, reps, components(links, scratch))
 
     def signed(self) -> DataFrame:
         """``doc_id, text_key, n_shingles, key, tokens`` of each document; the key stands for the whole set."""
@@ -171,23 +177,22 @@ class NearDuplicates:
         return rows.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, key binary, tokens binary")
 
     def rooted(self, reps: DataFrame) -> DataFrame:
-        """``node, v``: the node of each set in each tree, ``DEPTH`` levels down."""
+        """``node, tree, v``: the node of each set in each tree, ``DEPTH`` levels down."""
         trees = self.trees
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            roots = mixed_bits(np.arange(1, trees + 1, dtype=np.uint64) * _M1)
             for batch in batches:
                 for start in range(0, batch.num_rows, 1000):
                     part = batch.slice(start, 1000)
-                    tokens = np.repeat(signatures(part.column("tokens")), trees, axis=0)
-                    nodes = branch(np.tile(roots, part.num_rows), tokens, DEPTH)
+                    nodes = in_trees(signatures(part.column("tokens")), trees).ravel()
+                    tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
                     v = np.repeat(part.column("v").to_numpy(), trees)
-                    yield pa.RecordBatch.from_arrays([as_long(nodes), pa.array(v)], names=["node", "v"])
+                    yield pa.RecordBatch.from_arrays([as_long(nodes), pa.array(tree), pa.array(v)], names=["node", "tree", "v"])
 
-        return reps.select("v", "tokens").mapInArrow(run, "node long, v long")
+        return reps.select("v", "tokens").mapInArrow(run, "node long, tree int, v long")
 
     def shared(self, nodes: DataFrame) -> DataFrame:
-        """``node, v, size, pivot`` of the nodes with two or more sets. Counting combines in the tasks; the join has
+        """``node, tree, v, size, pivot`` of the nodes with two or more sets. Counting combines in the tasks; the join has
         one saved row per node on one side, so a node with a third of all sets is split."""
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("pivot")).where("size > 1")
         return nodes.join(self.scratch.save(sizes, "sizes"), "node")
@@ -235,38 +240,37 @@ class NearDuplicates:
 
         return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
-    def compared(self, nodes: DataFrame, labels: DataFrame, reps: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
-        """``a, b``: pairs of different components in one node whose signatures agree well enough; and the nodes
-        looked at, ``node, v``: components only grow together, so no other node will ever hold several of them.
+    def compared(self, nodes: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+        """``a, b``: links that join the components of a node, confirmed on full sets. Pairs that a node's links already join are left out.
 
         Nodes above ``SMALL`` are cut into blocks, and each block is compared with each. Those of more than ``BLOCKS``
-        blocks branch on first, each along all of its paths, for up to ``ROUNDS`` rounds.
+        blocks branch on first, each along all of its paths, for up to ``ROUNDS`` rounds. A pair is looked at in the first tree it
+        shares, unless one of the two has a node that branches on, where pairs may part.
         """
         scratch = self.scratch
-        part = self.open(nodes, labels)
-        found, looked_at = [], None
+        part, found, crowded = self.open(nodes, labels), [], None
         for turn in range(ROUNDS + 1):
-            held = scratch.save(part.join(reps.select("v", "tokens"), "v"), "open")
-            looked_at = looked_at or held.select("node", "v")
             most = BLOCKS * SMALL if turn < ROUNDS else (1 << 63) - 1
-            found.append(self.exhaustive(held.where(F.col("size") <= SMALL), every))
-            found.append(self.in_blocks(held.where((F.col("size") > SMALL) & (F.col("size") <= most)), every))
+            held = scratch.save(part.join(reps.select("v", "tokens", "shingles"), "v"), "open")
             large = held.where(F.col("size") > most)
+            if crowded is None:
+                crowded = scratch.save(large.select("v").distinct().withColumn("crowded", F.lit(True)), "crowded")
+            settled = held.where(F.col("size") <= most).join(crowded, "v", "left").withColumn(
+                "first", F.when(F.col("crowded").isNull(), F.col("tree")).otherwise(-1)
+            )
+            found.append(scratch.save(self.linked(self.involved(settled), texts), "found"))
             if large.isEmpty():
                 break
-            part = self.open(self.scratch.save(self.branched(large), "deeper"), labels)
-        pairs = found[0]
-        for more in found[1:]:
-            pairs = pairs.unionByName(more)
-        return pairs.distinct(), looked_at
+            part = self.open(scratch.save(self.branched(large), "deeper").withColumn("tree", F.lit(-1)), labels)
+        return reduce(DataFrame.unionByName, found).distinct()
 
     def open(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """``node, v, label, size`` of the nodes that hold more than one component."""
+        """``node, tree, v, label, size`` of the nodes that hold more than one component."""
         named = nodes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
         sizes = named.groupBy("node").agg(
             F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")
         ).where("least < most")
-        return named.join(self.scratch.save(sizes.select("node", "size"), "sizes"), "node").select("node", "v", "label", "size")
+        return named.join(self.scratch.save(sizes.select("node", "size"), "sizes"), "node").select("node", "tree", "v", "label", "size")
 
     def branched(self, large: DataFrame) -> DataFrame:
         """``node, v`` of each set ``DEEPER`` levels down, on ``paths`` ways that choose their coordinates by themselves."""
@@ -283,27 +287,58 @@ class NearDuplicates:
 
         return large.select("node", "v", "tokens").mapInArrow(run, "node long, v long")
 
-    def exhaustive(self, members: DataFrame, every: bool) -> DataFrame:
-        floor = self.floor
+    def involved(self, members: DataFrame) -> DataFrame:
+        """The members that have a candidate of another component, with the pair of blocks of the node they are compared in.
+
+        ``size / SMALL`` blocks, each against each; a node up to ``SMALL`` is one block.
+        """
+        floor, percent = self.floor, self.percent
+        blocks = F.ceil(F.col("size") / SMALL).cast("int")
+        own = F.pmod(F.xxhash64("v"), blocks.cast("long")).cast("int")
+        spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        columns = ["node", "x", "y", "own", "v", "label", "first", "shingles", "tokens"]
+        dealt = spread.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).select(*columns)
 
         def run(table: pa.Table) -> pa.Table:
-            return pairs_of(table, table, floor, every)
+            group = Group(table, floor, percent)
+            wanted = np.zeros(table.num_rows, bool)
+            for i, others in group.candidates():
+                wanted[i] = True
+                wanted[others] = True
+            return table.filter(pa.array(wanted))
 
-        return members.select("node", "v", "label", "tokens").groupBy("node").applyInArrow(run, "a long, b long")
+        schema = "node long, x int, y int, own int, v long, label long, first int, shingles long, tokens binary"
+        return dealt.groupBy("node", "x", "y").applyInArrow(run, schema)
 
-    def in_blocks(self, large: DataFrame, every: bool) -> DataFrame:
-        """Each block of a large node against each: ``size / SMALL`` blocks, a pair of blocks in a group."""
-        floor = self.floor
-        blocks = F.ceil(F.col("size") / SMALL).cast("int")
-        own = F.pmod(F.xxhash64("v"), blocks.cast("long")).cast("int")
-        spread = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = spread.select("node", "v", "label", "tokens", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    def linked(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """``a, b`` of the confirmed links that join two components of a group: fewer than it has members."""
+        floor, percent, width = self.floor, self.percent, self.width
 
         def run(table: pa.Table) -> pa.Table:
-            own, x, y = (table.column(c).to_numpy() for c in ("own", "x", "y"))
-            return pairs_of(table.filter(pa.array(own == x)), table.filter(pa.array(own == y)), floor, every)
+            shingles, group = Shingler(width), Group(table, floor, percent)
+            sets = [shingles(text.as_py()) for text in table.column("text")]
+            parent = {label: label for label in group.label.tolist()}
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            a, b = [], []
+            for i, others in group.candidates():
+                for j in others.tolist():
+                    one, two = root(int(group.label[i])), root(int(group.label[j]))
+                    if one == two:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        parent[one] = two
+                        a.append(int(group.v[i]))
+                        b.append(int(group.v[j]))
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        return dealt.groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
+        return members.join(texts, "v").groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
 
     def classes(self, sets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
         """``doc_id, text_key, n_shingles, component_id, kept`` of each document."""
@@ -327,23 +362,40 @@ def agreeing(tokens: np.ndarray, one: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 8).sum(axis=1) / TOKENS
 
 
-def pairs_of(left: pa.Table, right: pa.Table, floor: float, every: bool) -> pa.Table:
-    """Pairs of different labels whose signatures agree in at least ``floor`` of the coordinates: all of them, or of
-    each set the best with each other label."""
-    lv, rv = (t.column("v").to_numpy() for t in (left, right))
-    ll, rl = (t.column("label").to_numpy() for t in (left, right))
-    a, b = [], []
-    if len(lv) and len(rv):
-        lt, rt = signatures(left.column("tokens")), signatures(right.column("tokens"))
-        for i in range(len(lv)):
-            agree = agreeing(rt, lt[i])
-            good = np.nonzero((agree >= floor) & (rl != ll[i]))[0]
-            if not every and len(good):
-                good = good[np.lexsort((rv[good], -agree[good], rl[good]))]
-                good = good[np.unique(rl[good], return_index=True)[1]]
-            a.extend(np.maximum(lv[i], rv[good]).tolist())
-            b.extend(np.minimum(lv[i], rv[good]).tolist())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+class Group:
+    """Members of one node, or of two of its blocks, and the pairs of them that may be linked."""
+
+    def __init__(self, table: pa.Table, floor: float, percent: int):
+        self.floor, self.percent = floor, percent
+        value = lambda name: table.column(name).to_numpy()
+        self.v, self.label, self.shingles, own = value("v"), value("label"), value("shingles"), value("own")
+        self.tokens = signatures(table.column("tokens"))
+        x, y = (int(value(c)[0]) if len(self.v) else 0 for c in ("x", "y"))
+        self.left, self.right = np.nonzero(own == x)[0], np.nonzero(own == y)[0]
+        self.same = x == y
+        # nodes in the trees before; members that may not rely on them have a first of -1
+        first = value("first")
+        self.sure = first >= 0
+        trees = int(first.max(initial=-1))
+        self.before = in_trees(self.tokens, trees) if trees > 0 else None
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with others of another label, likely ones first: their signatures agree in at least the floor, their sizes allow the
+        threshold, and this is the first tree that both share."""
+        for place, i in enumerate(self.left.tolist()):
+            others = self.right[place + 1 :] if self.same else self.right
+            small, large = np.minimum(self.shingles[others], self.shingles[i]), np.maximum(self.shingles[others], self.shingles[i])
+            others = others[(self.label[others] != self.label[i]) & (100 * small >= self.percent * large)]
+            if not len(others):
+                continue
+            agree = agreeing(self.tokens[others], self.tokens[i])
+            good = agree >= self.floor
+            others, agree = others[good], agree[good]
+            if self.before is not None and self.sure[i] and len(others):
+                known = self.sure[others] & (self.before[others] == self.before[i]).any(axis=1)
+                others, agree = others[~known], agree[~known]
+            if len(others):
+                yield i, others[np.argsort(-agree, kind="stable")]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

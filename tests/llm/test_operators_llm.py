@@ -246,40 +246,69 @@ def test_chains_of_near_copies(spark, monkeypatch, small):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {n: (len(s), named[n]) for n, s in sets.items()}
 
 
-def test_blocks_of_a_large_node_give_what_the_whole_gives(spark, docs, monkeypatch):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 9, chosenpath.TOKENS).astype(np.uint16)
-    rows = []
-    for v in range(60):
-        tokens = np.where(rng.random(chosenpath.TOKENS) < 0.12, rng.integers(0, 9, chosenpath.TOKENS), base).astype(np.uint16)
-        rows.append((7 if v < 50 else 8, v, v % 4, 50 if v < 50 else 10, tokens.tobytes()))
-    large = spark.createDataFrame(rows, "node long, v long, label long, size long, tokens binary")
-    run = chosenpath.NearDuplicates(docs, 3, 85, "doc_id", "text")
-    whole = {tuple(r) for r in run.exhaustive(large, True).collect()}
-    monkeypatch.setattr(chosenpath, "SMALL", 7)
-    assert {tuple(r) for r in run.in_blocks(large, True).collect()} == whole and len(whole) > 300
-    assert {tuple(r) for r in run.exhaustive(large, False).collect()} < whole
-
-
-def test_a_large_node_loses_no_pair_above_the_threshold(spark, docs, monkeypatch):
-    """A crowd of signatures that agree in somewhat less than the threshold, with pairs above it: branching on finds all pairs."""
-    for name, value in (("SMALL", 10), ("BLOCKS", 1), ("DEEPER", 2), ("ROUNDS", 2)):
-        monkeypatch.setattr(chosenpath, name, value, raising=False)
-    rng = np.random.default_rng(3)
-    base, tokens = rng.integers(0, 1 << 16, chosenpath.TOKENS), []
-    for _ in range(20):
-        one = np.where(rng.random(chosenpath.TOKENS) < 0.12, rng.integers(0, 1 << 16, chosenpath.TOKENS), base)
-        other = one.copy()
-        other[rng.permutation(chosenpath.TOKENS)[:17]] = rng.integers(0, 1 << 16, 17)
-        tokens += [one.astype(np.uint16), other.astype(np.uint16)]
-    reps = spark.createDataFrame([(v, t.tobytes()) for v, t in enumerate(tokens)], "v long, tokens binary")
-    nodes, labels = reps.selectExpr("7L AS node", "v"), spark.createDataFrame([], "v long, label long")
-    run = chosenpath.NearDuplicates(docs, 3, 85, "doc_id", "text")
-    agree = np.array([[(x == y).mean() for y in tokens] for x in tokens])
-    expected = {(a, b) for a in range(40) for b in range(a) if agree[a, b] >= 0.85}
-    pairs, looked_at = run.compared(nodes, labels, reps, True)
-    assert 20 <= len(expected) < 60 and looked_at.count() == 40
-    assert expected <= {tuple(r) for r in pairs.collect()}
+def crowd(n, seed, width=400, apart=20, near=8):
+    """Pairs of word sets: the pairs are alike just below 85 % among each other, the two of a pair just above."""
+    rng, texts = random.Random(seed), []
+    for i in range(n):
+        one = [f"w{k}" for k in range(width)]
+        for k in rng.sample(range(width), apart):
+            one[k] = f"own{i}x{k}"
+        other = list(one)
+        for k in rng.sample(range(width), near):
+            other[k] = f"other{i}x{k}"
+        texts += [" ".join(one), " ".join(other)]
+    return texts
+
+
+def node_of(spark, texts, size=None):
+    """All texts in one node, and what the comparison reads of them."""
+    shingles = chosenpath.Shingler(1)
+    sets = [shingles(t) for t in texts]
+    reps = spark.createDataFrame([(v, chosenpath.signature(c).tobytes(), len(c)) for v, c in enumerate(sets)], "v long, tokens binary, shingles long")
+    return sets, reps, reps.selectExpr("7L AS node", "-1 AS tree", "v"), spark.createDataFrame(list(enumerate(texts)), "v long, text string")
+
+
+def joined(links, n):
+    return brute.components({v: frozenset(frozenset(x) for x in links if v in x) for v in range(n)}, 0) if links else {v: v for v in range(n)}
+
+
+@pytest.mark.parametrize("small, blocks", [(1000, 32), (7, 32), (10, 1)])
+def test_a_node_loses_no_pair_above_the_threshold(spark, docs, monkeypatch, small, blocks):
+    """A node taken whole, cut into blocks, or branched on gives the links that a look at all pairs gives."""
+    for name, value in (("SMALL", small), ("BLOCKS", blocks), ("DEEPER", 2), ("ROUNDS", 2)):
+        monkeypatch.setattr(chosenpath, name, value)
+    texts = crowd(25, 3)
+    sets, reps, nodes, shown = node_of(spark, texts)
+    expected = brute.components({v: frozenset(c.tolist()) for v, c in enumerate(sets)}, 85)
+    assert len(set(expected.values())) == 25
+    run = chosenpath.NearDuplicates(docs, 1, 85, "doc_id", "text")
+    links = {tuple(r) for r in run.compared(nodes, spark.createDataFrame([], "v long, label long"), reps, shown).collect()}
+    assert joined(links, 50) == expected
+    # a pair that is one component already gives nothing
+    labels = spark.createDataFrame([(v, v - v % 2) for v in range(50)], "v long, label long")
+    assert run.compared(nodes, labels, reps, shown).isEmpty()
+
+
+def test_a_crowd_below_the_threshold_makes_no_rows(spark, docs):
+    """300 texts alike in just less than the threshold: no pair of them leaves a node, and each is looked at in one tree only."""
+    texts = crowd(300, 5)[::2]
+    sets, reps, _, shown = node_of(spark, texts)
+    run = chosenpath.NearDuplicates(docs, 1, 85, "doc_id", "text")
+    nodes = run.rooted(reps)
+    table = nodes.join(reps, "v").selectExpr("node", "0 AS x", "0 AS y", "0 AS own", "v", "v AS label", "tree AS first", "shingles", "tokens").toPandas()
+    looked = []
+    for _, group in table.groupby("node"):
+        members = chosenpath.Group(pa.Table.from_pandas(group, preserve_index=False), run.floor, 85)
+        looked += [frozenset((int(members.v[i]), int(members.v[j]))) for i, others in members.candidates() for j in others]
+    assert len(looked) == len(set(looked)) > 10_000
+    tokens = np.stack([np.frombuffer(r["tokens"], np.uint16) for r in reps.orderBy("v").collect()])
+    placed = chosenpath.in_trees(tokens, run.trees)
+    for i in range(0, 300, 17):
+        agree = chosenpath.agreeing(tokens, tokens[i])
+        assert {j for j in range(300) if j != i and agree[j] >= run.floor and (placed[i] == placed[j]).any()} == {j for p in looked if i in p for j in p - {i}}
+    held = run.open(nodes, spark.createDataFrame([], "v long, label long")).join(reps, "v").withColumn("first", chosenpath.F.col("tree"))
+    involved = run.involved(held)
+    assert 0 < involved.count() <= held.count() and run.linked(involved, shown).count() == 0
 
 
 @pytest.mark.parametrize("percent", [85, 80])
@@ -435,7 +464,7 @@ def test_every_language_with_a_label_is_learned(spark, monkeypatch):
     rows = [(1000 * n + i, f"text {i} of number {n}", f"l{n:02}", "a", 0) for n in range(70) for i in range(3 if n else 40)]
     rows += [(99_999, "no language", None, "a", 0)]
     seen = []
-    monkeypatch.setattr(language, "fitted", lambda sample: seen.append(sample))
+    monkeypatch.setattr(language, "fitted", lambda sample: seen.append(list(sample)))
     language.fit_languages(spark.createDataFrame(rows, DOCS), folds=10**6)
     monkeypatch.setattr(language, "SAMPLE", 140, raising=False)
     language.fit_languages(spark.createDataFrame(rows, DOCS), folds=10**6)
