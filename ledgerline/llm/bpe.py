@@ -207,13 +207,15 @@ def encode_decode(
     tables included.
     """
     with open(vocabulary_file, encoding="utf-8") as file:
-        description = docs.sparkSession.sparkContext.broadcast(file.read())
+        shared = docs.sparkSession.sparkContext.broadcast({"file": file.read()})
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if full else [])
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     inside = docs.select(F.col(text_column).alias("_text"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(description.value))
+        if "encoder" not in shared.value:  # a worker's next task finds the vocabulary and the words that it has learned
+            shared.value["encoder"] = Encoder(Vocabulary(shared.value["file"]))
+        encoder = shared.value["encoder"]
         for batch in batches:
             start = 0
             for texts in batches_of([t or "" for t in batch.column(0).to_pylist()]):
