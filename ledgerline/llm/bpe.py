@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import read
 
 NONE = (1 << 62) - 1  # rank of a pair that no merge joins
-WIDE = 32             # longest word, in bytes, of the batched tree
-CACHED = 200_000      # words remembered by a task
+WIDTHS = (8, 16, 32)  # leaves of the batched trees; a word has the smallest that holds its bytes
+WIDE = WIDTHS[-1]     # longest word, in bytes, of a batched tree
+CACHED = 400_000      # words remembered by a worker
 
 
 class Vocabulary:
@@ -101,22 +102,22 @@ def encode_long(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return [t for t in tokens if t >= 0]
 
 
-def encode_short(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """Words of at most ``WIDE`` bytes, all trees side by side: each round merges one pair in every live word."""
+def encode_short(words: list[bytes], vocabulary: Vocabulary, wide: int = WIDE) -> list[list[int]]:
+    """Words of at most ``wide`` bytes, a power of two, all trees side by side: each round merges one pair in every live word."""
     n, lengths = len(words), np.array([len(w) for w in words])
-    raw = np.frombuffer(b"".join(w.ljust(WIDE, b"\0") for w in words), np.uint8).reshape(n, WIDE)
-    places = np.arange(WIDE)
+    raw = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(n, wide)
+    places = np.arange(wide)
     tokens = np.where(places < lengths[:, None], vocabulary.byte_id[raw], -1)
-    after = np.where(places + 1 < lengths[:, None], places + 1, WIDE)  # WIDE: no token follows
-    before = np.broadcast_to(places - 1, (n, WIDE)).copy()
+    after = np.where(places + 1 < lengths[:, None], places + 1, wide)  # wide: no token follows
+    before = np.broadcast_to(places - 1, (n, wide)).copy()
     padded = np.concatenate([tokens, np.full((n, 1), -1)], axis=1)
-    tree = np.full((n, 2 * WIDE), NONE)
-    tree[:, WIDE:] = vocabulary.lookup(padded[:, :-1], padded[:, 1:])[0]
-    for level in (1 << b for b in reversed(range(WIDE.bit_length() - 1))):
+    tree = np.full((n, 2 * wide), NONE)
+    tree[:, wide:] = vocabulary.lookup(padded[:, :-1], padded[:, 1:])[0]
+    for level in (1 << b for b in reversed(range(wide.bit_length() - 1))):
         tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
 
     def put(rows, at, rank):
-        node = at + WIDE
+        node = at + wide
         tree[rows, node] = rank
         while node[0] > 1:
             node = node >> 1
@@ -124,15 +125,15 @@ def encode_short(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
 
     while len(live := np.nonzero(tree[:, 1] != NONE)[0]):
         node = np.ones(len(live), np.int64)
-        while node[0] < WIDE:
+        while node[0] < wide:
             node = 2 * node + (tree[live, 2 * node] > tree[live, 2 * node + 1])
-        i = node - WIDE
+        i = node - wide
         j = after[live, i]
         k = after[live, j]
         padded[live, i] = vocabulary.lookup(padded[live, i], padded[live, j])[1]
         padded[live, j] = -1
         after[live, i] = k
-        follows = k < WIDE
+        follows = k < wide
         before[live[follows], k[follows]] = i[follows]
         put(live, j, NONE)
         put(live, i, vocabulary.lookup(padded[live, i], np.where(follows, padded[live, k], -1))[0])
@@ -155,11 +156,12 @@ class Encoder:
             self.known = {}
         new = [w for w in words if w not in self.known]
         raw = [w.encode() for w in new]
-        short = [i for i, w in enumerate(raw) if len(w) <= WIDE]
-        for start in range(0, len(short), 4096):
-            part = short[start : start + 4096]
-            for i, ids in zip(part, encode_short([raw[i] for i in part], self.vocabulary)):
-                self.known[new[i]] = ids
+        for wide in WIDTHS:
+            short = [i for i, w in enumerate(raw) if wide // 2 < len(w) <= wide or len(w) <= wide == WIDTHS[0]]
+            for start in range(0, len(short), 4096):
+                part = short[start : start + 4096]
+                for i, ids in zip(part, encode_short([raw[i] for i in part], self.vocabulary, wide)):
+                    self.known[new[i]] = ids
         for i, w in enumerate(raw):
             if len(w) > WIDE:
                 self.known[new[i]] = encode_long(w, self.vocabulary)

@@ -378,6 +378,9 @@ def test_short_and_long_words_are_merged_alike():
     rng = random.Random(9)
     words = [bytes(rng.choice(b"thearingsoun ") for _ in range(rng.randint(1, bpe.WIDE))) for _ in range(500)]
     assert bpe.encode_short(words, vocabulary) == [bpe.encode_long(w, vocabulary) for w in words]
+    for wide in bpe.WIDTHS:
+        short = [w for w in words if len(w) <= wide]
+        assert len(short) > 50 and bpe.encode_short(short, vocabulary, wide) == [bpe.encode_long(w, vocabulary) for w in short]
 
 
 def test_bpe_edges(docs, none):
