@@ -20,19 +20,28 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def quantised(rows: np.ndarray):
-    """int8 codes, scales, and the lengths of the coded vectors and of what the codes miss."""
+    """int8 codes, scales, and, in units of the scale, the lengths of the codes and of what they miss."""
     scale = np.abs(rows).max(axis=1, initial=0) / 127
     scale[scale == 0] = 1
-    codes = np.rint(rows / scale[:, None]).astype(np.int8)
-    coded = codes * scale[:, None]
-    return codes, scale, np.linalg.norm(coded, axis=1), np.linalg.norm(rows - coded, axis=1)
+    units = rows / scale[:, None]
+    codes = np.rint(units).clip(-127, 127).astype(np.int8)
+    return codes, scale, np.linalg.norm(codes.astype(np.float64), axis=1), np.linalg.norm(units - codes, axis=1)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, components added in order, so the sum does not depend on how pairs are batched."""
+    """Row by row, components added in order, so the sum does not depend on how pairs are batched.
+
+    Where a term or a sum on the way is beyond doubles, the rows are scaled first, so that only a result beyond doubles is infinite.
+    """
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(a.shape[1]):
+            total += a[:, j] * b[:, j]
+        lost = np.flatnonzero(~np.isfinite(total))
+        if len(lost):
+            powers = [np.frexp(np.abs(x[lost]).max(axis=1))[1] for x in (a, b)]
+            small = inner(*(np.ldexp(x[lost], -p[:, None]) for x, p in zip((a, b), powers)))
+            total[lost] = np.ldexp(small, powers[0] + powers[1])
     return total
 
 
@@ -47,10 +56,15 @@ def tile_nearest(query_ids, queries, ids, rows, k: int):
     for j in range(0, len(rows), 1024):  # codes are whole numbers, so single precision is exact up to 2^24
         kind = np.float32 if rows.shape[1] * 127 * 127 < 1 << 24 else np.float64
         product[:, j : j + 1024] = qc.astype(kind) @ rc[j : j + 1024].astype(kind).T
-    product *= np.outer(qs, rs)
+    # a query's scale changes no order, so bounds are in units of it and of the largest scale of the rows and stay finite
+    top = rs.max(initial=0)
     own = query_ids[:, None] == ids[None, :]
-    low = np.where(own, -np.inf, product - error)
-    high = np.where(own, -np.inf, product + error)
+    low = np.where(own, -np.inf, (product - error) * (rs / top) - 1e-290)
+    high = np.where(own, -np.inf, (product + error) * (rs / top) + 1e-290)
+    # scores beyond doubles are equal, whatever their bounds
+    with np.errstate(over="ignore"):
+        end = (np.finfo(np.float64).max / qs / top * (1 - 1e-9))[:, None]
+    low = np.where(low < -end, -np.inf, np.minimum(low, end))
     if low.shape[1] > k:
         floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
     else:
@@ -62,7 +76,7 @@ def tile_nearest(query_ids, queries, ids, rows, k: int):
 def nearest(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product for each query: ``query_id, rank, vec_id, score``.
 
-    Scores are inner products of the original vectors in double precision. A query never finds the row of its
+    Scores are inner products of the original vectors in double precision; those beyond doubles are infinite. A query never finds the row of its
     own id; ties go to the smaller id. Vectors that are null, all zero (or empty), or hold a null, infinite or NaN
     component take no part, nor do rows without an id. Rows of one id count once, with the least of their
     vectors. The shorter of two vectors counts as if it ended in zeros. Empty tables give no rows; other

@@ -17,6 +17,7 @@ from ledgerline.llm.common import best, read
 from ledgerline.llm.tiles import tile_pairs, tiles, usable, widened
 
 HEIGHT, BLOCK, SCALE = 4096, 64, 256
+LARGEST = (1 << 63) - 1  # scores beyond a long stop here
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -24,21 +25,23 @@ def block_top_k(query_ids, queries, ids, rows, k: int, block: int = BLOCK):
     """Top ``k`` rows of a tile for each query. All weights are whole numbers."""
     queries, rows = widened(queries, rows)
     starts = np.arange(0, len(ids), block)
-    # sums stay exact in doubles while they cannot pass 2^53; beyond that they are taken in longs
-    exact = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[1] < 2.0**53
-    if not exact:
-        queries, rows = queries.astype(np.int64), rows.astype(np.int64)
+    # sums stay exact in doubles while they cannot pass 2^53, in longs up to 2^63, beyond that in whole numbers of any size
+    reach = max(np.abs(queries).max(initial=0), 1) * max(np.abs(rows).max(initial=0), 1) * rows.shape[1]
+    if reach >= 2.0**53:
+        whole = (lambda x: x.astype(np.int64)) if reach < 2.0**62 else np.frompyfunc(int, 1, 1)
+        queries, rows = whole(queries), whole(rows)
+    settled = (lambda x: np.clip(x, -LARGEST, LARGEST).astype(np.int64)) if rows.dtype == object else (lambda x: x)
     most, least = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
-    bounds = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+    bounds = settled(np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T)
     order = np.argsort(-bounds, axis=1, kind="stable")
     out_q, out_v, out_s = [], [], []
     for i, (name, query) in enumerate(zip(query_ids, queries)):
-        top_s, top_v = np.empty(0, rows.dtype), np.empty(0, np.int64)
+        top_s, top_v = np.empty(0, bounds.dtype), np.empty(0, np.int64)
         for b in order[i]:
             if len(top_s) == k and bounds[i, b] < top_s[-1]:
                 break
             part = slice(starts[b], starts[b] + block)
-            scores, names = rows[part] @ query, ids[part]
+            scores, names = settled(rows[part] @ query), ids[part]
             other = names != name
             top_s, top_v = np.concatenate([top_s, scores[other]]), np.concatenate([top_v, names[other]])
             chosen = np.lexsort((top_v, -top_s))[:k]
@@ -52,7 +55,7 @@ def block_top_k(query_ids, queries, ids, rows, k: int, block: int = BLOCK):
 def search(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product for each query: ``query_id, rank, vec_id, score``.
 
-    Weights are whole numbers; scores are exact. A query never finds the row of its own id. Vectors that are null or
+    Weights are whole numbers; scores are exact, and those beyond a long stop at 2^63 - 1 on either side. A query never finds the row of its own id. Vectors that are null or
     hold a null, infinite or NaN component take no part, nor do rows without an id. Rows of one id count
     once, with the least of their vectors. Vectors of different length are compared as if the shorter
     ended in zeros. Empty tables give no rows; other columns are never read.
