@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch, read, text_key
+from ledgerline.llm.common import Scratch, hidden, read, text_key
 from ledgerline.llm.graph import components
 
 TOKENS = 128   # coordinates of a signature, two bytes each
@@ -417,14 +417,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each group; of repeated rows with words one stays."""
-    no_id = F.lit(-(1 << 63))
+    """The rows of ``docs`` that are kept, one of each group; of repeated rows with words one stays, texts without words all stay.
+
+    Columns of ``docs`` may have any names; nulls and empty tables as in ``near_duplicates``.
+    """
+    no_id, (inside, names) = F.lit(-(1 << 63)), hidden(docs)
+    name, text = F.col(names[id_column]), F.col(names[text_column])
     kept = near_duplicates(docs, width, percent, id_column, text_column).where("kept")
     kept = kept.groupBy(F.coalesce("doc_id", no_id).alias("_id"), F.col("text_key").alias("_text")).agg(F.max("n_shingles").alias("_n"))
     kept = Scratch(docs.sparkSession).save(kept, "kept")
-    same = (F.coalesce(F.col(id_column).cast("long"), no_id) == F.col("_id")) & (text_key(F.col(text_column)) == F.col("_text"))
+    same = (F.coalesce(name.cast("long"), no_id) == F.col("_id")) & (text_key(text) == F.col("_text"))
     one = Window.partitionBy("_id", "_text").orderBy(F.lit(0))
-    return docs.join(kept, same).withColumn("_nth", F.row_number().over(one)).where("_n = 0 OR _nth = 1").select(*docs.columns)
+    first = inside.join(kept, same).withColumn("_nth", F.row_number().over(one)).where("_n = 0 OR _nth = 1")
+    return first.select([F.col(n).alias(c) for c, n in names.items()])
 
 
 def op7_near_duplicates(spark, folder) -> DataFrame:

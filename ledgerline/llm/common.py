@@ -53,6 +53,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that no operator uses, and those names by the old ones."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; NULL counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch, read, text_key
+from ledgerline.llm.common import Scratch, hidden, read, text_key
 
 
 def spread_lines(lines: DataFrame, min_sites: int, precision: int, scratch: Scratch) -> DataFrame:
@@ -58,17 +58,15 @@ def dedup_lines(
     A line that fills a third of the table reaches the shuffle as one sketch per task. Joining the lines
     back to the boilerplate is a join on a key unique on one side, which adaptive execution splits.
     """
-    clean = docs.drop("n_lines", "n_removed")
-    keyed = clean.withColumn("_key", text_key(F.col(text_column)))
+    inside, names = hidden(docs.drop("n_lines", "n_removed"))
+    text, site = F.col(names[text_column]), F.col(names[site_column])
+    name = F.coalesce(F.col(names[id_column]).cast("long"), F.lit((1 << 63) - 1))
     lines = (
-        clean.where(F.col(text_column).isNotNull())
+        inside.where(text.isNotNull())
         .select(
-            F.struct(
-                F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-                text_key(F.col(text_column)).alias("key"),
-            ).alias("_holder"),
-            F.col(site_column).cast("string").alias("_site"),
-            F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("_pos", "_line"),
+            F.struct(name.alias("id"), text_key(text).alias("key")).alias("_holder"),
+            site.cast("string").alias("_site"),
+            F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"),
         )
         .where(F.trim("_line") != "")
         .select("_holder", "_site", "_pos", F.unhex(F.md5(F.col("_line").cast("binary"))).alias("_hash"))
@@ -79,15 +77,15 @@ def dedup_lines(
         .groupBy("_holder").agg(F.collect_set("_pos").alias("_gone"))
         .select(F.col("_holder.id").alias("_gid"), F.col("_holder.key").alias("_gkey"), "_gone")
     )
-    same = (F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)) == F.col("_gid")) & (F.col("_key") == F.col("_gkey"))
-    parts = F.split(F.col(text_column), "\n", -1)
+    same = (name == F.col("_gid")) & (F.col("_key") == F.col("_gkey"))
+    parts = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return keyed.join(gone, same, "left").select(
+    return inside.withColumn("_key", text_key(text)).join(gone, same, "left").select(
         *[
-            F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c)
-            for c in clean.columns
+            (F.when(F.col("_gone").isNull(), text).otherwise(kept) if c == text_column else F.col(n)).alias(c)
+            for c, n in names.items()
         ],
-        F.coalesce(F.size(F.when(F.col(text_column).isNotNull(), parts)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.when(text.isNotNull(), parts)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
     )
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch, read
+from ledgerline.llm.common import Scratch, hidden, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,20 +98,20 @@ def mixed(
     - Rows with one id share one draw, so a repeated row is repeated alike; rows without an id draw by text.
     - An empty table gives no rows. Columns of ``docs`` named like a computed one are replaced.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    clean = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = clean.withColumn("_size", words(F.col(text_column)))
-    totals = sized.groupBy(F.col(source_column).alias("_source")).agg(F.sum("_size").alias("_source_size"))
+    scratch = Scratch(docs.sparkSession)
+    inside, names = hidden(docs.drop("size", "source_size", "target", "rate", "copies"))
+    name, text, source = (F.col(names[c]) for c in (id_column, text_column, source_column))
+    sized = inside.withColumn("_size", words(text))
+    totals = sized.groupBy(source.alias("_source")).agg(F.sum("_size").alias("_source_size"))
     # a row per source; its size is bounded by the sources, and adaptive execution decides how it is joined
     targets = source_targets(totals, weights, share, cap, scratch)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    extra = (draw(F.col(id_column), F.col(text_column), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
+    extra = (draw(name, text, seed) < F.col("_rate") - F.floor("_rate")).cast("long")
     return (
-        sized.join(targets, F.col(source_column).eqNullSafe(F.col("_source")), "left")
+        sized.join(targets, source.eqNullSafe(F.col("_source")), "left")
         .withColumn("_rate", rate)
         .select(
-            *[clean[c] for c in clean.columns],
+            *[F.col(n).alias(c) for c, n in names.items()],
             F.col("_size").alias("size"),
             F.col("_source_size").alias("source_size"),
             F.col("_target").alias("target"),
@@ -122,7 +122,7 @@ def mixed(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as its source's rate asks, with the columns of ``docs``."""
+    """Every document as often as its source's rate asks, with the columns of ``docs``, whatever their names; see ``mixed``."""
     plan = mixed(docs.select([F.col(c).alias(f"_in{i}") for i, c in enumerate(docs.columns)]), **{
         **options,
         **{
