@@ -3,17 +3,19 @@
 Any two equal windows of ``length`` bytes have the same least hash among the short grams inside them. Windows
 side by side with one least gram form a run, and only runs whose gram occurs in another run can hold a repeated
 window. The runs of one gram meet in one bucket, where the suffixes at their windows are sorted deep-shallow: by
-their first words (multikey quicksort on words of 8 bytes, all groups at once), and groups that still agree by a blind
-trie, which looks only at the word where a suffix leaves its group's leader. Suffixes that end up together are equal.
+their first words in a multikey quicksort, and groups that still agree by a blind trie, which looks only at the
+word where a suffix leaves its group's leader. Suffixes that end up together are equal.
 
-Runs with one content are one row before anything is sorted, and a gram with very many different runs is dealt
-to several buckets; what is single there is then compared across buckets by a digest of the window.
+Runs with one content are one row before anything is sorted. The runs of a gram with very many different ones are
+cut anew by a longer gram of their windows, again and again, up to the whole window: most of what surrounds a common
+passage is alone in its longer grams, and what is not meets in smaller groups.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from ledgerline.llm.common import Scratch, read, text_key
 LENGTH = 200   # bytes of a string that must not occur twice
 SHALLOW = 3    # words of 8 bytes sorted before the tries
 RUN = 128      # windows of a run in a period, about; the others are shorter than a window
-BUCKET = 3000  # runs of a bucket, about, and of one gram in a bucket at most
+BUCKET = 3000  # runs of a bucket, about; a gram with more different ones is cut by a longer gram
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -52,11 +54,18 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs_of(raw: np.ndarray, length: int, powers: Powers):
-    """Least gram, first window, windows and content hash of each run of a text."""
+def gram_lengths(length: int) -> list[int]:
+    """From a quarter of a window to all of it; each leaves a quarter of what the one before left out."""
+    grams = [max(8, length // 4)]
+    while grams[-1] < length:
+        grams.append(length - (length - grams[-1]) // 4)
+    return grams
+
+
+def runs_of(raw: np.ndarray, length: int, powers: Powers, gram: int):
+    """Least gram of ``gram`` bytes, first window, windows and content hash of each run of a text."""
     if len(raw) < length:
         return (np.empty(0, np.uint64),) * 4
-    gram = max(8, length // 4)
     up, down = powers.upto(len(raw) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[raw] * up[: len(raw)])])
     grams = mixed_bits((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
@@ -98,17 +107,48 @@ def groups_by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def equal_suffixes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start the index of the first start whose ``length`` bytes are equal, its own if there is none before."""
+def multikey(words: np.ndarray, starts: np.ndarray, group: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The starts that agree with another of their group in the words at all of ``at``, in order, and their new groups.
+
+    A multikey quicksort of all groups side by side: each group is parted in three by the word of one of its members, the
+    middle part goes on with the next word, the outer parts with the same one; groups of one are done.
+    """
+    rng = np.random.default_rng(5)
+    rows = np.argsort(group, kind="stable")
+    number, depth, places = group[rows], np.zeros(len(rows), np.int64), np.array(at, np.int64)
+    done, names, last = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while len(rows):
+        head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        size = np.diff(np.append(head, len(rows)))
+        nth = np.repeat(np.arange(len(head)), size)
+        through = depth == len(places)
+        several = (size > 1)[nth]
+        if (through | ~several).any():
+            out = through & several
+            done.append(rows[out])
+            names.append(nth[out] + last)
+            last += len(head)
+            stay = several & ~through
+            rows, number, depth = rows[stay], nth[stay], depth[stay]
+            continue
+        word = words[starts[rows] + places[depth]]
+        pivot = word[head + (rng.random(len(head)) * size).astype(np.int64)][nth]
+        side = (word >= pivot).astype(np.int64) + (word > pivot)
+        number = 3 * nth + side
+        order = np.argsort(number, kind="stable")
+        rows, number, depth = rows[order], number[order], (depth + (side == 1))[order]
+    return np.concatenate(done), np.concatenate(names)
+
+
+def equal_suffixes(text: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None) -> np.ndarray:
+    """For each start the index of one start whose ``length`` bytes are equal, the same for all that are.
+
+    Starts of different ``group`` are known to differ.
+    """
     words = words_at(text)
     at = list(range(0, length - 7, 8)) + ([length - 8] if length % 8 else [])
     same = np.arange(len(starts))
-    rows, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for d in at[:SHALLOW]:  # shallow: a word at a time, groups of one are done
-        order, number = groups_by(group, words[starts[rows] + d])
-        rows = rows[order]
-        several = np.bincount(number)[number] > 1
-        rows, group = rows[several], number[several]
+    rows, group = multikey(words, starts, np.zeros(len(starts), np.int64) if group is None else group, at[:SHALLOW])
     deep = np.array(at[SHALLOW:])
     while len(rows) and len(deep):  # a node of the trie for each group: its leader, and the words where others leave it
         head = np.concatenate([[True], group[1:] != group[:-1]])
@@ -140,40 +180,23 @@ def stretches(marked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sorted_bucket(table: pa.Table, length: int) -> pa.Table:
-    """Spans of single runs that hold repeated windows (``key, start, stop``, no digest), and for grams dealt to several
-    buckets a row with the digest of each window that is left single, or stands for its equals (no key)."""
+    """``key, start, stop``: spans of single runs that hold repeated windows."""
     data = [np.frombuffer(b, np.uint8) for b in table.column("bytes").to_pylist()]
     counts = np.array([len(d) - length + 1 for d in data])
     text = np.concatenate(data + [np.zeros(8, np.uint8)])
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]])
-    owner = np.repeat(np.arange(len(data)), counts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = offsets[owner] + nth
-    same = equal_suffixes(text, starts, length)
-    size = np.bincount(same, minlength=len(same))
-    repeated = size[same] > 1
-    single, dealt = table.column("single").to_numpy(), table.column("dealt").to_numpy()
+    owner, ends = np.repeat(np.arange(len(data)), counts), np.cumsum(counts)
+    starts = np.repeat(offsets - ends + counts, counts) + np.arange(len(owner))
+    same = equal_suffixes(text, starts, length, np.unique(table.column("gram").to_numpy(), return_inverse=True)[1][owner])
+    repeated = np.bincount(same, minlength=len(same))[same] > 1
     keys, first = table.column("key").to_pylist(), table.column("first").to_numpy()
-    out = {"key": [], "start": [], "stop": [], "digest": []}
-
-    def add(key, start, stop, digest):
-        for column, value in zip(out.values(), (key, start, stop, digest)):
-            column.append(value)
-
-    ends = np.cumsum(counts)
-    for i in np.nonzero(single)[0]:
-        for a, b in stretches(repeated[ends[i] - counts[i] : ends[i]]):
-            add(keys[i], int(first[i] + a), int(first[i] + b - 1 + length), None)
-    if dealt.any():
-        crossing = np.zeros(len(same), bool)
-        crossing[same[dealt[owner]]] = True  # one window of each set of equals that a dealt gram has
-        for w in np.nonzero(crossing)[0]:
-            digest = hashlib.blake2b(text[starts[w] : starts[w] + length].tobytes(), digest_size=16).digest()
-            mine = single[owner[w]] and not repeated[w]
-            at = int(first[owner[w]] + nth[w])
-            add(keys[owner[w]] if mine else None, at, at + length, digest)
-    kinds = {"key": pa.binary(), "start": pa.int64(), "stop": pa.int64(), "digest": pa.binary()}
-    return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+    out = [
+        (keys[i], int(first[i]) + a, int(first[i]) + b - 1 + length)
+        for i in np.flatnonzero(table.column("single").to_numpy())
+        for a, b in stretches(repeated[ends[i] - counts[i] : ends[i]])
+    ]
+    kinds = (("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()))
+    return pa.table({name: pa.array([row[j] for row in out], kind) for j, (name, kind) in enumerate(kinds)})
 
 
 def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -183,13 +206,15 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     unique on its key, so that adaptive execution can split a key that a third of the rows share.
     """
 
+    shortest = gram_lengths(length)[0]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             held = []
             for i in range(batch.num_rows):
                 raw = np.frombuffer(batch.column("raw")[i].as_buffer(), np.uint8)
-                gram, first, count, content = runs_of(raw, length, powers)
+                gram, first, count, content = runs_of(raw, length, powers, shortest)
                 if len(gram):
                     key = batch.column("key")[i].as_py()
                     held.append(pa.RecordBatch.from_arrays(
@@ -204,33 +229,59 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     runs = docs.select("key", "raw").mapInArrow(find, "gram long, content long, key binary, first int, count short")
+    found, contents = grouped(runs.withColumn("single", F.lit(True)), length, scratch)
+    found = [found, *sorted_contents(docs, contents, length, scratch)]
+    spans = reduce(DataFrame.unionByName, found).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return scratch.save(spans, "spans")
+
+
+def grouped(runs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``key, start, stop`` of the single runs with a content that another run of their gram has, and one row for each content
+    of the grams that have several (``gram, content, single, key, first, count``)."""
     grams = scratch.save(
         runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("content") < F.max("content")).alias("mixed"))
         .where("n > 1").select("gram", "mixed"),
         "grams",
     )
     shared = scratch.save(runs.join(grams, "gram"), "shared")
-    span = lambda df: df.select("key", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") - 1 + length).cast("long").alias("stop"))
     contents = scratch.save(
         shared.where("mixed").groupBy("gram", "content").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "count")).alias("r")
-        ).select("gram", "content", (F.col("n") == 1).alias("single"), "r.key", "r.first", "r.count"),
+            F.count(F.lit(1)).alias("n"), F.min("single").alias("single"), F.min(F.struct("key", "first", "count")).alias("r")
+        ).select("gram", "content", (F.col("single") & (F.col("n") == 1)).alias("single"), (F.col("n") > 1).alias("several"), "r.key", "r.first", "r.count"),
         "contents",
     )
-    several = contents.where("NOT single").select("gram", "content")
-    found = span(shared.where("NOT mixed")).unionByName(span(shared.where("mixed").join(several, ["gram", "content"])))
-    sorted_rows = scratch.save(sorted_contents(docs, contents, length, scratch), "sorted")
-    windows = sorted_rows.where("digest IS NOT NULL")
-    crossing = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    found = found.unionByName(sorted_rows.where("digest IS NULL").select("key", "start", "stop")).unionByName(
-        windows.where("key IS NOT NULL").join(crossing, "digest").select("key", "start", "stop")
+    several = contents.where("several").select("gram", "content")
+    again = shared.where("NOT mixed").unionByName(shared.where("mixed").join(several, ["gram", "content"]))
+    stop = (F.col("first") + F.col("count") - 1 + length).cast("long")
+    return (
+        again.where("single").select("key", F.col("first").cast("long").alias("start"), stop.alias("stop")),
+        contents.drop("several"),
     )
-    spans = found.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return scratch.save(spans, "spans")
 
 
-def sorted_contents(docs: DataFrame, contents: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """Rows of ``sorted_bucket`` for the different runs of all grams that have several."""
+def finer(runs: DataFrame, gram: int, length: int) -> DataFrame:
+    """The runs cut anew by the least gram of ``gram`` bytes in their windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [runs_of(np.frombuffer(b.as_buffer(), np.uint8), length, powers, gram) for b in batch.column("bytes")]
+            owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            grams, first, count, content = (np.concatenate(column) for column in zip(*parts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams.view(np.int64)), pa.array(content.view(np.int64)), batch.column("key").take(pa.array(owner)),
+                 pa.array((batch.column("first").to_numpy()[owner] + first).astype(np.int32)), pa.array(count.astype(np.int16)),
+                 batch.column("single").take(pa.array(owner))],
+                names=["gram", "content", "key", "first", "count", "single"],
+            )
+
+    return runs.select("key", "first", "single", "bytes").mapInArrow(cut, "gram long, content long, key binary, first int, count short, single boolean")
+
+
+def sorted_contents(docs: DataFrame, contents: DataFrame, length: int, scratch: Scratch) -> list[DataFrame]:
+    """``key, start, stop`` of what the sort finds in the different runs of all grams that have several."""
     # one row of the table for each text that is needed, found by id so that copies of a text do not meet in one task
     no_id = F.lit(-(1 << 63))
     named = docs.select("key", F.coalesce("doc_id", no_id).alias("id"), "raw")
@@ -238,20 +289,26 @@ def sorted_contents(docs: DataFrame, contents: DataFrame, length: int, scratch:
         named.select("key", "id").join(contents.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")), "wanted"
     )
     texts = scratch.save(named.join(wanted, ["key", "id"]).dropDuplicates(["key", "id"]).select("key", "raw"), "texts")
-    cut = contents.join(texts, "key").withColumn("bytes", F.expr(f"substring(raw, first + 1, count - 1 + {length})")).drop("raw")
-    per_gram = scratch.save(
-        contents.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")).where("parts > 1"), "many"
-    )
-    buckets = max(1, -(-contents.count() // BUCKET))
-    dealt = cut.join(per_gram, "gram", "left").select(
-        F.pmod(F.xxhash64("gram", F.pmod("content", F.coalesce("parts", F.lit(1)))), F.lit(buckets)).alias("bucket"),
-        "key", "first", "single", F.col("parts").isNotNull().alias("dealt"), "bytes",
-    )
+
+    def with_bytes(runs: DataFrame) -> DataFrame:
+        return runs.join(texts, "key").withColumn("bytes", F.expr(f"substring(raw, first + 1, count - 1 + {length})")).drop("raw")
 
     def run(table: pa.Table) -> pa.Table:
         return sorted_bucket(table, length)
 
-    return dealt.groupBy("bucket").applyInArrow(run, "key binary, start long, stop long, digest binary")
+    found, calm = [], []
+    for gram in gram_lengths(length)[1:]:
+        many = scratch.save(contents.groupBy("gram").count().where(F.col("count") > BUCKET).select("gram"), "many")
+        if many.isEmpty():
+            break
+        calm.append(contents.join(many, "gram", "left_anti"))
+        again, contents = grouped(scratch.save(finer(with_bytes(contents.join(many, "gram")), gram, length), "finer"), length, scratch)
+        found.append(again)
+    ready = reduce(DataFrame.unionByName, [*calm, contents])  # a whole window as its gram: a few runs of one byte at most
+    buckets = max(1, -(-ready.count() // BUCKET))
+    dealt = with_bytes(ready).select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), "gram", "key", "first", "single", "bytes")
+    found.append(scratch.save(dealt.groupBy("bucket").applyInArrow(run, "key binary, start long, stop long"), "sorted"))
+    return found
 
 
 def dedup_substrings(

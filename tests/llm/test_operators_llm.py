@@ -83,6 +83,21 @@ def test_large_weights_stay_whole_numbers():
     assert topk.block_top_k(np.array([0]), rows[:1], np.arange(3), rows, k=2)[2].tolist() == [2**60 + 3, 2**60 + 2]
 
 
+def test_huge_components_have_scores(spark):
+    big = [(0, [1e38, -1e38, 1.0]), (1, [1e38, 1e38, 2.0]), (2, [3e38, 0.0, 0.0]), (3, [-3e38, 0.0, 1.0]), (4, [1.0, 1.0, 1.0])]
+    rows = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    found = topk.search(rows.where("vec_id = 0"), rows, 9).collect()
+    end = 2**63 - 1
+    assert [(r["vec_id"], r["score"]) for r in found] == [(2, end), (1, 2), (4, 1), (3, -end)]
+    huge = [(i, [x * 1e162 for x in v[:2]]) for i, v in big[:4]] + [(4, [1.0, 2.0]), (5, [1e-200, 0.0]), (6, [1e-300, 1e-300])]
+    rows = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    for k in (1, 2, 3, 9):
+        found = neighbours.nearest(rows.where("vec_id IN (0, 2)"), rows, k).collect()
+        by = {q: [(r["vec_id"], r["score"]) for r in found if r["query_id"] == q] for q in (0, 2)}
+        assert by[2] == [(0, np.inf), (1, np.inf), (4, 3e200), (5, pytest.approx(3.0)), (6, pytest.approx(3e-100)), (3, -np.inf)][:k]
+        assert by[0] == [(2, np.inf), (5, pytest.approx(1.0)), (1, 0.0), (6, 0.0), (4, -1e200), (3, -np.inf)][:k]
+
+
 def test_quantised_bounds_never_lose_a_neighbour():
     rng = np.random.default_rng(2)
     for spread in (1, 1e-3, 50):
@@ -95,6 +110,19 @@ def test_quantised_bounds_never_lose_a_neighbour():
         assert len(q) < 20 * 300  # most pairs never reach doubles
 
 
+# names of their own
+
+def test_extra_columns_of_any_name_come_through(spark, docs):
+    own = ["_size", "_source", "_source_size", "_target", "_rate", "_weight", "_gid", "_gkey", "_gone", "_key", "_hash", "_keeper", "_id", "_text", "_n", "_nth", "in_0", "in_3"]
+    extra = docs.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(own)])
+    for result in (mixing.mixed(extra), mixing.mix(extra), lines.dedup_lines(extra), chosenpath.without_near_duplicates(extra)):
+        assert result.columns[: len(extra.columns)] == extra.columns
+        rows = result.collect()
+        assert rows and all([r[c] for c in own] == list(range(len(own))) for r in rows)
+    assert plain(lines.dedup_lines(extra).drop(*own).collect()) == plain(lines.dedup_lines(docs).collect())
+    assert plain(mixing.mixed(extra).drop(*own).collect()) == plain(mixing.mixed(docs).collect())
+
+
 # mixing
 
 def test_mixing(docs, none):
@@ -193,6 +221,26 @@ def test_substrings_of_random_mosaics(spark, monkeypatch, bucket):
     assert found == dict(enumerate(brute.removed(texts, 40)))
 
 
+def test_runs_of_a_common_gram_are_cut_by_longer_ones(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET", 5)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef") for _ in range(230))
+    noise = lambda n: "".join(rng.choice("uvwxyz ") for _ in range(n))
+    # one passage in many surroundings, some of which agree for a few bytes, a piece too short to go, and a period
+    tails = [noise(4) for _ in range(3)]
+    texts = [noise(150) + passage + rng.choice(tails) + noise(150) for _ in range(40)] + [noise(60) + passage[:190] + noise(60) for _ in range(20)]
+    texts += [noise(30) + "ab" * rng.randint(95, 140) + noise(30) for _ in range(12)] + ["q" * n for n in range(195, 215)] + [noise(9) + passage + noise(9)] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: tuple(r)[1:] for r in suffixes.dedup_substrings(rows, 200, keep=["doc_id"], full=False).collect()}
+    assert found == dict(enumerate(brute.removed(texts, 200)))
+
+
+def test_lengths_of_grams_end_at_the_window():
+    for length in (16, 17, 40, 200, 1000):
+        grams = suffixes.gram_lengths(length)
+        assert grams == sorted(set(grams)) and grams[-1] == length and len(grams) < 8
+
+
 def test_equal_suffixes_at_any_length():
     rng = np.random.default_rng(4)
     text = np.concatenate([rng.integers(97, 99, 400).astype(np.uint8)] * 2 + [np.zeros(8, np.uint8)])
