@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import read
+from ledgerline.llm.common import batches_of, read
 
 NONE = (1 << 62) - 1  # rank of a pair that no merge joins
 WIDTHS = (8, 16, 32)  # leaves of the batched trees; a word has the smallest that holds its bytes
@@ -161,10 +162,10 @@ class Encoder:
             for start in range(0, len(short), 4096):
                 part = short[start : start + 4096]
                 for i, ids in zip(part, encode_short([raw[i] for i in part], self.vocabulary, wide)):
-                    self.known[new[i]] = ids
+                    self.known[new[i]] = np.array(ids, "<u4").tobytes()
         for i, w in enumerate(raw):
             if len(w) > WIDE:
-                self.known[new[i]] = encode_long(w, self.vocabulary)
+                self.known[new[i]] = np.array(encode_long(w, self.vocabulary), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Added tokens are found first; what stands between them is split into words."""
@@ -177,27 +178,15 @@ class Encoder:
                 seen.update(part)
         seen.difference_update(v.added)
         self.learn(seen)
-        known = {**self.known, **{a: [i] for a, i in v.added.items()}} if any(len(t) > 1 for t in split) else self.known
+        special = {a: np.array([i], "<u4").tobytes() for a, i in v.added.items()}
+        known = ChainMap(special, self.known) if any(len(t) > 1 for t in split) else self.known
         for text in split:
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, chain.from_iterable(text))), np.dtype("<u4"))
+            yield np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def batches_of(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters, so that what is held at once does not grow with a batch."""
-    run, size = [], 0
-    for text in texts:
-        run.append(text)
-        size += len(text)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def encode_decode(
     docs: DataFrame, vocabulary_file: str, text_column: str = "text", keep: list[str] | None = None, full: bool = True
 ) -> DataFrame:

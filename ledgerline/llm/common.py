@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def batches_of(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``most`` characters, so that what is held at once grows neither with a batch nor with long texts in it."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text or "")
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The table under names that no operator uses, and those names by the old ones."""
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}

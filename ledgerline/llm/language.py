@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import read
+from ledgerline.llm.common import batches_of, read
 from ledgerline.llm.sampling import drawn, fold, labelled_sample
 
 PER_LANGUAGE, SAMPLE = 300, 19_200  # documents that the model is fitted on: of a language at most, and of all together
@@ -291,7 +291,7 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
     made = ["lang_pred", "score"] + ["sure"] * sure
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     inside = docs.select(F.col(text_column).alias("_text"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)])
-    # of a fixed size: buckets, lexicon and languages are bounded
+    # buckets and lexicon have a fixed size for each language
     parts = docs.sparkSession.sparkContext.broadcast((model.languages, model.lexicon, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +300,11 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
         same.weights = weights
         labeller = Labeller(same)
         for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                part = batch.slice(start, 400)
-                found = labeller.documents(part.column(0).to_pylist())
+            start = 0
+            for texts in batches_of(batch.column(0).to_pylist()):
+                found = labeller.documents(texts)
+                part = batch.slice(start, len(texts))
+                start += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     part.columns[1:] + [pa.array([x[i] for x in found], pa.float64() if i else pa.string()) for i in range(len(made))],
                     names=batch.schema.names[1:] + made,

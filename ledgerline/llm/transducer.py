@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import batches_of, default_vocabulary
-from ledgerline.llm.common import read
+from ledgerline.llm.bpe import default_vocabulary
+from ledgerline.llm.common import batches_of, read
 
 CHUNK = 256           # characters of a chunk
 STATES = 200_000      # compiled states a task keeps; past that it compiles anew
@@ -302,7 +302,7 @@ def count_tokens(
         tokens = shared.value["tokens"]
         for batch in batches:
             start = 0
-            for texts in batches_of([t or "" for t in batch.column(0).to_pylist()]):
+            for texts in batches_of([t or "" for t in batch.column(0).to_pylist()], 1 << 21):
                 n = tokens.counts(texts)
                 part = batch.slice(start, len(texts))
                 start += len(texts)
