@@ -188,9 +188,9 @@ class Encoder:
 
 
 def encode_decode(
-    docs: DataFrame, vocabulary_file: str, text_column: str = "text", keep: list[str] | None = None, full: bool = True
+    docs: DataFrame, vocabulary_file: str, text_column: str = "text", keep: list[str] | None = None, whole: tuple[str, ...] = ("ids", "decoded")
 ) -> DataFrame:
-    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256``, and if ``full`` with ``ids, decoded``, of each text.
+    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` and those of ``ids, decoded`` that ``whole`` names, of each text.
 
     ``vocabulary_file`` is read on the driver (a vocabulary has a fixed size) and travels with the tasks.
     Null texts count as empty: no ids, the empty string. ``keep`` names the columns of ``docs`` to return, all by
@@ -199,7 +199,7 @@ def encode_decode(
     """
     with open(vocabulary_file, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast({"file": file.read()})
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if full else [])
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *whole]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     inside = docs.select(F.col(text_column).alias("_text"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)])
 
@@ -209,15 +209,16 @@ def encode_decode(
         encoder = shared.value["encoder"]
         for batch in batches:
             start = 0
-            for texts in batches_of([t or "" for t in batch.column(0).to_pylist()]):
+            for texts in batches_of(t.as_py() or "" for t in batch.column(0)):
                 out = {name: [] for name in made}
                 for codes in encoder.encode(texts):
                     decoded = encoder.decode(codes)
                     out["n_tokens"].append(len(codes))
                     out["ids_sha256"].append(hashlib.sha256(codes.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if full:
+                    if "ids" in whole:
                         out["ids"].append(codes.astype(np.int32))
+                    if "decoded" in whole:
                         out["decoded"].append(decoded)
                 part = batch.slice(start, len(texts))
                 start += len(texts)
@@ -242,4 +243,4 @@ def default_vocabulary() -> str:
 
 
 def op9_bpe_round_trip(spark, folder) -> DataFrame:
-    return encode_decode(read(spark, folder, "documents"), default_vocabulary(), keep=["doc_id"], full=False)
+    return encode_decode(read(spark, folder, "documents"), default_vocabulary(), keep=["doc_id"], whole=())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def batches_of(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str | None]]:
+def batches_of(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[str | None]]:
     """Runs of texts of about ``most`` characters, so that what is held at once grows neither with a batch nor with long texts in it."""
     run, size = [], 0
     for text in texts:

@@ -301,7 +301,7 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
         labeller = Labeller(same)
         for batch in batches:
             start = 0
-            for texts in batches_of(batch.column(0).to_pylist()):
+            for texts in batches_of(t.as_py() for t in batch.column(0)):
                 found = labeller.documents(texts)
                 part = batch.slice(start, len(texts))
                 start += len(texts)
