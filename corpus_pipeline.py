@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the ids and of the text decoded from them."""
-    found = encode_decode(docs, default_vocabulary(), keep=["doc_id", "lang", "source"])
+    found = encode_decode(docs, default_vocabulary(), keep=["doc_id", "lang", "source"], whole=("ids",))
     return found.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
