@@ -9,16 +9,18 @@ one with the largest share of its words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import batches_of, read
+from ledgerline.llm.common import Scratch, batches_of, read
 from ledgerline.llm.sampling import drawn, fold, labelled_sample
 
+COLUMNS = 128                      # languages that one model tells apart
 PER_LANGUAGE, SAMPLE = 300, 19_200  # documents that the model is fitted on: of a language at most, and of all together
 FIT_SENTENCES = 24                 # sentences of a document in one pass of the fit, others in each
 LEXICON = 2000                     # most frequent words of each language in the sample
@@ -118,7 +120,13 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, start: np.ndarra
 
 
 class LanguageModel:
-    """Weights of the field, and labelling by them."""
+    """Weights of the field, and labelling by them.
+
+    ``rest`` stands for all languages that are not the model's own, and ``following`` fits the model that tells the next of them apart.
+    """
+
+    rest: str | None = None
+    following: Callable[[], LanguageModel] | None = None
 
     def __init__(self, languages: list[str], lexicon: dict[str, np.ndarray]):
         k = len(languages)
@@ -273,10 +281,25 @@ def fitted(sample: Iterable[tuple[str, str]], seed: int = 5) -> LanguageModel:
 def fit_languages(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model fitted to documents with a language outside the held-out fold, at most ``per_language`` of each language.
 
-    Every language that has a labelled document there is learned; ``SAMPLE`` documents are shared among very many languages."""
-    learned = docs.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = learned.select("doc_id", "lang")
-    return fitted(labelled_sample(learned.select("doc_id", "text"), known, "lang", per_language, SAMPLE))
+    Every language that has a labelled document there is learned. Of more than ``COLUMNS`` the most frequent have a column each and the
+    others one together, and the next model tells those apart in the same way; a model's weights and its sample of at most ``SAMPLE`` documents
+    (or one a column) are so bounded, however many languages there are, and models are fitted when they are needed, one after another."""
+    learned = docs.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    return _fitted_level(learned, learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), per_language)
+
+
+def _fitted_level(learned: DataFrame, counts: DataFrame, per_language: int) -> LanguageModel:
+    first = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(COLUMNS + 1).collect()]
+    texts = learned.select("doc_id", "text")
+    if len(first) <= COLUMNS:
+        return fitted(labelled_sample(texts, learned.select("doc_id", "lang"), "lang", per_language, SAMPLE))
+    own = F.col("lang").isin(first[: COLUMNS - 1])
+    rest = max(first[: COLUMNS - 1]) + "\0"  # after all of them, so none of them
+    known = learned.select("doc_id", F.when(own, F.col("lang")).otherwise(rest).alias("lang"))
+    model = fitted(labelled_sample(texts, known, "lang", per_language, SAMPLE))
+    model.rest = rest
+    model.following = lambda: _fitted_level(learned.where(~own), counts.where(~own), per_language)
+    return model
 
 
 def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None, sure: bool = False) -> DataFrame:
@@ -287,12 +310,29 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
     default; those named like a computed one are replaced. Repeated rows get one answer; an empty table gives no rows. ``sure`` adds
     a column of that name: how probable the likeliest language of each word is, on average; null where no language was learned
     and the text has a letter.
+
+    What a model gives to its ``rest`` is labelled again, by the model that follows; the scores are those of the model that names the language.
     """
     made = ["lang_pred", "score"] + ["sure"] * sure
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     inside = docs.select(F.col(text_column).alias("_text"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(kept)])
-    # buckets and lexicon have a fixed size for each language
-    parts = docs.sparkSession.sparkContext.broadcast((model.languages, model.lexicon, model.weights))
+    out = [F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)] + made
+    if model.rest is None:
+        return _labelled(inside, model, made).select(out)
+    scratch, columns, done = Scratch(docs.sparkSession), inside.columns, []
+    while model.rest is not None:
+        found = scratch.save(_labelled(inside, model, made), "labelled")
+        done.append(found.where(F.col("lang_pred") != model.rest).select(out))
+        inside = found.where(F.col("lang_pred") == model.rest).select(columns)
+        model = model.following()
+    return reduce(DataFrame.unionByName, done + [_labelled(inside, model, made).select(out)])
+
+
+def _labelled(inside: DataFrame, model: LanguageModel, made: list[str]) -> DataFrame:
+    """``inside``, whose first column is the text, with the columns ``made``; a model that hands texts on leaves the text in."""
+    # buckets and lexicon have a fixed size for each of at most COLUMNS languages
+    parts = inside.sparkSession.sparkContext.broadcast((model.languages, model.lexicon, model.weights))
+    first = 0 if model.rest is not None else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, lexicon, weights = parts.value
@@ -306,12 +346,12 @@ def identified(docs: DataFrame, model: LanguageModel, text_column: str = "text",
                 part = batch.slice(start, len(texts))
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    part.columns[1:] + [pa.array([x[i] for x in found], pa.float64() if i else pa.string()) for i in range(len(made))],
-                    names=batch.schema.names[1:] + made,
+                    part.columns[first:] + [pa.array([x[i] for x in found], pa.float64() if i else pa.string()) for i in range(len(made))],
+                    names=batch.schema.names[first:] + made,
                 )
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields[1:]] + ["lang_pred string", "score double", "sure double"][: len(made)])
-    return inside.mapInArrow(run, schema).select([F.col(f"_in{i}").alias(c) for i, c in enumerate(kept)] + made)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields[first:]]
+    return inside.mapInArrow(run, ", ".join(fields + ["lang_pred string", "score double", "sure double"][: len(made)]))
 
 
 def op10_language_id(spark, folder) -> DataFrame:

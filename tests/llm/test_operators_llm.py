@@ -524,6 +524,38 @@ def test_every_language_with_a_label_is_learned(spark, monkeypatch):
         assert counts == {f"l{n:02}": min(most, 3 if n else 40) for n in range(70)}
 
 
+def test_more_languages_than_a_model_has_columns(spark, monkeypatch):
+    """Each is learned by one of several models of bounded width, and texts come to the one that knows their language."""
+    monkeypatch.setattr(language, "COLUMNS", 4)
+    ends = ["th{}ing", "sch{}ung", "qu{}eux", "yks{}nen", "prz{}wy", "ngu{}mba", "hva{}rdu", "tlx{}col", "gwy{}dd", "ij{}zer"]
+    said = [" ".join(end.format(a + b) for a in "aeiou" for b in "rst") + "." for end in ends]
+    rows = [(100 * n + i, said[n], f"l{n}", "a", 0) for n in range(10) for i in range(20 - n)]
+    rows += [(5000 + n, said[n], None, "a", 0) for n in range(10)] + [(6000, None, "l1", "a", 0), (6001, " 1 ", None, "a", 0)]
+    table = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS score", "7 AS _text", "8 AS _in0")
+    model = language.fit_languages(table, folds=10**6)
+    found = language.identified(table, model, sure=True)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "_text", "_in0", "lang_pred", "score", "sure"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert len(got) == len(rows) and {got[6000]["lang_pred"], got[6001]["lang_pred"]} == {"und"}
+    assert all(got[name]["lang_pred"] == f"l{said.index(text)}" and got[name]["score"] > 0.5 for name, text, *_ in rows if name < 6000)
+    widths = []
+    while model is not None:
+        widths.append(len(model.languages))
+        model = model.following and model.following()
+    assert widths == [4, 4, 4]
+    assert language.identified(table.limit(0), language.fit_languages(table, folds=10**6)).count() == 0
+
+
+def test_the_sample_is_the_documents_of_least_hash(spark):
+    from ledgerline.llm.sampling import labelled_sample
+
+    docs = spark.range(9000).selectExpr("id AS doc_id", "string(id) AS text", "IF(id % 9 < 8, 'hot', 'rare') AS label")
+    docs = docs.unionByName(docs.where("doc_id < 3000"))  # repeated rows count once
+    got = {(int(text), label) for text, label in labelled_sample(docs, docs, "label", 50, 1000)}
+    rows = sorted((r["h"], r["doc_id"], r["label"]) for r in docs.selectExpr("xxhash64(doc_id) AS h", "doc_id", "label").distinct().collect())
+    assert got == {(i, x) for label in ("hot", "rare") for _, i, x in [r for r in rows if r[2] == label][:50]}
+
+
 def test_language_edges(spark, docs, none):
     model = language.fit_languages(docs)
     assert set(model.languages) <= {"en", "fr", "xx"}
