@@ -38,7 +38,8 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, per_label:
     if not labels:
         return
     per_label = min(per_label, max(1, most // labels))
-    hashed = one.withColumn("_order", F.xxhash64("doc_id")).join(counts, "label")
+    few = F.broadcast(counts) if labels <= 1000 else counts  # else ids would move by label before they are dropped
+    hashed = one.withColumn("_order", F.xxhash64("doc_id")).join(few, "label")
     below = (F.col("_order") / 2.0**64 + 0.5) * F.col("n") <= 2 * per_label + 200  # fewer than per_label of a label: less than once in 10^15
     chosen = best(hashed.where(below), "label", [F.col("_order"), F.col("doc_id")], per_label)
     # a proven bound: most ids, or one for each label
