@@ -46,6 +46,15 @@ def without(df: DataFrame, ids: DataFrame, key: str, id_column: str) -> DataFram
     return df.where(F.col(key).isNotNull()).join(distinct, key, "left_anti")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key before each is taken apart into many.
+
+    What a few files hold would otherwise be taken apart by as few tasks, and adaptive execution, which splits a large
+    partition between the tasks that wrote it, could not split what one task wrote.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def status_code(when: Column, value: Column) -> Column:
     """Packs a date and an int (or NULL) into one long that sorts by date, then value.
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ledgerline.functions.calendar import month_start
 from ledgerline.operators import rules
-from ledgerline.operators.joins import lookup
+from ledgerline.operators.joins import lookup, spread
 from ledgerline.sources.schemas import MONEY, PRODUCTS, RAW
 from ledgerline.sources.tables import Tables
 
@@ -168,8 +168,9 @@ def daily_balances(account: DataFrame, start: Column, as_of: Column) -> DataFram
     days = F.sequence(start, as_of, F.expr("interval 1 day"))
     d = F.col("balance_date")
     wave = (F.col("account_id") * 31 + F.dayofmonth(d) * 17 + F.month(d) * 101) % 9001
+    held = account.where(F.col("product_id").isin(1, 2) & (F.col("status") == "open")).select("account_id")
     return (
-        account.where(F.col("product_id").isin(1, 2) & (F.col("status") == "open"))
+        spread(held, "account_id")
         .select("account_id", days.alias("days"))
         .select("account_id", F.explode("days").alias("balance_date"))
         .select("account_id", "balance_date", (wave + 4850).cast(MONEY).alias("balance_amount"))
@@ -179,7 +180,7 @@ def daily_balances(account: DataFrame, start: Column, as_of: Column) -> DataFram
 def loan_months(account: DataFrame, product: DataFrame, as_of: Column) -> DataFrame:
     loans = account.join(product.where(F.col("product_type") == "loan").select("product_id", "product_name"), "product_id")
     end = rules.loan_end(F.col("write_off_flag"), F.col("write_off_date"), as_of)
-    return rules.monthly_series(loans, F.col("open_date"), end)
+    return rules.monthly_series(spread(loans, "account_id"), F.col("open_date"), end)
 
 
 def loan_payments(account: DataFrame, product: DataFrame, as_of: Column) -> DataFrame:
