@@ -9,12 +9,22 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+def by_key(dim: DataFrame) -> DataFrame:
+    """A side that grows with the bank (accounts, customers): its join shuffles both sides and spills, and is never broadcast.
+
+    Spark takes a table for as large as its files, compressed and before any row is taken apart. By that it would broadcast, through the
+    driver, millions of rows that stand in a few megabytes.
+    """
+    return dim.hint("merge")
+
+
 def lookup(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Many-to-one equi-join of ``fact`` to a ``dim`` that is unique on ``key``.
 
     The plan is left to Spark, and no job runs while it is built: a dimension under the broadcast threshold leaves the fact
-    where it lies, a larger one meets it in a shuffle whose hot partitions, whether one key fills them or rows
-    without a key, adaptive execution splits by their measured size at run time.
+    where it lies, a larger one, or one given ``by_key``, meets it in a shuffle whose hot partitions, whether one key fills
+    them or rows without a key, adaptive execution splits by their measured size at run time.
     """
     return fact.join(dim, key, how)
 

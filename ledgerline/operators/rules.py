@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import calendar_columns, month_start, months_between_starts
 from ledgerline.functions.numbers import clamp, rounded
+from ledgerline.operators.joins import by_key
 from ledgerline.sources.schemas import MONEY
 
 # Monthly rates, loan terms and the delinquency ramp of the interest model.
@@ -83,7 +84,7 @@ def deposit_interest(balances: DataFrame, accounts: DataFrame, products: DataFra
         _by_product(F.col("product_name"), DEPOSIT_MONTHLY_RATE, RATE), F.lit("0").cast(RATE)
     )
     nothing = F.lit("0").cast(MONEY)
-    return monthly.join(product_of, "account_id").select(
+    return monthly.join(by_key(product_of), "account_id").select(
         "account_id",
         "month_start",
         nothing.alias("interest_income"),
@@ -122,7 +123,7 @@ def active_customer_ids(
     """
     recent = transactions.where(F.col("transaction_date") >= F.date_sub(F.lit(as_of), window_days))
     owners = accounts.where(F.col("customer_id").isNotNull()).select("account_id", "customer_id")
-    return recent.select("account_id").distinct().join(owners, "account_id").select("customer_id")
+    return recent.select("account_id").distinct().join(by_key(owners), "account_id").select("customer_id")
 
 
 def with_activity(customers: DataFrame, active_ids: DataFrame) -> DataFrame:

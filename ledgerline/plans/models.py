@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import is_month_end, month_start
-from ledgerline.operators.joins import lookup, status_code, status_value, without
+from ledgerline.operators.joins import by_key, lookup, status_code, status_value, without
 from ledgerline.sources.schemas import RAW
 from ledgerline.sources.tables import Loader, Tables
 
@@ -60,7 +60,7 @@ def governed_with_account(tables: Tables) -> DataFrame:
     One join both drops internal accounts and brings customer, product and home branch, so the fact
     mart does not visit the accounts twice.
     """
-    return lookup(netted_transactions(tables), customer_accounts(tables), "account_id")
+    return lookup(netted_transactions(tables), by_key(customer_accounts(tables)), "account_id")
 
 
 def stg_transactions(tables: Tables) -> DataFrame:
@@ -84,7 +84,7 @@ def balance_by_product_month(tables: Tables) -> DataFrame:
     product = tables.ref("stg_products").select("product_id", "product_name")
     product_of = tables.ref("stg_accounts").select("account_id", "product_id").join(product, "product_id")
     monthly = tables.ref("int_account_balances_monthly")
-    return lookup(monthly, product_of.select("account_id", "product_name"), "account_id").select(
+    return lookup(monthly, by_key(product_of.select("account_id", "product_name")), "account_id").select(
         "account_id", "month_start", "product_name", F.col("avg_daily_balance").alias("avg_balance")
     )
 
@@ -138,20 +138,20 @@ def _account_owner(tables: Tables, *more: str) -> DataFrame:
 
 def fct_account_balances_monthly(tables: Tables) -> DataFrame:
     monthly = tables.ref("int_account_balances_monthly")
-    return monthly.join(_account_owner(tables), "account_id").select(
+    return monthly.join(by_key(_account_owner(tables)), "account_id").select(
         "account_id", "customer_id", "product_id", "month_start", "avg_daily_balance", "month_end_balance"
     )
 
 
 def fct_loans_monthly(tables: Tables) -> DataFrame:
     owner = _account_owner(tables, "write_off_flag").withColumnRenamed("account_id", "loan_account_id")
-    return tables.ref("int_loan_delinquency_monthly").join(owner, "loan_account_id").select(
+    return tables.ref("int_loan_delinquency_monthly").join(by_key(owner), "loan_account_id").select(
         "loan_account_id", "month_start", "days_past_due", "customer_id", "product_id", "write_off_flag"
     )
 
 
 def fct_interest_monthly(tables: Tables) -> DataFrame:
-    rows = lookup(tables.ref("stg_interest"), _account_owner(tables), "account_id")
+    rows = lookup(tables.ref("stg_interest"), by_key(_account_owner(tables)), "account_id")
     return rows.select(
         "account_id", "month_start", "interest_income", "interest_expense", "outstanding_loan_balance",
         "customer_id", "product_id",

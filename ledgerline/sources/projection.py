@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ledgerline.functions.calendar import month_start
 from ledgerline.operators import rules
-from ledgerline.operators.joins import lookup, spread
+from ledgerline.operators.joins import by_key, lookup, spread
 from ledgerline.sources.schemas import MONEY, PRODUCTS, RAW
 from ledgerline.sources.tables import Tables
 
@@ -107,7 +107,7 @@ def transactions(orders: DataFrame, customer: DataFrame, as_of: Column) -> DataF
     k = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
     home = customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    rows = lookup(orders, home, "o_custkey")
+    rows = lookup(orders, by_key(home), "o_custkey")
     internal = k % 20 == 0
     priority = F.col("o_orderpriority")
     kind = (
