@@ -24,7 +24,7 @@ from ledgerline.llm.common import batches_of, read
 NONE = (1 << 62) - 1  # rank of a pair that no merge joins
 WIDTHS = (8, 16, 32)  # leaves of the batched trees; a word has the smallest that holds its bytes
 WIDE = WIDTHS[-1]     # longest word, in bytes, of a batched tree
-CACHED = 400_000      # words remembered by a worker
+CACHED = 130_000      # words of a generation; a worker remembers two
 
 
 class Vocabulary:
@@ -147,15 +147,17 @@ def encode_short(words: list[bytes], vocabulary: Vocabulary, wide: int = WIDE) -
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of the words seen so far."""
+    """Encodes texts with a bounded memory of the words seen so far: a full generation becomes the older one, from which words come back as they are met."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.older = vocabulary, {}, {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > CACHED:
-            self.known = {}
+            self.known, self.older = {}, self.known
         new = [w for w in words if w not in self.known]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.known]
         raw = [w.encode() for w in new]
         for wide in WIDTHS:
             short = [i for i, w in enumerate(raw) if wide // 2 < len(w) <= wide or len(w) <= wide == WIDTHS[0]]
