@@ -1,21 +1,23 @@
 """Nearest neighbours by a block matrix join of quantised tiles.
 
 Each vector becomes int8 codes and a scale. The product of two tiles of codes gives every inner product of the
-pair up to an error that the vectors' residuals bound, so a candidate whose upper bound is below the k-th best lower
-bound cannot be among the nearest. The pairs that survive are computed again from the original components
+pair up to an error that the vectors' residuals bound, so a candidate whose upper bound is below the k-th best score
+seen so far cannot be among the nearest. The pairs that survive are computed again from the original components
 and merged by heaps. The bound makes the result exact, not just likely.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import best, read
-from ledgerline.llm.tiles import tile_pairs, tiles, usable, widened
+from ledgerline.llm.tiles import tile_pairs, usable, widened
 
-HEIGHT = 4096
+TOGETHER, PAIRS = 512, 1 << 16  # queries of a matrix product, pairs computed at once from their components
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -45,32 +47,46 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile_nearest(query_ids, queries, ids, rows, k: int):
-    """Every row of a tile that can be among a query's ``k`` nearest, with its true score."""
+def tile_nearest(query_ids, queries, ids, rows, k: int, floor=None):
+    """Every row of a tile that can be among a query's ``k`` nearest, with its true score; none below the query's ``floor``."""
     queries, rows = widened(queries, rows)
+    floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
     qc, qs, qn, qe = quantised(queries)
     rc, rs, rn, re = quantised(rows)
-    # |<q, r> - <q', r'>| <= |q'||r - r'| + |q - q'||r'| + |q - q'||r - r'|, and the rounding of doubles
-    error = (np.outer(qn, re) + np.outer(qe, rn) + np.outer(qe, re)) * (1 + 1e-9) + np.outer(qn + qe, rn + re) * 1e-12
-    product = np.empty((len(queries), len(rows)))
-    for j in range(0, len(rows), 1024):  # codes are whole numbers, so single precision is exact up to 2^24
-        kind = np.float32 if rows.shape[1] * 127 * 127 < 1 << 24 else np.float64
-        product[:, j : j + 1024] = qc.astype(kind) @ rc[j : j + 1024].astype(kind).T
-    # a query's scale changes no order, so bounds are in units of it and of the largest scale of the rows and stay finite
-    top = rs.max(initial=0)
-    own = query_ids[:, None] == ids[None, :]
-    low = np.where(own, -np.inf, (product - error) * (rs / top) - 1e-290)
-    high = np.where(own, -np.inf, (product + error) * (rs / top) + 1e-290)
-    # scores beyond doubles are equal, whatever their bounds
+    kind = np.float32 if rows.shape[1] < 1 << 16 else np.float64
+    # <q, r> <= <q', r'> + |q'||r - r'| + |q - q'||r'| + |q - q'||r - r'|, and the rounding of the sums; the last terms are two more components, so one product gives the bounds
+    lost = 2 * (rows.shape[1] + 8) * float(np.finfo(kind).eps) + 1e-12
+    top = rs.max(initial=0)  # bounds are in units of a query's scale, which changes no order, and of the rows' largest, and stay finite
+    left = np.column_stack([qc, qn, qe]).astype(kind)
+    right = (np.column_stack([rc, (re + lost * rn) * (1 + 2 * lost), (rn + re) * (1 + 2 * lost)]) * (rs / top)[:, None]).astype(kind)
+    found = []
+
+    def scored(q, r):
+        return np.concatenate([inner(queries[q[i : i + PAIRS]], rows[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)] or [np.empty(0)])
+
+    for first in range(0, len(queries), TOGETHER):
+        bound = left[first : first + TOGETHER] @ right.T
+        new = np.flatnonzero(floor[first : first + TOGETHER] == -np.inf)
+        if len(new) and len(rows) > k:  # the true scores of the k + 1 largest bounds, one of which may be the query itself
+            r = np.argpartition(bound[new], len(rows) - k - 1, axis=1)[:, len(rows) - k - 1 :]
+            q = np.repeat(first + new, k + 1)
+            score = np.where(ids[r.ravel()] == query_ids[q], -np.inf, scored(q, r.ravel()))
+            floor[first + new] = np.sort(score.reshape(r.shape), axis=1)[:, 1]
+        q, r = np.divmod(np.flatnonzero(bound >= least(floor[first : first + TOGETHER], qs[first : first + TOGETHER], top).astype(kind)[:, None]), len(rows))
+        other = ids[r] != query_ids[first + q]
+        q, r = first + q[other], r[other]
+        score = scored(q, r)
+        good = score >= floor[q]
+        found.append((query_ids[q[good]], ids[r[good]], score[good]))
+    return tuple(np.concatenate(x) for x in zip((query_ids[:0], ids[:0], np.empty(0)), *found))
+
+
+def least(score, scale, top):
+    """A bound that a row with this score or a larger one is never below. Scores beyond doubles are equal, whatever their bounds, as are those below."""
     with np.errstate(over="ignore"):
-        end = (np.finfo(np.float64).max / qs / top * (1 - 1e-9))[:, None]
-    low = np.where(low < -end, -np.inf, np.minimum(low, end))
-    if low.shape[1] > k:
-        floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-    else:
-        floor = np.full(len(queries), -np.inf)
-    q, r = np.nonzero((high >= floor[:, None]) & ~own)
-    return query_ids[q], ids[r], inner(queries[q], rows[r])
+        bound = (np.minimum(score, np.finfo(np.float64).max) - 1e-290) / np.maximum(scale, top) / np.minimum(scale, top)
+    bound = np.clip(bound, -1e37, 1e37)
+    return bound - np.abs(bound) * 1e-6 - 1e-30
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -87,13 +103,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_i
         vector = F.col(vector_column)
         return df.where(F.col(id_column).isNotNull() & usable(vector) & F.exists(vector, lambda x: x != 0))
 
-    found = tile_pairs(
-        tiles(clean(queries), id_column, vector_column, 512),
-        tiles(clean(rows), id_column, vector_column, HEIGHT),
-        lambda *tile: tile_nearest(*tile, k=k),
-        k,
-        FOUND,
-    )
+    found = tile_pairs(clean(queries), clean(rows), id_column, vector_column, partial(tile_nearest, k=k), k, FOUND)
     return best(found, "query_id", [F.desc("score"), F.asc("vec_id")], k).select(
         "query_id", "rank", "vec_id", "score"
     )

@@ -1,22 +1,28 @@
-"""Vectors packed into tiles, and every query tile brought to every candidate tile in blocks.
+"""Queries and candidates dealt over a grid of tasks, and in each task every query held against tiles of candidates.
 
-Shared by the two vector searches. A tile is one row: its ids and its components as bytes, for a range of
-ids, so a join of tiles moves large blocks and a task holds one pair of them at a time.
+Shared by the two vector searches. A tile is a matrix of vectors of ascending ids with those ids. Rows are dealt to the
+tasks by number, in one shuffle: what a task gets follows from the ids alone, nothing is broadcast and no pair of tiles is a row.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+import pickle
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import partitions
 
-TILE = "tile long, n int, dim int, ids binary, data binary"
+HEIGHT, WEIGHTS = 4096, 1 << 21  # rows of a tile at most, and components of a tile of wide vectors
+MOST = 16_384  # queries that a task holds at a time
+NEIGHBOURS = 9  # ids that agree but for so many bits stay together, so that a block of a tile holds neighbouring ids
+Tile = tuple[np.ndarray, np.ndarray]
 
 
 def usable(vector: Column) -> Column:
@@ -25,47 +31,6 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
-def tiles(rows: DataFrame, id_column: str, vector_column: str, height: int) -> DataFrame:
-    """Tiles of at most ``height`` rows over ranges of ids. Rows of one id are one row, the least vector."""
-    vectors = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    ranged = vectors.repartitionByRange("id").sortWithinPartitions("id", "vector")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, last, made = [], [], None, 0
-
-        def tile():
-            dim = max(map(len, vectors))
-            data = np.zeros((len(ids), dim))
-            for row, vector in zip(data, vectors):
-                row[: len(vector)] = vector
-            return pa.RecordBatch.from_pydict(
-                {"tile": [ids[0]], "n": pa.array([len(ids)], pa.int32()), "dim": pa.array([dim], pa.int32()),
-                 "ids": [np.array(ids, np.int64).tobytes()], "data": [data.tobytes()]}
-            )
-
-        for batch in batches:
-            column = batch.column("vector")
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            for i, name in enumerate(batch.column("id").to_pylist()):
-                if name == last:
-                    continue
-                last = name
-                ids.append(name)
-                vectors.append(flat[ends[i] : ends[i + 1]])
-                if len(ids) == height:
-                    yield tile()
-                    ids, vectors = [], []
-        if ids:
-            yield tile()
-
-    return ranged.mapInArrow(pack, TILE)
-
-
-def unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{side}_ids"], np.int64)
-    return ids, np.frombuffer(row[f"{side}_data"], np.float64).reshape(len(ids), row[f"{side}_dim"])
-
-
 def widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both with as many columns; a component that a vector lacks counts as 0."""
     width = max(a.shape[1], b.shape[1])
@@ -73,53 +38,157 @@ def widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Heaps:
-    """The ``k`` best candidates of each query, ties to the smaller id. Holds ``MOST`` queries; past that the
-    oldest half is let go as rows, which a later merge puts together again."""
-
-    MOST = 8192
+    """The ``k`` best candidates of each of some queries (their ids ascend), ties to the smaller id. ``floor`` is the score of a
+    query's k-th, the least there is while it has fewer: what is below it need not be added."""
 
-    def __init__(self, k: int):
-        self.k, self.kept = k, {}
+    def __init__(self, k: int, queries: np.ndarray, kind: type):
+        self.k, self.queries, self.kept = k, queries, [[] for _ in queries]
+        self.floor = np.full(len(queries), -np.inf if kind is np.float64 else np.iinfo(kind).min, kind)
+        self.last = np.full(len(queries), np.iinfo(np.int64).max)  # the id of the k-th
 
     def add(self, queries, ids, scores) -> None:
-        for q, v, s in zip(queries.tolist(), ids.tolist(), scores.tolist()):
-            heap = self.kept.setdefault(q, [])
+        at = np.searchsorted(self.queries, queries)
+        good = (scores > self.floor[at]) | (scores == self.floor[at]) & (ids <= self.last[at])
+        for q, v, s in zip(at[good].tolist(), ids[good].tolist(), scores[good].tolist()):
+            heap = self.kept[q]
             if len(heap) < self.k:
                 heapq.heappush(heap, (s, -v))
             elif (s, -v) > heap[0]:
                 heapq.heapreplace(heap, (s, -v))
-
-    def rows(self, all_of_them: bool) -> Iterator[pa.RecordBatch]:
-        if not all_of_them and len(self.kept) <= self.MOST:
-            return
-        queries = list(self.kept) if all_of_them else list(self.kept)[: len(self.kept) // 2]
-        flat = [(q, -v, s) for q in queries for s, v in self.kept.pop(q)]
-        if flat:
-            q, v, s = zip(*flat)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-
-def tile_pairs(queries: DataFrame, candidates: DataFrame, score: Callable, k: int, schema: str) -> DataFrame:
-    """The ``k`` best of ``score(query ids, query matrix, candidate ids, candidate matrix)`` over every pair of tiles, for
-    each query and task.
-
-    Candidate tiles are dealt to as many groups as there are shuffle partitions and move once; the
-    queries, a stated small part of the rows, go to every group. Candidate tiles all have one size, so no
-    group is hot, and the matches of a tile are read in a stream.
+            else:
+                continue
+            if len(heap) == self.k:
+                self.floor[q], self.last[q] = heap[0][0], -heap[0][1]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.queries), 1024):
+            lengths = [len(heap) for heap in self.kept[i : i + 1024]]
+            flat = [pair for heap in self.kept[i : i + 1024] for pair in heap]
+            if flat:
+                s, v = zip(*flat)
+                ids = np.repeat(self.queries[i : i + 1024], lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([-x for x in v], pa.int64()), pa.array(np.array(s, self.floor.dtype))], names=["query_id", "vec_id", "score"])
+
+
+class Held:
+    """Tiles of queries that a task holds at a time: ``most`` queries and ``BYTES`` at most, one tile at least."""
+
+    BYTES = 1 << 26
+
+    def __init__(self, most: int):
+        self.most, self.tiles = most, []
+
+    def takes(self, tile: Tile) -> bool:
+        more = [*self.tiles, tile]
+        if self.tiles and (sum(len(ids) for ids, _ in more) > self.most or sum(data.size * 8 for _, data in more) > self.BYTES):
+            return False
+        self.tiles = more
+        return True
+
+
+class Spool:
+    """Tiles that wait in a file of the task's own, which is gone with it."""
+
+    def __init__(self):
+        self.file, self.count = tempfile.TemporaryFile(), 0
+
+    def put(self, tile: Tile) -> None:
+        pickle.dump(tile, self.file, pickle.HIGHEST_PROTOCOL)
+        self.count += 1
+
+    def __iter__(self) -> Iterator[Tile]:
+        self.file.seek(0)
+        for _ in range(self.count):
+            yield pickle.load(self.file)
+
+
+def tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Tile]]:
+    """Tiles of rows sorted by ``side``, ``id`` and ``vector``, with their side. Rows of one id are one row, the least vector."""
+    last = None
+    for batch in batches:
+        side, ids, column = batch.column("side").to_numpy(), batch.column("id").to_numpy(), batch.column("vector")
+        if not len(ids):
+            continue
+        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        lengths = np.diff(ends)
+        height = min(HEIGHT, max(1, WEIGHTS // max(1, lengths.max())))
+        new = np.append((side[0], ids[0]) != last, (side[1:] != side[:-1]) | (ids[1:] != ids[:-1]))
+        last = (side[-1], ids[-1])
+        for one in (0, 1):
+            rows = np.flatnonzero(new & (side == one))
+            for part in (rows[i : i + height] for i in range(0, len(rows), height)):
+                wide = np.arange(lengths[part].max()) < lengths[part][:, None]
+                data = np.zeros(wide.shape, flat.dtype)
+                data[wide] = flat[(ends[part][:, None] + np.arange(wide.shape[1]))[wide]]
+                yield one, (ids[part], data)
+
+
+def searched(held: list[Tile], candidates: Iterable[Tile], score: Callable, k: int, kind: type) -> Iterator[pa.RecordBatch]:
+    ids, width = np.concatenate([x for x, _ in held]), max(x.shape[1] for _, x in held)
+    matrix = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in held]).astype(np.float64)
+    heaps = Heaps(k, ids, kind)
+    for names, data in candidates:
+        heaps.add(*score(ids, matrix, names, data.astype(np.float64), floor=heaps.floor))
+    yield from heaps.rows()
+
+
+def best_of(batches: Iterable[pa.RecordBatch], score: Callable, k: int, kind: type, most: int = MOST) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best candidates (side 1) of each query (side 0, they come first). What a task holds is bounded: ``most`` queries
+    and one tile of candidates, which come in a stream; with more queries the tiles wait in a file and come again."""
+    found, first, held, waiting, again = tiles(batches), [], Held(most), Spool(), Spool()
+    for side, tile in found:
+        if side:
+            first = [tile]
+            break
+        if waiting.count or not held.takes(tile):
+            waiting.put(tile)
+
+    def stream() -> Iterator[Tile]:
+        for tile in chain(first, (tile for _, tile in found)):
+            if waiting.count:
+                again.put(tile)
+            yield tile
+
+    if not (first and held.tiles):
+        for _ in stream():
+            pass
+        return
+    yield from searched(held.tiles, stream(), score, k, kind)
+    held = Held(most)
+    for tile in waiting:
+        if not held.takes(tile):
+            yield from searched(held.tiles, again, score, k, kind)
+            held = Held(most)
+            held.takes(tile)
+    if held.tiles:
+        yield from searched(held.tiles, again, score, k, kind)
+
+
+def grid(spark: SparkSession) -> tuple[int, int]:
+    """Parts of the queries and parts of the candidates; each pair of parts is a task. A candidate is copied once for each of the
+    first, a query, of which there are fewer, once for each of the second, and each of the second has results of its own for a
+    query: so the first are fewer, and there are no more than three tasks for a core, or 36."""
+    tasks = max(1, min(partitions(spark), max(36, 3 * spark.sparkContext.defaultParallelism)))
+    down = max(1, round(tasks**0.5 / 3))
+    return down, tasks // down
+
+
+def tile_pairs(queries: DataFrame, candidates: DataFrame, id_column: str, vector_column: str, score: Callable, k: int, schema: str) -> DataFrame:
+    """The ``k`` best candidates of each query in each part of the candidates.
+
+    Queries and candidates meet in tasks of a grid (``grid``), not in a join: Spark would size the queries' copies as if there were
+    one of each and broadcast them. ``score(query ids, query matrix, candidate ids, candidate matrix, floor=)`` gives query ids, candidate ids and scores; it may
+    leave out what is below a query's ``floor``, the k-th score that its task has seen so far.
     """
-    groups = partitions(candidates.sparkSession)
-    side = lambda df, s: df.select("group", *[F.col(c).alias(f"{s}_{c}") for c in ("dim", "ids", "data")])
-    dealt = candidates.withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups)))
-    spread = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1).cast("long"))))
-    pairs = side(dealt, "c").join(side(spread, "q"), "group").drop("group")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps = Heaps(k)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                heaps.add(*score(*unpacked(row, "q"), *unpacked(row, "c")))
-                yield from heaps.rows(False)
-        yield from heaps.rows(True)
-
-    return pairs.mapInArrow(run, schema)
+    down, across = grid(candidates.sparkSession)
+    own = [df.select(vector_column).dtypes[0][1] for df in (queries, candidates)]
+    vector = F.col(vector_column).cast("array<float>" if own == ["array<float>"] * 2 else "array<double>")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    rows = lambda df, side: df.select(F.lit(side).alias("side"), F.col(id_column).cast("long").alias("id"), vector.alias("vector"))
+    asking = rows(queries, 0).select("*", part("id", down).alias("row"), every(across).alias("column"))
+    asked = rows(candidates, 1).select("*", every(down).alias("row"), part(F.shiftright("id", NEIGHBOURS), across).alias("column"))
+    dealt = asking.unionByName(asked).repartitionById(down * across, F.col("row") * across + F.col("column"))
+    kind = np.float64 if "score double" in schema else np.int64
+    sorted_ = dealt.select("side", "id", "vector").sortWithinPartitions("side", "id", "vector")
+    return sorted_.mapInArrow(lambda batches: best_of(batches, score, k, kind), schema)

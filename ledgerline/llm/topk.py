@@ -9,47 +9,60 @@ smaller id.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import best, read
-from ledgerline.llm.tiles import tile_pairs, tiles, usable, widened
+from ledgerline.llm.tiles import tile_pairs, usable, widened
 
-HEIGHT, BLOCK, SCALE = 4096, 64, 256
+BLOCK, SCALE = 64, 256
+TOGETHER, AT_ONCE = 512, 16  # queries and blocks of a matrix product
 LARGEST = (1 << 63) - 1  # scores beyond a long stop here
 FOUND = "query_id long, vec_id long, score long"
 
 
-def block_top_k(query_ids, queries, ids, rows, k: int, block: int = BLOCK):
-    """Top ``k`` rows of a tile for each query. All weights are whole numbers."""
+def block_top_k(query_ids, queries, ids, rows, k: int, block: int = BLOCK, floor=None):
+    """Top ``k`` rows of a tile for each query, without those below its ``floor``. All weights are whole numbers."""
     queries, rows = widened(queries, rows)
+    lowest = np.iinfo(np.int64).min
+    floor = np.full(len(queries), lowest) if floor is None else floor
     starts = np.arange(0, len(ids), block)
-    # sums stay exact in doubles while they cannot pass 2^53, in longs up to 2^63, beyond that in whole numbers of any size
+    # sums of whole numbers stay exact in singles while they cannot pass 2^24, in doubles up to 2^53, in longs up to 2^63, beyond that in whole numbers of any size
     reach = max(np.abs(queries).max(initial=0), 1) * max(np.abs(rows).max(initial=0), 1) * rows.shape[1]
     if reach >= 2.0**53:
         whole = (lambda x: x.astype(np.int64)) if reach < 2.0**62 else np.frompyfunc(int, 1, 1)
         queries, rows = whole(queries), whole(rows)
+    elif reach < 2.0**24 and all((x == np.rint(x)).all() for x in (queries, rows)):
+        queries, rows = queries.astype(np.float32), rows.astype(np.float32)
     settled = (lambda x: np.clip(x, -LARGEST, LARGEST).astype(np.int64)) if rows.dtype == object else (lambda x: x)
     most, least = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
-    bounds = settled(np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T)
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    out_q, out_v, out_s = [], [], []
-    for i, (name, query) in enumerate(zip(query_ids, queries)):
-        top_s, top_v = np.empty(0, bounds.dtype), np.empty(0, np.int64)
-        for b in order[i]:
-            if len(top_s) == k and bounds[i, b] < top_s[-1]:
-                break
-            part = slice(starts[b], starts[b] + block)
-            scores, names = settled(rows[part] @ query), ids[part]
-            other = names != name
-            top_s, top_v = np.concatenate([top_s, scores[other]]), np.concatenate([top_v, names[other]])
-            chosen = np.lexsort((top_v, -top_s))[:k]
-            top_s, top_v = top_s[chosen], top_v[chosen]
-        out_q.append(np.full(len(top_v), name))
-        out_v.append(top_v)
-        out_s.append(top_s)
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s).astype(np.int64)
+    found = []
+    for first in range(0, len(queries), TOGETHER):
+        some, names = queries[first : first + TOGETHER], query_ids[first : first + TOGETHER]
+        bounds = settled(np.maximum(some, 0) @ most.T + np.minimum(some, 0) @ least.T)
+        kth = floor[first : first + TOGETHER].astype(bounds.dtype)
+        order = np.argsort(-bounds.max(axis=0), kind="stable")
+        for blocks in (order[i : i + AT_ONCE] for i in range(0, len(order), AT_ONCE)):
+            open_ = bounds[:, blocks] >= kth[:, None]
+            blocks, asking = blocks[open_.any(axis=0)], np.flatnonzero(open_.any(axis=1))
+            if not len(asking):
+                continue
+            part = np.concatenate([np.arange(b, min(b + block, len(ids))) for b in starts[blocks]])
+            scores = settled(some[asking] @ rows[part].T)
+            if len(part) > k and (kth[asking] == lowest).any():  # one of the k + 1 best may be the query itself
+                kth[asking] = np.maximum(kth[asking], np.partition(scores, len(part) - k - 1, axis=1)[:, len(part) - k - 1])
+            i, j = np.divmod(np.flatnonzero(scores >= kth[asking][:, None]), len(part))
+            other = ids[part[j]] != names[asking[i]]
+            i, j = i[other], j[other]
+            found.append((first + asking[i], ids[part[j]], scores[i, j]))
+    q, v, s = (np.concatenate(x) for x in zip((np.empty(0, np.int64), ids[:0], np.empty(0, rows.dtype if rows.dtype != object else np.int64)), *found))
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    chosen = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return query_ids[q[chosen]], v[chosen], s[chosen].astype(np.int64)
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -61,13 +74,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "vec_id
     ended in zeros. Empty tables give no rows; other columns are never read.
     """
     clean = lambda df: df.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
-    found = tile_pairs(
-        tiles(clean(queries), id_column, vector_column, 512),
-        tiles(clean(rows), id_column, vector_column, HEIGHT),
-        lambda *tile: block_top_k(*tile, k=k),
-        k,
-        FOUND,
-    )
+    found = tile_pairs(clean(queries), clean(rows), id_column, vector_column, partial(block_top_k, k=k), k, FOUND)
     return best(found, "query_id", [F.desc("score"), F.asc("vec_id")], k).select(
         "query_id", "rank", "vec_id", "score"
     )
