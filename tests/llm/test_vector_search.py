@@ -18,6 +18,20 @@ def whole(seed, n, dim, size=60):
     return np.floor(np.random.default_rng(seed).normal(0, size, (n, dim)))
 
 
+@pytest.mark.parametrize("search", [topk.search, neighbours.nearest])
+def test_copies_of_queries_are_never_broadcast(spark, tmp_path, search):
+    rows = whole(3, 400, 8)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    found = search(table.where("vec_id % 50 = 0"), table, 4)
+    got = found.orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got] == [v for q in range(0, 400, 50) for v in brute(range(400), rows, q, 4)]
+    found.foreach(lambda r: None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
 def test_scores_of_a_tile_take_less_than_a_sort_of_them():
     rows, ids = whole(4, 4096, 16, 32), np.arange(4096)
 
