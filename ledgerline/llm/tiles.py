@@ -145,6 +145,7 @@ def best_of(batches: Iterable[pa.RecordBatch], score: Callable, k: int, kind: ty
 
     def stream() -> Iterator[Tile]:
         for tile in chain(first, (tile for _, tile in found)):
+            tile = leading(tile, k)
             if waiting.count:
                 again.put(tile)
             yield tile
@@ -164,6 +165,23 @@ def best_of(batches: Iterable[pa.RecordBatch], score: Callable, k: int, kind: ty
         yield from searched(held.tiles, again, score, k, kind)
 
 
+def leading(tile: Tile, k: int) -> Tile:
+    """Without the rows that ``k`` + 1 rows of the same vector and smaller ids precede: they have the same score, ties go to the
+    smaller id, and one of them may be the query itself. So many copies of a vector cost a query no more than ``k`` + 1."""
+    ids, data = tile
+    bits = data.view(np.uint32 if data.itemsize == 4 else np.uint64).astype(np.uint64)
+    keys = bits @ (np.arange(1, 2 * data.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(keys, kind="stable")
+    by, data_by = keys[order], bits[order]
+    new = np.append(True, by[1:] != by[:-1])
+    same = np.flatnonzero(~new)
+    new[same] = (data_by[same] != data_by[same - 1]).any(axis=1)
+    starts = np.flatnonzero(new)
+    nth = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    kept = np.sort(order[nth <= k])
+    return (ids, data) if len(kept) == len(ids) else (ids[kept], data[kept])
+
+
 def grid(spark: SparkSession) -> tuple[int, int]:
     """Parts of the queries and parts of the candidates; each pair of parts is a task. A candidate is copied once for each of the
     first, a query, of which there are fewer, once for each of the second, and each of the second has results of its own for a

@@ -82,6 +82,25 @@ def test_more_queries_than_a_task_holds(monkeypatch, score, kind):
         assert list(tiles.best_of(iter([alone, alone.slice(0, 0)]), score, 4, kind)) == []
 
 
+@pytest.mark.parametrize("score, kind", [(topk.block_top_k, np.int64), (neighbours.tile_nearest, np.float64)])
+def test_copies_of_a_vector_cost_a_query_no_more_than_its_answers(score, kind):
+    rows = whole(7, 300, 8)
+    rows[50:250:2] = rows[51] = rows[299]
+    seen = []
+
+    def counted(query_ids, queries, ids, data, floor):
+        seen.append((ids, data))
+        return score(query_ids, queries, ids, data, k=3, floor=floor)
+
+    given = [(0, i) for i in range(0, 300, 3)] + [(1, i) for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"side": pa.array([s for s, _ in given], pa.int32()), "id": [i for _, i in given], "vector": pa.array([rows[i].tolist() for _, i in given], pa.list_(pa.float32()))})
+    found = [r for b in tiles.best_of([batch], counted, 3, kind) for r in zip(*(c.to_pylist() for c in b.columns))]
+    for q in range(0, 300, 3):
+        assert [v for _, v, _ in sorted((x for x in found if x[0] == q), key=lambda x: (-x[2], x[1]))] == brute(range(300), rows, q, 3)
+    assert sum(int((data == rows[51]).all(axis=1).sum()) for _, data in seen) == 4
+    assert seen[0][0].tolist() == [i for i in range(300) if i in (50, 51, 52, 54) or not (rows[i] == rows[51]).all()]
+
+
 def test_tasks_of_a_grid_follow_the_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
